@@ -2,32 +2,42 @@
 
 ``split_hot_keys`` gives every row a bucket: 0 for ordinary keys; for a key with
 more than ``rows_per_task`` rows, an equal-width time bucket out of
-``ceil(n / rows_per_task)``.  Windows then partition by (key, bucket).  The
-hot-key table has at most ``rows / rows_per_task`` rows and the per-bucket
-summaries at most ``2 * rows / rows_per_task`` - the bound that allows their
-broadcast.
+``ceil(n / rows_per_task)`` (capped at ``max_buckets``).  Windows then partition
+by (key, bucket), so no task holds more than about ``rows_per_task`` rows of one
+key (for keys whose events are spread over time).
+
+Everything stays in one plan: the per-key counts are a partial aggregation of
+the same input (its upstream exchanges are reused, not recomputed), and the
+two small tables are broadcast on a *structural* bound rather than a count:
+
+* hot keys: each has more than ``rows_per_task`` rows, so there are at most
+  ``rows / rows_per_task`` of them;
+* per-bucket summaries: at most ``sum(n_k / rows_per_task + 1) <= 2 * rows / rows_per_task``.
+
+With the default 4M rows per task that is <= 500k summary rows per 10^12 input
+rows.  Pass ``broadcast=False`` to let the planner choose shuffle joins instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+ROWS_PER_TASK = 4_000_000
+MAX_BUCKETS = 65_536
 
-@dataclass
-class Buckets:
-    df: DataFrame          # input plus ``_b`` (bucket) and ``_hot`` (bool)
-    any_hot: bool
-    small: bool            # summaries are proven small enough to broadcast
 
+def _maybe_broadcast(df: DataFrame, broadcast: bool) -> DataFrame:
+    return F.broadcast(df) if broadcast else df
 
-def split_hot_keys(df: DataFrame, key: str, micros: Column, rows_per_task: int | None = 2_000_000,
-                   max_buckets: int = 4096, max_broadcast_rows: int = 2_000_000) -> Buckets:
+
+def split_hot_keys(df: DataFrame, key: str, micros: Column, rows_per_task: int | None = ROWS_PER_TASK,
+                   max_buckets: int = MAX_BUCKETS, broadcast: bool = True) -> DataFrame:
+    """Input plus ``_b`` (bucket) and ``_hot`` (key is split)."""
     if not rows_per_task:
-        return Buckets(df.withColumns({"_b": F.lit(0).cast("long"), "_hot": F.lit(False)}), False, True)
+        return df.withColumns({"_b": F.lit(0).cast("long"), "_hot": F.lit(False)})
     d = df.withColumn("_m", micros)
     hot = (d.groupBy(key)
            .agg(F.count(F.lit(1)).alias("_c"), F.min("_m").alias("_lo"), F.max("_m").alias("_hi"))
@@ -35,35 +45,32 @@ def split_hot_keys(df: DataFrame, key: str, micros: Column, rows_per_task: int |
            .select(key, "_lo", "_hi",
                    F.least(F.ceil(F.col("_c") / F.lit(float(rows_per_task))), F.lit(max_buckets))
                    .cast("long").alias("_nb")))
-    bound = hot.agg(F.count(F.lit(1)).alias("n"), F.sum("_nb").alias("nb")).first()
-    if not bound["n"]:
-        return Buckets(df.withColumns({"_b": F.lit(0).cast("long"), "_hot": F.lit(False)}), False, True)
-    small = bound["nb"] <= max_broadcast_rows
     span = (F.col("_hi") - F.col("_lo") + F.lit(1)).cast("double")
     bucket = F.least(F.col("_nb") - 1,
                      F.floor((F.col("_m") - F.col("_lo")).cast("double") * F.col("_nb") / span))
-    out = (d.join(F.broadcast(hot) if small else hot, key, "left")
-           .withColumns({"_b": F.coalesce(bucket, F.lit(0)).cast("long"), "_hot": F.col("_nb").isNotNull()})
-           .drop("_lo", "_hi", "_nb", "_m"))
-    return Buckets(out, True, small)
+    return (d.join(_maybe_broadcast(hot, broadcast), key, "left")
+            .withColumns({"_b": F.coalesce(bucket, F.lit(0)).cast("long"), "_hot": F.col("_nb").isNotNull()})
+            .drop("_lo", "_hi", "_nb", "_m"))
 
 
 def keyed_lag(df: DataFrame, key: str, order: Sequence[str], cols: Sequence[str], micros: Column,
-              prefix: str = "prev_", rows_per_task: int | None = 2_000_000) -> DataFrame:
+              prefix: str = "prev_", rows_per_task: int | None = ROWS_PER_TASK,
+              broadcast: bool = True) -> DataFrame:
     """``lag(col, 1)`` over ``partitionBy(key).orderBy(order)`` for each of ``cols``
-    (``order`` must end in a unique tie-break and start with the time that
-    ``micros`` measures), computed over (key, bucket) windows plus the last row
-    of the previous bucket for hot keys."""
-    b = split_hot_keys(df, key, micros, rows_per_task)
+    (``order`` must start with the time that ``micros`` measures and end in a
+    unique tie-break), computed over (key, bucket) windows; the first row of a
+    hot key's bucket takes the last row of the key's previous non-empty bucket."""
+    b = split_hot_keys(df, key, micros, rows_per_task, broadcast=broadcast)
     w = Window.partitionBy(key, "_b").orderBy(*order)
-    out = b.df.select("*", *[F.lag(c).over(w).alias(f"{prefix}{c}") for c in cols],
-                      F.lag(F.lit(1)).over(w).isNull().alias("_first"))
-    if b.any_hot:
-        last = (out.where("_hot").groupBy(key, "_b")
-                .agg(F.max(F.struct(*[F.col(o) for o in order], *[F.col(c).alias(f"_v_{c}") for c in cols]))
-                     .alias("_last")))
-        last = last.select(key, "_b", F.lag("_last").over(Window.partitionBy(key).orderBy("_b")).alias("_pl"))
-        out = out.join(F.broadcast(last) if b.small else last, [key, "_b"], "left")
-        out = out.withColumns({f"{prefix}{c}": F.when(F.col("_first"), F.col(f"_pl._v_{c}"))
-                               .otherwise(F.col(f"{prefix}{c}")) for c in cols}).drop("_pl")
-    return out.drop("_b", "_hot", "_first")
+    out = b.select("*", *[F.lag(c).over(w).alias(f"{prefix}{c}") for c in cols],
+                   F.lag(F.lit(1)).over(w).isNull().alias("_first"))
+    if not rows_per_task:
+        return out.drop("_b", "_hot", "_first")
+    last = (b.where("_hot").groupBy(key, "_b")
+            .agg(F.max(F.struct(*[F.col(o) for o in order], *[F.col(c).alias(f"_v_{c}") for c in cols]))
+                 .alias("_last")))
+    last = last.select(key, "_b", F.lag("_last").over(Window.partitionBy(key).orderBy("_b")).alias("_pl"))
+    out = out.join(_maybe_broadcast(last, broadcast), [key, "_b"], "left")
+    out = out.withColumns({f"{prefix}{c}": F.when(F.col("_first") & F.col("_hot"), F.col(f"_pl._v_{c}"))
+                           .otherwise(F.col(f"{prefix}{c}")) for c in cols})
+    return out.drop("_b", "_hot", "_first", "_pl")

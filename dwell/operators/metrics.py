@@ -91,7 +91,7 @@ def compare_variants(df: DataFrame, y: str, variants: Sequence[str], tie: str, q
         "decile", ranking.bin_of_rank(F.col("_r") - F.col("_first") + 1, F.col("_vn"), q) + 1)
     per_decile = ranked.groupBy("variant", "decile").agg(F.avg(_err(y, "_yhat")).alias("_bias"))
     worst = per_decile.groupBy("variant").agg(F.max(F.abs("_bias")).alias("max_abs_decile_bias_days"))
-    core = long.groupBy("variant").agg(*core_metrics_cols(y, "_yhat", accuracy))
+    core = ranked.groupBy("variant").agg(*core_metrics_cols(y, "_yhat", accuracy))
     return core.join(worst, "variant")
 
 

@@ -14,12 +14,12 @@ pair's end time is that event's time.  We evaluate everything with one window in
 ``min`` (both O(n); an ``unboundedFollowing`` frame would be re-evaluated per
 row).  That is one shuffle, keyed by ``(key, bucket)``.
 
-Skew.  A key may hold a large share of all rows.  A cheap pre-aggregation counts
-rows per key; keys above ``rows_per_task`` are split into ``ceil(n / rows_per_task)``
-equal-width time buckets, so the window groups stay bounded.  The first event
-(and first end) of the *following* buckets of a hot key comes from a summary with
-one row per (hot key, bucket): at most ``2 * rows / rows_per_task`` rows, which is
-the proven bound that lets it be broadcast.
+Skew.  A key may hold a large share of all rows.  A partial aggregation in the
+same plan counts rows per key; keys above ``rows_per_task`` are split into
+``ceil(n / rows_per_task)`` equal-width time buckets, so the window groups stay
+bounded.  The first event (and first end) of the *following* buckets of a hot
+key comes from a summary with one row per (hot key, bucket): at most
+``2 * rows / rows_per_task`` rows, the proven bound that lets it be broadcast.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import wall_clock
+from .keyed import MAX_BUCKETS, ROWS_PER_TASK, split_hot_keys
 
 START, END = 0, 1
 STATUS_PAIRED = "paired"
@@ -118,57 +119,34 @@ def filter_duration(df: DataFrame, col: str = "duration_days", lo: float = 0.0,
 
 def pair_status(starts: DataFrame, ends: DataFrame, key: str, start_ts: str, end_ts: str,
                 seq: str | None = None, end_seq: str | None = None,
-                end_payload: Sequence[str] = (), rows_per_task: int | None = 2_000_000,
-                max_buckets: int = 4096, max_broadcast_rows: int = 2_000_000) -> DataFrame:
+                end_payload: Sequence[str] = (), rows_per_task: int | None = ROWS_PER_TASK,
+                max_buckets: int = MAX_BUCKETS, broadcast: bool = True) -> DataFrame:
     """Every usable start with its pairing outcome.
 
     Returns the start columns plus ``end_ts`` (the paired end, null unless
     paired), ``next_end_ts`` (first end at or after the start, before the claim
     rule), the ``end_payload`` columns of the paired end, and ``pair_status`` in
-    {paired, already claimed, unmatched}.
+    {paired, already claimed, unmatched}.  One plan, one shuffle of the events
+    by (key, bucket); see :mod:`dwell.operators.keyed` for the hot-key split.
     """
-    start_cols = [c for c in starts.columns]
+    start_cols = list(starts.columns)
     s = starts.where(F.col(key).isNotNull() & F.col(start_ts).isNotNull())
     e = ends.where(F.col(key).isNotNull() & F.col(end_ts).isNotNull())
 
     seq_col = F.col(seq) if seq else F.xxhash64(*[F.col(c) for c in start_cols])
     end_seq_col = F.col(end_seq).cast("long") if end_seq else F.lit(None).cast("long")
     payload_type = T.StructType([e.schema[c] for c in end_payload]) if end_payload else None
+    with_payload = bool(end_payload)
 
     s_u = s.select(F.col(key).alias("_k"), F.col(start_ts).alias("_t"), F.lit(START).alias("_side"),
                    seq_col.cast("long").alias("_seq"), ts_micros(s, start_ts).alias("_m"),
                    F.struct(*[F.col(c) for c in start_cols]).alias("_s"),
-                   *([F.lit(None).cast(payload_type).alias("_e")] if end_payload else []))
+                   *([F.lit(None).cast(payload_type).alias("_e")] if with_payload else []))
     e_u = e.select(F.col(key).alias("_k"), F.col(end_ts).alias("_t"), F.lit(END).alias("_side"),
                    end_seq_col.alias("_seq"), ts_micros(e, end_ts).alias("_m"),
                    F.lit(None).cast(s_u.schema["_s"].dataType).alias("_s"),
-                   *([F.struct(*[F.col(c) for c in end_payload]).alias("_e")] if end_payload else []))
-    u = s_u.unionByName(e_u)
-
-    hot = None
-    if rows_per_task:
-        hot = (u.groupBy("_k")
-               .agg(F.count(F.lit(1)).alias("_c"), F.min("_m").alias("_lo"), F.max("_m").alias("_hi"))
-               .where(F.col("_c") > F.lit(rows_per_task))
-               .select("_k", "_lo", "_hi",
-                       F.least(F.ceil(F.col("_c") / F.lit(float(rows_per_task))),
-                               F.lit(max_buckets)).cast("long").alias("_nb")))
-        # hot keys <= rows / rows_per_task; the summary <= 2 * rows / rows_per_task
-        bound = hot.agg(F.count(F.lit(1)).alias("n"), F.sum("_nb").alias("nb")).first()
-        if not bound["n"]:
-            hot = None
-        else:
-            small = bound["nb"] <= max_broadcast_rows
-            hot_b = F.broadcast(hot) if small else hot
-            span = (F.col("_hi") - F.col("_lo") + F.lit(1)).cast("double")
-            bucket = F.least(F.col("_nb") - 1,
-                             F.floor((F.col("_m") - F.col("_lo")).cast("double") * F.col("_nb") / span))
-            u = (u.join(hot_b, "_k", "left")
-                 .withColumn("_b", F.coalesce(bucket, F.lit(0)).cast("long"))
-                 .withColumn("_hot", F.col("_nb").isNotNull())
-                 .drop("_lo", "_hi", "_nb"))
-    if hot is None:
-        u = u.withColumn("_b", F.lit(0).cast("long")).withColumn("_hot", F.lit(False))
+                   *([F.struct(*[F.col(c) for c in end_payload]).alias("_e")] if with_payload else []))
+    u = split_hot_keys(s_u.unionByName(e_u), "_k", F.col("_m"), rows_per_task, max_buckets, broadcast)
 
     # reversed merged order: the row just *before* a start is the event just *after* it
     rev = Window.partitionBy("_k", "_b").orderBy(F.col("_t").desc(), F.col("_side").desc(),
@@ -179,32 +157,25 @@ def pair_status(starts: DataFrame, ends: DataFrame, key: str, start_ts: str, end
                  F.lag("_side").over(rev).alias("_nside"),
                  F.lag("_t").over(rev).alias("_nt"),
                  F.min(end_t).over(running).alias("_nend"),
-                 *([F.lag("_e").over(rev).alias("_ne")] if end_payload else []))
+                 *([F.lag("_e").over(rev).alias("_ne")] if with_payload else [])
+                 ).where(F.col("_side") == START)
 
-    if hot is not None:
-        first = F.min(F.struct("_t", "_side", F.col("_seq"),
-                               *(["_e"] if end_payload else []))).alias("_first")
-        summ = (w.where("_hot").groupBy("_k", "_b")
-                .agg(first, F.min(end_t).alias("_bend")))
+    if rows_per_task:
+        # first event and earliest end of each later bucket of a hot key (bounded table)
+        first = F.min(F.struct("_t", "_side", F.col("_seq"), *(["_e"] if with_payload else []))).alias("_first")
+        summ = u.where("_hot").groupBy("_k", "_b").agg(first, F.min(end_t).alias("_bend"))
         by_bucket = Window.partitionBy("_k").orderBy(F.col("_b").desc())
         summ = summ.select(
             "_k", "_b",
             F.lag("_first").over(by_bucket).alias("_fx"),
             F.min("_bend").over(by_bucket.rowsBetween(Window.unboundedPreceding, -1)).alias("_fend"))
-        summ = F.broadcast(summ) if small else summ
-        w = w.where(F.col("_side") == START).join(summ, ["_k", "_b"], "left")
-        gap = F.col("_nside").isNull()
-        w = w.select(
-            "*",
-            F.when(gap, F.col("_fx._side")).otherwise(F.col("_nside")).alias("_nside2"),
-            F.when(gap, F.col("_fx._t")).otherwise(F.col("_nt")).alias("_nt2"),
-            F.coalesce("_nend", "_fend").alias("_nend2"),
-            *([F.when(gap, F.col("_fx._e")).otherwise(F.col("_ne")).alias("_ne2")] if end_payload else []))
-        w = (w.drop("_nside", "_nt", "_nend", "_fx", "_fend", *(["_ne"] if end_payload else []))
-             .withColumnsRenamed({"_nside2": "_nside", "_nt2": "_nt", "_nend2": "_nend",
-                                  **({"_ne2": "_ne"} if end_payload else {})}))
-    else:
-        w = w.where(F.col("_side") == START)
+        w = w.join(F.broadcast(summ) if broadcast else summ, ["_k", "_b"], "left")
+        gap = F.col("_nside").isNull() & F.col("_hot")
+        w = w.withColumns({
+            "_nside": F.when(gap, F.col("_fx._side")).otherwise(F.col("_nside")),
+            "_nt": F.when(gap, F.col("_fx._t")).otherwise(F.col("_nt")),
+            "_nend": F.coalesce("_nend", "_fend"),
+            **({"_ne": F.when(gap, F.col("_fx._e")).otherwise(F.col("_ne"))} if with_payload else {})})
 
     paired = F.col("_nside") == F.lit(END)
     status = (F.when(paired, F.lit(STATUS_PAIRED))

@@ -166,7 +166,8 @@ def average_ranks(df: DataFrame, value: str, out: str = "avg_rank",
 def spearman(df: DataFrame, a: str, b: str, out: str = "spearman",
              partitions: int | None = None) -> DataFrame:
     """Pearson correlation of the average ranks of ``a`` and ``b``."""
-    pair = df.select(a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    # the two columns are read three times: materialise them once
+    pair = reliable_checkpoint(df.select(a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull()))
     ra = average_ranks(pair, a, "_ra", partitions)
     rb = average_ranks(pair, b, "_rb", partitions)
     return pair.join(ra, a).join(rb, b).agg(F.corr("_ra", "_rb").alias(out))
