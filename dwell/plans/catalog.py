@@ -929,6 +929,17 @@ def q_risk_bands(spark, root):
 
 
 # ---------------------------------------------------------------------------
+# Models (no SQL oracle)
+# ---------------------------------------------------------------------------
+
+def _register_models() -> None:
+    from .modeling import MODEL_QUERIES
+    for name, fn in MODEL_QUERIES.items():
+        register(name)(fn)
+
+
+_register_models()
+
 
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
