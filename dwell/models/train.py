@@ -173,14 +173,18 @@ def fit_reference_row(train: DataFrame, spec: FeatureSpec) -> dict:
 
 
 def fit_bundle(train: DataFrame, y: str, label: str, spec: FeatureSpec, params: TreeParams,
-               passthrough: list[str]) -> Bundle:
-    """Encoder + classifier + absolute-loss regressor + leaf quantiles + reference row."""
+               passthrough: list[str], which=("classifier", "days", "quantile_tree")) -> Bundle:
+    """Encoder + the requested models (classifier, absolute-loss regressor, leaf
+    quantiles) + reference row."""
     levels, enc = fit_encoder(train, spec)
     b = Bundle(spec, levels, enc)
     x = b.features(train, [*passthrough, y, label])  # tree training caches its own input
-    b.models["classifier"] = fit_classifier(x, label, params, spec)
-    b.models["days"] = fit_regressor(x, y, "absolute", params, spec)
-    b.models["quantile_tree"], b.leaf_quantiles = fit_leaf_quantiles(x, y, spec, seed=params.seed)
+    if "classifier" in which:
+        b.models["classifier"] = fit_classifier(x, label, params, spec)
+    if "days" in which:
+        b.models["days"] = fit_regressor(x, y, "absolute", params, spec)
+    if "quantile_tree" in which:
+        b.models["quantile_tree"], b.leaf_quantiles = fit_leaf_quantiles(x, y, spec, seed=params.seed)
     b.reference_row = fit_reference_row(train, spec)
     return b
 

@@ -48,10 +48,11 @@ S_DATES = (S.TRAIN_END, S.VAL_START, S.VAL_END, S.TEST_START)
 PASS = ["seq", "key", "duration_days", "is_long", "c_mktsegment"]
 
 
-def fitted(spark: SparkSession, root: str, params: TreeParams = QUERY_PARAMS) -> tuple[DataFrame, Bundle]:
+def fitted(spark: SparkSession, root: str, params: TreeParams = QUERY_PARAMS,
+           which=("classifier", "days", "quantile_tree")) -> tuple[DataFrame, Bundle]:
     df = model_frame(spark, root)
     train = df.where(F.col("split") == "train")
-    return df, fit_bundle(train, "duration_days", "is_long", SPEC, params, PASS)
+    return df, fit_bundle(train, "duration_days", "is_long", SPEC, params, PASS, which)
 
 
 def q_model_scores(spark, root):
@@ -70,7 +71,7 @@ def q_model_scores(spark, root):
 def q_model_classifier_metrics(spark, root):
     """M7 + A26 + A25 on the test period, with isotonic calibration (M8) fitted
     on validation and both Brier scores."""
-    df, b = fitted(spark, root)
+    df, b = fitted(spark, root, which=("classifier",))
     scored = predict_probability(b.features(df, [*PASS, "split"]), b.models["classifier"])
     iso = fit_isotonic(scored.where(F.col("split") == "validation"), "probability", "is_long")
     test = calibrate(scored.where(F.col("split") == "test"), iso)
@@ -84,7 +85,7 @@ def q_model_classifier_metrics(spark, root):
 def q_model_quantiles(spark, root):
     """M6 + A16: interval calibration of the leaf-quantile band on test."""
     from ..models.train import predict_quantiles
-    df, b = fitted(spark, root)
+    df, b = fitted(spark, root, which=("quantile_tree",))
     x = b.features(df.where(F.col("split") == "test"), PASS)
     q = predict_quantiles(x, b.models["quantile_tree"], b.leaf_quantiles)
     return M.interval_calibration(q, "duration_days", "p10_days", "p50_days", "p90_days")
@@ -92,7 +93,7 @@ def q_model_quantiles(spark, root):
 
 def q_model_importance(spark, root):
     """M10 for the classifier on test (3 repeats in the registered query)."""
-    df, b = fitted(spark, root)
+    df, b = fitted(spark, root, which=("classifier",))
     return explain.permutation_importance(df.where(F.col("split") == "test"), b, "classifier", "seq",
                                           "is_long", repeats=3, seed=7)
 
@@ -107,7 +108,7 @@ def q_model_ablation(spark, root):
 def q_model_regression(spark, root):
     """M5 + A11 + baselines (M3): the tree against the global and cell medians."""
     from ..models.train import fit_global_median, predict_days, predict_group_median
-    df, b = fitted(spark, root)
+    df, b = fitted(spark, root, which=("days",))
     train, test = df.where(F.col("split") == "train"), df.where(F.col("split") == "test")
     x = predict_days(b.features(test, [*PASS, "o_orderpriority"]), b.models["days"], "absolute", "tree_days")
     x = x.withColumn("median_days", F.lit(fit_global_median(train, "duration_days")))
