@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .keyed import keyed_lag
+from .keyed import ROWS_PER_TASK, keyed_lag
 from .pairing import ts_micros
 
 
@@ -63,7 +63,7 @@ def timeline(starts: DataFrame, ends: DataFrame, key: str, start_ts: str, end_ts
 
 
 def overlapping_stays(df: DataFrame, key: str, start_ts: str, end_ts: str, seq: str,
-                      rows_per_task: int | None = 2_000_000) -> DataFrame:
+                      rows_per_task: int | None = ROWS_PER_TASK) -> DataFrame:
     """Rows starting before the previous stay of the same key ended."""
     lagged = keyed_lag(df, key, [start_ts, seq], [end_ts], ts_micros(df, start_ts),
                        rows_per_task=rows_per_task)
@@ -71,7 +71,7 @@ def overlapping_stays(df: DataFrame, key: str, start_ts: str, end_ts: str, seq:
 
 
 def non_monotonic_ends(df: DataFrame, key: str, start_ts: str, end_ts: str, seq: str,
-                       rows_per_task: int | None = 2_000_000) -> DataFrame:
+                       rows_per_task: int | None = ROWS_PER_TASK) -> DataFrame:
     """Rows whose end is earlier than the previous row's end (starts sorted)."""
     lagged = keyed_lag(df, key, [start_ts, seq], [end_ts], ts_micros(df, start_ts),
                        rows_per_task=rows_per_task)
@@ -98,3 +98,16 @@ def split_violations(summary: DataFrame) -> DataFrame:
     w = Window.orderBy(order[F.col("split")])  # three rows
     s = summary.withColumn("_prev_max", F.lag("max_start").over(w))
     return s.where((F.col("rows") == 0) | (F.col("min_start") <= F.col("_prev_max")))
+
+
+def verify_pairs(pairs: DataFrame, ends: DataFrame, key: str, start_ts: str, end_ts: str,
+                 rows_per_task: int | None = ROWS_PER_TASK) -> DataFrame:
+    """Q5, independent of the pairing window: each kept pair's end must be the
+    first end at or after its start, i.e. the key's previous distinct end time
+    (a lag over the ends alone) lies before the start.  One equi-join on
+    (key, end time) - never all pairs of a key.  Returns violating pairs."""
+    e = ends.select(key, end_ts).distinct()
+    prev = keyed_lag(e, key, [end_ts], [end_ts], ts_micros(e, end_ts), rows_per_task=rows_per_task)
+    joined = pairs.join(prev, [key, end_ts], "left")
+    return joined.where(F.col(f"prev_{end_ts}").isNotNull() & (F.col(f"prev_{end_ts}") >= F.col(start_ts))
+                        | (F.col(end_ts) < F.col(start_ts)))

@@ -928,6 +928,76 @@ def q_risk_bands(spark, root):
     return S.stays(spark, root).groupBy(X.risk_band("score").alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("verify_pairs", f"""{W_STAYS},
+e AS (SELECT key, end_ts, lag(end_ts) OVER (PARTITION BY key ORDER BY end_ts) AS prev_end_ts FROM ends)
+SELECT p.key, p.seq, p.start_ts, p.end_ts, e.prev_end_ts FROM paired p LEFT JOIN e USING (key, end_ts)
+WHERE (e.prev_end_ts IS NOT NULL AND e.prev_end_ts >= p.start_ts) OR p.end_ts < p.start_ts""")
+def q_verify_pairs(spark, root):
+    """Q5 + Q2: every pair points at the first end at or after its start (must be empty)."""
+    p = S.paired(spark, root).select("key", "seq", "start_ts", "end_ts")
+    return audit.verify_pairs(p, S.ends(spark, root), "key", "start_ts", "end_ts")
+
+
+@register("end_before_start", f"""{W_STAYS}
+SELECT key, seq, start_ts, end_ts FROM stays WHERE end_ts < start_ts""")
+def q_end_before_start(spark, root):
+    """Q2 (must be empty)."""
+    return audit.end_before_start(S.stays(spark, root), "start_ts", "end_ts").select("key", "seq", "start_ts", "end_ts")
+
+
+@register("split_checks", f"""{W_STAYS},
+lab AS (SELECT *, {sql_split('start_ts')} AS split FROM stays),
+names AS (SELECT * FROM (VALUES ('train', 0), ('validation', 1), ('test', 2)) t(split, o)),
+got AS (SELECT split, count(*) AS rows, min(start_ts) AS min_start, max(start_ts) AS max_start
+        FROM lab WHERE split IS NOT NULL GROUP BY 1),
+s AS (SELECT names.split, o, coalesce(rows, 0) AS rows, min_start, max_start FROM names LEFT JOIN got USING (split)),
+l AS (SELECT *, lag(max_start) OVER (ORDER BY o) AS _prev_max FROM s)
+SELECT split, rows, min_start, max_start, _prev_max FROM l WHERE rows = 0 OR min_start <= _prev_max""")
+def q_split_checks(spark, root):
+    """Q7: every period populated and strictly after the previous one (must be empty)."""
+    return audit.split_violations(split.split_summary(S.stays(spark, root), "start_ts", *TRAIN))
+
+
+@register("deciles_identical", f"""{W_STAYS},
+r AS (SELECT seq, row_number() OVER (ORDER BY y_pred, seq) AS r1, row_number() OVER (ORDER BY y_pred * 1.1 + 2, seq) AS r2,
+             count(*) OVER () AS nn FROM stays)
+SELECT count(*) AS n, bool_and(({sql_bin('r1', 'nn')}) = ({sql_bin('r2', 'nn')})) AS decile_assignment_identical FROM r""")
+def q_deciles_identical(spark, root):
+    """A strictly monotone correction leaves every decile assignment unchanged."""
+    s = S.stays(spark, root).withColumn("y_corr", F.col("y_pred") * 1.1 + 2)
+    a = M.with_deciles(s, "y_pred", "seq", out="d1").select("seq", "d1")
+    b = M.with_deciles(s, "y_corr", "seq", out="d2").select("seq", "d2")
+    return a.join(b, "seq").agg(F.count(F.lit(1)).alias("n"),
+                                F.bool_and(F.col("d1") == F.col("d2")).alias("decile_assignment_identical"))
+
+
+@register("sample_orders")
+def q_sample_orders(spark, root):
+    """T5: a repeatable seeded sample of 20 orders for inspection (the cap is the feature)."""
+    return stats.sample_rows(table(spark, root, "orders"), 20, 42, ["o_orderkey"])
+
+
+@register("findings", f"""{W_STAYS_C},
+ls AS (SELECT avg(CAST(duration_days <= 7 AS DOUBLE)) AS quick_share,
+              sum(CASE WHEN duration_days >= 90 THEN duration_days ELSE 0 END) / sum(duration_days) AS long_days_share
+       FROM stays),
+ft AS (SELECT avg(CAST(coalesce(flag_f, false) AS DOUBLE)) FILTER (WHERE duration_days >= 90) AS a,
+              avg(CAST(coalesce(flag_f, false) AS DOUBLE)) FILTER (WHERE duration_days < 90) AS b FROM stays),
+lv AS (SELECT o_orderpriority AS value, avg(CAST(is_long AS DOUBLE)) AS r FROM stays GROUP BY 1 HAVING count(*) >= 100)
+SELECT * FROM (VALUES
+  ('shelter_load', 'quick_exit_share_of_animals', (SELECT round(quick_share, 6) FROM ls)),
+  ('shelter_load', 'long_stay_share_of_animal_days', (SELECT round(long_days_share, 6) FROM ls)),
+  ('flag_timing', 'flag_rate_among_long', (SELECT round(a, 6) FROM ft)),
+  ('flag_timing', 'flag_rate_among_rest', (SELECT round(b, 6) FROM ft)),
+  ('priority', 'long_rate_1_urgent', (SELECT round(max(r) FILTER (WHERE value = '1-URGENT'), 6) FROM lv)),
+  ('priority', 'long_rate_5_low', (SELECT round(max(r) FILTER (WHERE value = '5-LOW'), 6) FROM lv)))
+  AS t(finding, stat, value)""")
+def q_findings(spark, root):
+    """The headline numbers as (finding, stat, value) rows."""
+    from ..models.report import findings
+    return findings(D.stays_with_customer(spark, root), "flag_f", "o_orderpriority", ["1-URGENT", "5-LOW"])
+
+
 # ---------------------------------------------------------------------------
 # Models (no SQL oracle)
 # ---------------------------------------------------------------------------
