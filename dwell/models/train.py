@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import age_band, clip_days
-from ..operators import lookup
+from ..operators import lookup, ranking
 from .features import CAP, FeatureSpec, FoldedLevels, encoder, fit_levels, prepare
 
 SEED = 20260816
@@ -46,7 +46,7 @@ class TreeParams:
 
 def fit_global_median(train: DataFrame, y: str) -> float:
     """A fitted constant (one aggregated scalar)."""
-    return float(train.agg(F.percentile(y, 0.5)).first()[0])
+    return float(ranking.group_quantiles(train, y, [0.5], ["m"]).first()[0])
 
 
 def fit_positive_rate(train: DataFrame, label: str) -> float:
@@ -57,7 +57,7 @@ def fit_positive_rate(train: DataFrame, label: str) -> float:
 def predict_group_median(df: DataFrame, train: DataFrame, keys: list[str], y: str, out: str) -> DataFrame:
     """M3 / A7 + J4: cell median of ``keys`` on train, unseen cell -> global median, clipped."""
     cells = lookup.group_median_table(train, keys, y)
-    glob = train.agg(F.percentile(y, 0.5).alias("_g"))
+    glob = ranking.group_quantiles(train, y, [0.5], ["_g"])
     from ..operators.breakdown import _attach
     return lookup.lookup_with_fallback(_attach(df, glob), cells, keys, "cell_median", F.col("_g"), out).drop("_g")
 
@@ -120,9 +120,9 @@ def fit_leaf_quantiles(train_x: DataFrame, y: str, spec: FeatureSpec, depth: int
                                  predictionCol="_tree_pred", maxDepth=depth, minInstancesPerNode=min_leaf,
                                  maxBins=_max_bins(spec), seed=seed)
     model = Pipeline(stages=[tree]).fit(train_x.withColumn("_label", F.log1p(F.col(y))))
-    table = (model.transform(train_x).groupBy("_leaf")
-             .agg(F.percentile(y, list(quantiles)).alias("_q")))
-    return model, table
+    names = [f"_q{i}" for i in range(len(quantiles))]
+    table = ranking.group_quantiles(model.transform(train_x), y, list(quantiles), names, ["_leaf"])
+    return model, table.select("_leaf", F.array(*names).alias("_q"))
 
 
 def predict_quantiles(x: DataFrame, model: PipelineModel, table: DataFrame,
@@ -167,9 +167,12 @@ def calibrate(df: DataFrame, iso: PipelineModel, out: str = "calibrated") -> Dat
 def fit_reference_row(train: DataFrame, spec: FeatureSpec) -> dict:
     """A10: numeric -> median; other -> most frequent non-null value (smallest on
     ties).  One aggregate, one row."""
-    aggs = [F.percentile(c, 0.5).alias(c) for c in spec.numeric]
-    aggs += [F.mode(F.col(c), deterministic=True).alias(c) for c in spec.level_columns]
-    return train.agg(*aggs).first().asDict()
+    row = train.agg(*[F.mode(F.col(c), deterministic=True).alias(c) for c in spec.level_columns]).first().asDict() \
+        if spec.level_columns else {}
+    for c in spec.numeric:
+        med = ranking.group_quantiles(train, c, [0.5], ["m"]).first()
+        row[c] = med[0] if med else None
+    return row
 
 
 def fit_bundle(train: DataFrame, y: str, label: str, spec: FeatureSpec, params: TreeParams,

@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stats import quantile
+from .stats import grouped_with_quantiles
 
 
 def where_equal(df: DataFrame, where: Mapping[str, object] | None) -> DataFrame:
@@ -35,18 +35,18 @@ def breakdown(df: DataFrame, by: str, y: str = "duration_days", where: Mapping[s
     levels below ``min_n`` included); those levels are then left out of the
     result.  See :func:`breakdown_summary` for the overall figures and the
     dropped counts."""
-    part = where_equal(df, where)
-    q = quantile(y, [0.5, 0.9], accuracy)
-    lv = part.groupBy(F.col(by).cast("string").alias("value")).agg(
-        F.count(F.lit(1)).alias("n"), q.alias("_q"), F.avg(y).alias("mean_days"),
+    part = where_equal(df, where).withColumn("value", F.col(by).cast("string"))
+    lv = grouped_with_quantiles(part, ["value"], [
+        F.count(F.lit(1)).alias("n"), F.avg(y).alias("mean_days"),
         F.avg(_long(y, threshold).cast("double")).alias("long_stay_rate"),
-        F.sum(_long(y, threshold)).alias("long_stay_n"))
+        F.sum(_long(y, threshold)).alias("long_stay_n")],
+        [(y, [0.5, 0.9], ["median_days", "p90_days"])], accuracy)
     whole = Window.partitionBy()  # over aggregated levels only
     lv = lv.withColumns({"_total": F.sum("n").over(whole), "_long_total": F.sum("long_stay_n").over(whole)})
     overall = F.col("_long_total") / F.col("_total")
     return (lv.where(F.col("value").isNotNull() & (F.col("n") >= min_n))
             .select("value", "n", (F.col("n") / F.col("_total")).alias("share"),
-                    F.col("_q")[0].alias("median_days"), "mean_days", F.col("_q")[1].alias("p90_days"),
+                    "median_days", "mean_days", "p90_days",
                     "long_stay_rate", "long_stay_n",
                     F.when(overall > 0, F.col("long_stay_rate") / overall).alias("lift_over_base")))
 
@@ -65,7 +65,8 @@ def breakdown_summary(df: DataFrame, by: str, y: str = "duration_days",
                     F.coalesce(F.sum(F.when(small, F.col("n"))), F.lit(0)).alias("rows_dropped_below_min_n"),
                     (F.sum("_sum") / F.sum("n")).alias("overall_mean_days"),
                     (F.sum("_ln") / F.sum("n")).alias("overall_long_stay_rate"))
-    med = part.agg(quantile(y, 0.5, accuracy).alias("overall_median_days"))
+    med = grouped_with_quantiles(part, [], [F.count(F.lit(1)).alias("_rows")],
+                                 [(y, [0.5], ["overall_median_days"])], accuracy).drop("_rows")
     return _one_row(counts, med).withColumn("min_n", F.lit(min_n))
 
 

@@ -16,8 +16,10 @@ MAX_LOOKUP_ROWS = 1_000_000
 
 
 def group_median_table(df: DataFrame, keys: Sequence[str], y: str) -> DataFrame:
-    """Median and n per cell of ``keys`` (exact percentile per cell)."""
-    return df.groupBy(*keys).agg(F.percentile(y, 0.5).alias("cell_median"), F.count(F.lit(1)).alias("cell_n"))
+    """Exact median and n per cell of ``keys`` (sort-based, no value map)."""
+    from .stats import grouped_with_quantiles
+    return grouped_with_quantiles(df, list(keys), [F.count(F.lit(1)).alias("cell_n")],
+                                  [(y, [0.5], ["cell_median"])])
 
 
 def lookup_with_fallback(df: DataFrame, table: DataFrame, keys: Sequence[str], value: str,

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ranking
-from .stats import quantile
+from .stats import grouped_with_quantiles
 
 TOLERANCES = (7, 14)
 
@@ -22,14 +22,13 @@ def _err(y: str, yhat: str) -> Column:
     return F.col(yhat) - F.col(y)
 
 
-def core_metrics_cols(y: str, yhat: str, accuracy: int | None = None) -> list[Column]:
+def core_metrics_cols(y: str, yhat: str) -> list[Column]:
     e = _err(y, yhat)
     n = F.count(F.lit(1))
     sse = F.sum(e * e)
     sst = F.var_pop(y) * n
     cols = [n.alias("n"),
             F.avg(F.abs(e)).alias("mae_days"),
-            quantile(F.abs(e), 0.5, accuracy).alias("median_absolute_error_days"),
             F.sqrt(F.avg(e * e)).alias("rmse_days"),
             F.when(sst > 0, 1 - sse / sst).when(sse == 0, F.lit(1.0)).otherwise(F.lit(0.0)).alias("r2"),
             F.avg(e).alias("mean_bias_days"),
@@ -39,18 +38,24 @@ def core_metrics_cols(y: str, yhat: str, accuracy: int | None = None) -> list[Co
     return cols
 
 
+def _core(df: DataFrame, y: str, yhat: str, by: Sequence[str], accuracy: int | None) -> DataFrame:
+    return grouped_with_quantiles(df, by, core_metrics_cols(y, yhat),
+                                  [(F.abs(_err(y, yhat)), [0.5], ["median_absolute_error_days"])], accuracy)
+
+
 def core_metrics(df: DataFrame, y: str, yhat: str, accuracy: int | None = None) -> DataFrame:
     """N, MAE, median AE, RMSE, R^2, bias (pred - true), means, within-7/14."""
-    return df.agg(*core_metrics_cols(y, yhat, accuracy))
+    return _core(df, y, yhat, [], accuracy)
 
 
 def metrics_by_group(df: DataFrame, y: str, yhat: str, group: str, accuracy: int | None = None) -> DataFrame:
     """Per level of ``group``: n, MAE, median AE, mean actual / predicted."""
     e = F.abs(_err(y, yhat))
-    return df.groupBy(F.col(group).cast("string").alias("group")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(e).alias("mae_days"),
-        quantile(e, 0.5, accuracy).alias("median_absolute_error_days"),
-        F.avg(y).alias("mean_actual_days"), F.avg(yhat).alias("mean_predicted_days"))
+    d = df.withColumn("group", F.col(group).cast("string"))
+    return grouped_with_quantiles(
+        d, ["group"], [F.count(F.lit(1)).alias("n"), F.avg(e).alias("mae_days"),
+                       F.avg(y).alias("mean_actual_days"), F.avg(yhat).alias("mean_predicted_days")],
+        [(e, [0.5], ["median_absolute_error_days"])], accuracy)
 
 
 def with_deciles(df: DataFrame, value: str, tie: str, q: int = 10, out: str = "decile") -> DataFrame:
@@ -63,11 +68,12 @@ def metrics_by_decile(df: DataFrame, y: str, yhat: str, tie: str, q: int = 10,
     """A13 (= calibration table): per predicted decile n, mean predicted, mean and
     median actual, MAE, standard error of the mean actual (0 when n = 1)."""
     d = with_deciles(df, yhat, tie, q)
-    return d.groupBy("decile").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(yhat).alias("mean_predicted_days"),
-        F.avg(y).alias("mean_actual_days"), quantile(y, 0.5, accuracy).alias("median_actual_days"),
-        F.avg(F.abs(_err(y, yhat))).alias("mae_days"),
-        F.coalesce(F.stddev_samp(y) / F.sqrt(F.count(F.lit(1))), F.lit(0.0)).alias("actual_standard_error"))
+    return grouped_with_quantiles(
+        d, ["decile"], [F.count(F.lit(1)).alias("n"), F.avg(yhat).alias("mean_predicted_days"),
+                        F.avg(y).alias("mean_actual_days"), F.avg(F.abs(_err(y, yhat))).alias("mae_days"),
+                        F.coalesce(F.stddev_samp(y) / F.sqrt(F.count(F.lit(1))), F.lit(0.0))
+                        .alias("actual_standard_error")],
+        [(y, [0.5], ["median_actual_days"])], accuracy)
 
 
 def bias_by_decile(df: DataFrame, y: str, yhat: str, tie: str, q: int = 10) -> DataFrame:
@@ -91,7 +97,7 @@ def compare_variants(df: DataFrame, y: str, variants: Sequence[str], tie: str, q
         "decile", ranking.bin_of_rank(F.col("_r") - F.col("_first") + 1, F.col("_vn"), q) + 1)
     per_decile = ranked.groupBy("variant", "decile").agg(F.avg(_err(y, "_yhat")).alias("_bias"))
     worst = per_decile.groupBy("variant").agg(F.max(F.abs("_bias")).alias("max_abs_decile_bias_days"))
-    core = ranked.groupBy("variant").agg(*core_metrics_cols(y, "_yhat", accuracy))
+    core = _core(ranked, y, "_yhat", ["variant"], accuracy)
     return core.join(worst, "variant")
 
 
@@ -101,14 +107,14 @@ def interval_calibration(df: DataFrame, y: str, lo: str, mid: str, hi: str,
     crossing rate, MAE of the middle quantile."""
     yc, l, h = F.col(y), F.col(lo), F.col(hi)
     rate = lambda c: F.avg(c.cast("double"))
-    return df.agg(
+    return grouped_with_quantiles(df, [], [
         F.lit(nominal).alias("nominal_coverage"),
         rate((yc >= l) & (yc <= h)).alias("empirical_coverage"),
         rate(yc < l).alias("below_interval_rate"), rate(yc > h).alias("above_interval_rate"),
         F.avg(h - l).alias("mean_interval_width_days"),
-        quantile(h - l, 0.5, accuracy).alias("median_interval_width_days"),
         rate(l > h).alias("quantile_crossing_rate"),
-        F.avg(F.abs(F.col(mid) - yc)).alias("median_model_mae_days"))
+        F.avg(F.abs(F.col(mid) - yc)).alias("median_model_mae_days")],
+        [(h - l, [0.5], ["median_interval_width_days"])], accuracy)
 
 
 def tail_analysis(df: DataFrame, y: str, yhat: str, tie: str, threshold: float = 90.0,
@@ -126,9 +132,7 @@ def tail_analysis(df: DataFrame, y: str, yhat: str, tie: str, threshold: float =
     cols = [F.lit(threshold).alias("threshold_days"), cnt.alias("n"),
             F.avg(long.cast("double")).alias("share_of_test"),
             F.avg(lv(F.col(y))).alias("mean_actual_days"),
-            quantile(lv(F.col(y)), 0.5, accuracy).alias("median_actual_days"),
             F.avg(lv(F.col(yhat))).alias("mean_predicted_days"),
-            quantile(lv(F.col(yhat)), 0.5, accuracy).alias("median_predicted_days"),
             F.avg(lv(F.abs(_err(y, yhat)))).alias("mae_days"),
             F.avg(lv(_err(y, yhat))).alias("mean_bias_days"),
             F.avg(lv((F.col(yhat) < F.col(y)).cast("double"))).alias("under_predicted_rate"),
@@ -138,7 +142,8 @@ def tail_analysis(df: DataFrame, y: str, yhat: str, tie: str, threshold: float =
             F.avg(F.when(in_top, long.cast("double"))).alias("base_rate_top_decile")]
     if hi:
         cols.append(F.avg(lv((F.col(y) > F.col(hi)).cast("double"))).alias("above_p90_band_rate"))
-    return d.agg(*cols)
+    return grouped_with_quantiles(d, [], cols, [(lv(F.col(y)), [0.5], ["median_actual_days"]),
+                                                (lv(F.col(yhat)), [0.5], ["median_predicted_days"])], accuracy)
 
 
 # ---------------------------------------------------------------------------

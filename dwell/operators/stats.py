@@ -1,10 +1,11 @@
 """Descriptive statistics over durations and levels.
 
-Percentiles are exact by default (``percentile`` keeps a value -> count map per
-group, so its size follows the number of *distinct* values, not rows); pass
-``accuracy`` to switch to ``percentile_approx`` for continuous values in huge
-groups.  Shares use a window over the *aggregated* level table (one row per
-level), never over raw rows.
+Quantiles are exact by default and computed by one distributed sort
+(:func:`dwell.operators.ranking.group_quantiles`) - never by a per-group map of
+every distinct value, which would put a hot group's values into one task.
+Pass ``accuracy`` to use ``percentile_approx`` (bounded sketch) instead.
+Shares use a window over the *aggregated* level table (one row per level),
+never over raw rows.
 """
 
 from __future__ import annotations
@@ -15,23 +16,47 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import age_band, has_offset
+from . import ranking
 
+QSpec = tuple  # (value column or name, [q, ...], [output name, ...])
 
-def quantile(col: str | Column, q: float | Sequence[float], accuracy: int | None = None) -> Column:
+
+def quantile(col: str | Column, q: float | Sequence[float], accuracy: int) -> Column:
+    """Approximate quantile aggregate (bounded memory sketch)."""
     c = F.col(col) if isinstance(col, str) else col
+    return F.percentile_approx(c, q if isinstance(q, float) else list(q), accuracy)
+
+
+def _join_on_groups(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
+    if not by:
+        return left.withColumn("_one", F.lit(1)).join(
+            F.broadcast(right.withColumn("_one", F.lit(1))), "_one", "left").drop("_one")  # one row
+    r = right.select(*[F.col(b).alias(f"_qb_{i}") for i, b in enumerate(by)],
+                     *[c for c in right.columns if c not in by])
+    cond = [left[b].eqNullSafe(r[f"_qb_{i}"]) for i, b in enumerate(by)]
+    return left.join(r, cond, "left").drop(*[f"_qb_{i}" for i in range(len(by))])
+
+
+def grouped_with_quantiles(df: DataFrame, by: Sequence[str], aggs: Sequence[Column],
+                           specs: Sequence[QSpec], accuracy: int | None = None) -> DataFrame:
+    """``df.groupBy(by).agg(aggs)`` plus quantile columns: exact via one sort per
+    value column, or ``percentile_approx`` when ``accuracy`` is given."""
     if accuracy:
-        return F.percentile_approx(c, q if isinstance(q, float) else list(q), accuracy)
-    return F.percentile(c, F.lit(q) if isinstance(q, float) else F.array(*[F.lit(x) for x in q]))
+        extra = [quantile(v, q, accuracy).alias(n) for v, qs, names in specs for q, n in zip(qs, names)]
+        return (df.groupBy(*by).agg(*aggs, *extra) if by else df.agg(*aggs, *extra))
+    out = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+    for v, qs, names in specs:
+        out = _join_on_groups(out, ranking.group_quantiles(df, v, qs, names, by), by)
+    return out
 
 
 def duration_stats(df: DataFrame, col: str = "duration_days", accuracy: int | None = None) -> DataFrame:
     """A1: one row - n, mean, median, p90, p99, min, max, sample std."""
-    qs = quantile(col, [0.5, 0.9, 0.99], accuracy)
-    return df.agg(F.count(col).alias("n"), F.avg(col).alias("mean_days"), qs.alias("_q"),
-                  F.min(col).alias("min_days"), F.max(col).alias("max_days"),
-                  F.stddev_samp(col).alias("std_days")).select(
-        "n", "mean_days", F.col("_q")[0].alias("median_days"), F.col("_q")[1].alias("p90_days"),
-        F.col("_q")[2].alias("p99_days"), "min_days", "max_days", "std_days")
+    out = grouped_with_quantiles(
+        df, [], [F.count(col).alias("n"), F.avg(col).alias("mean_days"), F.min(col).alias("min_days"),
+                 F.max(col).alias("max_days"), F.stddev_samp(col).alias("std_days")],
+        [(col, [0.5, 0.9, 0.99], ["median_days", "p90_days", "p99_days"])], accuracy)
+    return out.select("n", "mean_days", "median_days", "p90_days", "p99_days", "min_days", "max_days", "std_days")
 
 
 def _with_share(levels: DataFrame, n: str = "n") -> DataFrame:
@@ -42,8 +67,9 @@ def _with_share(levels: DataFrame, n: str = "n") -> DataFrame:
 def level_counts(df: DataFrame, level: str, col: str = "duration_days",
                  accuracy: int | None = None) -> DataFrame:
     """A2: every level including null: n, share, median duration."""
-    lv = df.groupBy(F.col(level).alias("value")).agg(
-        F.count(F.lit(1)).alias("n"), quantile(col, 0.5, accuracy).alias("median_days"))
+    d = df.withColumn("value", F.col(level))
+    lv = grouped_with_quantiles(d, ["value"], [F.count(F.lit(1)).alias("n")],
+                                [(col, [0.5], ["median_days"])], accuracy)
     return _with_share(lv)
 
 
@@ -66,10 +92,9 @@ def missingness(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 def flag_contrast(df: DataFrame, flag_col: Column, loose_col: Column | None = None,
                   col: str = "duration_days", accuracy: int | None = None) -> DataFrame:
     """A5: n, share, median for flag true vs false (+ the looser count)."""
-    f = F.coalesce(flag_col, F.lit(False))
-    out = df.groupBy(f.alias("flag")).agg(F.count(F.lit(1)).alias("n"),
-                                          quantile(col, 0.5, accuracy).alias("median_days"),
-                                          *([F.count_if(loose_col).alias("loose_n")] if loose_col is not None else []))
+    d = df.withColumn("flag", F.coalesce(flag_col, F.lit(False)))
+    aggs = [F.count(F.lit(1)).alias("n")] + ([F.count_if(loose_col).alias("loose_n")] if loose_col is not None else [])
+    out = grouped_with_quantiles(d, ["flag"], aggs, [(col, [0.5], ["median_days"])], accuracy)
     return _with_share(out)
 
 

@@ -16,10 +16,40 @@ from pyspark.sql import types as T
 from ..functions import text as X
 from ..operators import (audit, breakdown as B, ledger as L, lookup, metrics as M, pairing,
                          ranking, split, stats)
+from ..session import reliable_checkpoint
 from ..sources.tables import table
 from . import derived as D
 from . import stays as S
 
+
+class _Stays:
+    """The processed stays table, materialised once per query (reliable
+    checkpoint): every evaluation block reads it several times (aggregates,
+    quantile sorts, rank sorts), and recomputing the pairing for each read
+    would multiply the work."""
+
+    @staticmethod
+    def stays(spark, root):
+        return reliable_checkpoint(S.stays(spark, root))
+
+    def __getattr__(self, name):
+        return getattr(S, name)
+
+
+MS = _Stays()
+
+
+class _Derived:
+    @staticmethod
+    def stays_with_customer(spark, root):
+        return reliable_checkpoint(D.stays_with_customer(spark, root))
+
+    def __getattr__(self, name):
+        return getattr(D, name)
+
+
+MD = _Derived()
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -155,14 +185,14 @@ FROM (SELECT lv.*, n / t AS share, CASE WHEN r > 0 THEN long_stay_rate / r END A
 {_bd_sql('stays', 'o_orderpriority', 'true', 100)}""")
 def q_pair_breakdown(spark, root):
     """A17 by order priority."""
-    return B.breakdown(S.stays(spark, root), "o_orderpriority", min_n=100)
+    return B.breakdown(MS.stays(spark, root), "o_orderpriority", min_n=100)
 
 
 @register("segment_breakdown_open", f"""{W_STAYS_C},
 {_bd_sql('stays_c', 'c_mktsegment', "o_orderstatus = 'O'", 100)}""")
 def q_segment_breakdown(spark, root):
     """A17 with a where-filter (P10) on a joined level."""
-    return B.breakdown(D.stays_with_customer(spark, root), "c_mktsegment", where={"o_orderstatus": "O"}, min_n=100)
+    return B.breakdown(MD.stays_with_customer(spark, root), "c_mktsegment", where={"o_orderstatus": "O"}, min_n=100)
 
 
 @register("breakdown_summary", f"""{W_STAYS},
@@ -178,7 +208,7 @@ SELECT (SELECT count(*) FROM part) AS n,
        900 AS min_n""")
 def q_breakdown_summary(spark, root):
     """A17 overall figures and the levels dropped below min_n."""
-    return B.breakdown_summary(S.stays(spark, root), "o_orderpriority", where={"o_orderstatus": "F"}, min_n=900)
+    return B.breakdown_summary(MS.stays(spark, root), "o_orderpriority", where={"o_orderstatus": "F"}, min_n=900)
 
 
 @register("duration_stats", f"""{W_STAYS}
@@ -189,7 +219,7 @@ FROM (SELECT avg(duration_days) AS mean_days, quantile_cont(duration_days, 0.5)
              stddev_samp(duration_days) AS std_days, count(duration_days) AS n FROM stays)""")
 def q_duration_stats(spark, root):
     """A1."""
-    return stats.duration_stats(S.stays(spark, root))
+    return stats.duration_stats(MS.stays(spark, root))
 
 
 @register("level_counts", f"""{W_STAYS}
@@ -198,7 +228,7 @@ SELECT value, n, {R('median_days', 'share')} FROM (
          count(*) / sum(count(*)) OVER () AS share FROM stays GROUP BY 1)""")
 def q_level_counts(spark, root):
     """A2 by order priority."""
-    return stats.level_counts(S.stays(spark, root), "o_orderpriority")
+    return stats.level_counts(MS.stays(spark, root), "o_orderpriority")
 
 
 @register("top_levels", f"""{W_STAYS_C}
@@ -208,7 +238,7 @@ SELECT value, n, {R('median_days', 'share')} FROM (
 ORDER BY n DESC, value LIMIT 3""")
 def q_top_levels(spark, root):
     """A3: the three most frequent segments."""
-    return stats.top_levels(D.stays_with_customer(spark, root), "c_mktsegment", 3)
+    return stats.top_levels(MD.stays_with_customer(spark, root), "c_mktsegment", 3)
 
 
 @register("flag_contrast", f"""{W_STAYS}
@@ -219,7 +249,7 @@ SELECT flag, n, {R('median_days', 'share')}, loose_n FROM (
   FROM stays GROUP BY 1)""")
 def q_flag_contrast(spark, root):
     """A5 with the looser 'starts with' count."""
-    return stats.flag_contrast(S.stays(spark, root), F.col("flag_f"), X.starts_with_ci("o_orderpriority", "1"))
+    return stats.flag_contrast(MS.stays(spark, root), F.col("flag_f"), X.starts_with_ci("o_orderpriority", "1"))
 
 
 @register("split_summary", f"""{W_STAYS},
@@ -230,7 +260,7 @@ got AS (SELECT split, count(*) AS rows, min(start_ts) AS min_start, max(start_ts
 SELECT names.split, coalesce(rows, 0) AS rows, min_start, max_start FROM names LEFT JOIN got USING (split)""")
 def q_split_summary(spark, root):
     """P9 + A6."""
-    return split.split_summary(S.stays(spark, root), "start_ts", *TRAIN)
+    return split.split_summary(MS.stays(spark, root), "start_ts", *TRAIN)
 
 
 # ---------------------------------------------------------------------------
@@ -255,7 +285,7 @@ _CORE_COLS = ("mae_days", "median_absolute_error_days", "rmse_days", "r2", "mean
 SELECT n, {R(*_CORE_COLS)} FROM (SELECT {_CORE_SQL} FROM stays)""")
 def q_core_metrics(spark, root):
     """A11."""
-    return M.core_metrics(S.stays(spark, root), "duration_days", "y_pred")
+    return M.core_metrics(MS.stays(spark, root), "duration_days", "y_pred")
 
 
 @register("metrics_by_group", f"""{W_STAYS}
@@ -265,7 +295,7 @@ SELECT "group", n, {R('mae_days', 'median_absolute_error_days', 'mean_actual_day
          avg(duration_days) AS mean_actual_days, avg(y_pred) AS mean_predicted_days FROM stays GROUP BY 1)""")
 def q_metrics_by_group(spark, root):
     """A12."""
-    return M.metrics_by_group(S.stays(spark, root), "duration_days", "y_pred", "o_orderpriority")
+    return M.metrics_by_group(MS.stays(spark, root), "duration_days", "y_pred", "o_orderpriority")
 
 
 _DECILE_SQL = f"""ranked AS (SELECT *, row_number() OVER (ORDER BY y_pred, seq) AS r, count(*) OVER () AS nn FROM stays),
@@ -281,7 +311,7 @@ FROM (SELECT decile, count(*) AS n, avg(y_pred) AS mean_predicted_days, avg(dura
       FROM dec GROUP BY decile)""")
 def q_metrics_by_decile(spark, root):
     """W1 + A13 (calibration table)."""
-    return M.metrics_by_decile(S.stays(spark, root), "duration_days", "y_pred", "seq")
+    return M.metrics_by_decile(MS.stays(spark, root), "duration_days", "y_pred", "seq")
 
 
 @register("decile_bias", f"""{W_STAYS},
@@ -291,7 +321,7 @@ FROM (SELECT decile, count(*) AS n, avg(y_pred) AS mean_predicted_days, avg(dura
              avg(y_pred - duration_days) AS mean_bias_days FROM dec GROUP BY decile)""")
 def q_decile_bias(spark, root):
     """A14."""
-    return M.bias_by_decile(S.stays(spark, root), "duration_days", "y_pred", "seq")
+    return M.bias_by_decile(MS.stays(spark, root), "duration_days", "y_pred", "seq")
 
 
 @register("compare_variants", f"""{W_STAYS},
@@ -306,7 +336,7 @@ core AS (SELECT variant, {_CORE_SQL.replace('y_pred', 'yh')} FROM v GROUP BY var
 SELECT variant, n, {R(*_CORE_COLS, 'max_abs_decile_bias_days')} FROM core JOIN worst USING (variant)""")
 def q_compare_variants(spark, root):
     """A15 over two prediction columns."""
-    s = S.stays(spark, root).withColumn("y_pred_b", F.col("o_totalprice") / F.lit(4000.0))
+    s = MS.stays(spark, root).withColumn("y_pred_b", F.col("o_totalprice") / F.lit(4000.0))
     return M.compare_variants(s, "duration_days", ["y_pred", "y_pred_b"], "seq")
 
 
@@ -320,7 +350,7 @@ FROM (SELECT 0.8::DOUBLE AS nominal_coverage, avg(CAST(y >= lo AND y <= hi AS DO
              avg(CAST(lo > hi AS DOUBLE)) AS quantile_crossing_rate, avg(abs(mid - y)) AS median_model_mae_days FROM b)""")
 def q_interval_calibration(spark, root):
     """A16 with a 0.5x / 1x / 1.5x band."""
-    s = S.stays(spark, root).withColumns({"lo": F.col("y_pred") * 0.5, "hi": F.col("y_pred") * 1.5})
+    s = MS.stays(spark, root).withColumns({"lo": F.col("y_pred") * 0.5, "hi": F.col("y_pred") * 1.5})
     return M.interval_calibration(s, "duration_days", "lo", "y_pred", "hi")
 
 
@@ -350,7 +380,7 @@ SELECT n, {R(*_TAIL_COLS)} FROM (
   FROM d2)""")
 def q_tail_analysis(spark, root):
     """A23."""
-    s = S.stays(spark, root).withColumn("hi", F.col("y_pred") * 1.5)
+    s = MS.stays(spark, root).withColumn("hi", F.col("y_pred") * 1.5)
     return M.tail_analysis(s, "duration_days", "y_pred", "seq", hi="hi")
 
 
@@ -361,7 +391,7 @@ SELECT key, seq, start_ts, end_ts, round(duration_days, 6) AS duration_days, rou
 FROM stays ORDER BY abs(y_pred - duration_days) DESC, seq LIMIT 50""")
 def q_worst_predictions(spark, root):
     """The 50 largest absolute errors."""
-    w = stats.worst_predictions(S.stays(spark, root), "duration_days", "y_pred", 50, tie="seq")
+    w = stats.worst_predictions(MS.stays(spark, root), "duration_days", "y_pred", 50, tie="seq")
     return w.select("key", "seq", "start_ts", "end_ts", "duration_days", "predicted_days",
                     "absolute_error_days", "signed_error_days")
 
@@ -382,7 +412,7 @@ SELECT n, under_predicted, over_predicted, {R('mean_actual_days', 'mean_predicte
          avg(absolute_error_days) AS mean_absolute_error_days, avg(CAST(flag_f AS DOUBLE)) AS flag_rate FROM worst)""")
 def q_characterise_failures(spark, root):
     """A24 numbers over the worst 50."""
-    w = stats.worst_predictions(S.stays(spark, root), "duration_days", "y_pred", 50, tie="seq")
+    w = stats.worst_predictions(MS.stays(spark, root), "duration_days", "y_pred", 50, tie="seq")
     return B.characterise_failures(w, "duration_days", "flag_f")
 
 
@@ -393,7 +423,7 @@ SELECT "column", value, count(*) AS count FROM (
   UNION ALL SELECT 'o_orderstatus', o_orderstatus FROM worst) GROUP BY ALL""")
 def q_failure_levels(spark, root):
     """A24 level counts of the worst 50."""
-    w = stats.worst_predictions(S.stays(spark, root), "duration_days", "y_pred", 50, tie="seq")
+    w = stats.worst_predictions(MS.stays(spark, root), "duration_days", "y_pred", 50, tie="seq")
     return B.failure_levels(w, ["o_orderpriority", "o_orderstatus"])
 
 
@@ -415,7 +445,7 @@ SELECT round(threshold, 6) AS threshold, tp_at, fp_at, CAST(tp AS BIGINT) AS tp,
 FROM curve2""")
 def q_pr_curve(spark, root):
     """Precision / recall at every distinct score."""
-    return ranking.pr_curve(S.stays(spark, root), "score", "is_long")
+    return ranking.pr_curve(MS.stays(spark, root), "score", "is_long")
 
 
 @register("classifier_metrics", f"""{W_STAYS},
@@ -429,7 +459,7 @@ SELECT {R('pr_auc', 'pr_auc_baseline', 'pr_auc_lift', 'roc_auc', 'brier_score',
     CAST(max(positives) + max(negatives) AS BIGINT) AS n FROM curve2)""")
 def q_classifier_metrics(spark, root):
     """AP (step sum), ROC-AUC, Brier, base rate, lift."""
-    return M.classifier_metrics(S.stays(spark, root), "score", "is_long")
+    return M.classifier_metrics(MS.stays(spark, root), "score", "is_long")
 
 
 @register("threshold_at", f"""{W_STAYS},
@@ -438,7 +468,7 @@ SELECT round(max(threshold) FILTER (WHERE recall >= 0.5), 6) AS threshold_for_re
        round(min(threshold) FILTER (WHERE precision >= 0.1), 6) AS threshold_for_precision FROM curve2""")
 def q_threshold_at(spark, root):
     """Highest threshold with recall >= 0.5, lowest with precision >= 0.1."""
-    c = ranking.pr_curve(S.stays(spark, root), "score", "is_long")
+    c = ranking.pr_curve(MS.stays(spark, root), "score", "is_long")
     return c.agg(F.max(F.when(F.col("recall") >= 0.5, F.col("threshold"))).alias("threshold_for_recall"),
                  F.min(F.when(F.col("precision") >= 0.1, F.col("threshold"))).alias("threshold_for_precision"))
 
@@ -458,7 +488,7 @@ SELECT round(threshold, 6) AS threshold, {R('precision', 'recall', 'f1', 'flagge
          tp + fp AS flagged, (tp + fp) / nn AS flagged_rate FROM p)""")
 def q_operating_points(spark, root):
     """A25 at three thresholds in one pass."""
-    return M.operating_points(S.stays(spark, root), "score", "is_long", [0.1, 0.3, 0.5])
+    return M.operating_points(MS.stays(spark, root), "score", "is_long", [0.1, 0.3, 0.5])
 
 
 _REL_SQL = f"""ranked AS (SELECT *, row_number() OVER (ORDER BY score, seq) AS r, count(*) OVER () AS nn FROM stays),
@@ -473,7 +503,7 @@ SELECT bin, n, {R('mean_predicted_probability', 'actual_positive_rate', 'standar
   SELECT *, sqrt(actual_positive_rate * (1 - actual_positive_rate) / n) AS standard_error FROM rel)""")
 def q_reliability_table(spark, root):
     """A27."""
-    return M.reliability_table(S.stays(spark, root), "score", "is_long", "seq")
+    return M.reliability_table(MS.stays(spark, root), "score", "is_long", "seq")
 
 
 @register("ece", f"""{W_STAYS},
@@ -481,7 +511,7 @@ def q_reliability_table(spark, root):
 SELECT round(sum(n * abs(mean_predicted_probability - actual_positive_rate)) / sum(n), 6) AS ece FROM rel""")
 def q_ece(spark, root):
     """A28."""
-    return M.expected_calibration_error(M.reliability_table(S.stays(spark, root), "score", "is_long", "seq"))
+    return M.expected_calibration_error(M.reliability_table(MS.stays(spark, root), "score", "is_long", "seq"))
 
 
 @register("classifier_by_group", f"""{W_STAYS},
@@ -505,7 +535,7 @@ SELECT "group", {R('pr_auc', 'pr_auc_baseline', 'pr_auc_lift', 'roc_auc', 'brier
 WHERE n >= 50 AND positive_rate * n >= 5""")
 def q_classifier_by_group(spark, root):
     """A35 + A34 per order priority."""
-    return M.classifier_by_group(S.stays(spark, root), "o_orderpriority", "score", "is_long")
+    return M.classifier_by_group(MS.stays(spark, root), "o_orderpriority", "score", "is_long")
 
 
 # ---------------------------------------------------------------------------
@@ -519,7 +549,7 @@ SELECT round(corr(ra, rb), 6) AS spearman FROM (
   FROM stays)""")
 def q_spearman(spark, root):
     """Spearman correlation of prediction and duration (average ranks)."""
-    return ranking.spearman(S.stays(spark, root), "y_pred", "duration_days")
+    return ranking.spearman(MS.stays(spark, root), "y_pred", "duration_days")
 
 
 @register("rank_preserving", f"""{W_STAYS},
@@ -533,7 +563,7 @@ SELECT coalesce(bool_and(ph1 IS NULL OR lo1 - ph1 >= -t1), true) AS clipped_scal
        coalesce(bool_and(ph2 IS NULL OR lo2 - ph2 >= -t2), true) AS zeroed_rows_preserve FROM pre, tol""")
 def q_rank_preserving(spark, root):
     """W3 on a monotone map (preserves) and on a perturbed copy (inverts)."""
-    s = S.stays(spark, root).withColumns({
+    s = MS.stays(spark, root).withColumns({
         "a1": F.least(F.lit(365.0), F.col("y_pred") * 1.2),
         "a2": F.when(F.col("seq") % 97 == 0, F.lit(0.0)).otherwise(F.col("y_pred"))})
     r1 = ranking.rank_preserving(s, "y_pred", "a1", "clipped_scale_preserves")
@@ -547,7 +577,7 @@ SELECT {R('smearing_factor', 'residual_std')}, n FROM (
          stddev_pop(ln(1 + duration_days) - ln(1 + y_pred)) AS residual_std, count(*) AS n FROM stays)""")
 def q_smearing(spark, root):
     """A29 with log1p(y_pred) as the log-space model."""
-    s = S.stays(spark, root).withColumn("f", F.log1p("y_pred"))
+    s = MS.stays(spark, root).withColumn("f", F.log1p("y_pred"))
     return M.fit_smearing(s, "duration_days", "f")
 
 
@@ -559,7 +589,7 @@ SELECT *, clipped_at_ceiling_after - clipped_at_ceiling_before + clipped_at_floo
          count(*) FILTER (WHERE b <= 0) AS clipped_at_floor_before, count(*) FILTER (WHERE a <= 0) AS clipped_at_floor_after FROM c)""")
 def q_clipping_counts(spark, root):
     """A30 counts: ties introduced by clipping after a 1.3x correction."""
-    s = S.stays(spark, root).withColumns({"b": X.clip_days(F.col("y_pred")),
+    s = MS.stays(spark, root).withColumns({"b": X.clip_days(F.col("y_pred")),
                                           "a": X.clip_days(F.col("y_pred") * 1.3)})
     return M.clipping_counts(s, "b", "a")
 
@@ -580,7 +610,7 @@ SELECT n_animals, {R('total_animal_days', 'quick_exit_days_threshold', 'quick_ex
     coalesce(avg(duration_days) FILTER (WHERE duration_days >= 90), 0.0) AS long_stay_mean_days FROM stays)""")
 def q_load_share(spark, root):
     """A19."""
-    return B.load_share(S.stays(spark, root))
+    return B.load_share(MS.stays(spark, root))
 
 
 @register("controlled_effect", f"""{W_STAYS_C},
@@ -604,7 +634,7 @@ SELECT usable, round(rf, 6) AS raw_rate_flagged, round(ru, 6) AS raw_rate_unflag
        CASE WHEN NOT usable THEN 'no stratum contained both groups' END AS reason FROM agg""")
 def q_controlled_effect(spark, root):
     """Effect of status F on the long rate within (priority, month) strata."""
-    return B.controlled_effect(D.stays_with_customer(spark, root), "flag_f", ["o_orderpriority", "start_month"])
+    return B.controlled_effect(MD.stays_with_customer(spark, root), "flag_f", ["o_orderpriority", "start_month"])
 
 
 _OVR_COLS = ("o_orderpriority", "o_orderstatus", "c_mktsegment")
@@ -623,7 +653,7 @@ SELECT "column", value, {R('share_of_long_stays', 'share_of_all', 'over_represen
 WHERE r <= 6 AND share_of_all > 0.01 AND over_representation > 1.0""")
 def q_over_representation(spark, root):
     """A21 (ratio floor 1.0 so the driver data yields rows)."""
-    return B.over_representation(D.stays_with_customer(spark, root), list(_OVR_COLS), min_ratio=1.0)
+    return B.over_representation(MD.stays_with_customer(spark, root), list(_OVR_COLS), min_ratio=1.0)
 
 
 @register("feature_contrast", f"""{W_STAYS_C},
@@ -645,7 +675,7 @@ SELECT "column", value, n, {R('long_stay_rate', 'lift_over_base', 'spread')}, to
 FROM x JOIN sp USING ("column") WHERE top_rank <= 3 OR bottom_rank <= 3""")
 def q_feature_contrast(spark, root):
     """A18 + T3 within open orders."""
-    s = D.stays_with_customer(spark, root)
+    s = MD.stays_with_customer(spark, root)
     return B.feature_contrast(s, ["o_orderpriority", "c_mktsegment", "start_month"], where={"o_orderstatus": "O"})
 
 
@@ -659,7 +689,7 @@ SELECT value, n, {R('flag_rate', 'long_rate_flagged', 'long_rate_unflagged', 'fl
         FROM stays GROUP BY 1))""")
 def q_flag_timing(spark, root):
     """A22 per circumstance level."""
-    return B.flag_timing_by_level(S.stays(spark, root), "flag_f", "o_orderpriority")
+    return B.flag_timing_by_level(MS.stays(spark, root), "flag_f", "o_orderpriority")
 
 
 @register("flag_timing_summary", f"""{W_STAYS}
@@ -669,7 +699,7 @@ SELECT {R('flag_rate_among_long', 'flag_rate_among_rest', 'flag_rate_all')} FROM
          avg(CAST(coalesce(flag_f, false) AS DOUBLE)) AS flag_rate_all FROM stays)""")
 def q_flag_timing_summary(spark, root):
     """A22 overall."""
-    return B.flag_timing_summary(S.stays(spark, root), "flag_f")
+    return B.flag_timing_summary(MS.stays(spark, root), "flag_f")
 
 
 @register("group_median_lookup", f"""{W_STAYS},
@@ -682,11 +712,11 @@ FROM lab LEFT JOIN cells USING (o_orderpriority, o_orderstatus), gm WHERE split
 def q_group_median_lookup(spark, root):
     """A7 + A8 + J4: cell medians fitted on train (one level held out), global
     median fallback, clipped, applied to test."""
-    lab = split.temporal_split(S.stays(spark, root), "start_ts", *TRAIN)
+    lab = split.temporal_split(MS.stays(spark, root), "start_ts", *TRAIN)
     train = lab.where(F.col("split") == "train")
     cells = lookup.group_median_table(train.where(F.col("o_orderpriority") != "5-LOW"),
                                       ["o_orderpriority", "o_orderstatus"], "duration_days")
-    glob = train.agg(F.percentile("duration_days", 0.5).alias("_g"))
+    glob = ranking.group_quantiles(train, "duration_days", [0.5], ["_g"])
     test = B._attach(lab.where(F.col("split") == "test"), glob)
     return lookup.lookup_with_fallback(test, cells, ["o_orderpriority", "o_orderstatus"], "cell_median",
                                        F.col("_g"), "baseline_days").select("seq", "baseline_days")
@@ -699,7 +729,7 @@ SELECT round(avg(CAST(c.o_orderpriority IS NULL AS DOUBLE)), 6) AS unseen_cell_r
 FROM lab l LEFT JOIN cells c USING (o_orderpriority, o_orderstatus) WHERE l.split = 'test'""")
 def q_unseen_cell_rate(spark, root):
     """J5."""
-    lab = split.temporal_split(S.stays(spark, root), "start_ts", *TRAIN)
+    lab = split.temporal_split(MS.stays(spark, root), "start_ts", *TRAIN)
     cells = lookup.group_median_table(
         lab.where((F.col("split") == "train") & (F.col("o_orderpriority") != "5-LOW")),
         ["o_orderpriority", "o_orderstatus"], "duration_days")
@@ -710,14 +740,14 @@ def q_unseen_cell_rate(spark, root):
 SELECT max(end_ts) AS censoring_horizon FROM stays""")
 def q_censoring_horizon(spark, root):
     """A37."""
-    return stats.censoring_horizon(S.stays(spark, root))
+    return stats.censoring_horizon(MS.stays(spark, root))
 
 
 @register("year_span", f"""{W_STAYS}
 SELECT round(date_diff('day', min(start_ts), max(start_ts)) / 365.25, 6) AS years_covered FROM stays""")
 def q_year_span(spark, root):
     """P13."""
-    return stats.year_span(S.stays(spark, root))
+    return stats.year_span(MS.stays(spark, root))
 
 
 @register("level_range", f"""{W_STAYS},
@@ -726,7 +756,7 @@ SELECT round(min(m), 6) AS min_value, round(max(m), 6) AS max_value,
        round(CASE WHEN min(m) <> 0 THEN max(m) / min(m) END, 6) AS max_over_min FROM lv""")
 def q_level_range(spark, root):
     """A38 over the A17 medians."""
-    return stats.level_range(B.breakdown(S.stays(spark, root), "o_orderpriority", min_n=100))
+    return stats.level_range(B.breakdown(MS.stays(spark, root), "o_orderpriority", min_n=100))
 
 
 @register("event_pairs", """WITH v AS (SELECT user_id AS key, ts AS start_ts, event_id AS seq FROM events WHERE event_type = 'view'),
@@ -809,7 +839,7 @@ SELECT key, seq, start_ts, end_ts, prev_end_ts FROM (
 WHERE start_ts < prev_end_ts""")
 def q_overlapping(spark, root):
     """Stays that begin before the previous stay of the key ended."""
-    s = S.stays(spark, root).select("key", "seq", "start_ts", "end_ts")
+    s = MS.stays(spark, root).select("key", "seq", "start_ts", "end_ts")
     return audit.overlapping_stays(s, "key", "start_ts", "end_ts", "seq")
 
 
@@ -819,7 +849,7 @@ SELECT key, seq, start_ts, end_ts, prev_end_ts FROM (
 WHERE end_ts < prev_end_ts""")
 def q_non_monotonic(spark, root):
     """Ends that go backwards when starts are sorted (must be empty)."""
-    s = S.stays(spark, root).select("key", "seq", "start_ts", "end_ts")
+    s = MS.stays(spark, root).select("key", "seq", "start_ts", "end_ts")
     return audit.non_monotonic_ends(s, "key", "start_ts", "end_ts", "seq")
 
 
@@ -827,14 +857,14 @@ def q_non_monotonic(spark, root):
 SELECT key, seq, duration_days FROM stays WHERE duration_days IS NULL OR duration_days < 0 OR duration_days > 365""")
 def q_oob(spark, root):
     """Q1 (must be empty)."""
-    return audit.duration_out_of_bounds(S.stays(spark, root)).select("key", "seq", "duration_days")
+    return audit.duration_out_of_bounds(MS.stays(spark, root)).select("key", "seq", "duration_days")
 
 
 @register("end_reused", f"""{W_STAYS}
 SELECT key, end_ts, count(*) AS copies FROM stays GROUP BY ALL HAVING count(*) > 1""")
 def q_end_reused(spark, root):
     """Q3: no end settles two starts (must be empty)."""
-    return audit.duplicates(S.stays(spark, root), ["key", "end_ts"])
+    return audit.duplicates(MS.stays(spark, root), ["key", "end_ts"])
 
 
 @register("timeline", f"""WITH {S.STARTS_SQL}, {S.ENDS_SQL}
@@ -925,7 +955,7 @@ SELECT band, count(*) AS n FROM (
               ELSE 'Fast' END AS band FROM stays) GROUP BY 1""")
 def q_risk_bands(spark, root):
     """rows per risk band of the score."""
-    return S.stays(spark, root).groupBy(X.risk_band("score").alias("band")).agg(F.count(F.lit(1)).alias("n"))
+    return MS.stays(spark, root).groupBy(X.risk_band("score").alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("verify_pairs", f"""{W_STAYS},
@@ -942,7 +972,7 @@ def q_verify_pairs(spark, root):
 SELECT key, seq, start_ts, end_ts FROM stays WHERE end_ts < start_ts""")
 def q_end_before_start(spark, root):
     """Q2 (must be empty)."""
-    return audit.end_before_start(S.stays(spark, root), "start_ts", "end_ts").select("key", "seq", "start_ts", "end_ts")
+    return audit.end_before_start(MS.stays(spark, root), "start_ts", "end_ts").select("key", "seq", "start_ts", "end_ts")
 
 
 @register("split_checks", f"""{W_STAYS},
@@ -955,7 +985,7 @@ l AS (SELECT *, lag(max_start) OVER (ORDER BY o) AS _prev_max FROM s)
 SELECT split, rows, min_start, max_start, _prev_max FROM l WHERE rows = 0 OR min_start <= _prev_max""")
 def q_split_checks(spark, root):
     """Q7: every period populated and strictly after the previous one (must be empty)."""
-    return audit.split_violations(split.split_summary(S.stays(spark, root), "start_ts", *TRAIN))
+    return audit.split_violations(split.split_summary(MS.stays(spark, root), "start_ts", *TRAIN))
 
 
 @register("deciles_identical", f"""{W_STAYS},
@@ -964,7 +994,7 @@ r AS (SELECT seq, row_number() OVER (ORDER BY y_pred, seq) AS r1, row_number() O
 SELECT count(*) AS n, bool_and(({sql_bin('r1', 'nn')}) = ({sql_bin('r2', 'nn')})) AS decile_assignment_identical FROM r""")
 def q_deciles_identical(spark, root):
     """A strictly monotone correction leaves every decile assignment unchanged."""
-    s = S.stays(spark, root).withColumn("y_corr", F.col("y_pred") * 1.1 + 2)
+    s = MS.stays(spark, root).withColumn("y_corr", F.col("y_pred") * 1.1 + 2)
     a = M.with_deciles(s, "y_pred", "seq", out="d1").select("seq", "d1")
     b = M.with_deciles(s, "y_corr", "seq", out="d2").select("seq", "d2")
     return a.join(b, "seq").agg(F.count(F.lit(1)).alias("n"),
@@ -995,7 +1025,7 @@ SELECT * FROM (VALUES
 def q_findings(spark, root):
     """The headline numbers as (finding, stat, value) rows."""
     from ..models.report import findings
-    return findings(D.stays_with_customer(spark, root), "flag_f", "o_orderpriority", ["1-URGENT", "5-LOW"])
+    return findings(MD.stays_with_customer(spark, root), "flag_f", "o_orderpriority", ["1-URGENT", "5-LOW"])
 
 
 # ---------------------------------------------------------------------------
