@@ -122,7 +122,10 @@ def fit_leaf_quantiles(train_x: DataFrame, y: str, spec: FeatureSpec, depth: int
     model = Pipeline(stages=[tree]).fit(train_x.withColumn("_label", F.log1p(F.col(y))))
     names = [f"_q{i}" for i in range(len(quantiles))]
     table = ranking.group_quantiles(model.transform(train_x), y, list(quantiles), names, ["_leaf"])
-    return model, table.select("_leaf", F.array(*names).alias("_q"))
+    table = table.select("_leaf", F.array(*names).alias("_q"))
+    # a fitted model parameter of <= 2^depth rows: keep it as a literal table so
+    # it also joins with streaming frames
+    return model, train_x.sparkSession.createDataFrame(table.collect(), table.schema)
 
 
 def predict_quantiles(x: DataFrame, model: PipelineModel, table: DataFrame,
