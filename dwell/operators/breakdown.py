@@ -71,11 +71,12 @@ def breakdown_summary(df: DataFrame, by: str, y: str = "duration_days",
 
 
 def _one_row(*frames: DataFrame) -> DataFrame:
-    """Side-by-side union of single-row aggregates via a constant grouping key."""
-    out = frames[0].withColumn("_one", F.lit(1))
+    """Side-by-side single-row aggregates: the first frame plus the others'
+    columns as scalar subqueries (no join)."""
+    out = frames[0]
     for f in frames[1:]:
-        out = out.join(F.broadcast(f.withColumn("_one", F.lit(1))), "_one")
-    return out.drop("_one")
+        out = _attach(out, f)
+    return out
 
 
 def unpivot_levels(df: DataFrame, columns: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -111,9 +112,10 @@ def feature_contrast(df: DataFrame, columns: Sequence[str], y: str = "duration_d
 
 
 def _attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row aggregate to every row (broadcast)."""
-    return df.withColumn("_one", F.lit(1)).join(
-        F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    """Attach the columns of a (at most) one-row aggregate to every row as one
+    scalar subquery (evaluated once; null when the aggregate has no row)."""
+    s = one_row.select(F.struct(*one_row.columns).alias("_s")).scalar()
+    return df.withColumns({c: s.getField(c) for c in one_row.columns})
 
 
 def load_share(df: DataFrame, y: str = "duration_days", quick: float = 7.0, long: float = 90.0) -> DataFrame:

@@ -28,9 +28,9 @@ def quantile(col: str | Column, q: float | Sequence[float], accuracy: int) -> Co
 
 
 def _join_on_groups(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
-    if not by:
-        return left.withColumn("_one", F.lit(1)).join(
-            F.broadcast(right.withColumn("_one", F.lit(1))), "_one", "left").drop("_one")  # one row
+    if not by:  # one row: a scalar subquery, not a join
+        s = right.select(F.struct(*right.columns).alias("_s")).scalar()
+        return left.withColumns({c: s.getField(c) for c in right.columns})
     r = right.select(*[F.col(b).alias(f"_qb_{i}") for i, b in enumerate(by)],
                      *[c for c in right.columns if c not in by])
     cond = [left[b].eqNullSafe(r[f"_qb_{i}"]) for i, b in enumerate(by)]
