@@ -41,8 +41,8 @@ def breakdown(df: DataFrame, by: str, y: str = "duration_days", where: Mapping[s
         F.avg(_long(y, threshold).cast("double")).alias("long_stay_rate"),
         F.sum(_long(y, threshold)).alias("long_stay_n")],
         [(y, [0.5, 0.9], ["median_days", "p90_days"])], accuracy)
-    whole = Window.partitionBy()  # over aggregated levels only
-    lv = lv.withColumns({"_total": F.sum("n").over(whole), "_long_total": F.sum("long_stay_n").over(whole)})
+    totals = part.agg(F.count(F.lit(1)).alias("_total"), F.sum(_long(y, threshold)).alias("_long_total"))
+    lv = _attach(lv, totals)
     overall = F.col("_long_total") / F.col("_total")
     return (lv.where(F.col("value").isNotNull() & (F.col("n") >= min_n))
             .select("value", "n", (F.col("n") / F.col("_total")).alias("share"),
@@ -181,9 +181,13 @@ def over_representation(df: DataFrame, columns: Sequence[str], y: str = "duratio
     long = unpivot_levels(df.withColumn("_y", _long(y, threshold)), columns, ["_y"]).where(
         F.col("value").isNotNull())
     lv = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("n_long"))
+    # per-column totals: a partial aggregate over the rows, one row per column
+    tot = long.groupBy("column").agg(F.count(F.lit(1)).alias("_n_all"), F.sum("_y").alias("_n_long_all"))
+    lv = lv.join(F.broadcast(tot), "column")  # <= number of columns rows
+    lv = lv.withColumns({"share_of_long_stays": F.col("n_long") / F.col("_n_long_all"),
+                         "share_of_all": F.col("n") / F.col("_n_all")})
+    # row_number <= top becomes a per-partition group limit before the shuffle
     per_col = Window.partitionBy("column")
-    lv = lv.withColumns({"share_of_long_stays": F.col("n_long") / F.sum("n_long").over(per_col),
-                         "share_of_all": F.col("n") / F.sum("n").over(per_col)})
     lv = lv.where(F.col("n_long") > 0).withColumn(
         "_rk", F.row_number().over(per_col.orderBy(F.col("n_long").desc(), "value")))
     ratio = F.col("share_of_long_stays") / F.col("share_of_all")

@@ -59,9 +59,11 @@ def duration_stats(df: DataFrame, col: str = "duration_days", accuracy: int | No
     return out.select("n", "mean_days", "median_days", "p90_days", "p99_days", "min_days", "max_days", "std_days")
 
 
-def _with_share(levels: DataFrame, n: str = "n") -> DataFrame:
-    whole = Window.partitionBy()  # over aggregated levels only
-    return levels.withColumn("share", F.col(n) / F.sum(n).over(whole))
+def _with_share(levels: DataFrame, rows: DataFrame, n: str = "n") -> DataFrame:
+    """share = n / all rows; the total is a partial-aggregated count of the
+    input attached as a scalar subquery (no window over the levels)."""
+    total = rows.agg(F.count(F.lit(1)).alias("_total")).select("_total").scalar()
+    return levels.withColumn("share", F.col(n) / total)
 
 
 def level_counts(df: DataFrame, level: str, col: str = "duration_days",
@@ -70,7 +72,7 @@ def level_counts(df: DataFrame, level: str, col: str = "duration_days",
     d = df.withColumn("value", F.col(level))
     lv = grouped_with_quantiles(d, ["value"], [F.count(F.lit(1)).alias("n")],
                                 [(col, [0.5], ["median_days"])], accuracy)
-    return _with_share(lv)
+    return _with_share(lv, df)
 
 
 def top_levels(df: DataFrame, level: str, n: int = 30, col: str = "duration_days",
@@ -95,7 +97,7 @@ def flag_contrast(df: DataFrame, flag_col: Column, loose_col: Column | None = No
     d = df.withColumn("flag", F.coalesce(flag_col, F.lit(False)))
     aggs = [F.count(F.lit(1)).alias("n")] + ([F.count_if(loose_col).alias("loose_n")] if loose_col is not None else [])
     out = grouped_with_quantiles(d, ["flag"], aggs, [(col, [0.5], ["median_days"])], accuracy)
-    return _with_share(out)
+    return _with_share(out, df)
 
 
 def offset_count(df: DataFrame, text_col: str) -> DataFrame:
