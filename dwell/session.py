@@ -62,9 +62,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """Eager, reliable checkpoint (never a local one): survives executor loss and
-    fixes a non-deterministic partitioning (range bounds) once."""
+    fixes a non-deterministic partitioning (range bounds) once.
+
+    The input is persisted for the duration of the checkpoint: an eager
+    checkpoint runs one job to materialise the rows and another to write them,
+    and without the cache the second job would recompute the whole lineage."""
+    from pyspark import StorageLevel
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return cached.checkpoint(eager=True)
+    finally:
+        cached.unpersist(blocking=False)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int, known_rows: int | None = None) -> DataFrame:
