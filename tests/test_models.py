@@ -117,3 +117,33 @@ def test_stream_scoring(spark, fitted):
     q.awaitTermination(120)
     got = spark.sql("SELECT * FROM scored_stream")
     assert got.count() == 40 and "risk_band" in got.columns
+
+
+def test_foreach_batch_scoring_with_drivers(spark, fitted):
+    df, b = fitted
+    from dwell.streaming.score import start_scoring
+    src = tempfile.mkdtemp(prefix="dwell-fb-src-")
+    df.limit(30).write.mode("overwrite").parquet(os.path.join(src, "in"))
+    out = os.path.join(tempfile.mkdtemp(prefix="dwell-fb-out-"), "scored")
+    ck = os.path.join(tempfile.mkdtemp(prefix="dwell-fb-ck-"), "ck")
+    stream = spark.readStream.schema(df.schema).parquet(os.path.join(src, "in"))
+    q = start_scoring(stream, b, "id", out, ck)
+    q.awaitTermination(180)
+    got = spark.read.parquet(out)
+    assert got.count() == 30 and "drivers" in got.columns
+
+
+def test_report_blocks_and_diagnosis(spark, fitted):
+    df, b = fitted
+    from dwell.models.report import build_report, classifier_report
+    scored = predict_probability(b.features(df, ["id", "is_long", "duration_days", "animal_type"]),
+                                 b.models["classifier"])
+    blocks = classifier_report(scored, scored, "probability", "is_long", "id", group="animal_type")
+    assert {"classifier", "operating_points", "reliability", "ece", "by_group"} <= set(blocks)
+    assert blocks["operating_points"].count() >= 1
+    rep = build_report(scored.withColumn("pred", F.col("probability") * 100), "duration_days", "pred", "id",
+                       ["animal_type"])
+    assert rep["core"].first().n == df.count() and rep["worst"].count() == 50
+    diag = explain.diagnose_group(df, df, scored, "animal_type", "Cat", SPEC, "is_long", "id", PARAMS,
+                                  min_train=100, min_pos=5).first()
+    assert diag.group == "Cat" and diag.general_pr_auc is not None
