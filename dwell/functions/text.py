@@ -161,7 +161,9 @@ def flag(col: str | Column) -> Column:
 
 def to_number(col: str | Column) -> Column:
     """numeric coercion; booleans -> 1.0 / 0.0; unparseable -> null."""
-    return _c(col).cast("string").try_cast("double")
+    text = F.lower(strip(_c(col).cast("string")))
+    return (F.when(text == "true", F.lit(1.0)).when(text == "false", F.lit(0.0))
+            .otherwise(text.try_cast("double")))
 
 
 # F14 / F15 ------------------------------------------------------------------

@@ -64,8 +64,8 @@ def q_model_scores(spark, root):
     rel = M.group_reliability(M.classifier_by_group(
         predict_probability(b.features(df.where(F.col("split") == "validation"), PASS), b.models["classifier"]),
         "c_mktsegment", "probability", "is_long"))
-    out = score_batch(test, b, "seq", ["key", "duration_days", "is_long"], "c_mktsegment", rel)
-    return out.withColumn("drivers", F.to_json("drivers"))
+    out = score_batch(test, b, "seq", ["key", "duration_days", "is_long"], "c_mktsegment", rel, with_input=True)
+    return out.withColumns({"drivers": F.to_json("drivers"), "input": F.to_json("input")})
 
 
 def q_model_classifier_metrics(spark, root):
@@ -117,7 +117,52 @@ def q_model_regression(spark, root):
     return M.compare_variants(long, "duration_days", ["tree_days", "median_days", "cell_days"], "seq")
 
 
+def q_model_smearing(spark, root):
+    """M4 + A29 + A30: squared-loss tree on log1p(days); Duan smearing factor fitted
+    on validation; before / after metrics, rank preservation, Spearman, decile
+    identity and clipping counts on test."""
+    from ..models.train import fit_encoder, fit_regressor, Bundle as _B
+    from ..operators import ranking
+    from ..operators.breakdown import _one_row
+    df = model_frame(spark, root)
+    train = df.where(F.col("split") == "train")
+    levels, enc = fit_encoder(train, SPEC)
+    b = _B(SPEC, levels, enc)
+    model = fit_regressor(b.features(train, ["duration_days"]), "duration_days", "log1p", QUERY_PARAMS, SPEC)
+    valid = model.transform(b.features(df.where(F.col("split") == "validation"), PASS))
+    sm = M.fit_smearing(valid, "duration_days", "_raw_pred")
+    s_factor = sm.select("smearing_factor").scalar()
+    test = model.transform(b.features(df.where(F.col("split") == "test"), PASS))
+    test = test.withColumns({"before": X.clip_days(F.expm1("_raw_pred")),
+                             "after": X.clip_days(F.exp("_raw_pred") * s_factor - 1)})
+    test = reliable_checkpoint(test.select("seq", "duration_days", "before", "after"))
+    cmp = M.compare_variants(test, "duration_days", ["before", "after"], "seq")
+    wide = cmp.groupBy().pivot("variant", ["before", "after"]).agg(
+        F.first("mae_days").alias("mae"), F.first("mean_bias_days").alias("bias"), F.first("r2").alias("r2"))
+    d1 = M.with_deciles(test, "before", "seq", out="d1").select("seq", "d1")
+    d2 = M.with_deciles(test, "after", "seq", out="d2").select("seq", "d2")
+    same = d1.join(d2, "seq").agg(F.bool_and(F.col("d1") == F.col("d2")).alias("decile_assignment_identical"))
+    return _one_row(sm, wide, ranking.rank_preserving(test, "before", "after"),
+                    ranking.spearman(test, "before", "after", "spearman_correlation"), same,
+                    M.clipping_counts(test, "before", "after"))
+
+
+def q_model_diagnose(spark, root):
+    """M12 for every market segment: the general model on the segment, and a
+    segment-only model where the segment has enough training data."""
+    df, b = fitted(spark, root, which=("classifier",))
+    scored = predict_probability(b.features(df.where(F.col("split") == "test"), PASS), b.models["classifier"])
+    train, test = df.where(F.col("split") == "train"), df.where(F.col("split") == "test")
+    out = None
+    for seg in ["AUTOMOBILE", "BUILDING"]:
+        d = explain.diagnose_group(train, test, scored, "c_mktsegment", seg, SPEC, "is_long", "seq", QUERY_PARAMS)
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
 MODEL_QUERIES = {
+    "model_smearing": q_model_smearing,
+    "model_diagnose": q_model_diagnose,
     "model_scores": q_model_scores,
     "model_classifier_metrics": q_model_classifier_metrics,
     "model_quantiles": q_model_quantiles,

@@ -40,9 +40,13 @@ def score_rows(df: DataFrame, bundle: Bundle, id_col: str, passthrough: Sequence
 
 def score_batch(df: DataFrame, bundle: Bundle, id_col: str, passthrough: Sequence[str] = (),
                 group_col: str | None = None, reliability: DataFrame | None = None,
-                with_drivers: bool = True, top: int | None = None) -> DataFrame:
+                with_drivers: bool = True, top: int | None = None, with_input: bool = False) -> DataFrame:
     """Row-wise scores, per-row drivers, whole batch ranked by risk (T2;
-    a global sort is range partitioned; ``top`` keeps a top-k report)."""
+    a global sort is range partitioned; ``top`` keeps a top-k report).  With
+    ``with_input`` each result carries its input features as a struct (J9)."""
+    if with_input:  # the input record rides along on its own row - no join
+        df = df.withColumn("input", F.struct(*bundle.spec.allowed))
+        passthrough = [*passthrough, "input"]
     rows = score_rows(df, bundle, id_col, passthrough, group_col, reliability)
     if with_drivers:
         rows = rows.join(driver_table(df, bundle, id_col), id_col, "left")

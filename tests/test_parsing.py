@@ -95,3 +95,7 @@ def test_display(spark):
     df = spark.createDataFrame([(1.5, True, "x"), (None, None, None), (2.0, False, "y")], "a double, b boolean, c string")
     out = df.select(X.display("a", "double"), X.display("b", "boolean"), X.display("c")).collect()
     assert [tuple(r) for r in out] == [("1.5", "yes", "x"), ("unknown", "unknown", "unknown"), ("2", "no", "y")]
+
+
+def test_to_number(spark):
+    assert _one(spark, X.to_number, ["1.5", " 2 ", "true", "FALSE", "x", None]) == [1.5, 2.0, 1.0, 0.0, None, None]
