@@ -1028,6 +1028,115 @@ def q_findings(spark, root):
     return findings(MD.stays_with_customer(spark, root), "flag_f", "o_orderpriority", ["1-URGENT", "5-LOW"])
 
 
+def _scratch(spark, name: str) -> str:
+    """A fresh folder under the session's shared checkpoint directory."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/dwell-tables/{name}-{uuid.uuid4().hex}"
+
+
+@register("stays_table_test_period", f"""{W_STAYS}
+SELECT key, seq, start_ts, end_ts, round(duration_days, 6) AS duration_days, CAST(year(start_ts) AS INTEGER) AS start_year
+FROM stays WHERE start_ts >= TIMESTAMP '2001-01-01'""")
+def q_stays_table(spark, root):
+    """S4 + P9: the stays table written as Parquet partitioned by start year and
+    read back; the test-period filter prunes partitions."""
+    from ..sources import files
+    path = _scratch(spark, "stays")
+    files.write_stays(S.stays(spark, root).select("key", "seq", "start_ts", "end_ts", "duration_days"), path)
+    t = files.read_stays(spark, path)
+    return (t.where((F.col("start_year") >= 2001) & (F.col("start_ts") >= F.lit("2001-01-01").cast("timestamp_ntz")))
+            .withColumn("start_year", F.col("start_year").cast("int")))
+
+
+@register("raw_text_starts", f"""WITH {D.ORDER_TEXT_SQL},
+t AS (SELECT nullif(trim(CAST(o_custkey AS VARCHAR)), '') AS key, {sql_wall_clock('ts_text')} AS start_ts,
+             CAST(o_orderkey AS VARCHAR) AS seq FROM order_text)
+SELECT * FROM t WHERE key IS NOT NULL AND start_ts IS NOT NULL""")
+def q_raw_text_starts(spark, root):
+    """S1 + P1 + F1: orders landed as an all-text CSV, read back without type
+    inference, keys trimmed, text timestamps parsed to wall clock, unusable rows dropped."""
+    from ..sources import files
+    path = _scratch(spark, "raw")
+    D.order_text(spark, root).select(F.col("o_custkey").cast("string").alias("animal_id"), "ts_text",
+                                     F.col("o_orderkey").cast("string").alias("seq")).write.option(
+        "header", True).csv(path)
+    raw = files.read_raw_csv(spark, path, ["animal_id", "ts_text", "seq"])
+    return pairing.prepare_starts(raw, "animal_id", "ts_text", "start_ts", keep=["seq"], key_out="key")
+
+
+@register("pair_payload", f"""{W_STAYS},
+e AS (SELECT o.o_custkey AS key, l.l_shipdate AS end_ts, l.l_orderkey * 100 + l.l_linenumber AS end_seq,
+             l.l_returnflag, l.l_linestatus FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey),
+first_e AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY key, end_ts ORDER BY end_seq) = 1)
+SELECT p.key, p.seq, p.start_ts, p.end_ts, f.l_returnflag, f.l_linestatus
+FROM paired p JOIN first_e f USING (key, end_ts)""")
+def q_pair_payload(spark, root):
+    """Pairing that carries the end row's descriptive columns; among ends at
+    the same time the first in source order wins."""
+    o = table(spark, root, "orders").select("o_orderkey", "o_custkey")
+    li = table(spark, root, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_returnflag",
+                                               "l_linestatus")
+    ends = li.join(o, li.l_orderkey == o.o_orderkey).select(
+        F.col("o_custkey").alias("key"), F.col("l_shipdate").alias("end_ts"),
+        (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("end_seq"), "l_returnflag", "l_linestatus")
+    p = pairing.pair_next_with_payload(S.starts(spark, root), ends, "key", "start_ts", "end_ts",
+                                       ["l_returnflag", "l_linestatus"], seq="seq", end_seq="end_seq")
+    return p.select("key", "seq", "start_ts", "end_ts", "l_returnflag", "l_linestatus")
+
+
+@register("folded_levels", f"""{W_STAYS_C},
+lab AS (SELECT *, {sql_split('start_ts')} AS split FROM stays_c),
+top AS (SELECT c_mktsegment FROM lab WHERE split = 'train' AND c_mktsegment IS NOT NULL
+        GROUP BY 1 ORDER BY count(*) DESC, c_mktsegment LIMIT 3)
+SELECT seq, CASE WHEN c_mktsegment IS NULL THEN 'Missing'
+                 WHEN c_mktsegment IN (SELECT c_mktsegment FROM top) THEN c_mktsegment ELSE 'Other' END AS segment_level
+FROM lab WHERE split = 'test'""")
+def q_folded_levels(spark, root):
+    """M1 + J6: the three most frequent training segments kept, the rest folded
+    to Other, null to Missing; applied to the test period."""
+    from ..models.features import fit_levels
+    lab = split.temporal_split(MD.stays_with_customer(spark, root), "start_ts", *TRAIN)
+    lv = fit_levels(lab.where(F.col("split") == "train"), ["c_mktsegment"], cap=3)
+    out = lv.transform(lab.where(F.col("split") == "test"))
+    return out.select("seq", F.col("c_mktsegment__lv").alias("segment_level"))
+
+
+@register("reference_row", f"""{W_STAYS_C},
+m AS (SELECT o_orderpriority AS v, count(*) AS c FROM stays_c WHERE o_orderpriority IS NOT NULL GROUP BY 1),
+s AS (SELECT c_mktsegment AS v, count(*) AS c FROM stays_c WHERE c_mktsegment IS NOT NULL GROUP BY 1)
+SELECT (SELECT v FROM m ORDER BY c DESC, v LIMIT 1) AS o_orderpriority,
+       (SELECT v FROM s ORDER BY c DESC, v LIMIT 1) AS c_mktsegment,
+       round((SELECT quantile_cont(o_totalprice, 0.5) FROM stays_c), 6) AS o_totalprice,
+       round((SELECT avg(CAST(is_long AS DOUBLE)) FROM stays_c), 6) AS positive_rate""")
+def q_reference_row(spark, root):
+    """A10 + A9: the typical entity (median numeric, most frequent level with the
+    smallest value on ties) and the positive rate."""
+    st = MD.stays_with_customer(spark, root)
+    modes = st.agg(F.mode("o_orderpriority", deterministic=True).alias("o_orderpriority"),
+                   F.mode("c_mktsegment", deterministic=True).alias("c_mktsegment"),
+                   F.avg(F.col("is_long").cast("double")).alias("positive_rate"))
+    med = ranking.group_quantiles(st, "o_totalprice", [0.5], ["o_totalprice"])
+    return B._one_row(modes, med)
+
+
+@register("display_values", """SELECT o_orderkey,
+  CASE WHEN p IS NULL THEN 'unknown' ELSE regexp_replace(regexp_replace(printf('%.6f', p), '0+$', ''), '\.$', '') END AS price_text,
+  CASE WHEN f IS NULL THEN 'unknown' WHEN f THEN 'yes' ELSE 'no' END AS flag_text,
+  CASE WHEN pr IS NULL THEN 'unknown' ELSE pr END AS priority_text
+FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS p,
+             CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderstatus = 'F' END AS f,
+             nullif(o_orderpriority, '5-LOW') AS pr FROM orders)""")
+def q_display_values(spark, root):
+    """values rendered for people (null -> unknown, yes/no, shortest decimals)."""
+    o = table(spark, root, "orders").select(
+        "o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("p"),
+        F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderstatus") == "F").alias("f"),
+        F.nullif(F.col("o_orderpriority"), F.lit("5-LOW")).alias("pr"))
+    return o.select("o_orderkey", X.display("p", "double").alias("price_text"),
+                    X.display("f", "boolean").alias("flag_text"), X.display("pr").alias("priority_text"))
+
+
 # ---------------------------------------------------------------------------
 # Models (no SQL oracle)
 # ---------------------------------------------------------------------------
