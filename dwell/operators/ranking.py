@@ -26,7 +26,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import default_parallelism, reliable_checkpoint
+from ..session import reliable_checkpoint
 
 _POS_MASK = (1 << 33) - 1
 
@@ -35,11 +35,26 @@ def _cols(order: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
+ROWS_PER_RANGE = 1_000_000
+MAX_RANGES = 200_000
+
+
 def range_sorted(df: DataFrame, order: Sequence[str | Column], partitions: int | None = None) -> DataFrame:
-    """Range-partitioned, locally sorted and reliably checkpointed copy of ``df``."""
-    p = partitions or default_parallelism(df.sparkSession)
+    """Range-partitioned, locally sorted and reliably checkpointed copy of ``df``.
+
+    Without an explicit ``partitions`` the number of ranges follows the data:
+    one range per ``ROWS_PER_RANGE`` rows (the input is persisted, counted once
+    - a scalar - and then sampled and shuffled from the cache)."""
+    from pyspark import StorageLevel
     cols = _cols(order)
-    return reliable_checkpoint(df.repartitionByRange(p, *cols).sortWithinPartitions(*cols))
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        if not partitions:
+            n = cached.count()
+            partitions = max(1, min(MAX_RANGES, -(-n // ROWS_PER_RANGE)))
+        return reliable_checkpoint(cached.repartitionByRange(partitions, *cols).sortWithinPartitions(*cols))
+    finally:
+        cached.unpersist(blocking=False)
 
 
 def _offsets(df: DataFrame, aggs: Mapping[str, tuple[str, str]]) -> DataFrame:

@@ -1120,7 +1120,7 @@ def q_reference_row(spark, root):
     return B._one_row(modes, med)
 
 
-@register("display_values", """SELECT o_orderkey,
+@register("display_values", r"""SELECT o_orderkey,
   CASE WHEN p IS NULL THEN 'unknown' ELSE regexp_replace(regexp_replace(printf('%.6f', p), '0+$', ''), '\.$', '') END AS price_text,
   CASE WHEN f IS NULL THEN 'unknown' WHEN f THEN 'yes' ELSE 'no' END AS flag_text,
   CASE WHEN pr IS NULL THEN 'unknown' ELSE pr END AS priority_text
