@@ -1137,6 +1137,24 @@ def q_display_values(spark, root):
                     X.display("f", "boolean").alias("flag_text"), X.display("pr").alias("priority_text"))
 
 
+@register("report_blocks")
+def q_report_blocks(spark, root):
+    """M14 + M15 + S6: the evaluation report (regression, classifier with
+    thresholds picked on validation, breakdowns, load share, controlled effect)
+    written as one JSON directory per block; returns (block, rows)."""
+    from ..models.report import build_report, classifier_report
+    from ..sources.files import write_report_json
+    lab = split.temporal_split(MD.stays_with_customer(spark, root), "start_ts", *TRAIN)
+    blocks = build_report(lab.where(F.col("split") == "test"), "duration_days", "y_pred", "seq",
+                          ["o_orderpriority", "c_mktsegment"], "flag_f", ["o_orderpriority", "start_month"])
+    blocks.update(classifier_report(lab.where(F.col("split") == "validation"), lab.where(F.col("split") == "test"),
+                                    "score", "is_long", "seq", group="o_orderpriority"))
+    path = _scratch(spark, "report")
+    write_report_json(blocks, path)
+    counts = [(name, spark.read.json(f"{path}/{name}").count()) for name in sorted(blocks)]
+    return spark.createDataFrame(counts, "block string, rows long")
+
+
 # ---------------------------------------------------------------------------
 # Models (no SQL oracle)
 # ---------------------------------------------------------------------------
