@@ -31,7 +31,8 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     repeats = int(os.environ.get("BENCH_REPEATS", "2"))
     scratch = tempfile.mkdtemp(prefix="dwell-bench-")
-    spark = local_session(cpus, shuffle_partitions=int(cpus) * 2, driver_memory="16g")
+    spark = local_session(cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", int(cpus) * 2)),
+                          driver_memory="16g")
     if not spark.sparkContext.getCheckpointDir():  # set only where unset
         spark.sparkContext.setCheckpointDir(os.path.join(scratch, "ckpt"))
     qs = catalog.queries()
