@@ -15,11 +15,12 @@ pair's end time is that event's time.  We evaluate everything with one window in
 row).  That is one shuffle, keyed by ``(key, bucket)``.
 
 Skew.  A key may hold a large share of all rows.  A partial aggregation in the
-same plan counts rows per key; keys above ``rows_per_task`` are split into
-``ceil(n / rows_per_task)`` equal-width time buckets, so the window groups stay
+same plan counts rows per key; keys above ``rows_per_task`` are split into about
+``ceil(n / rows_per_task)`` time buckets that follow the key's own time
+distribution (see :mod:`dwell.operators.keyed`), so the window groups stay
 bounded.  The first event (and first end) of the *following* buckets of a hot
 key comes from a summary with one row per (hot key, bucket): at most
-``2 * rows / rows_per_task`` rows, the proven bound that lets it be broadcast.
+``4 * rows / rows_per_task`` rows, the proven bound that lets it be broadcast.
 """
 
 from __future__ import annotations

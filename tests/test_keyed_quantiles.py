@@ -51,3 +51,29 @@ def test_range_sorted_partitions_follow_size(spark):
     assert r.rdd.getNumPartitions() == 1  # 5000 rows < one range
     r8 = ranking.global_row_number(df, ["v"], partitions=8)
     assert sorted(x.row_number for x in r8.collect()) == list(range(1, 5001))
+
+
+def test_bursty_hot_key_is_split_evenly(spark):
+    """Most rows of the hot key fall into one hour of a two-year span: buckets
+    still hold about rows_per_task rows each."""
+    from pyspark.sql import functions as F
+    from dwell.operators.keyed import split_hot_keys
+    rnd = random.Random(5)
+    base = dt.datetime(2020, 1, 1)
+    rows = [("HOT", base + dt.timedelta(seconds=rnd.randrange(0, 3600))) for _ in range(3000)]
+    rows += [("HOT", base + dt.timedelta(days=rnd.randrange(0, 730))) for _ in range(100)]
+    rows += [("cold", base + dt.timedelta(days=1))]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz")
+    out = split_hot_keys(df, "k", ts_micros(df, "ts"), rows_per_task=100)
+    sizes = [r["count"] for r in out.where("_hot").groupBy("_b").count().collect()]
+    assert len(sizes) >= 20 and max(sizes) <= 400
+    assert out.where("k = 'cold'").first()["_b"] == 0
+
+
+def test_many_buckets_beyond_grid(spark):
+    from dwell.operators.keyed import split_hot_keys
+    df = spark.range(0, 6000).selectExpr("'K' AS k", "timestamp_ntz'2020-01-01 00:00:00' + make_interval(0,0,0,0,0,0,id) AS ts")
+    out = split_hot_keys(df, "k", ts_micros(df, "ts"), rows_per_task=10, grid=16)
+    b = [r["_b"] for r in out.orderBy("ts").collect()]
+    assert b == sorted(b)  # monotone in time
+    assert len(set(b)) >= 300
