@@ -56,7 +56,7 @@ def findings(stays: DataFrame, flag: str, level: str, level_values: Sequence[str
     """(finding, stat, value) rows from the load share, the flag timing
     evidence and two level rates (J10 lookups)."""
     ls = B.load_share(stays, y).select(
-        F.lit("shelter_load").alias("finding"),
+        F.lit("load_share").alias("finding"),
         F.create_map(F.lit("quick_exit_share_of_animals"), F.col("quick_exit_share_of_animals"),
                      F.lit("long_stay_share_of_animal_days"), F.col("long_stay_share_of_animal_days")).alias("m"))
     ft = B.flag_timing_summary(stays, flag, y).select(

@@ -1015,8 +1015,8 @@ ft AS (SELECT avg(CAST(coalesce(flag_f, false) AS DOUBLE)) FILTER (WHERE duratio
               avg(CAST(coalesce(flag_f, false) AS DOUBLE)) FILTER (WHERE duration_days < 90) AS b FROM stays),
 lv AS (SELECT o_orderpriority AS value, avg(CAST(is_long AS DOUBLE)) AS r FROM stays GROUP BY 1 HAVING count(*) >= 100)
 SELECT * FROM (VALUES
-  ('shelter_load', 'quick_exit_share_of_animals', (SELECT round(quick_share, 6) FROM ls)),
-  ('shelter_load', 'long_stay_share_of_animal_days', (SELECT round(long_days_share, 6) FROM ls)),
+  ('load_share', 'quick_exit_share_of_animals', (SELECT round(quick_share, 6) FROM ls)),
+  ('load_share', 'long_stay_share_of_animal_days', (SELECT round(long_days_share, 6) FROM ls)),
   ('flag_timing', 'flag_rate_among_long', (SELECT round(a, 6) FROM ft)),
   ('flag_timing', 'flag_rate_among_rest', (SELECT round(b, 6) FROM ft)),
   ('priority', 'long_rate_1_urgent', (SELECT round(max(r) FILTER (WHERE value = '1-URGENT'), 6) FROM lv)),
