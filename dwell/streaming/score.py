@@ -14,12 +14,24 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import reliability_message, risk_band
+from ..functions.text import enrich, reliability_message, risk_band, wall_clock
 from ..models.explain import drivers as driver_table
 from ..models.train import Bundle, predict_days, predict_probability, predict_quantiles
 from ..operators.lookup import attach_reliability
 
 
+def enrich_records(raw: DataFrame, ts_text: str | None = None, name: str | None = None,
+                   age_text: str | None = None, breed: str | None = None, color: str | None = None,
+                   sex: str | None = None, out_ts: str = "start_ts") -> DataFrame:
+    """Raw start records (all text, every field optional) -> the same engineered
+    features as training (F20).  A missing or unparseable start time falls back
+    to the processing time, as on a live feed.  Works on streaming frames."""
+    ts = (F.coalesce(wall_clock(ts_text), F.current_timestamp().cast("timestamp_ntz")) if ts_text
+          else F.current_timestamp().cast("timestamp_ntz"))
+    return enrich(raw.withColumn(out_ts, ts), out_ts, name=name, age_text=age_text, breed=breed,
+                  color=color, sex=sex)
+
+
 def score_rows(df: DataFrame, bundle: Bundle, id_col: str, passthrough: Sequence[str] = (),
                group_col: str | None = None, reliability: DataFrame | None = None) -> DataFrame:
     """R2 core: per-row columns only (stateless)."""

@@ -147,3 +147,15 @@ def test_report_blocks_and_diagnosis(spark, fitted):
     diag = explain.diagnose_group(df, df, scored, "animal_type", "Cat", SPEC, "is_long", "id", PARAMS,
                                   min_train=100, min_pos=5).first()
     assert diag.group == "Cat" and diag.general_pr_auc is not None
+
+
+def test_enrich_records_defaults_time(spark):
+    from dwell.streaming.score import enrich_records
+    raw = spark.createDataFrame([("2020-07-04T10:00:00", "Rex", "2 years", "Beagle Mix", "Black/White", "Neutered Male"),
+                                 (None, None, None, None, None, None)],
+                                "ts string, name string, age string, breed string, color string, sex string")
+    out = enrich_records(raw, "ts", name="name", age_text="age", breed="breed", color="color", sex="sex").collect()
+    assert out[0].start_month == 7 and out[0].age_days == 730.5 and out[0].is_mix and out[0].is_black
+    assert out[0].sex == "Male" and out[0].sterilization_status == "Fixed" and out[0].has_name
+    assert out[1].start_ts is not None and out[1].age_days is None and out[1].sex == "Unknown"
+    assert out[1].has_name is False and out[1].is_mix is None
