@@ -1155,6 +1155,21 @@ def q_report_blocks(spark, root):
     return spark.createDataFrame(counts, "block string, rows long")
 
 
+@register("event_duration_stats", f"""WITH v AS (SELECT user_id AS key, ts AS start_ts, event_id AS seq FROM events WHERE event_type = 'view'),
+p AS (SELECT user_id AS key, ts AS end_ts FROM events WHERE event_type = 'purchase'),
+x AS (SELECT v.*, p.end_ts FROM v ASOF JOIN p ON v.key = p.key AND p.end_ts >= v.start_ts
+      QUALIFY row_number() OVER (PARTITION BY v.key, p.end_ts ORDER BY v.start_ts DESC, v.seq DESC) = 1),
+d AS (SELECT CAST(date_diff('microsecond', start_ts, end_ts) AS DOUBLE) / 86400000000.0 AS duration_days FROM x)
+SELECT n, {R('mean_days', 'median_days', 'p90_days', 'p99_days', 'min_days', 'max_days', 'std_days')}
+FROM (SELECT count(duration_days) AS n, avg(duration_days) AS mean_days, quantile_cont(duration_days, 0.5) AS median_days,
+             quantile_cont(duration_days, 0.9) AS p90_days, quantile_cont(duration_days, 0.99) AS p99_days,
+             min(duration_days) AS min_days, max(duration_days) AS max_days, stddev_samp(duration_days) AS std_days FROM d)""")
+def q_event_duration_stats(spark, root):
+    """A1 on the second source: view -> next purchase durations (continuous,
+    microsecond precision) with exact sort-based quantiles."""
+    return stats.duration_stats(reliable_checkpoint(S.event_pairs(spark, root)))
+
+
 # ---------------------------------------------------------------------------
 # Models (no SQL oracle)
 # ---------------------------------------------------------------------------
