@@ -29,6 +29,19 @@ from dwell.llm import common, tokens
 MEMO_CHUNKS, MEMO_PAIRS = 600_000, 2_000_000
 
 
+#: Letters and digits of Unicode 17, which the installed ``regex`` module knows and the
+#: tables of the installed tiktoken do not.  A text with one of them is split as tiktoken does.
+NEWER = (
+    r"\u0558\u058b\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c\uab6d"
+    r"\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb"
+    r"\U00011de0-\U00011de9\U00011df1\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ea0-\U00016eb8"
+    r"\U00016ebb-\U00016ed3\U00016ff2-\U00016ff6\U000187f8-\U000187ff\U00018cd6-\U00018cda\U00018d09-\U00018d20"
+    r"\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168\U0001d6a6"
+    r"\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de"
+    r"\U0001e6e0-\U0001e6e2\U0001e6e4\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe\U0001e6ff"
+    r"\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f")
+
+
 class BacktrackEncoder:
     """``ranks``: token bytes to id, ids in merge order; all 256 single bytes must be tokens."""
 
@@ -36,6 +49,9 @@ class BacktrackEncoder:
         import ahocorasick
         import regex
         self.pieces = regex.compile(pattern).findall
+        self.newer = regex.compile(f"[{NEWER}]").search
+        older = pattern.replace(r"\p{L}", rf"[\p{{L}}--[{NEWER}]]").replace(r"\p{N}", rf"[\p{{N}}--[{NEWER}]]")
+        self.older_pieces = regex.compile(older, regex.V1).findall
         self.ranks, self.vocabulary = ranks, {i: b for b, i in ranks.items()}
         self.joined: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
@@ -143,7 +159,8 @@ class BacktrackEncoder:
 
     def _chunk(self, chunk: str) -> bytes:
         out = []
-        for piece in self.pieces(chunk):
+        cut = self.older_pieces if not chunk.isascii() and self.newer(chunk) else self.pieces
+        for piece in cut(chunk):
             ids = self.piece_memo.get(piece)
             if ids is None:
                 ids = array("I", self.encode_piece(piece)).tobytes()

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwell.llm import binary_ids, bpe, common, licenses, line_quality, packing, pii
+from dwell.llm import binary_ids, bpe, common, licenses, line_quality, packing, pii, quality_cnn, rp_forest, substring
 
 
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,23 +27,39 @@ def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.judge(common.documents(spark, sf_dir))
 
 
+def op4_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp_forest.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir).select("doc_id", "text")
+    found = quality_cnn.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.recognise(common.documents(spark, sf_dir))
     return found.select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"))
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring.remove(common.documents(spark, sf_dir).select("doc_id", "text"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(common.documents(spark, sf_dir)).select("doc_id", "text", "n_found", "n_changed")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op2_bit_plane_files, op3_line_frequency, op5_best_fit_packing,
-                                    op8_license_rules, op10_feistel_pseudonyms)}
+    return {f.__name__: f for f in (op1_bpe_round_trip, op2_bit_plane_files, op3_line_frequency, op4_projection_forest,
+                                    op5_best_fit_packing, op6_byte_cnn, op8_license_rules, op9_repeated_passages, op10_feistel_pseudonyms)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_frequency": line_quality.ORACLE_SQL, "op8_license_rules": licenses.ORACLE_SQL}
+    return {"op3_line_frequency": line_quality.ORACLE_SQL, "op8_license_rules": licenses.ORACLE_SQL,
+            "op9_repeated_passages": substring.ORACLE_SQL}
