@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwell.llm import binary_ids, bpe, common, licenses, line_quality, packing, pii, quality_cnn, rp_forest, substring
+from dwell.llm import binary_ids, bpe, common, jaccard_join, licenses, line_quality, packing, pii, quality_cnn, rp_forest, substring
 
 
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op6_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_heavy_light_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(common.documents(spark, sf_dir))
+
+
 def op8_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.recognise(common.documents(spark, sf_dir))
     return found.select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"))
@@ -57,9 +61,10 @@ def op10_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (op1_bpe_round_trip, op2_bit_plane_files, op3_line_frequency, op4_projection_forest,
-                                    op5_best_fit_packing, op6_byte_cnn, op8_license_rules, op9_repeated_passages, op10_feistel_pseudonyms)}
+                                    op5_best_fit_packing, op6_byte_cnn, op7_heavy_light_join, op8_license_rules, op9_repeated_passages, op10_feistel_pseudonyms)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_frequency": line_quality.ORACLE_SQL, "op8_license_rules": licenses.ORACLE_SQL,
+    return {"op3_line_frequency": line_quality.ORACLE_SQL, "op7_heavy_light_join": jaccard_join.ORACLE_SQL,
+            "op8_license_rules": licenses.ORACLE_SQL,
             "op9_repeated_passages": substring.ORACLE_SQL}
