@@ -20,11 +20,13 @@ less than 3/4 shared elements is done.  Which elements are shared or frequent co
 all documents, merged from all slices.  It only overestimates, so no link is lost; its size is
 bounded by MAX_BITS, and a corpus beyond that only writes more candidates.
 
-Candidates are verified in two steps, so that a group of m near copies costs about m checks instead
-of m^2.  First each node is checked against one hub, the most complete node that it shares most
-lists with.  Then only pairs of a list that are not yet joined through a hub are left, and only those
-whose shared elements can suffice.  Every pair that could link two groups is checked exactly on the
-whole sets; nothing is capped.
+Candidates are verified in steps, so that a group of m near copies costs about m checks instead of
+m^2.  First each node is checked against one hub, the most complete node that it shares most lists
+with; this tells how many elements both hold and which the node has besides.  Then only pairs that
+no hub joins are left.  Two nodes of the same hub share at most the lesser of their shares with the
+hub, plus what both hold outside it.  So either these shares suffice alone, or the two must have an
+element outside the hub in common, and such elements are rare.  Every pair that could link two
+groups is checked exactly on the whole sets; nothing is capped.
 
 Defined results: a null or empty text, or one without words, has an empty set, links with nothing
 and is its own component; fewer words than a shingle make one shingle of all; a null id takes no
@@ -224,6 +226,49 @@ def _linked(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.mapInArrow(check, "a long, b long")
 
 
+def _against_hub(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Check each node (a) with its hub (b): ``linked``, ``i``, the number of shared elements, and
+    ``extra``, the elements of the node that the hub does not hold."""
+    sets = nodes.select("id", "n", "elements")
+    left = pairs.join(sets.toDF("a", "n_a", "elements_a"), "a")
+    both = left.join(sets.toDF("b", "n_b", "elements_b"), "b").select("a", "b", "n_a", "n_b", "elements_a", "elements_b")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked, shared, extra = [], [], []
+            for n_a, n_b, x, y in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "elements_a", "elements_b")), strict=True):
+                own = np.frombuffer(x, np.uint64)
+                in_hub = np.isin(own, np.frombuffer(y, np.uint64), assume_unique=True)
+                i = int(in_hub.sum())
+                linked.append(DEN * i >= NUM * (n_a + n_b - i))
+                shared.append(i)
+                extra.append(own[~in_hub].view(np.int64))
+            if linked:
+                lists = common.list_array(np.concatenate(extra), np.array([len(x) for x in extra]), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked), pa.array(shared, pa.int64()), lists],
+                                                 ["id", "hub", "linked", "i", "extra"])
+
+    return both.mapInArrow(check, "id long, hub long, linked boolean, i long, extra array<bigint>")
+
+
+def _mixed(entries_: DataFrame, key: list[str]) -> DataFrame:
+    """The lists that hold nodes of several groups, with the group ``main`` that holds most of each."""
+    sizes = entries_.groupBy(*key, "own").agg(F.count("*").alias("c"))
+    mixed = sizes.groupBy(*key).agg(F.max(F.struct("c", "own")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
+    return entries_.join(mixed.select(*key, F.col("main.own").alias("main")), key)
+
+
+def _may_link():
+    """Entries x (not of the main group) and y of a list: different groups, each pair once, and
+    elements that others hold in sufficient number."""
+    return ((F.col("x.own") != F.col("y.own")) & ((F.col("y.own") == F.col("y.main")) | (F.col("x.id") < F.col("y.id")))
+            & (7 * F.least("x.r", "y.r") >= 3 * (F.col("x.n") + F.col("y.n"))))
+
+
+def _pair() -> list:
+    return [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")]
+
+
 def links(docs: DataFrame, known: DataFrame, size: int = SHINGLE) -> DataFrame:
     """Links (a, b) between nodes, named by their least doc_id, that join all that any link joins."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -245,25 +290,31 @@ def links(docs: DataFrame, known: DataFrame, size: int = SHINGLE) -> DataFrame:
     pairs = (lists.where((F.col("id") != F.col("hub")) & (4 * F.least("n", "hub_n") >= 3 * F.greatest("n", "hub_n")))
              .groupBy("id", "hub").count().groupBy("id").agg(F.max(F.struct("count", (-F.col("hub")).alias("h"))).alias("best"))
              .select(F.col("id").alias("a"), (-F.col("best.h")).alias("b")))
-    starred = common.materialise(_linked(pairs, nodes), "hub-links")
+    met = common.materialise(_against_hub(pairs, nodes), "hub-checks")
+    starred = met.where("linked").select(F.col("id").alias("a"), F.col("hub").alias("b"))
     # a node linked to a hub is in the hub's group; a hub is in its own
     centres = starred.select(F.col("b").alias("id")).distinct()
     group = starred.select(F.col("a").alias("id"), F.col("b").alias("own")).join(centres, "id", "left_anti")
-    grouped = lists.join(group, "id", "left").select("sig", "id", "n", "r", F.coalesce("own", "id").alias("own"))
+    placed = nodes.select("id", "n", "r").join(met.select("id", "hub", "i"), "id", "left").join(group, "id", "left").select(
+        "id", "n", "r", F.coalesce("hub", "id").alias("hub"), F.coalesce("i", "r").alias("i"), F.coalesce("own", "id").alias("own"))
+    # shared elements must suffice for the least overlap with any partner
+    placed = common.materialise(placed.where(7 * F.col("r") >= 3 * (F.col("n") + F.ceil(F.col("n") * 0.75))), "placed")
 
     # step 2: pairs of a list that are in different groups; the largest group meets all others only
-    sizes = grouped.groupBy("sig", "own").agg(F.count("*").alias("c"))
-    mixed = sizes.groupBy("sig").agg(F.max(F.struct("c", "own")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
-    rest = common.materialise(grouped.join(mixed.select("sig", F.col("main.own").alias("main")), "sig"), "mixed-lists")
-    # what can still link: shared elements must suffice for the least overlap of the two sizes
-    least = rest.where(7 * F.col("r") >= 3 * (F.col("n") + F.ceil(F.col("n") * 0.75)))
-    x, y = least.where("own <> main").alias("x"), least.alias("y")
-    can = ((F.col("x.own") != F.col("y.own")) & (F.col("x.id") != F.col("y.id"))
-           & ((F.col("y.own") == F.col("y.main")) | (F.col("x.id") < F.col("y.id")))
-           & (7 * F.least("x.r", "y.r") >= 3 * (F.col("x.n") + F.col("y.n")))
+    rest = common.materialise(_mixed(lists.select("id", "sig").join(placed, "id"), ["sig"]), "mixed-lists")
+    x, y = rest.where("own <> main").alias("x"), rest.alias("y")
+    through_hub = F.least("x.i", "y.i")
+    can = (_may_link() & (F.col("x.hub") != F.col("y.id")) & (F.col("y.hub") != F.col("x.id"))
+           & ((F.col("x.hub") != F.col("y.hub")) | (7 * through_hub >= 3 * (F.col("x.n") + F.col("y.n"))))
            & ((F.col("x.sig").bitwiseAND(1) == 1) | (F.greatest("x.n", "y.n") > light)))
-    left = x.join(y, (F.col("x.sig") == F.col("y.sig")) & can).select(
-        F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    plain = x.join(y, (F.col("x.sig") == F.col("y.sig")) & can).select(*_pair())
+    # step 3: of nodes with the same hub, those that need elements outside the hub, by these elements
+    outside = met.select("id", F.size("extra").alias("e"), F.explode("extra").alias("element")).join(placed, "id")
+    rest = common.materialise(_mixed(outside, ["hub", "element"]), "extra-lists")
+    x, y = rest.where("own <> main").alias("x"), rest.alias("y")
+    can = _may_link() & (7 * (through_hub + F.least("x.e", "y.e")) >= 3 * (F.col("x.n") + F.col("y.n")))
+    extra = x.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.element") == F.col("y.element")) & can).select(*_pair())
+    left = common.materialise(plain.union(extra).distinct(), "pairs-left")
     return starred.unionByName(common.materialise(_linked(left, nodes), "other-links"))
 
 
