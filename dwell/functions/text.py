@@ -167,14 +167,48 @@ def to_number(col: str | Column) -> Column:
 
 
 # F14 / F15 ------------------------------------------------------------------
+def six_digits(col: str | Column) -> Column:
+    """A number as C's ``%g`` prints it: six significant digits, trailing zeros cut, with an
+    exponent below 1e-4 and from 1e6 on.  Java rounds the shortest decimal text half up, C the
+    binary value half to even; from 1 to 1e6 a text that ends in a tie is rounded as C does."""
+    c = _c(col).cast("double")
+    sign = F.when(c < 0, F.lit("-")).otherwise(F.lit(""))
+
+    def parts(text: Column) -> tuple[Column, Column]:
+        return (F.regexp_replace(F.regexp_extract(text, r"^-?([0-9.]+)e", 1), r"\.", ""),
+                F.regexp_extract(text, r"e([+-][0-9]+)$", 1).cast("int"))
+
+    rounded, up_power = parts(F.format_string("%.5e", c))
+    seven_text = F.format_string("%.6e", c)
+    seven, down_power = parts(seven_text)
+    size = F.abs(c)
+    tie = seven.endswith("5") & (seven_text.cast("double") == c) & (size >= 1) & (size < 1_000_000)
+    # the exact fraction in units of 2^-52 against the decimal one, as whole numbers
+    binary = ((size - F.floor(size)) * F.lit(float(2 ** 52))).cast("decimal(16,0)")
+    decimal = F.substr(seven, down_power + 2).cast("decimal(7,0)")
+    scale = F.pow(F.lit(10.0), 6 - down_power).cast("decimal(8,0)")
+    above = binary * scale - decimal * F.lit(2 ** 52).cast("decimal(16,0)")
+    down = tie & ((above < 0) | ((above == 0) & F.substr(seven, F.lit(6), F.lit(1)).isin("0", "2", "4", "6", "8")))
+    digits = F.when(down, F.substr(seven, F.lit(1), F.lit(6))).otherwise(rounded)
+    power = F.when(down, down_power).otherwise(up_power)
+
+    def cut(text: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(text, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    plain = (F.when(power >= 5, digits)
+             .when(power >= 0, cut(F.concat(F.substr(digits, F.lit(1), power + 1), F.lit("."), F.substr(digits, power + 2))))
+             .otherwise(cut(F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits))))
+    lead = cut(F.concat(F.substr(digits, F.lit(1), F.lit(1)), F.lit("."), F.substr(digits, F.lit(2))))
+    scaled = F.concat(lead, F.lit("e"), F.when(power < 0, F.lit("-")).otherwise(F.lit("+")), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    return F.when(c == 0, F.lit("0")).otherwise(F.concat(sign, F.when((power < -4) | (power >= 6), scaled).otherwise(plain)))
+
+
 def display(col: str | Column, dtype: str = "string") -> Column:
-    """null -> "unknown", boolean -> yes/no, number -> shortest decimal text."""
+    """null -> "unknown", boolean -> yes/no, number -> six significant digits."""
     c = _c(col)
     if dtype == "boolean":
         text = F.when(c, F.lit("yes")).otherwise(F.lit("no"))
     elif dtype in ("double", "float", "int", "bigint", "long"):
-        fixed = F.format_string("%.6f", c.cast("double"))
-        text = F.regexp_replace(F.regexp_replace(fixed, r"0+$", ""), r"\.$", "")
+        text = six_digits(c)
     else:
         text = c.cast("string")
     return F.when(c.isNull(), F.lit("unknown")).otherwise(text)

@@ -91,7 +91,7 @@ def fit_encoder(train: DataFrame, spec: FeatureSpec) -> tuple[FoldedLevels, Pipe
 
 
 def _max_bins(spec: FeatureSpec) -> int:
-    return max(32, spec.cap + 2)
+    return max(32, spec.cap + 3)  # cap levels, Other, Missing, and the encoder's bin for unseen ones
 
 
 def fit_regressor(train_x: DataFrame, y: str, loss: str, params: TreeParams, spec: FeatureSpec) -> PipelineModel:

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from .keyed import ROWS_PER_TASK, keyed_lag
 from .pairing import ts_micros
 
@@ -24,7 +25,7 @@ def transitions(df: DataFrame, before: str, after: str) -> DataFrame:
 def copy_agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     """Rows where both copies are present; identical after trim + case fold."""
     both = F.col(a).isNotNull() & F.col(b).isNotNull()
-    same = both & (F.lower(F.trim(F.col(a).cast("string"))) == F.lower(F.trim(F.col(b).cast("string"))))
+    same = both & (F.lower(strip(F.col(a).cast("string"))) == F.lower(strip(F.col(b).cast("string"))))
     return df.agg(F.count_if(both).alias("compared"), F.count_if(same).alias("identical")).withColumns({
         "identical_rate": F.try_divide(F.col("identical"), F.col("compared")),
         "differ": F.col("compared") - F.col("identical")})

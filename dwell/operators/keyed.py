@@ -17,7 +17,7 @@ two small tables are broadcast on a *structural* bound rather than a count:
   ``sum 2 * (n_k / rows_per_task + 1) <= 4 * rows / rows_per_task``.
 
 With the default 4M rows per task that is <= 1M summary rows per 10^12 input
-rows.  Pass ``broadcast=False`` to let the planner choose shuffle joins instead.
+rows.  The planner chooses these joins from sizes; ``broadcast=True`` forces the hint.
 """
 
 from __future__ import annotations
@@ -28,7 +28,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_TASK = 4_000_000
-MAX_BUCKETS = 65_536
 GRID = 256
 
 
@@ -37,7 +36,7 @@ def _maybe_broadcast(df: DataFrame, broadcast: bool) -> DataFrame:
 
 
 def split_hot_keys(df: DataFrame, key: str, micros: Column, rows_per_task: int | None = ROWS_PER_TASK,
-                   max_buckets: int = MAX_BUCKETS, broadcast: bool = True, grid: int = GRID) -> DataFrame:
+                   broadcast: bool = False, grid: int = GRID) -> DataFrame:
     """Input plus ``_b`` (bucket) and ``_hot`` (key is split).
 
     A hot key with ``n`` rows gets ``nb = ceil(n / rows_per_task)`` buckets that
@@ -57,8 +56,7 @@ def split_hot_keys(df: DataFrame, key: str, micros: Column, rows_per_task: int |
            .agg(F.first("_c").alias("_c"), F.min("_m").alias("_lo"), F.max("_m").alias("_hi"),
                 F.percentile_approx("_m", qs, 20 * grid).alias("_bq"))
            .select(key, "_lo", "_hi", "_bq",
-                   F.least(F.ceil(F.col("_c") / F.lit(float(rows_per_task))), F.lit(max_buckets))
-                   .cast("long").alias("_nb")))
+                   F.ceil(F.col("_c") / F.lit(float(rows_per_task))).cast("long").alias("_nb")))
     idx = F.size(F.filter("_bq", lambda b: b <= F.col("_m")))   # cell 0 .. grid-1
     edges = F.concat(F.array("_lo"), F.col("_bq"), F.array(F.col("_hi") + 1))
     left = F.get(edges, idx)
@@ -76,7 +74,7 @@ def split_hot_keys(df: DataFrame, key: str, micros: Column, rows_per_task: int |
 
 def keyed_lag(df: DataFrame, key: str, order: Sequence[str], cols: Sequence[str], micros: Column,
               prefix: str = "prev_", rows_per_task: int | None = ROWS_PER_TASK,
-              broadcast: bool = True) -> DataFrame:
+              broadcast: bool = False) -> DataFrame:
     """``lag(col, 1)`` over ``partitionBy(key).orderBy(order)`` for each of ``cols``
     (``order`` must start with the time that ``micros`` measures and end in a
     unique tie-break), computed over (key, bucket) windows; the first row of a

@@ -1,6 +1,6 @@
 """Equi-join lookups (J4-J10).  Every lookup table here is an aggregate whose
-size is bounded by a parameter (cells, levels, groups, features), checked before
-it is broadcast; beyond the bound the planner picks a shuffle join."""
+size is bounded by a parameter (cells, levels, groups, features); the planner
+chooses the join from the sizes."""
 
 from __future__ import annotations
 
@@ -10,9 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clip_days
-from ..session import broadcast_if_small
-
-MAX_LOOKUP_ROWS = 1_000_000
 
 
 def group_median_table(df: DataFrame, keys: Sequence[str], y: str) -> DataFrame:
@@ -25,28 +22,18 @@ def group_median_table(df: DataFrame, keys: Sequence[str], y: str) -> DataFrame:
 def lookup_with_fallback(df: DataFrame, table: DataFrame, keys: Sequence[str], value: str,
                          default: Column, out: str, lo: float = 0.0, hi: float = 365.0) -> DataFrame:
     """Left lookup of a cell value; unseen cell -> ``default``; then clipped."""
-    t = broadcast_if_small(table.select(*keys, F.col(value).alias("_v")), MAX_LOOKUP_ROWS)
+    t = table.select(*keys, F.col(value).alias("_v"))
     return df.join(t, list(keys), "left").withColumn(
         out, clip_days(F.coalesce(F.col("_v"), default), lo, hi)).drop("_v")
 
 
 def unseen_cell_rate(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Share of rows whose cell is absent from ``table``."""
-    t = broadcast_if_small(table.select(*keys).distinct().withColumn("_seen", F.lit(True)), MAX_LOOKUP_ROWS)
+    t = table.select(*keys).distinct().withColumn("_seen", F.lit(True))
     return df.join(t, list(keys), "left").agg(
         F.avg(F.col("_seen").isNull().cast("double")).alias("unseen_cell_rate"))
 
 
-def fold_levels(df: DataFrame, col: str, levels: DataFrame, out: str | None = None,
-                missing: str = "Missing", other: str = "Other") -> DataFrame:
-    """Null -> ``missing``; a value outside ``levels`` (column ``value``) -> ``other``."""
-    out = out or col
-    lv = broadcast_if_small(levels.select(F.col("value").alias("_lv")).distinct(), MAX_LOOKUP_ROWS)
-    text = F.col(col).cast("string")
-    joined = df.join(lv, text == F.col("_lv"), "left")
-    return joined.withColumn(out, F.when(text.isNull(), F.lit(missing))
-                             .when(F.col("_lv").isNull(), F.lit(other)).otherwise(text)).drop("_lv")
-
 
 def counterfactual_expand(df: DataFrame, features: Sequence[str], reference: Mapping[str, object],
                           id_col: str) -> DataFrame:
@@ -65,7 +52,7 @@ def counterfactual_expand(df: DataFrame, features: Sequence[str], reference: Map
 
 def attach_reliability(df: DataFrame, group: str, reliability: DataFrame) -> DataFrame:
     """Left lookup by group; a group without figures gets ``reliable`` null."""
-    rel = broadcast_if_small(reliability.select(F.col("group").alias(group), "reliable", "lift"), MAX_LOOKUP_ROWS)
+    rel = reliability.select(F.col("group").alias(group), "reliable", "lift")
     return df.join(rel, group, "left")
 
 

@@ -31,8 +31,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import wall_clock
-from .keyed import MAX_BUCKETS, ROWS_PER_TASK, split_hot_keys
+from ..functions.text import strip, wall_clock
+from .keyed import ROWS_PER_TASK, split_hot_keys
 
 START, END = 0, 1
 STATUS_PAIRED = "paired"
@@ -66,7 +66,7 @@ def prepare_starts(raw: DataFrame, key: str, ts_text: str, ts_out: str,
     (or blank) key or unparseable time are removed (count them with
     :func:`dwell.operators.ledger.unusable_count`)."""
     key_out = key_out or key
-    cols = [F.nullif(F.trim(F.col(key).cast("string")), F.lit("")).alias(key_out),
+    cols = [F.nullif(strip(F.col(key).cast("string")), F.lit("")).alias(key_out),
             _parse_ts(raw, ts_text).alias(ts_out)]
     cols += [F.col(c) for c in keep]
     cols += [(F.col(c) if c in raw.columns else F.lit(None).cast("string")).alias(c) for c in optional]
@@ -78,7 +78,7 @@ def prepare_ends(raw: DataFrame, key: str, ts_text: str, ts_out: str,
     """Exactly two columns leave this function (structural leakage guard);
     Catalyst prunes every other column out of the scan."""
     key_out = key_out or key
-    out = raw.select(F.nullif(F.trim(F.col(key).cast("string")), F.lit("")).alias(key_out),
+    out = raw.select(F.nullif(strip(F.col(key).cast("string")), F.lit("")).alias(key_out),
                      _parse_ts(raw, ts_text).alias(ts_out))
     return drop_missing(out, [key_out, ts_out])
 
@@ -121,7 +121,7 @@ def filter_duration(df: DataFrame, col: str = "duration_days", lo: float = 0.0,
 def pair_status(starts: DataFrame, ends: DataFrame, key: str, start_ts: str, end_ts: str,
                 seq: str | None = None, end_seq: str | None = None,
                 end_payload: Sequence[str] = (), rows_per_task: int | None = ROWS_PER_TASK,
-                max_buckets: int = MAX_BUCKETS, broadcast: bool = True) -> DataFrame:
+                broadcast: bool = False) -> DataFrame:
     """Every usable start with its pairing outcome.
 
     Returns the start columns plus ``end_ts`` (the paired end, null unless
@@ -147,7 +147,7 @@ def pair_status(starts: DataFrame, ends: DataFrame, key: str, start_ts: str, end
                    end_seq_col.alias("_seq"), ts_micros(e, end_ts).alias("_m"),
                    F.lit(None).cast(s_u.schema["_s"].dataType).alias("_s"),
                    *([F.struct(*[F.col(c) for c in end_payload]).alias("_e")] if with_payload else []))
-    u = split_hot_keys(s_u.unionByName(e_u), "_k", F.col("_m"), rows_per_task, max_buckets, broadcast)
+    u = split_hot_keys(s_u.unionByName(e_u), "_k", F.col("_m"), rows_per_task, broadcast)
 
     # reversed merged order: the row just *before* a start is the event just *after* it
     rev = Window.partitionBy("_k", "_b").orderBy(F.col("_t").desc(), F.col("_side").desc(),

@@ -36,7 +36,6 @@ def _cols(order: Sequence[str | Column]) -> list[Column]:
 
 
 ROWS_PER_RANGE = 1_000_000
-MAX_RANGES = 200_000
 
 
 def range_sorted(df: DataFrame, order: Sequence[str | Column], partitions: int | None = None) -> DataFrame:
@@ -51,7 +50,7 @@ def range_sorted(df: DataFrame, order: Sequence[str | Column], partitions: int |
     try:
         if not partitions:
             n = cached.count()
-            partitions = max(1, min(MAX_RANGES, -(-n // ROWS_PER_RANGE)))
+            partitions = max(1, -(-n // ROWS_PER_RANGE))
         return reliable_checkpoint(cached.repartitionByRange(partitions, *cols).sortWithinPartitions(*cols))
     finally:
         cached.unpersist(blocking=False)
@@ -207,43 +206,38 @@ def rank_preserving(df: DataFrame, before: str, after: str, out: str = "no_inver
 
 
 # ---------------------------------------------------------------------------
-# Exact quantiles by one distributed sort (no per-group value map)
+# Exact quantiles from sorted value counts (no per-group value map)
 # ---------------------------------------------------------------------------
 
 def group_quantiles(df: DataFrame, value: str | Column, qs: Sequence[float], names: Sequence[str],
-                    by: Sequence[str] = (), partitions: int | None = None, seed: int = 17) -> DataFrame:
+                    by: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
     """Exact, linearly interpolated quantiles of ``value`` per group of ``by``
     (the whole frame when ``by`` is empty) - the same numbers as NumPy's default
     / SQL ``quantile_cont``.
 
     Spark's exact ``percentile`` keeps every distinct value of a group in one
-    map in one task; here the values are ranked by one range-partitioned sort
-    (a random tie-break spreads a heavy value over partitions), the group sizes
-    come from a partial aggregation, and only the <= 2 * len(qs) rows per group
-    that sit at the interpolation positions are fetched, by an equi-join on the
-    unique rank.  Output: ``by`` columns plus ``names``; nulls/NaN are ignored;
-    a group with no values gets no row."""
+    map in one task; here rows are first counted per (group, value) with a
+    partial aggregation, so a heavy value is one row and no tie-break is needed.
+    Only these counts are sorted by range and summed along the order; a value
+    holds the ranks from its running sum on, and the values that hold an
+    interpolation position are picked in one aggregate.  Output: ``by`` columns
+    plus ``names``; nulls/NaN are ignored; a group with no values gets no row."""
     v = F.col(value) if isinstance(value, str) else value
     g = F.struct(*[F.col(b) for b in by]) if by else F.lit(0)
-    d = (df.select(g.alias("_gq_g"), v.cast("double").alias("_gq_v"))
-         .where(F.col("_gq_v").isNotNull() & ~F.isnan("_gq_v"))
-         .withColumn("_gq_tb", F.rand(seed)))
-    ranked = global_row_number(d, ["_gq_g", "_gq_v", "_gq_tb"], "_gq_r", partitions)
-    groups = ranked.groupBy("_gq_g").agg(F.min("_gq_r").alias("_gq_first"), F.count(F.lit(1)).alias("_gq_n"))
-    pos = []
-    for q in qs:
-        h = (F.col("_gq_n") - 1).cast("double") * F.lit(float(q))
-        pos += [F.col("_gq_first") + F.floor(h).cast("long"), F.col("_gq_first") + F.ceil(h).cast("long")]
-    targets = groups.select("_gq_g", "_gq_first", "_gq_n", F.explode(F.array_distinct(F.array(*pos))).alias("_gq_r"))
-    hits = ranked.select("_gq_r", "_gq_v").join(targets, "_gq_r")
+    d = df.select(g.alias("_gq_g"), v.cast("double").alias("_gq_v")).where(F.col("_gq_v").isNotNull() & ~F.isnan("_gq_v"))
+    counts = d.groupBy("_gq_g", "_gq_v").agg(F.count(F.lit(1)).alias("_gq_c"))
+    ranked = prefix_aggregate(counts, ["_gq_g", "_gq_v"], {"_gq_end": ("sum", "_gq_c")}, True, partitions)
+    ranked = ranked.withColumn("_gq_start", F.col("_gq_end") - F.col("_gq_c"))
+    groups = ranked.groupBy(F.col("_gq_g").alias("_gq_h")).agg(F.min("_gq_start").alias("_gq_first"), F.sum("_gq_c").alias("_gq_n"))
+    held = ranked.join(groups, F.col("_gq_g").eqNullSafe(F.col("_gq_h")))
     cols = []
     for q, name in zip(qs, names):
         h = (F.col("_gq_n") - 1).cast("double") * F.lit(float(q))
-        lo_r = F.col("_gq_first") + F.floor(h).cast("long")
-        hi_r = F.col("_gq_first") + F.ceil(h).cast("long")
-        lo_v = F.max(F.when(F.col("_gq_r") == lo_r, F.col("_gq_v")))
-        hi_v = F.max(F.when(F.col("_gq_r") == hi_r, F.col("_gq_v")))
-        frac = F.first(h - F.floor(h))
+
+        def at(rank: Column) -> Column:
+            r = F.col("_gq_first") + rank.cast("long")
+            return F.max(F.when((F.col("_gq_start") <= r) & (r < F.col("_gq_end")), F.col("_gq_v")))
+        lo_v, hi_v, frac = at(F.floor(h)), at(F.ceil(h)), F.first(h - F.floor(h))
         cols.append((lo_v + frac * (hi_v - lo_v)).alias(name))
-    out = hits.groupBy("_gq_g").agg(*cols)
+    out = held.groupBy("_gq_g").agg(*cols)
     return out.select(*[F.col(f"_gq_g.{b}").alias(b) for b in by], *names) if by else out.select(*names)

@@ -120,7 +120,8 @@ def censoring_horizon(df: DataFrame, end_ts: str = "end_ts") -> DataFrame:
 
 def year_span(df: DataFrame, ts: str = "start_ts") -> DataFrame:
     """Whole days between first and last start, in years of 365.25 days."""
-    return df.agg((F.datediff(F.max(ts), F.min(ts)) / F.lit(365.25)).alias("years_covered"))
+    seconds = F.timestamp_diff("SECOND", F.min(ts), F.max(ts))
+    return df.agg((F.floor(seconds / F.lit(86400)) / F.lit(365.25)).alias("years_covered"))
 
 
 def level_range(levels: DataFrame, value: str = "median_days") -> DataFrame:

@@ -1,5 +1,4 @@
-"""Session helpers: a local session for tests/bench, checkpoint directory handling,
-and size-checked broadcasting."""
+"""Session helpers: a local session for tests/bench, and checkpoint directory handling."""
 
 from __future__ import annotations
 
@@ -7,7 +6,6 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
@@ -74,28 +72,3 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
         return cached.checkpoint(eager=True)
     finally:
         cached.unpersist(blocking=False)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int, known_rows: int | None = None) -> DataFrame:
-    """Broadcast ``df`` only when its row count is proven to be ``<= max_rows``.
-
-    ``known_rows`` lets a caller pass a bound it already computed; otherwise the
-    rows are counted (a small job over an already-aggregated frame).  Beyond the
-    bound the frame is returned unhinted and the planner picks a shuffle join.
-    """
-    n = known_rows if known_rows is not None else df.count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def default_parallelism(spark: SparkSession) -> int:
-    try:
-        return int(spark.conf.get("spark.sql.shuffle.partitions"))
-    except Exception:  # pragma: no cover
-        return spark.sparkContext.defaultParallelism
-
-
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default

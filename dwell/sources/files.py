@@ -27,12 +27,15 @@ def text_schema(columns: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
 
 
-def read_raw_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """Header CSV, every column a string; "NA" / "NULL" stay text."""
-    return (spark.read.schema(text_schema(columns))
-            .option("header", True).option("nullValue", "").option("emptyValue", "")
-            .option("escape", '"').option("multiLine", True).option("mode", "PERMISSIVE")
-            .csv(path))
+def read_raw_csv(spark: SparkSession, path: str, columns: Sequence[str], multi_line: bool = False) -> DataFrame:
+    """Header CSV, every column a string; "NA" / "NULL" stay text.  Columns are
+    read by the header's names, in whatever order the file has them; a column that the
+    file lacks is null.  ``multi_line`` allows line breaks in values, and makes each
+    file one task.  The files of ``path`` must share one header."""
+    reader = (spark.read.option("header", True).option("inferSchema", False).option("nullValue", "").option("emptyValue", "")
+              .option("escape", '"').option("multiLine", multi_line).option("mode", "PERMISSIVE").option("enforceSchema", False))
+    raw = reader.csv(path)
+    return raw.select(*[(F.col(f"`{c}`") if c in raw.columns else F.lit(None).cast("string")).alias(c) for c in columns])
 
 
 def read_feed_pages(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:

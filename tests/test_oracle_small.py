@@ -23,7 +23,7 @@ def con():
 
 def _norm(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else round(v, 5)
+        return "nan" if math.isnan(v) else v
     return v.isoformat() if hasattr(v, "isoformat") else v
 
 
