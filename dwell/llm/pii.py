@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 #: Rounds of the network.
 ROUNDS = 4
-#: Days of 1900 to 2099 are 319 times 229, so a day is a pair (a, b) and no cycle-walking is needed.
-_DAYS_A, _DAYS_B = 319, 229
+#: Days of 1900 to 2099 are 4297 times 17, so a day is a pair (a, b) and no cycle-walking is needed.
+_DAYS_A, _DAYS_B = 4297, 17
 
 #: One pattern per kind, in order of precedence: what stands before, the value, what follows.
 #: Java regular expressions.
