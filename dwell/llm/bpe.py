@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +54,7 @@ class BacktrackEncoder:
         older = pattern.replace(r"\p{L}", rf"[\p{{L}}--[{NEWER}]]").replace(r"\p{N}", rf"[\p{{N}}--[{NEWER}]]")
         self.older_pieces = regex.compile(older, regex.V1).findall
         self.ranks, self.vocabulary = ranks, {i: b for b, i in ranks.items()}
+        self.sizes = {i: len(b) for b, i in ranks.items()}
         self.joined: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         self.shorter: dict[int, int] = {}  # the longest token that is a proper prefix
@@ -123,39 +125,52 @@ class BacktrackEncoder:
         longest = [-1] * len(data)
         for end, (i, n) in self.automaton.iter(data.decode("latin-1")):
             longest[end - n + 1] = i  # ends ascend, so the last one at a start is the longest
-        size = [len(self.vocabulary[i]) if i >= 0 else 0 for i in longest]
+        sizes, shorter, known, last_at = self.sizes, self.shorter, self.pairs, len(data)
         out: list[int] = []
-        dead = bytearray(len(data) + 1)
-        at, token, n = 0, longest[0], size[0]
-        while at < len(data):
-            while token >= 0 and (dead[at + n] or (out and not self.compatible(out[-1], token))):
-                token = self.shorter[token]
-                n = len(self.vocabulary[token]) if token >= 0 else 0
+        dead = bytearray(last_at + 1)
+        at, token, before = 0, longest[0], -1
+        while at < last_at:
+            while token >= 0:
+                if not dead[at + sizes[token]]:
+                    if before < 0:
+                        break
+                    fits = known.get((before, token))
+                    if fits is None:
+                        fits = self.compatible(before, token)
+                        known = self.pairs
+                    if fits:
+                        break
+                token = shorter[token]
             if token >= 0:
                 out.append(token)
-                at += n
-                if at < len(data):
-                    token, n = longest[at], size[at]
+                at += sizes[token]
+                before, token = token, longest[at] if at < last_at else -1
             else:
                 dead[at] = 1
                 last = out.pop()
-                at -= len(self.vocabulary[last])
-                token = self.shorter[last]
-                n = len(self.vocabulary[token]) if token >= 0 else 0
+                at -= sizes[last]
+                token, before = shorter[last], out[-1] if out else -1
         return out
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit bytes."""
         parts = tokens.chunks(text, keep_space=True)
         memo = self.memo
-        for part in parts:
-            if part not in memo:
-                if len(memo) > MEMO_CHUNKS:
-                    memo.clear()
-                    self.piece_memo.clear()
-                    return self.encode(text) if len(set(parts)) <= MEMO_CHUNKS else b"".join(map(self._chunk, parts))
-                memo[part] = self._chunk(part)
-        return b"".join(map(memo.__getitem__, parts))
+        if len(memo) > MEMO_CHUNKS:
+            memo.clear()
+            self.piece_memo.clear()
+        try:
+            return b"".join(map(memo.__getitem__, parts))
+        except KeyError:
+            out = []
+            for part in parts:
+                ids = memo.get(part)
+                if ids is None:
+                    ids = self._chunk(part)
+                    if len(memo) <= MEMO_CHUNKS:
+                        memo[part] = ids
+                out.append(ids)
+            return b"".join(out)
 
     def _chunk(self, chunk: str) -> bytes:
         out = []
@@ -210,7 +225,9 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                decoded = pa.array([coder.decode(x) for x in part.column("ids").to_pylist()], type=pa.binary())
+                ids = part.column("ids")
+                flat, edges = ids.flatten().to_numpy().tolist(), np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy())]).tolist()
+                decoded = pa.array([coder.decode(flat[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)], type=pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, decoded], [*part.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, _columns(encoded) + ", decoded binary")
