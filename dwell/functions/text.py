@@ -214,13 +214,23 @@ def display(col: str | Column, dtype: str = "string") -> Column:
     return F.when(c.isNull(), F.lit("unknown")).otherwise(text)
 
 
-def reliability_message(group: str | Column, reliable: str | Column, lift: str | Column) -> Column:
-    """one sentence per row, three cases (unknown group, reliable, not)."""
-    g, r, lf = _c(group), _c(reliable), _c(lift)
-    return (F.when(r.isNull(), F.format_string("No reliability figures for %s.", g))
-            .when(r, F.format_string("Ranking for %s is reliable (lift %.2f).", g, lf))
+def reliability_message(group: str | Column, reliable: str | Column, lift: str | Column, pr_auc: str | Column,
+                        base_rate: str | Column, min_lift: str | Column) -> Column:
+    """one sentence per row with the group's figures, three cases (not measured, reliable, not)."""
+    g, r, lf = F.coalesce(_c(group).cast("string"), F.lit("unknown")), _c(reliable), _c(lift)
+    ap, base, least = _c(pr_auc), _c(base_rate) * 100, _c(min_lift)
+    return (F.when(r.isNull(), F.format_string("No reliability figures for %s: the score is unverified.", g))
+            .when(r, F.format_string(
+                "Ranking for %s is reliable: %.1f times better than chance (PR-AUC %.3f, base rate %.1f%%).", g, lf, ap, base))
             .otherwise(F.format_string(
-                "Ranking for %s is weak (lift %.2f); treat the score as a rough signal.", g, lf)))
+                "Ranking for %s is weak: PR-AUC %.3f at a base rate of %.1f%%, %.2f times chance and below the %.1f "
+                "held usable; treat the score as a guess.", g, ap, base, lf, least)))
+
+
+def day_estimate_caveat(r2: float) -> Column:
+    """The sentence beside every day estimate, with the model's R2."""
+    return F.lit(f"Indicative only: on these features the day estimate does no better than a constant (R2 = {r2:.3f})."
+                 if r2 <= 0 else f"Indicative only: the day estimate explains a part of the variation (R2 = {r2:.3f}).")
 
 
 # F20 ------------------------------------------------------------------------

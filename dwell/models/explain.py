@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import metrics as M
 from ..operators import ranking
 from .features import FeatureSpec, prepare
-from .train import Bundle, TreeParams, fit_classifier, fit_encoder, predict_probability
+from .train import Bundle, TreeParams, fit_classifier, fit_encoder, predict_days, predict_probability
 
 
 def _variants(x: DataFrame, spec: FeatureSpec, keep: Sequence[str], donor: Callable[[str], object]) -> DataFrame:
@@ -52,9 +52,11 @@ def drivers(df: DataFrame, bundle: Bundle, id_col: str, k: int = 6, min_pp: floa
 
 
 def permutation_importance(df: DataFrame, bundle: Bundle, model: str, id_col: str, y: str,
-                           repeats: int = 10, seed: int = 0) -> DataFrame:
-    """Increase of MAE (regressor) or drop of average precision (classifier)
-    when one feature is shuffled; mean and population std over ``repeats``.
+                           repeats: int = 10, seed: int = 0, loss: str = "absolute",
+                           smearing: float | None = None) -> DataFrame:
+    """Increase of MAE in days (regressor) or drop of average precision (classifier)
+    when one feature is shuffled; mean and population std over ``repeats``.  ``loss`` and
+    ``smearing`` tell how a regressor's answer becomes days, as in ``predict_days``.
 
     Shuffles are seeded permutations: one global rank over (repeat, hash(id,
     seed, repeat)) gives every row of every repeat a donor row; one join pairs
@@ -78,14 +80,12 @@ def permutation_importance(df: DataFrame, bundle: Bundle, model: str, id_col: st
     x = bundle.features(allv, [id_col, y, "repeat", "feature"])
     if model == "classifier":
         scored = predict_probability(x, bundle.models["classifier"], "_s")
-        scored = scored.withColumn("_grp", F.concat_ws("|", F.coalesce("feature", F.lit("")), F.col("repeat").cast("string")))
+        scored = scored.withColumn("_grp", F.struct(F.coalesce("feature", F.lit("")).alias("feature"), "repeat"))
         per = M.classifier_by_group(scored, "_grp", "_s", y, min_n=1, min_pos=1).select(
-            F.col("group").alias("_grp"), F.col("pr_auc").alias("_metric"))
-        per = per.select(F.split("_grp", r"\|").getItem(0).alias("feature"),
-                         F.split("_grp", r"\|").getItem(1).cast("int").alias("repeat"), "_metric")
+            "group.feature", "group.repeat", F.col("pr_auc").alias("_metric"))
         sign = -1.0  # importance = drop of AP
     else:
-        scored = bundle.models[model].transform(x).withColumn("_s", F.col("_raw_pred"))
+        scored = predict_days(x, bundle.models[model], loss, "_s", smearing)
         per = scored.groupBy("feature", "repeat").agg(F.avg(F.abs(F.col("_s") - F.col(y))).alias("_metric"))
         sign = 1.0  # importance = rise of MAE
     basem = per.where(F.col("repeat") == -1).select(F.col("_metric").alias("_base"))

@@ -6,7 +6,8 @@ checkpointed once so the blocks do not re-run the pairing or the models.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,7 @@ def classifier_report(valid: DataFrame, test: DataFrame, score: str, label: str,
     blocks["ece"] = M.expected_calibration_error(blocks["reliability"])
     if group:
         blocks["by_group"] = M.classifier_by_group(test, group, score, label)
+        blocks["operating_point_by_group"] = M.operating_point_by_group(test, group, score, label, threshold)
     return blocks
 
 
@@ -51,23 +53,28 @@ def build_report(scored_test: DataFrame, y: str, y_pred: str, tie: str, levels:
     return out
 
 
-def findings(stays: DataFrame, flag: str, level: str, level_values: Sequence[str],
-             y: str = "duration_days") -> DataFrame:
-    """(finding, stat, value) rows from the load share, the flag timing
-    evidence and two level rates (J10 lookups)."""
-    ls = B.load_share(stays, y).select(
-        F.lit("load_share").alias("finding"),
-        F.create_map(F.lit("quick_exit_share_of_animals"), F.col("quick_exit_share_of_animals"),
-                     F.lit("long_stay_share_of_animal_days"), F.col("long_stay_share_of_animal_days")).alias("m"))
-    ft = B.flag_timing_summary(stays, flag, y).select(
-        F.lit("flag_timing").alias("finding"),
-        F.create_map(F.lit("flag_rate_among_long"), F.col("flag_rate_among_long"),
-                     F.lit("flag_rate_among_rest"), F.col("flag_rate_among_rest")).alias("m"))
-    bd = B.breakdown(stays, level, y)
-    pairs = []
-    for v in level_values:
-        stat = "long_rate_" + v.lower().replace("-", "_").replace(" ", "_")
-        pairs += [F.lit(stat), F.max(F.when(F.col("value") == F.lit(v), F.col("long_stay_rate")))]
-    lv = bd.agg(F.create_map(*pairs).alias("m")).select(F.lit("priority").alias("finding"), "m")
-    allm = ls.unionByName(ft).unionByName(lv)
-    return allm.select("finding", F.explode("m").alias("stat", "value"))
+def _stat_rows(finding: str, row: DataFrame, stats: Sequence[str]) -> DataFrame:
+    """A one-row block as (finding, level, stat, value) rows; level is null."""
+    pairs = [x for s in stats for x in (F.lit(s), F.col(s).cast("double"))]
+    return row.select(F.lit(finding).alias("finding"), F.lit(None).cast("string").alias("level"), F.explode(F.create_map(*pairs)).alias("stat", "value"))
+
+
+def findings(stays: DataFrame, flag: str, levels: Mapping[str, str], controls: Sequence[str], y: str = "duration_days",
+             y_pred: str = "y_pred", score: str = "score", label: str = "is_long") -> DataFrame:
+    """The numbers behind every finding as (finding, level, stat, value) rows: who consumes the
+    load; the flag's raw and controlled effect; when the flag appears; how well duration is predicted;
+    and for each breakdown in ``levels`` (finding -> column) the figures of all its levels."""
+    t = reliable_checkpoint(stays)
+    fixed = [_stat_rows("load_share", B.load_share(t, y), [
+                 "quick_exit_share_of_animals", "quick_exit_share_of_animal_days", "long_stay_share_of_animals",
+                 "long_stay_share_of_animal_days", "long_stay_mean_days"]),
+             _stat_rows("flag_effect", B.controlled_effect(t, flag, controls, y), [
+                 "raw_difference_pp", "controlled_difference_pp", "ci95_low_pp", "ci95_high_pp"]),
+             _stat_rows("flag_timing", B.flag_timing_summary(t, flag, y), ["flag_rate_among_long", "flag_rate_among_rest"]),
+             _stat_rows("duration", M.core_metrics(t, y, y_pred), ["mae_days", "r2"]),
+             _stat_rows("duration", M.classifier_metrics(t, score, label), ["pr_auc", "pr_auc_lift"])]
+    for finding, column in levels.items():
+        pairs = [x for s in ("n", "median_days", "long_stay_rate") for x in (F.lit(s), F.col(s).cast("double"))]
+        fixed.append(B.breakdown(t, column, y).select(F.lit(finding).alias("finding"), F.col("value").alias("level"),
+                                                      F.explode(F.create_map(*pairs)).alias("stat", "value")))
+    return reduce(DataFrame.unionByName, fixed)

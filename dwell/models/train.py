@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import age_band, clip_days
 from ..operators import lookup, ranking
+from ..operators.breakdown import unpivot_levels
 from .features import CAP, FeatureSpec, FoldedLevels, encoder, fit_levels, prepare
 
 SEED = 20260816
@@ -156,11 +157,13 @@ def predict_probability(x: DataFrame, model: PipelineModel, out: str = "probabil
 
 
 def fit_isotonic(valid_scored: DataFrame, score: str, label: str) -> PipelineModel:
-    """M8: monotone map from raw score to observed rate, fitted on validation."""
+    """M8: monotone map from raw score to observed rate, fitted on validation.  MLlib pools the
+    points in the driver, so equal scores are first one weighted point."""
     from pyspark.ml.feature import VectorAssembler
-    iso = IsotonicRegression(featuresCol="_s", labelCol="_y", predictionCol="_cal", isotonic=True)
+    iso = IsotonicRegression(featuresCol="_s", labelCol="_y", predictionCol="_cal", weightCol="_w", isotonic=True)
     pipe = Pipeline(stages=[VectorAssembler(inputCols=[score], outputCol="_s"), iso])
-    return pipe.fit(valid_scored.withColumn("_y", F.col(label).cast("double")))
+    points = valid_scored.groupBy(score).agg(F.avg(F.col(label).cast("double")).alias("_y"), F.count(F.lit(1)).cast("double").alias("_w"))
+    return pipe.fit(points)
 
 
 def calibrate(df: DataFrame, iso: PipelineModel, out: str = "calibrated") -> DataFrame:
@@ -169,9 +172,13 @@ def calibrate(df: DataFrame, iso: PipelineModel, out: str = "calibrated") -> Dat
 
 def fit_reference_row(train: DataFrame, spec: FeatureSpec) -> dict:
     """A10: numeric -> median; other -> most frequent non-null value (smallest on
-    ties).  One aggregate, one row."""
-    row = train.agg(*[F.mode(F.col(c), deterministic=True).alias(c) for c in spec.level_columns]).first().asDict() \
-        if spec.level_columns else {}
+    ties).  Values are counted first, so no task holds a column's value map."""
+    row = {}
+    if spec.level_columns:
+        counts = unpivot_levels(train, spec.level_columns, []).where(F.col("value").isNotNull()).groupBy("column", "value").count()
+        best = counts.agg(*[F.min(F.when(F.col("column") == c, F.struct(
+            (-F.col("count")).alias("c"), F.col("value").cast(train.schema[c].dataType).alias("v"))))["v"].alias(c) for c in spec.level_columns])
+        row = best.first().asDict()
     for c in spec.numeric:
         med = ranking.group_quantiles(train, c, [0.5], ["m"]).first()
         row[c] = med[0] if med else None

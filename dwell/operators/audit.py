@@ -101,6 +101,11 @@ def split_violations(summary: DataFrame) -> DataFrame:
     return s.where((F.col("rows") == 0) | (F.col("min_start") <= F.col("_prev_max")))
 
 
+def in_no_period(labelled: DataFrame, split: str = "split") -> DataFrame:
+    """Q7: rows that fall in none of the periods (empty if the periods cover everything)."""
+    return labelled.where(F.col(split).isNull())
+
+
 def verify_pairs(pairs: DataFrame, ends: DataFrame, key: str, start_ts: str, end_ts: str,
                  rows_per_task: int | None = ROWS_PER_TASK) -> DataFrame:
     """Q5, independent of the pairing window: each kept pair's end must be the

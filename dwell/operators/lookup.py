@@ -51,8 +51,9 @@ def counterfactual_expand(df: DataFrame, features: Sequence[str], reference: Map
 
 
 def attach_reliability(df: DataFrame, group: str, reliability: DataFrame) -> DataFrame:
-    """Left lookup by group; a group without figures gets ``reliable`` null."""
-    rel = reliability.select(F.col("group").alias(group), "reliable", "lift")
+    """Left lookup of a group's figures (output of ``metrics.group_reliability``); a group
+    without figures gets nulls."""
+    rel = reliability.select(F.col("group").alias(group), "reliable", "lift", "pr_auc", "base_rate", "min_lift")
     return df.join(rel, group, "left")
 
 

@@ -239,9 +239,14 @@ def expected_calibration_error(table: DataFrame) -> DataFrame:
     return table.agg((F.sum(F.col("n") * gap) / F.sum("n")).alias("ece"))
 
 
-def fit_smearing(df: DataFrame, y: str, f_log: str) -> DataFrame:
+def fit_smearing(df: DataFrame, y: str, f_log: str, target: str = "log1p", quantile: float | None = None) -> DataFrame:
     """Duan smearing factor S = mean(exp(log1p(y) - f)), population std of the
-    log residual, n."""
+    log residual, n.  Refused where the factor has no meaning: for a model of a quantile,
+    which needs no correction of the mean, and for one that was not fitted on log1p(y)."""
+    if quantile is not None:
+        raise ValueError(f"smearing corrects a mean; this model predicts the {quantile} quantile")
+    if target != "log1p":
+        raise ValueError(f"smearing needs a model fitted on log1p(y), not on {target!r}")
     r = F.log1p(F.col(y)) - F.col(f_log)
     return df.agg(F.avg(F.exp(r)).alias("smearing_factor"), F.stddev_pop(r).alias("residual_std"),
                   F.count(F.lit(1)).alias("n"))
@@ -259,6 +264,36 @@ def clipping_counts(df: DataFrame, before: str, after: str, lo: float = 0.0, hi:
                           + F.col("clipped_at_floor_after") - F.col("clipped_at_floor_before"))
 
 
+def smearing_comparison(df: DataFrame, y: str, before: str, after: str, tie: str) -> DataFrame:
+    """One row with the errors before and after a correction, whether it keeps the order and
+    the decile of every row, the rank correlation, and the rows at the floor and the ceiling."""
+    from .breakdown import _one_row
+    cols = [before, after]
+    wide = compare_variants(df, y, cols, tie).groupBy().pivot("variant", cols).agg(
+        F.first("mae_days").alias("mae"), F.first("mean_bias_days").alias("bias"), F.first("r2").alias("r2"))
+    d1 = with_deciles(df.select(tie, before), before, tie, out="_d1").select(tie, "_d1")
+    d2 = with_deciles(df.select(tie, after), after, tie, out="_d2").select(tie, "_d2")
+    same = d1.join(d2, tie).agg(F.bool_and(F.col("_d1") == F.col("_d2")).alias("decile_assignment_identical"))
+    return _one_row(wide, ranking.rank_preserving(df, before, after),
+                    ranking.spearman(df, before, after, "spearman_correlation"), same, clipping_counts(df, before, after))
+
+
+def operating_point_by_group(df: DataFrame, group: str, score: str, label: str, threshold: float,
+                             min_n: int = 50, min_pos: int = 5) -> DataFrame:
+    """A25 per group (the second half of A35): one aggregate, groups with n < min_n or
+    positives < min_pos skipped."""
+    hit, yv = F.col(score) >= F.lit(float(threshold)), F.col(label) == 1
+    g = df.groupBy(F.col(group).alias("group")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(yv).alias("positives"), F.count_if(hit).alias("flagged"),
+        F.count_if(hit & yv).alias("true_positive"))
+    p = F.coalesce(F.try_divide(F.col("true_positive"), F.col("flagged")), F.lit(0.0))
+    r = F.coalesce(F.try_divide(F.col("true_positive"), F.col("positives")), F.lit(0.0))
+    return (g.where((F.col("n") >= min_n) & (F.col("positives") >= min_pos))
+            .withColumns({"threshold": F.lit(float(threshold)), "precision": p, "recall": r})
+            .withColumns({"f1": F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)),
+                          "flagged_rate": F.col("flagged") / F.col("n")}))
+
+
 def group_reliability(by_group: DataFrame, min_lift: float = 2.0) -> DataFrame:
     """A34 projection of :func:`classifier_by_group`."""
     return by_group.select("group", "pr_auc", F.col("positive_rate").alias("base_rate"),

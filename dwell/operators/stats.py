@@ -155,5 +155,5 @@ def top_bottom(levels: DataFrame, by: str, value: str, part: str | None = None,
 
 
 def sample_rows(df: DataFrame, n: int, seed: int, key: Sequence[str]) -> DataFrame:
-    """T5: repeatable sample of ``n`` rows (hash order with a seed)."""
-    return df.orderBy(F.xxhash64(*[F.col(c) for c in key], F.lit(seed)), *key).limit(n)
+    """T5: repeatable sample of ``n`` rows: the first by the MD5 of their key and the seed."""
+    return df.orderBy(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key], F.lit(str(seed)))), *key).limit(n)

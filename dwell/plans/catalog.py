@@ -615,8 +615,7 @@ def q_load_share(spark, root):
     return B.load_share(S.stays(spark, root))
 
 
-@register("controlled_effect", f"""{W_STAYS_C},
-st AS (SELECT o_orderpriority, start_month,
+_EFFECT_SQL = """st AS (SELECT o_orderpriority, start_month,
               count(*) FILTER (WHERE flag_f) AS n1, count(*) FILTER (WHERE NOT flag_f) AS n0,
               sum(CASE WHEN flag_f THEN is_long ELSE 0 END) AS y1, sum(CASE WHEN NOT flag_f THEN is_long ELSE 0 END) AS y0
        FROM stays_c WHERE flag_f IS NOT NULL GROUP BY ALL),
@@ -627,7 +626,11 @@ agg AS (SELECT count(*) FILTER (WHERE ok) > 0 AS usable, sum(y1) / sum(n1) AS rf
                sum(n * (p1 - p0)) FILTER (WHERE ok) / sum(n) FILTER (WHERE ok) AS est,
                sqrt(sum(n * n * var) FILTER (WHERE ok)) / sum(n) FILTER (WHERE ok) AS se,
                count(*) FILTER (WHERE ok) AS strata_used, coalesce(sum(n) FILTER (WHERE ok), 0) AS retained,
-               sum(n) AS total FROM s3)
+               sum(n) AS total FROM s3)"""
+
+
+@register("controlled_effect", f"""{W_STAYS_C},
+{_EFFECT_SQL}
 SELECT usable, round(rf, 6) AS raw_rate_flagged, round(ru, 6) AS raw_rate_unflagged,
        round((rf - ru) * 100, 6) AS raw_difference_pp, round(est * 100, 6) AS controlled_difference_pp,
        round((est - 1.96 * se) * 100, 6) AS ci95_low_pp, round((est + 1.96 * se) * 100, 6) AS ci95_high_pp,
@@ -704,38 +707,35 @@ def q_flag_timing_summary(spark, root):
     return B.flag_timing_summary(S.stays(spark, root), "flag_f")
 
 
-@register("group_median_lookup", f"""{W_STAYS},
-lab AS (SELECT *, {sql_split('start_ts')} AS split FROM stays),
-cells AS (SELECT o_orderpriority, o_orderstatus, quantile_cont(duration_days, 0.5) AS cell_median
-          FROM lab WHERE split = 'train' AND o_orderpriority <> '5-LOW' GROUP BY ALL),
+CELL = ["o_orderpriority", "o_orderstatus", "c_nationkey", "start_month"]  # fine enough that some are unseen
+_CELL_SQL = ", ".join(CELL)
+
+
+@register("group_median_lookup", f"""{W_STAYS_C},
+lab AS (SELECT *, {sql_split('start_ts')} AS split FROM stays_c),
+cells AS (SELECT {_CELL_SQL}, quantile_cont(duration_days, 0.5) AS cell_median FROM lab WHERE split = 'train' GROUP BY ALL),
 gm AS (SELECT quantile_cont(duration_days, 0.5) AS g FROM lab WHERE split = 'train')
 SELECT seq, round(least(365.0, greatest(0.0, coalesce(cell_median, gm.g))), 6) AS baseline_days
-FROM lab LEFT JOIN cells USING (o_orderpriority, o_orderstatus), gm WHERE split = 'test'""")
+FROM lab LEFT JOIN cells USING ({_CELL_SQL}), gm WHERE split = 'test'""")
 def q_group_median_lookup(spark, root):
-    """A7 + A8 + J4: cell medians fitted on train (one level held out), global
-    median fallback, clipped, applied to test."""
-    lab = split.temporal_split(MS.stays(spark, root), "start_ts", *TRAIN)
+    """A7 + A8 + J4: cell medians fitted on train, global median for unseen cells, clipped, applied to test."""
+    lab = split.temporal_split(MD.stays_with_customer(spark, root), "start_ts", *TRAIN)
     train = lab.where(F.col("split") == "train")
-    cells = lookup.group_median_table(train.where(F.col("o_orderpriority") != "5-LOW"),
-                                      ["o_orderpriority", "o_orderstatus"], "duration_days")
+    cells = lookup.group_median_table(train, CELL, "duration_days")
     glob = ranking.group_quantiles(train, "duration_days", [0.5], ["_g"])
     test = B._attach(lab.where(F.col("split") == "test"), glob)
-    return lookup.lookup_with_fallback(test, cells, ["o_orderpriority", "o_orderstatus"], "cell_median",
-                                       F.col("_g"), "baseline_days").select("seq", "baseline_days")
+    return lookup.lookup_with_fallback(test, cells, CELL, "cell_median", F.col("_g"), "baseline_days").select("seq", "baseline_days")
 
 
-@register("unseen_cell_rate", f"""{W_STAYS},
-lab AS (SELECT *, {sql_split('start_ts')} AS split FROM stays),
-cells AS (SELECT DISTINCT o_orderpriority, o_orderstatus FROM lab WHERE split = 'train' AND o_orderpriority <> '5-LOW')
-SELECT round(avg(CAST(c.o_orderpriority IS NULL AS DOUBLE)), 6) AS unseen_cell_rate
-FROM lab l LEFT JOIN cells c USING (o_orderpriority, o_orderstatus) WHERE l.split = 'test'""")
+@register("unseen_cell_rate", f"""{W_STAYS_C},
+lab AS (SELECT *, {sql_split('start_ts')} AS split FROM stays_c),
+cells AS (SELECT DISTINCT {_CELL_SQL}, true AS seen FROM lab WHERE split = 'train')
+SELECT round(avg(CAST(c.seen IS NULL AS DOUBLE)), 6) AS unseen_cell_rate
+FROM lab l LEFT JOIN cells c USING ({_CELL_SQL}) WHERE l.split = 'test'""")
 def q_unseen_cell_rate(spark, root):
-    """J5."""
-    lab = split.temporal_split(MS.stays(spark, root), "start_ts", *TRAIN)
-    cells = lookup.group_median_table(
-        lab.where((F.col("split") == "train") & (F.col("o_orderpriority") != "5-LOW")),
-        ["o_orderpriority", "o_orderstatus"], "duration_days")
-    return lookup.unseen_cell_rate(lab.where(F.col("split") == "test"), cells, ["o_orderpriority", "o_orderstatus"])
+    """The distinct cells of the training period against the test period."""
+    lab = split.temporal_split(MD.stays_with_customer(spark, root).select("start_ts", *CELL), "start_ts", *TRAIN)
+    return lookup.unseen_cell_rate(lab.where(F.col("split") == "test"), lab.where(F.col("split") == "train"), CELL)
 
 
 @register("censoring_horizon", f"""{W_STAYS}
@@ -1002,31 +1002,177 @@ def q_deciles_identical(spark, root):
                                 F.bool_and(F.col("d1") == F.col("d2")).alias("decile_assignment_identical"))
 
 
-@register("sample_orders")
+@register("sample_orders", """SELECT * REPLACE (round(o_totalprice, 6) AS o_totalprice) FROM orders
+ORDER BY md5(CAST(o_orderkey AS VARCHAR) || '|42'), o_orderkey LIMIT 20""")
 def q_sample_orders(spark, root):
     """T5: a repeatable seeded sample of 20 orders for inspection (the cap is the feature)."""
     return stats.sample_rows(table(spark, root, "orders"), 20, 42, ["o_orderkey"])
 
 
 @register("findings", f"""{W_STAYS_C},
-ls AS (SELECT avg(CAST(duration_days <= 7 AS DOUBLE)) AS quick_share,
-              sum(CASE WHEN duration_days >= 90 THEN duration_days ELSE 0 END) / sum(duration_days) AS long_days_share
-       FROM stays),
-ft AS (SELECT avg(CAST(coalesce(flag_f, false) AS DOUBLE)) FILTER (WHERE duration_days >= 90) AS a,
-              avg(CAST(coalesce(flag_f, false) AS DOUBLE)) FILTER (WHERE duration_days < 90) AS b FROM stays),
-lv AS (SELECT o_orderpriority AS value, avg(CAST(is_long AS DOUBLE)) AS r FROM stays GROUP BY 1 HAVING count(*) >= 100)
-SELECT * FROM (VALUES
-  ('load_share', 'quick_exit_share_of_animals', (SELECT round(quick_share, 6) FROM ls)),
-  ('load_share', 'long_stay_share_of_animal_days', (SELECT round(long_days_share, 6) FROM ls)),
-  ('flag_timing', 'flag_rate_among_long', (SELECT round(a, 6) FROM ft)),
-  ('flag_timing', 'flag_rate_among_rest', (SELECT round(b, 6) FROM ft)),
-  ('priority', 'long_rate_1_urgent', (SELECT round(max(r) FILTER (WHERE value = '1-URGENT'), 6) FROM lv)),
-  ('priority', 'long_rate_5_low', (SELECT round(max(r) FILTER (WHERE value = '5-LOW'), 6) FROM lv)))
-  AS t(finding, stat, value)""")
+{_EFFECT_SQL},
+ls AS (SELECT avg(CAST(duration_days <= 7 AS DOUBLE)) AS qa, sum(CASE WHEN duration_days <= 7 THEN duration_days ELSE 0 END) / sum(duration_days) AS qd,
+              avg(CAST(is_long AS DOUBLE)) AS la, sum(CASE WHEN is_long = 1 THEN duration_days ELSE 0 END) / sum(duration_days) AS ld,
+              coalesce(avg(duration_days) FILTER (WHERE is_long = 1), 0.0) AS lm,
+              avg(CAST(coalesce(flag_f, false) AS DOUBLE)) FILTER (WHERE is_long = 1) AS fl,
+              avg(CAST(coalesce(flag_f, false) AS DOUBLE)) FILTER (WHERE is_long = 0) AS fr,
+              avg(abs(y_pred - duration_days)) AS mae, avg(duration_days) AS mean FROM stays),
+r AS (SELECT 1 - sum((duration_days - y_pred) ** 2) / sum((duration_days - mean) ** 2) AS r2 FROM stays, ls),
+t AS (SELECT score, sum(is_long) AS tp_at, sum(1 - is_long) AS fp_at FROM stays GROUP BY 1),
+c AS (SELECT tp_at, sum(tp_at) OVER w AS tp, sum(fp_at) OVER w AS fp FROM t WINDOW w AS (ORDER BY score DESC)),
+ap AS (SELECT sum(tp_at * tp / (tp + fp)) / sum(tp_at) AS ap FROM c),
+every AS (SELECT 'priority' AS finding, o_orderpriority AS level, duration_days, is_long FROM stays_c
+          UNION ALL SELECT 'segment', c_mktsegment, duration_days, is_long FROM stays_c
+          UNION ALL SELECT 'month', CAST(start_month AS VARCHAR), duration_days, is_long FROM stays_c),
+lv AS (SELECT finding, level, count(*) AS n, quantile_cont(duration_days, 0.5) AS m, avg(CAST(is_long AS DOUBLE)) AS rate
+       FROM every WHERE level IS NOT NULL GROUP BY ALL HAVING count(*) >= 100),
+one AS (SELECT * FROM ls, r, ap, agg),
+rows AS (
+  SELECT finding, CAST(NULL AS VARCHAR) AS level, unnest(stats).s AS stat, unnest(stats).v AS value FROM (
+    SELECT 'load_share' AS finding, [{{'s': 'quick_exit_share_of_animals', 'v': qa}}, {{'s': 'quick_exit_share_of_animal_days', 'v': qd}},
+      {{'s': 'long_stay_share_of_animals', 'v': la}}, {{'s': 'long_stay_share_of_animal_days', 'v': ld}}, {{'s': 'long_stay_mean_days', 'v': lm}}] AS stats FROM one
+    UNION ALL SELECT 'flag_effect', [{{'s': 'raw_difference_pp', 'v': (rf - ru) * 100}}, {{'s': 'controlled_difference_pp', 'v': est * 100}},
+      {{'s': 'ci95_low_pp', 'v': (est - 1.96 * se) * 100}}, {{'s': 'ci95_high_pp', 'v': (est + 1.96 * se) * 100}}] FROM one
+    UNION ALL SELECT 'flag_timing', [{{'s': 'flag_rate_among_long', 'v': fl}}, {{'s': 'flag_rate_among_rest', 'v': fr}}] FROM one
+    UNION ALL SELECT 'duration', [{{'s': 'mae_days', 'v': mae}}, {{'s': 'r2', 'v': r2}}, {{'s': 'pr_auc', 'v': ap}}, {{'s': 'pr_auc_lift', 'v': ap / la}}] FROM one)
+  UNION ALL SELECT finding, level, unnest(['n', 'median_days', 'long_stay_rate']), unnest([CAST(n AS DOUBLE), m, rate]) FROM lv)
+SELECT finding, level, stat, round(value, 6) AS value FROM rows""")
 def q_findings(spark, root):
-    """The headline numbers as (finding, stat, value) rows."""
+    """The numbers of all seven findings, with every level of the three breakdowns."""
     from ..models.report import findings
-    return findings(MD.stays_with_customer(spark, root), "flag_f", "o_orderpriority", ["1-URGENT", "5-LOW"])
+    return findings(D.stays_with_customer(spark, root), "flag_f", {"priority": "o_orderpriority", "segment": "c_mktsegment", "month": "start_month"},
+                    ["o_orderpriority", "start_month"])
+
+
+@register("operating_point_by_group", f"""{W_STAYS},
+g AS (SELECT o_orderpriority AS "group", count(*) AS n, count(*) FILTER (WHERE is_long = 1) AS positives,
+             count(*) FILTER (WHERE score >= 0.3) AS flagged, count(*) FILTER (WHERE score >= 0.3 AND is_long = 1) AS true_positive FROM stays GROUP BY 1),
+p AS (SELECT *, 0.3::DOUBLE AS threshold, CASE WHEN flagged > 0 THEN true_positive / flagged ELSE 0.0 END AS precision,
+             CASE WHEN positives > 0 THEN true_positive / positives ELSE 0.0 END AS recall, flagged / n AS flagged_rate
+      FROM g WHERE n >= 50 AND positives >= 5)
+SELECT "group", n, positives, flagged, true_positive, {R('threshold', 'precision', 'recall', 'flagged_rate')},
+       round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END, 6) AS f1 FROM p""")
+def q_operating_point_by_group(spark, root):
+    """The second half, A25 per order priority."""
+    return M.operating_point_by_group(S.stays(spark, root), "o_orderpriority", "score", "is_long", 0.3)
+
+
+_REL_GROUP_SQL = f"""lab AS (SELECT *, {sql_split('start_ts')} AS split FROM stays),
+gt AS (SELECT o_orderpriority, score, sum(is_long) AS tp_at, sum(1 - is_long) AS fp_at FROM lab WHERE split = 'validation' GROUP BY ALL),
+gc AS (SELECT *, sum(tp_at) OVER w AS tp, sum(fp_at) OVER w AS fp FROM gt WINDOW w AS (PARTITION BY o_orderpriority ORDER BY score DESC)),
+gr AS (SELECT o_orderpriority, sum(tp_at * tp / (tp + fp)) / sum(tp_at) AS pr_auc, sum(tp_at) / (sum(tp_at) + sum(fp_at)) AS base_rate
+       FROM gc GROUP BY 1 HAVING sum(tp_at) >= 5 AND sum(tp_at) + sum(fp_at) >= 50),
+rel AS (SELECT *, pr_auc / base_rate AS lift, pr_auc / base_rate >= 2.0 AS reliable FROM gr)"""
+
+
+@register("scored_orders", f"""{W_STAYS},
+{_REL_GROUP_SQL}
+SELECT seq, score, row_number() OVER (ORDER BY score DESC, seq) AS risk_rank, o_orderpriority, reliable, round(lift, 6) AS lift,
+  CASE WHEN score >= 0.4 THEN 'High' WHEN score >= 0.1 THEN 'Elevated' WHEN score >= 0.02 THEN 'Standard' ELSE 'Fast' END AS risk_band,
+  CASE WHEN reliable IS NULL THEN printf('No reliability figures for %s: the score is unverified.', coalesce(o_orderpriority, 'unknown'))
+       WHEN reliable THEN printf('Ranking for %s is reliable: %.1f times better than chance (PR-AUC %.3f, base rate %.1f%%).', o_orderpriority, lift, pr_auc, base_rate * 100)
+       ELSE printf('Ranking for %s is weak: PR-AUC %.3f at a base rate of %.1f%%, %.2f times chance and below the %.1f held usable; treat the score as a guess.',
+                   o_orderpriority, pr_auc, base_rate * 100, lift, 2.0::DOUBLE) END AS reliability_note
+FROM lab LEFT JOIN rel USING (o_orderpriority) WHERE split = 'test'""", exact=("score",))
+def q_scored_orders(spark, root):
+    """R1, T2, J8, F15 on the fixed score in place of a fitted model: band, risk rank, and the group's
+    reliability as measured on validation."""
+    lab = split.temporal_split(MS.stays(spark, root), "start_ts", *TRAIN)
+    rel = M.group_reliability(M.classifier_by_group(lab.where(F.col("split") == "validation"), "o_orderpriority", "score", "is_long"))
+    test = lookup.attach_reliability(lab.where(F.col("split") == "test").select("seq", "score", "o_orderpriority"), "o_orderpriority", rel)
+    note = X.reliability_message("o_orderpriority", "reliable", "lift", "pr_auc", "base_rate", "min_lift")
+    ranked = ranking.global_row_number(test.withColumns({"risk_band": X.risk_band("score"), "reliability_note": note}),
+                                       [F.col("score").desc(), F.col("seq")], "risk_rank")
+    return ranked.select("seq", "score", "risk_rank", "o_orderpriority", "reliable", "lift", "risk_band", "reliability_note")
+
+
+@register("counterfactual_effects", f"""{W_STAYS},
+base AS (SELECT seq, o_totalprice AS p, flag_f AS f FROM stays),
+ref AS (SELECT quantile_cont(o_totalprice, 0.5) AS rp, mode(flag_f) AS rf FROM stays),
+cf AS (SELECT seq, 'o_totalprice' AS feature, p / 600000.0 + CASE WHEN f THEN 0.1 ELSE 0.0 END AS now, rp / 600000.0 + CASE WHEN f THEN 0.1 ELSE 0.0 END AS typical FROM base, ref
+       UNION ALL SELECT seq, 'flag_f', p / 600000.0 + CASE WHEN f THEN 0.1 ELSE 0.0 END, p / 600000.0 + CASE WHEN rf THEN 0.1 ELSE 0.0 END FROM base, ref)
+SELECT seq, feature, round((now - typical) * 100, 6) AS effect_pp FROM cf""")
+def q_counterfactual_effects(spark, root):
+    """J7 + A10 on a fixed score: what each feature adds against the typical order."""
+    st = MS.stays(spark, root).select("seq", "o_totalprice", "flag_f")
+    from ..models.features import FeatureSpec
+    from ..models.train import fit_reference_row
+    reference = fit_reference_row(st, FeatureSpec(numeric=["o_totalprice"], categorical=[], boolean=["flag_f"], forbidden=[]))
+    score = F.col("o_totalprice") / F.lit(S.SCORE_DIVISOR) + F.when(F.col("flag_f"), F.lit(0.1)).otherwise(F.lit(0.0))
+    changed = lookup.counterfactual_expand(st, ["o_totalprice", "flag_f"], reference, "seq").select("seq", "feature", score.alias("typical"))
+    return changed.join(st.select("seq", score.alias("now")), "seq").select("seq", "feature", ((F.col("now") - F.col("typical")) * 100).alias("effect_pp"))
+
+
+@register("split_union", f"""{W_STAYS}
+SELECT CAST(year(start_ts) AS INTEGER) AS start_year, count(*) AS rows FROM stays GROUP BY 1""")
+def q_split_union(spark, root):
+    """The three periods put together again hold every row once."""
+    parts = split.periods(S.stays(spark, root).select("start_ts"), "start_ts", *TRAIN)
+    return split.union_splits(*parts).groupBy(F.year("start_ts").alias("start_year")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("numeric_text", """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN CAST(o_custkey AS DOUBLE) WHEN 1 THEN 1.0 WHEN 2 THEN 0.0 END AS number FROM orders""")
+def q_numeric_text(spark, root):
+    """numbers with blanks around them, booleans as text, words and nulls."""
+    k = F.col("o_orderkey") % 5
+    text = (F.when(k == 0, F.concat(F.lit(" "), F.col("o_custkey").cast("string"), F.lit("\t"))).when(k == 1, F.lit("True"))
+            .when(k == 2, F.lit(" FALSE ")).when(k == 3, F.lit("n/a")))
+    return table(spark, root, "orders").select("o_orderkey", X.to_number(text).alias("number"))
+
+
+# Violations that exist: the checks above are empty on sound data, these run them on rows made unsound.
+
+@register("over_30_days", f"""{W_STAYS}
+SELECT key, seq, round(duration_days, 6) AS duration_days FROM stays WHERE duration_days > 30""")
+def q_over_30_days(spark, root):
+    """Q1 with an upper bound of 30 days."""
+    return audit.duration_out_of_bounds(S.stays(spark, root), hi=30.0).select("key", "seq", "duration_days")
+
+
+@register("late_start_violations", f"""{W_STAYS}
+SELECT key, seq, start_ts + to_days(CAST(seq % 40 AS INTEGER)) AS start_ts, end_ts FROM stays WHERE end_ts < start_ts + to_days(CAST(seq % 40 AS INTEGER))""")
+def q_late_start_violations(spark, root):
+    """Q2 on starts moved up to 39 days later."""
+    moved = S.stays(spark, root).withColumn("start_ts", F.col("start_ts") + F.make_dt_interval((F.col("seq") % 40).cast("int")))
+    return audit.end_before_start(moved, "start_ts", "end_ts").select("key", "seq", "start_ts", "end_ts")
+
+
+@register("doubled_end_violations", f"""{W_STAYS}
+SELECT key, end_ts, count(*) AS copies FROM (SELECT key, end_ts FROM stays UNION ALL SELECT key, end_ts FROM stays WHERE seq % 7 = 0)
+GROUP BY ALL HAVING count(*) > 1""")
+def q_doubled_end_violations(spark, root):
+    """Q3 / U3 with every stay of an order key divisible by 7 entered twice."""
+    st = S.stays(spark, root).select("key", "end_ts", "seq")
+    return audit.duplicates(st.unionByName(st.where(F.col("seq") % 7 == 0)), ["key", "end_ts"])
+
+
+@register("early_start_violations", f"""{W_STAYS},
+e AS (SELECT key, end_ts, lag(end_ts) OVER (PARTITION BY key ORDER BY end_ts) AS prev_end_ts FROM ends)
+SELECT p.key, p.seq, p.start_ts - to_days(60) AS start_ts, p.end_ts, e.prev_end_ts FROM paired p LEFT JOIN e USING (key, end_ts)
+WHERE e.prev_end_ts >= p.start_ts - to_days(60)""")
+def q_early_start_violations(spark, root):
+    """Q5 on starts moved 60 days earlier, where another end may come first."""
+    p = S.paired(spark, root).select("key", "seq", "start_ts", "end_ts")
+    p = p.withColumn("start_ts", F.col("start_ts") - F.make_dt_interval(F.lit(60)))
+    return audit.verify_pairs(p, S.ends(spark, root), "key", "start_ts", "end_ts")
+
+
+@register("moved_end_violations", f"""{W_STAYS},
+m AS (SELECT key, seq, start_ts, end_ts + to_days(CAST(seq % 300 AS INTEGER)) AS end_ts FROM stays),
+l AS (SELECT *, lag(end_ts) OVER (PARTITION BY key ORDER BY start_ts, seq) AS prev_end_ts FROM m)
+SELECT key, seq, start_ts, end_ts, prev_end_ts FROM l WHERE end_ts < prev_end_ts""")
+def q_moved_end_violations(spark, root):
+    """Q4 / W7 on ends moved up to 299 days later."""
+    moved = S.stays(spark, root).select("key", "seq", "start_ts", (F.col("end_ts") + F.make_dt_interval((F.col("seq") % 300).cast("int"))).alias("end_ts"))
+    return audit.non_monotonic_ends(moved, "key", "start_ts", "end_ts", "seq").select("key", "seq", "start_ts", "end_ts", "prev_end_ts")
+
+
+@register("split_gap_violations", f"""{W_STAYS}
+SELECT key, seq, start_ts FROM stays WHERE start_ts >= TIMESTAMP '2000-01-01' AND start_ts < TIMESTAMP '2000-07-01'""")
+def q_split_gap_violations(spark, root):
+    """Q7: rows in no period when the validation period starts half a year late."""
+    lab = split.temporal_split(S.stays(spark, root), "start_ts", S.TRAIN_END, "2000-07-01", S.VAL_END, S.TEST_START)
+    return audit.in_no_period(lab).select("key", "seq", "start_ts")
 
 
 def _scratch(spark, name: str) -> str:

@@ -45,7 +45,8 @@ def score_rows(df: DataFrame, bundle: Bundle, id_col: str, passthrough: Sequence
     x = x.withColumn("risk_band", risk_band("probability"))
     if group_col and reliability is not None:
         x = attach_reliability(x, group_col, reliability)
-        x = x.withColumn("reliability_note", reliability_message(group_col, "reliable", "lift"))
+        x = x.withColumn("reliability_note", reliability_message(
+            group_col, "reliable", "lift", "pr_auc", "base_rate", "min_lift"))
     out_cols = [c for c in x.columns if not c.startswith("_") and "__" not in c and c != "features"]
     return x.select(*out_cols)
 
@@ -66,15 +67,19 @@ def score_batch(df: DataFrame, bundle: Bundle, id_col: str, passthrough: Sequenc
     return ranked.limit(top) if top else ranked
 
 
+def write_batch(scored: DataFrame, sink_path: str, batch_id: int) -> None:
+    """One micro-batch as the partition ``batch_id=N`` of a Parquet table.  A batch that the stream
+    replays after a failure overwrites its own folder, so no row is written twice."""
+    scored.write.mode("overwrite").parquet(f"{sink_path.rstrip('/')}/batch_id={batch_id}")
+
+
 def start_scoring(stream: DataFrame, bundle: Bundle, id_col: str, sink_path: str, checkpoint: str,
                   passthrough: Sequence[str] = (), group_col: str | None = None,
                   reliability: DataFrame | None = None, available_now: bool = True):
-    """R2 with drivers: each micro-batch is scored as a batch and appended to a
-    Parquet sink; the stream checkpoint makes the sink exactly-once per batch."""
+    """R2 with drivers: each micro-batch is scored as a batch and written under its number
+    (:func:`write_batch`), which the stream checkpoint repeats on a replay."""
     def each(batch: DataFrame, batch_id: int) -> None:
-        (score_batch(batch, bundle, id_col, passthrough, group_col, reliability)
-         .withColumn("batch_id", F.lit(batch_id))
-         .write.mode("append").parquet(sink_path))
+        write_batch(score_batch(batch, bundle, id_col, passthrough, group_col, reliability), sink_path, batch_id)
 
     w = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w

@@ -121,7 +121,7 @@ def test_stream_scoring(spark, fitted):
 
 def test_foreach_batch_scoring_with_drivers(spark, fitted):
     df, b = fitted
-    from dwell.streaming.score import start_scoring
+    from dwell.streaming.score import start_scoring, write_batch
     src = tempfile.mkdtemp(prefix="dwell-fb-src-")
     df.limit(30).write.mode("overwrite").parquet(os.path.join(src, "in"))
     out = os.path.join(tempfile.mkdtemp(prefix="dwell-fb-out-"), "scored")
@@ -130,7 +130,9 @@ def test_foreach_batch_scoring_with_drivers(spark, fitted):
     q = start_scoring(stream, b, "id", out, ck)
     q.awaitTermination(180)
     got = spark.read.parquet(out)
-    assert got.count() == 30 and "drivers" in got.columns
+    assert got.count() == 30 and {"drivers", "batch_id"} <= set(got.columns)
+    write_batch(score_batch(df.limit(30), b, "id"), out, 0)  # the same batch once more
+    assert spark.read.parquet(out).count() == 30
 
 
 def test_report_blocks_and_diagnosis(spark, fitted):
@@ -159,3 +161,32 @@ def test_enrich_records_defaults_time(spark):
     assert out[0].sex == "Male" and out[0].sterilization_status == "Fixed" and out[0].has_name
     assert out[1].start_ts is not None and out[1].age_days is None and out[1].sex == "Unknown"
     assert out[1].has_name is False and out[1].is_mix is None
+
+
+def test_smearing_refusals_and_comparison(spark):
+    df = spark.createDataFrame([(i, float(i), i * 0.9, i * 0.9 + 1) for i in range(1, 41)], "id long, y double, a double, b double")
+    for kw in ({"target": "raw"}, {"quantile": 0.5}):
+        with pytest.raises(ValueError):
+            M.fit_smearing(df, "y", "a", **kw)
+    r = M.smearing_comparison(df, "y", "a", "b", "id").first()
+    assert r.decile_assignment_identical and r.spearman_correlation == pytest.approx(1.0)
+    assert r.b_mae == pytest.approx(np.mean([abs(i * 0.9 + 1 - i) for i in range(1, 41)]))
+
+
+def test_reference_row_and_weighted_isotonic(spark):
+    from dwell.models.train import fit_reference_row
+    spec = FeatureSpec(numeric=["x"], categorical=["m"], boolean=["f"], forbidden=[])
+    df = spark.createDataFrame([(1.0, 10, True), (2.0, 9, None), (9.0, 9, False), (None, 10, False)], "x double, m int, f boolean")
+    assert fit_reference_row(df, spec) == {"m": 9, "f": False, "x": 2.0}
+    scored = spark.createDataFrame([(0.1, 0), (0.1, 1), (0.1, 0), (0.5, 1), (0.4, 1), (0.9, 0)], "s double, y int")
+    got = {r.s: r.calibrated for r in calibrate(scored, fit_isotonic(scored, "s", "y")).collect()}
+    assert got[0.1] == pytest.approx(1 / 3) and got[0.9] == got[0.4] == got[0.5] == pytest.approx(2 / 3)
+
+
+def test_importance_of_a_log_model_in_days(spark, fitted):
+    from dwell.models.train import fit_regressor
+    df, b = fitted
+    b.models["log"] = fit_regressor(b.features(df, ["duration_days"]), "duration_days", "log1p", PARAMS, SPEC)
+    imp = {r.feature: r.importance_mean for r in explain.permutation_importance(
+        df, b, "log", "id", "duration_days", repeats=2, loss="log1p").collect()}
+    assert imp["age_days"] > 1.0  # days, not logarithms
