@@ -9,6 +9,9 @@ Features of a stay: numeric ``o_totalprice`` and ``c_acctbal``; levels
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -145,10 +148,11 @@ def q_model_diagnose(spark, root):
     train, test = df.where(F.col("split") == "train"), df.where(F.col("split") == "test")
     out = None
     segments = df.where(F.col("c_mktsegment").isNotNull()).select("c_mktsegment").distinct()
-    for seg in sorted(r[0] for r in segments.collect()):  # a handful of names; one model each
-        d = explain.diagnose_group(train, test, scored, "c_mktsegment", seg, SPEC, "is_long", "seq", PARAMS)
-        out = d if out is None else out.unionByName(d)
-    return out
+    names = sorted(r[0] for r in segments.collect())  # a handful of names; one model each
+    with ThreadPoolExecutor(max_workers=4) as side_by_side:  # the fits are many short jobs each
+        found = list(side_by_side.map(lambda seg: explain.diagnose_group(
+            train, test, scored, "c_mktsegment", seg, SPEC, "is_long", "seq", PARAMS), names))
+    return reduce(DataFrame.unionByName, found)
 
 
 MODEL_QUERIES = {
