@@ -41,6 +41,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Spark hand texts and sets to Python in batches of a slice at most: with the default of
+    10,000 rows a batch of long rows fills the memory of the JVM and of Python at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(SLICE_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(SLICE_BYTES))
+
+
 def row_key(id_col: str, text_col: str) -> Column:
     """Tells rows apart that share an id: the id and the text together."""
     return F.xxhash64(F.col(id_col), F.col(text_col))

@@ -42,6 +42,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -174,10 +175,10 @@ def signatures(ordered: np.ndarray, shared: np.ndarray, light: int) -> np.ndarra
     return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
 
 
-def entries(docs: DataFrame, shared: bytes, often: bytes, bits: int, light: int, size: int = SHINGLE) -> DataFrame:
+def entries(docs: DataFrame, tables: Broadcast, bits: int, light: int, size: int = SHINGLE) -> DataFrame:
     """One row per node with a signature: ``node``, ``n`` (set size), ``r`` (elements that others may
-    hold), ``signatures`` and ``elements`` (binary, those r elements)."""
-    tables = docs.sparkSession.sparkContext.broadcast((shared, often))  # bounded by MAX_BITS
+    hold), ``signatures`` and ``elements`` (binary, those r elements).  ``tables``: the two bit tables
+    of the sketch, broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared_bits, often_bits = (np.frombuffer(x, np.uint8) for x in tables.value)
@@ -277,9 +278,11 @@ def links(docs: DataFrame, known: DataFrame, size: int = SHINGLE) -> DataFrame:
     reps = known.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n_shingles"))
     counts = reps.where(F.col("n_shingles") <= LARGEST_LIGHT * 4 // 3 + 1).groupBy("n_shingles").count().collect()  # one row per small size
     light = boundary({r["n_shingles"]: r["count"] for r in counts}, list_length)
-    written = entries(docs.where("doc_id IS NOT NULL"), shared, often, bits, light, size)
+    tables = docs.sparkSession.sparkContext.broadcast((shared, often))  # bounded by MAX_BITS
+    written = entries(docs.where("doc_id IS NOT NULL"), tables, bits, light, size)
     nodes = written.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "r", "signatures", "elements")])
     nodes = common.materialise(nodes.join(reps.select("node", "id"), "node").drop("node"), "nodes")
+    tables.unpersist()  # the executors need them no more
 
     lists = nodes.select("id", "n", "r", F.explode("signatures").alias("sig"))
     # step 1: one hub for each node; the most complete node of a list, the one shared by most lists
@@ -320,6 +323,7 @@ def links(docs: DataFrame, known: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 def components(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """Per row ``doc_id``, ``n_shingles`` and ``component_id``, the least doc_id reachable by links."""
+    common.bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     known = common.materialise(members(docs, size), "members")
     found = connected(links(docs, known, size))

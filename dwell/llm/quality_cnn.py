@@ -177,5 +177,6 @@ def score(docs: DataFrame, network: Network) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Fit on ``labels`` and score every row: the columns of ``docs``, ``held_out``, ``score`` and ``predicted``."""
+    common.bounded_batches(docs.sparkSession)
     scored = score(docs, fit(docs, labels))
     return scored.withColumns({"held_out": F.coalesce(fold() == 0, F.lit(False)), "predicted": (F.col("score") >= threshold).cast("int")})
