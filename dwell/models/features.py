@@ -53,12 +53,13 @@ class FoldedLevels:
         return df.withColumns(cols)
 
 
-def fit_levels(train: DataFrame, columns: Sequence[str], cap: int = CAP) -> FoldedLevels:
+def fit_levels(train: DataFrame, columns: Sequence[str], cap: int = CAP, min_rows: int = 1) -> FoldedLevels:
     """M1: top ``cap`` levels per column by training frequency, one aggregation
-    over the unpivoted columns (partial aggregation handles hot levels)."""
+    over the unpivoted columns (partial aggregation handles hot levels).  M2: levels
+    of fewer than ``min_rows`` training rows are infrequent and fold to ``Other``."""
     long = (train.select(*[F.col(c).cast("string").alias(c) for c in columns])
             .unpivot([], list(columns), "column", "value").where(F.col("value").isNotNull()))
-    counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_rows)
     rk = F.row_number().over(Window.partitionBy("column").orderBy(F.col("n").desc(), "value"))
     top = counts.withColumn("_rk", rk).where(F.col("_rk") <= cap)
     out: dict[str, list[str]] = {c: [] for c in columns}

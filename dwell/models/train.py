@@ -140,15 +140,16 @@ def probability(col: str = "probability") -> Column:
     return vector_to_array(F.col(col))[1]
 
 
+def back_transform(f: Column, loss: str, smearing: float | None = None) -> Column:
+    """days from a model's raw value; a log model's mean is corrected by its smearing factor."""
+    if loss != "log1p":
+        return f
+    return F.exp(f) * F.lit(smearing) - 1 if smearing else F.expm1(f)
+
+
 def predict_days(x: DataFrame, model: PipelineModel, loss: str, out: str, smearing: float | None = None) -> DataFrame:
     """Back-transform (expm1, or exp(f)*S - 1 with smearing) and clip."""
-    p = model.transform(x)
-    f = F.col("_raw_pred")
-    if loss == "log1p":
-        days = F.exp(f) * F.lit(smearing) - 1 if smearing else F.expm1(f)
-    else:
-        days = f
-    return p.withColumn(out, clip_days(days)).drop("_raw_pred")
+    return model.transform(x).withColumn(out, clip_days(back_transform(F.col("_raw_pred"), loss, smearing))).drop("_raw_pred")
 
 
 def predict_probability(x: DataFrame, model: PipelineModel, out: str = "probability") -> DataFrame:

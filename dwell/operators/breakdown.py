@@ -111,6 +111,20 @@ def feature_contrast(df: DataFrame, columns: Sequence[str], y: str = "duration_d
             .join(spreads.drop("spread"), "column").drop("_base"))
 
 
+def numeric_contrast(df: DataFrame, columns: Sequence[str], y: str = "duration_days",
+                     where: Mapping[str, object] | None = None, threshold: float = 90.0) -> DataFrame:
+    """A18 for numeric columns: mean and median among the long and among the short rows of the
+    selection, one row per column.  Null and NaN values do not count."""
+    part = where_equal(df, where).withColumn("_long", F.col(y) >= F.lit(threshold))
+    long = (part.select("_long", *[F.col(c).cast("double").alias(c) for c in columns])
+            .unpivot(["_long"], list(columns), "column", "value").where(F.col("value").isNotNull() & ~F.isnan("value")))
+    sides = grouped_with_quantiles(long, ["column", "_long"], [F.avg("value").alias("_mean")],
+                                   [("value", [0.5], ["_median"])])
+    return sides.groupBy("column").agg(*[
+        F.max(F.when(F.col("_long") == is_long, F.col(f"_{stat}"))).alias(f"{stat}_{side}_stay")
+        for stat in ("mean", "median") for side, is_long in (("long", True), ("short", False))])
+
+
 def _attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the columns of a (at most) one-row aggregate to every row as one
     scalar subquery (evaluated once; null when the aggregate has no row)."""

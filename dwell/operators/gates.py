@@ -25,14 +25,11 @@ def check_columns(columns: Sequence[str], allowed: Sequence[str], forbidden: Seq
         raise LeakageError(f"required columns missing: {missing}")
 
 
-def select_stored(df: DataFrame, stored: Sequence[str], forbidden: Sequence[str]) -> DataFrame:
-    """Project to the stored columns; refuse if a forbidden one is present."""
-    present = [c for c in forbidden if c in df.columns]
-    if present:
-        raise LeakageError(f"forbidden columns present: {present}")
-    missing = [c for c in stored if c not in df.columns]
-    if missing:
-        raise LeakageError(f"required columns missing: {missing}")
+def select_stored(df: DataFrame, stored: Sequence[str], forbidden: Sequence[str],
+                  working: Sequence[str] = ()) -> DataFrame:
+    """Project to the stored columns.  Working columns are named and dropped; a forbidden
+    column stops the run, then any other column that is in neither list, then a missing one."""
+    check_columns(df.columns, [*stored, *working], forbidden, required=stored)
     return df.select(*stored)
 
 

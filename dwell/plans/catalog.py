@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from ..operators import (audit, breakdown as B, ledger as L, lookup, metrics as M, pairing,
+from ..operators import (audit, breakdown as B, gates, ledger as L, lookup, metrics as M, pairing,
                          ranking, split, stats)
 from ..session import reliable_checkpoint
 from ..sources.tables import table
@@ -1320,6 +1320,107 @@ def q_event_duration_stats(spark, root):
     return stats.duration_stats(reliable_checkpoint(S.event_pairs(spark, root)))
 
 
+# ---------------------------------------------------------------------------
+# Landed files, gates, one-path enrichment, contrasts of numbers
+# ---------------------------------------------------------------------------
+
+@register("feed_pages", """SELECT CAST(o_orderkey AS VARCHAR) AS id,
+  CASE WHEN o_orderkey // 4000 % 2 = 0 THEN CAST(o_custkey AS VARCHAR) END AS animal_id, o_orderpriority AS kind FROM orders""")
+def q_feed_pages(spark, root):
+    """Orders landed as pages of a JSON feed, one array a file with the orders of 4000 keys;
+    every other page lacks a column."""
+    from ..sources import files
+    path = _scratch(spark, "feed")
+    page = F.floor(F.col("o_orderkey") / 4000)
+    record = F.struct(F.col("o_orderkey").cast("string").alias("id"),
+                      F.when(page % 2 == 0, F.col("o_custkey").cast("string")).alias("animal_id"), F.col("o_orderpriority").alias("kind"))
+    pages = table(spark, root, "orders").groupBy(page.alias("page")).agg(F.to_json(F.collect_list(record)).alias("text"))
+    pages.select("text").write.option("maxRecordsPerFile", 1).text(path)
+    return files.read_feed_pages(spark, path, ["id", "animal_id", "kind"])
+
+
+@register("worst_csv", f"""{W_STAYS}
+SELECT seq, round(duration_days, 6) AS duration_days, round(y_pred, 6) AS predicted_days
+FROM stays ORDER BY abs(y_pred - duration_days) DESC, seq LIMIT 50""")
+def q_worst_csv(spark, root):
+    """The 50 worst predictions written as CSV and read back."""
+    from ..sources import files
+    path = _scratch(spark, "worst")
+    worst = stats.worst_predictions(S.stays(spark, root), "duration_days", "y_pred", 50, tie="seq")
+    files.write_csv(worst.select("seq", "duration_days", "predicted_days"), path)
+    back = files.read_raw_csv(spark, path, ["seq", "duration_days", "predicted_days"])
+    return back.select(F.col("seq").cast("long"), F.col("duration_days").cast("double"), F.col("predicted_days").cast("double"))
+
+
+@register("prepared_ends", f"""WITH {D.ORDER_TEXT_SQL},
+t AS (SELECT CAST(o_custkey AS VARCHAR) AS key, {sql_wall_clock('ts_text')} AS end_ts FROM order_text)
+SELECT key, end_ts FROM t WHERE key IS NOT NULL AND end_ts IS NOT NULL""")
+def q_prepared_ends(spark, root):
+    """Exactly the key (white space around it cut) and the parsed time of usable ends."""
+    raw = D.order_text(spark, root).withColumn("key_text", F.concat(F.lit("\t"), F.col("o_custkey").cast("string"), F.lit(" ")))
+    return pairing.prepare_ends(raw, "key_text", "ts_text", "end_ts", key_out="key")
+
+
+@register("stored_columns", f"""{W_STAYS}
+SELECT key, seq, start_ts, end_ts, round(duration_days, 6) AS duration_days, o_orderpriority FROM stays""")
+def q_stored_columns(spark, root):
+    """The stored columns, after the gate."""
+    return gates.select_stored(S.stays(spark, root), ["key", "seq", "start_ts", "end_ts", "duration_days", "o_orderpriority"],
+                               forbidden=["next_end_ts", "pair_status"],
+                               working=["o_orderstatus", "o_totalprice", "y_pred", "score", "is_long", "flag_f"])
+
+
+@register("back_transforms", f"""SELECT o_orderkey, round(least(365.0, greatest(0.0, exp(f) - 1)), 6) AS days,
+  round(least(365.0, greatest(0.0, exp(f) * 1.1 - 1)), 6) AS smeared_days
+FROM (SELECT o_orderkey, ln(1 + o_totalprice / {S.PRED_DIVISOR}) AS f FROM orders)""")
+def q_back_transforms(spark, root):
+    """F13 + F10: days from log-space values, plain and with a smearing factor of 1.1."""
+    from ..models.train import back_transform
+    f = F.log1p(F.col("o_totalprice") / F.lit(S.PRED_DIVISOR))
+    return table(spark, root, "orders").select("o_orderkey", X.clip_days(back_transform(f, "log1p")).alias("days"),
+                                               X.clip_days(back_transform(f, "log1p", 1.1)).alias("smeared_days"))
+
+
+@register("enriched_parts", f"""WITH {D.PART_TEXT_SQL},
+t AS (SELECT *, DATE '2020-01-01' + CAST(p_partkey % 700 AS INTEGER) AS d FROM part_text),
+parsed AS ({ORACLE['parse_part_text']})
+SELECT p_partkey, age_days, primary_breed, is_mix, primary_color, is_black, sex, sterilization_status, has_name,
+  CAST(month(d) AS INTEGER) AS start_month, CAST(isodow(d) - 1 AS INTEGER) AS start_day_of_week, {sql_season('month(d)')} AS start_season
+FROM parsed JOIN t USING (p_partkey)""")
+def q_enriched_parts(spark, root):
+    """all start-time features in one projection."""
+    t = D.part_text(spark, root).withColumn("d", F.date_add(F.lit("2020-01-01").cast("date"), (F.col("p_partkey") % 700).cast("int")))
+    out = X.enrich(t, "d", "name_text", "age_text", "breed_text", "color_text", "sex_text")
+    return out.drop("d", "name_text", "age_text", "breed_text", "color_text", "sex_text")
+
+
+@register("numeric_contrast", f"""{W_STAYS_C},
+part AS (SELECT * FROM stays_c WHERE o_orderstatus = 'O'),
+u AS (SELECT 'o_totalprice' AS "column", o_totalprice AS value, is_long FROM part
+      UNION ALL SELECT 'start_month', CAST(start_month AS DOUBLE), is_long FROM part)
+SELECT "column", {R('mean_long_stay', 'mean_short_stay', 'median_long_stay', 'median_short_stay')} FROM (
+  SELECT "column", avg(value) FILTER (WHERE is_long = 1) AS mean_long_stay, avg(value) FILTER (WHERE is_long = 0) AS mean_short_stay,
+         quantile_cont(value, 0.5) FILTER (WHERE is_long = 1) AS median_long_stay,
+         quantile_cont(value, 0.5) FILTER (WHERE is_long = 0) AS median_short_stay FROM u GROUP BY 1)""")
+def q_numeric_contrast(spark, root):
+    """A18 for numeric columns within open orders."""
+    return B.numeric_contrast(MD.stays_with_customer(spark, root), ["o_totalprice", "start_month"], where={"o_orderstatus": "O"})
+
+
+@register("infrequent_levels", f"""{W_STAYS_C},
+lab AS (SELECT *, {sql_split('start_ts')} AS split, CAST(c_nationkey AS VARCHAR) || '-' || CAST(start_month AS VARCHAR) AS cell FROM stays_c),
+often AS (SELECT cell FROM lab WHERE split = 'train' AND cell IS NOT NULL GROUP BY 1 HAVING count(*) >= 30)
+SELECT seq, CASE WHEN cell IS NULL THEN 'Missing' WHEN cell IN (SELECT cell FROM often) THEN cell ELSE 'Other' END AS cell_level
+FROM lab WHERE split = 'test'""")
+def q_infrequent_levels(spark, root):
+    """M2: levels of fewer than 30 training rows fold to Other (nation and month, 300 levels)."""
+    from ..models.features import fit_levels
+    lab = split.temporal_split(MD.stays_with_customer(spark, root), "start_ts", *TRAIN).withColumn(
+        "cell", F.concat_ws("-", F.col("c_nationkey").cast("string"), F.col("start_month").cast("string")))
+    levels = fit_levels(lab.where(F.col("split") == "train"), ["cell"], cap=300, min_rows=30)
+    return levels.transform(lab.where(F.col("split") == "test")).select("seq", F.col("cell__lv").alias("cell_level"))
+
+
 # ---------------------------------------------------------------------------
 # Models (no SQL oracle)
 # ---------------------------------------------------------------------------

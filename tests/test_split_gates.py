@@ -37,6 +37,17 @@ def test_gate_order(spark):
         gates.check_columns(["sex"], ALLOWED, FORBIDDEN, required=ALLOWED)
 
 
+def test_stored_columns_stop_on_unlisted(spark):
+    df = spark.createDataFrame([(1.0, "Dog", "Male", 9)], "age_days double, animal_type string, sex string, n int")
+    with pytest.raises(gates.LeakageError, match="whitelist"):
+        gates.select_stored(df, ALLOWED, FORBIDDEN)
+    assert gates.select_stored(df, ALLOWED, FORBIDDEN, working=["n"]).columns == ALLOWED
+    with pytest.raises(gates.LeakageError, match="forbidden"):
+        gates.select_stored(df.withColumnRenamed("n", "outcome_type"), ALLOWED, FORBIDDEN, working=["outcome_type"])
+    with pytest.raises(gates.LeakageError, match="missing"):
+        gates.select_stored(df.drop("sex"), ALLOWED, FORBIDDEN, working=["n"])
+
+
 @pytest.mark.parametrize("bad", FORBIDDEN)
 def test_feature_matrix_rejects(spark, bad):
     df = spark.createDataFrame([(1.0, "Dog", "Male", "x")], f"age_days double, animal_type string, sex string, {bad} string")
