@@ -58,3 +58,19 @@ def test_feature_matrix_rejects(spark, bad):
 def test_feature_matrix_order(spark):
     df = spark.createDataFrame([("Male", 1.0, "Dog", 9)], "sex string, age_days double, animal_type string, extra int")
     assert gates.feature_matrix(df, ALLOWED, FORBIDDEN).columns == ALLOWED
+
+
+def test_numeric_contrast_skips_null_and_nan(spark):
+    from dwell.operators.breakdown import numeric_contrast
+    rows = [(100.0, 1.0, "a"), (95.0, 3.0, "a"), (90.0, 8.0, "a"), (5.0, 10.0, "a"), (6.0, None, "a"), (7.0, float("nan"), "a"), (200.0, 99.0, "b")]
+    df = spark.createDataFrame(rows, "duration_days double, x double, g string")
+    r = numeric_contrast(df, ["x"], where={"g": "a"}).first()
+    assert (r.column, r.mean_long_stay, r.median_long_stay, r.mean_short_stay, r.median_short_stay) == ("x", 4.0, 3.0, 10.0, 10.0)
+
+
+def test_infrequent_levels_fold(spark):
+    from dwell.models.features import fit_levels
+    df = spark.createDataFrame([("a",)] * 3 + [("b",)] * 2 + [(None,)], "m string")
+    levels = fit_levels(df, ["m"], min_rows=3)
+    assert levels.levels == {"m": ["a"]}
+    assert sorted(r.m__lv for r in levels.transform(df).collect()) == ["Missing", "Other", "Other", "a", "a", "a"]
