@@ -2,8 +2,8 @@
 
 Base rules judge a text alone: too few words, or too many words inside three-word windows that
 repeat in the text.  The cross-document rule counts, per host, the distinct documents that hold
-each normalised line.  A line in more documents than the host's limit is boilerplate and counts as
-removed; a document whose words are mostly in removed lines is rejected.  The limit of a host is
+each normalised line.  A line in more documents than the host's limit is boilerplate and is removed
+from the text; a document whose words are mostly in removed lines is rejected.  The limit of a host is
 ``min_docs`` or ``max_share`` of its documents, whichever is greater, so one rule serves a host of
 fifty documents and one that holds a third of the corpus.
 
@@ -11,8 +11,9 @@ Lines are compared by a 64-bit hash.  A host's frequent lines are summed before
 the join that marks them is a plain equi-join, which adaptive execution splits when a line is hot.
 
 Defined results: a null or empty text has no words and fails the base rules; a null host is a host
-of its own; a document id that occurs in several rows counts once per line, and rows of equal id
-and text get equal results; an empty table gives no rows; other columns are not read.
+of its own; a document id that occurs in several rows counts once per line, and rows of equal id,
+text and host get equal results; blank lines are never boilerplate; an empty table gives no rows;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -75,38 +76,73 @@ def text_measures(docs: DataFrame) -> DataFrame:
                           | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
+def _host() -> Column:
+    return F.coalesce("source", F.lit("\x00"))
+
+
+def _lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
+
+
 def line_rows(docs: DataFrame) -> DataFrame:
-    """One row per line with a word: host, line hash, the words in it, and the document's row key."""
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    rows = docs.select("doc_id", F.coalesce("source", F.lit("\x00")).alias("host"), common.row_key("doc_id", "text").alias("row"),
-                       F.explode(lines).alias("line"))
+    """One row per line with a word: host, line hash, its place in the text, and the document's row key."""
+    rows = docs.select("doc_id", _host().alias("host"), common.row_key("doc_id", "text").alias("row"),
+                       F.posexplode(_lines(F.col("text"))).alias("place", "line"))
     return (rows.withColumn("line", _normal(F.col("line"))).where("line <> ''")
-            .select("doc_id", "host", "row", F.xxhash64("line").alias("line"), F.size(F.split("line", " ")).cast("long").alias("words")))
+            .select("doc_id", "host", "row", "place", F.xxhash64("line").alias("line")))
 
 
-def boilerplate_share(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """Per row key that has a boilerplate line: words in lines, and words in boilerplate lines."""
-    lines = common.materialise(line_rows(docs).groupBy("doc_id", "host", "row", "line").agg(F.sum("words").alias("words")), "lines")
+def boilerplate_places(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+    """Per host and row key that has a boilerplate line: the places of such lines in the text, sorted."""
+    lines = common.materialise(line_rows(docs), "lines")
     held = lines.groupBy("host", "line", "doc_id").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("*").alias("in_docs"))
-    hosts = (docs.select(F.coalesce("source", F.lit("\x00")).alias("host"), "doc_id").groupBy("host", "doc_id").agg(F.lit(1).alias("one"))
+    hosts = (docs.select(_host().alias("host"), "doc_id").groupBy("host", "doc_id").agg(F.lit(1).alias("one"))
              .groupBy("host").agg(F.count("*").alias("host_docs")))
     limit = F.greatest(F.lit(min_docs), F.floor(F.col("host_docs") * max_share))
     # only lines beyond the fixed part of the limit reach the join with the hosts
     frequent = held.where(F.col("in_docs") > min_docs).join(hosts, "host").where(F.col("in_docs") > limit).select("host", "line")
-    removed = lines.join(frequent, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("removed"))
-    return removed.join(lines.groupBy("row").agg(F.sum("words").alias("words")), "row")
+    return lines.join(frequent, ["host", "line"]).groupBy("host", "row").agg(F.sort_array(F.collect_set("place")).alias("places"))
+
+
+def remove_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+    """``docs`` with ``clean_text``: the text without its boilerplate lines, all other lines as they
+    are and in order.  A text without such a line is unchanged, a null one stays null."""
+    places = boilerplate_places(docs, min_docs, max_share)
+    rows = docs.withColumn("host", _host()).withColumn("row", common.row_key("doc_id", "text"))
+    # the runs of lines between two removed places, so that the work grows with the lines alone
+    out = rows.join(places, ["host", "row"], "left").withColumn("_lines", F.when(F.col("places").isNotNull(), _lines(F.col("text"))))
+    ends = F.concat(F.array(F.lit(-1)), F.col("places"), F.array(F.size("_lines")))
+    out = out.withColumn("_ends", F.when(F.col("places").isNotNull(), ends))
+    before = lambda k: F.get("_ends", k - 1)
+    runs = F.transform("_ends", lambda x, k: F.when(k > 0, F.slice("_lines", before(k) + 2, x - before(k) - 1)).otherwise(F.array().cast("array<string>")))
+    return (out.withColumn("clean_text", F.when(F.col("places").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(runs), "\n")))
+            .drop("host", "row", "places", "_lines", "_ends"))
+
+
+def _judged(docs: DataFrame, min_docs: int, max_share: float, min_kept_percent: int) -> DataFrame:
+    """``docs`` with the measures of the text, ``clean_text``, ``n_boilerplate_words`` and ``kept``."""
+    out = remove_lines(text_measures(docs), min_docs, max_share)
+    left = F.when(F.col("clean_text") == F.col("text"), F.col("n_words")).otherwise(F.size(_words(F.coalesce("clean_text", F.lit("")))).cast("long"))
+    out = out.withColumn("n_boilerplate_words", F.col("n_words") - left)
+    depleted = (F.col("n_boilerplate_words") > 0) & (100 * (F.col("n_words") - F.col("n_boilerplate_words")) < min_kept_percent * F.col("n_words"))
+    return out.withColumn("kept", ~F.col("base_failed") & ~depleted)
+
+
+def clean(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE,
+          min_kept_percent: int = MIN_KEPT_PERCENT) -> DataFrame:
+    """The documents kept, as ``doc_id``, ``source`` and the ``text`` without boilerplate lines."""
+    judged = (_judged(docs.select("doc_id", "source", "text"), min_docs, max_share, min_kept_percent)
+              .select("doc_id", "source", F.col("clean_text").alias("text"), "kept"))
+    # written first: a filter on the verdict would be pushed down into every step of the measures
+    return common.materialise(judged, "judged").where("kept").drop("kept")
 
 
 def judge(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE,
           min_kept_percent: int = MIN_KEPT_PERCENT) -> DataFrame:
-    """The measures, ``base_failed``, the boilerplate words removed and the verdict ``kept``."""
-    measures = text_measures(docs.select("doc_id", "text").withColumn("row", common.row_key("doc_id", "text"))).drop("text")
-    share = boilerplate_share(docs, min_docs, max_share)
-    depleted = F.coalesce(100 * (F.col("words") - F.col("removed")) < min_kept_percent * F.col("words"), F.lit(False))
-    return (measures.join(share, "row", "left")
-            .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-                    (~F.col("base_failed") & ~depleted).alias("kept"),
-                    F.coalesce("removed", F.lit(0)).cast("long").alias("n_boilerplate_words")))
+    """The measures, ``base_failed``, the boilerplate words removed and the verdict ``kept``; the
+    words are those that the cleaned text lacks."""
+    return (_judged(docs.select("doc_id", "source", "text"), min_docs, max_share, min_kept_percent)
+            .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_boilerplate_words"))
 
 
 #: The same rules in DuckDB SQL.

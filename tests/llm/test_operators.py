@@ -126,6 +126,40 @@ def test_boilerplate_is_counted_per_host(spark):
     assert got[0] == (9, True) and got[10] == (0, True) and got[9] == (81, False)
 
 
+def test_boilerplate_lines_leave_the_text(spark, empty):
+    rnd = random.Random(5)
+    common_lines = ["Menu  Home", "share this\tpage", "© all of us"]
+    rows = []
+    for i in range(30):
+        own = [" ".join(f"w{i}x{k}y{rnd.randrange(9)}" for k in range(40)) for _ in range(3)]
+        lines = own + [rnd.choice([x, x.upper(), x + " \r"]) for x in common_lines if rnd.random() < 0.6] + ["", "  "]
+        rnd.shuffle(lines)
+        rows.append((i, "\n".join(lines), rnd.choice(["h", None])))
+    rows += [rows[0], (1, rows[1][1], "other"), (None, rows[2][1], "h"), (40, None, "h"), (41, "", "h"), (42, "\n".join(common_lines * 30), "h")]
+    normal = lambda x: " ".join(WORDS.findall(x.lower()))
+    held, n = {}, {}
+    for i, t, h in rows:
+        n.setdefault(h, set()).add(i)
+        for x in (t or "").split("\n"):
+            if normal(x):
+                held.setdefault((h, normal(x)), set()).add(i)
+    bad = {k for k, ids in held.items() if len(ids - {None}) + (None in ids) > max(3, len(n[k[0]]) // 50)}
+    want, kept = [], []
+    for i, t, h in rows:
+        new = None if t is None else "\n".join(x for x in t.split("\n") if (h, normal(x)) not in bad)
+        want.append((i, h, t, new))
+        words, left = len(WORDS.findall(t or "")), len(WORDS.findall(new or ""))
+        if words >= 50 and 100 * left >= 50 * words:
+            kept.append((i, h, new))
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = [tuple(r) for r in line_quality.remove_lines(table, min_docs=3).select("doc_id", "source", "text", "clean_text").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and sum(t != c for _, _, t, c in want) > 20
+    assert sorted((tuple(r) for r in line_quality.clean(table.select("doc_id", "source", "text"), min_docs=3).collect()), key=repr) == sorted(kept, key=repr)
+    counts = {(r["doc_id"], r["n_words"], r["n_boilerplate_words"]) for r in line_quality.judge(table, min_docs=3).collect()}
+    assert counts == {(i, len(WORDS.findall(t or "")), len(WORDS.findall(t or "")) - len(WORDS.findall(c or ""))) for i, _, t, c in want}
+    assert line_quality.remove_lines(empty).count() == line_quality.clean(empty).count() == 0
+
+
 def test_forest_recall_and_ties(spark):
     rng = np.random.default_rng(2)
     vectors = rng.normal(size=(1500, 12)).astype(np.float32)
