@@ -11,7 +11,7 @@ empty texts are judged like any other by the classifier and pass the later stage
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dwell.llm import common, jaccard_join, packing, pii, quality_cnn, substring
@@ -31,10 +31,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: of each group of linked documents the one with the least id stays."""
-    groups = jaccard_join.components(docs)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    """Operator 7: of each group of linked texts one row stays, that with the least id.  Rows are
+    chosen, not ids: texts under one id are judged each for itself, and of rows that repeat with
+    the same id and text one stays.  Rows with a null id take part in no group and all stay."""
+    rows = docs.where("doc_id IS NOT NULL").withColumn("_row", common.row_key("doc_id", "text"))
+    groups = jaccard_join.components(rows.select(F.col("_row").alias("doc_id"), "text"))
+    groups = groups.select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    first = (rows.select("doc_id", "_row").distinct().join(groups, "_row")
+             .groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("first")).select("first.doc_id", "first._row"))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    same = Window.partitionBy("doc_id", "_row").orderBy(*(others or ["_row"]))
+    kept = rows.join(first, ["doc_id", "_row"]).withColumn("_copy", F.row_number().over(same)).where("_copy = 1")
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -73,3 +73,17 @@ def test_stages(spark, stages):
         ids = np.array(library.encode(t, add_special_tokens=False).ids + [0], "<u4")
         want += [(i, k, zlib.crc32(ids[at:at + 2048].tobytes())) for k, at in enumerate(range(0, len(ids), 2048))]
     assert sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in stages[4][1].collect()) == sorted(want)
+
+
+def test_near_duplicates_choose_rows(spark):
+    text = lambda name, n=60: " ".join(f"{name}{k}" for k in range(n))
+    a, near = text("a"), text("a", 59) + " other"
+    rows = [(5, a, "s"), (5, a, "s"), (5, a, "t"), (5, text("b"), "s"), (3, near, "s"), (7, text("b"), "s"), (8, text("c"), "s"),
+            (None, text("d"), "s"), (None, text("d"), "s"), (None, a, "t"), (None, None, "s"), (9, None, "s"), (9, None, "s"), (10, "", "s"), (11, "", "s")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = sorted((tuple(r) for r in P.near_duplicates(spark, table, "").collect()), key=repr)
+    want = [(3, near, "s"), (5, text("b"), "s"), (8, text("c"), "s"), (None, text("d"), "s"), (None, text("d"), "s"), (None, a, "t"), (None, None, "s"),
+            (9, None, "s"), (10, "", "s"), (11, "", "s")]
+    assert got == sorted(want, key=repr)
+    again = spark.createDataFrame([(1, a, "t"), (1, a, "s"), (1, a, "s")], table.schema)
+    assert [tuple(r) for r in P.near_duplicates(spark, again, "").collect()] == [(1, a, "s")]
