@@ -310,6 +310,23 @@ def test_licenses(spark, empty):
     assert licenses.recognise(empty).count() == 0
 
 
+def test_licence_readings_are_merged(spark):
+    bsd = ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n"
+           "Redistributions of source code must retain the above copyright\nnotice, this list of conditions and the following disclaimer.\n"
+           "Redistributions in binary form must reproduce the above copyright\nnotice, this list of conditions and the following disclaimer in the\n"
+           "documentation and/or other materials provided with the distribution.\n")
+    notices = "Page 7\nLicensed under CC BY-NC 4.0\nAll rights reserved\nfooter"
+    ids, own = ["bsd-grant", "bsd-source", "bsd-binary"], ["ccbync4-short", "rights-reserved"]
+    apache = 'Licensed under the Apache License, Version 2.0\n(the "License");'
+    cases = {1: (bsd + notices, ids + own, ["BSD-2-Clause", "CC-BY-NC-4.0", "proprietary-notice"]),
+             2: (notices + "\n\n" + bsd, own + ids, ["BSD-2-Clause", "CC-BY-NC-4.0", "proprietary-notice"]),
+             3: (apache + "\nrest", ["apache2-head"], ["Apache-2.0"]),
+             4: (notices, own, ["CC-BY-NC-4.0", "proprietary-notice"]), 5: (bsd, ids, ["BSD-2-Clause"])}
+    table = spark.createDataFrame([(i, t) for i, (t, _, _) in cases.items()], "doc_id long, text string")
+    got = {r["doc_id"]: (list(r["sentence_ids"]), list(r["licenses"])) for r in licenses.recognise(table).collect()}
+    assert got == {i: (a, b) for i, (_, a, b) in cases.items()}
+
+
 def test_repeated_passages(docs, empty):
     first = {}
     for i, t, *_ in ROWS:
