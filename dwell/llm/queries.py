@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwell.llm import binary_ids, bpe, common, jaccard_join, licenses, line_quality, packing, pii, quality_cnn, rp_forest, substring
+from dwell.llm import binary_ids, bpe, common, conversation_repair, jaccard_join, licenses, line_quality, packing, pii, quality_cnn, rp_forest, substring
 
 
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,9 +59,14 @@ def op10_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(common.documents(spark, sf_dir)).select("doc_id", "text", "n_found", "n_changed")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (op1_bpe_round_trip, op2_bit_plane_files, op3_line_frequency, op4_projection_forest,
-                                    op5_best_fit_packing, op6_byte_cnn, op7_heavy_light_join, op8_license_rules, op9_repeated_passages, op10_feistel_pseudonyms)}
+                                    op5_best_fit_packing, op6_byte_cnn, op7_heavy_light_join, op8_license_rules, op9_repeated_passages, op10_feistel_pseudonyms,
+                                    op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
