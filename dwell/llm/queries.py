@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwell.llm import binary_ids, bpe, common, conversation_repair, jaccard_join, licenses, line_quality, packing, periodic_runs, pii, quality_cnn, rp_forest, substring
+from dwell.llm import binary_ids, bpe, common, conversation_repair, jaccard_join, lattice_lm, licenses, line_quality, packing, periodic_runs, pii, quality_cnn, rp_forest, substring
 
 
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op10_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(common.documents(spark, sf_dir)).select("doc_id", "text", "n_found", "n_changed")
 
 
+def op11_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score(common.documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(periodic_runs.detect(common.documents(spark, sf_dir), periodic_runs.planted))
 
@@ -70,7 +74,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {f.__name__: f for f in (op1_bpe_round_trip, op2_bit_plane_files, op3_line_frequency, op4_projection_forest,
                                     op5_best_fit_packing, op6_byte_cnn, op7_heavy_light_join, op8_license_rules, op9_repeated_passages, op10_feistel_pseudonyms,
-                                    op12_periodic_runs, op13_conversation_repair)}
+                                    op11_subword_lattice, op12_periodic_runs, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
