@@ -1,26 +1,30 @@
 """Operator 11: language-model scores by the likelihood of a subword lattice.
 
-The model is a unigram model over the pieces of an existing vocabulary, as byte strings, and all 256
+The lattice of a text has the pieces of an existing unigram vocabulary, as byte strings, and all 256
 single bytes, so that any text can be spelt.  A word, with the word mark before it, may be cut into
-pieces in many ways; its probability is the sum over all of them, found by one forward recursion in
-log space over its bytes.  No piece holds a word mark behind its first character, so the lattice of a text is
-the chain of the lattices of its words, and its marginal log probability is the sum of theirs plus
-that of the end symbol.  Each word of the corpus is therefore recursed once, not once per text.
-
-The weights start from the scores of the vocabulary file, which rank the pieces: rank r gets 1 / (r + 1).
-They are then learned from the training documents by expectation maximisation: forward and backward
-recursions give the expected uses of each piece in each distinct training word, times its count;
-the sums over the corpus, plus the first weights as PRIOR pseudo-uses in all, are the next weights.  The end
-symbol's weight is the number of training documents among all symbols.
-
-Scale: words are counted per task before they are shuffled.  A round of learning sends each task's
-sums, at most one a piece, and only the weights (one a piece) reach the driver.  Words with at least
-1 / FREQUENT of all tokens number at most FREQUENT, so their counts and scores are broadcast; any
-other word is so rare that its rows, joined by word, cannot fill a task.
+pieces in many ways; the probability of its spelling is the sum over all of them, found by one forward
+recursion in log space over its bytes.  Beside the spellings a word that the training documents know has
+one edge over all of it.  No piece holds a word mark behind its first character, so the lattice of a
+text is the chain of the lattices of its words, and its marginal log probability is the sum of theirs
+plus that of the end symbol.  Each word of the corpus is therefore recursed once, not once per text.
+
+The weights of the pieces start from the scores of the vocabulary file, which rank them: rank r gets
+1 / (r + 1).  They are then learned from the distinct words of the training documents by expectation
+maximisation: forward and backward recursions give the expected uses of each piece in each word; their
+sums over the corpus, plus the first weights as PRIOR pseudo-uses in all, are the next weights.  The
+edge of a word seen c times weighs (c - d) / (N + 2), its spellings together (d W + 1) / (N + 2) times
+the spelling's probability, the end symbol (its count + 1) / (N + 2), where W counts the distinct words
+and d = n1 / (n1 + 2 n2) follows from the words seen once and twice.  So all texts' probabilities sum to one.
+
+Scale: words are counted per task before they are shuffled; what is gathered is a row per distinct
+word of the corpus.  A round of learning sends each task's sums, at most one a piece, and only the
+weights (one a piece) reach the driver.  Words with at least 1 / FREQUENT of all tokens number at most
+FREQUENT, so their counts and scores are broadcast; any other word is so rare that its rows, joined by
+word, cannot fill a task.
 
 Defined results: a null or empty text is the end symbol alone; only A to Z are lower-cased; a null doc_id
 counts as the empty id, whose remainder puts it into training; rows that repeat are scored and counted
-each; with no training document all counts are 0 and the weights stay the first ones; an empty table
+each; with no training document all counts are 0 and the pieces keep their first weights; an empty table
 gives no rows; columns other than doc_id and text are not read.  A word may be long: time and memory
 are linear in it.
 """
@@ -29,7 +33,8 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -169,13 +174,37 @@ def count_words(docs: DataFrame) -> DataFrame:
     return common.materialise(found.groupBy("word").agg(F.sum("n").alias("n"), F.sum("c").alias("c")), "word-counts")
 
 
-def learn(counts: DataFrame, pieces: dict[bytes, float], rounds: int = ROUNDS, prior: float = PRIOR) -> dict[bytes, float]:
-    """Log weights of the pieces and of the end symbol after ``rounds`` of expectation maximisation."""
+@dataclass(frozen=True)
+class Model:
+    """Log weights of the pieces; the discount of a known word's edge; log weights of all spellings
+    together and of the end symbol; the tokens that weights of edges are shares of."""
+
+    pieces: dict[bytes, float]
+    discount: float
+    spelt: float
+    end: float
+    total: float
+
+    def scorer(self) -> Callable[[bytes, int], float]:
+        lattice = Lattice(self.pieces)
+
+        def log_probability(word: bytes, c: int) -> float:
+            """Of a word with its count in training documents, or of the end symbol."""
+            if not word:
+                return self.end
+            spelling = self.spelt + lattice.log_probability(MARK + word)
+            return Lattice._add([spelling, math.log((c - self.discount) / self.total)]) if c else spelling
+        return log_probability
+
+
+def learn(counts: DataFrame, pieces: dict[bytes, float], rounds: int = ROUNDS, prior: float = PRIOR) -> Model:
+    """The model after ``rounds`` of expectation maximisation over the distinct training words."""
     spark = counts.sparkSession
     first = {p: math.exp(w) for p, w in pieces.items()}
-    is_end = F.col("word") == F.lit(END)
-    ends, used = counts.agg(F.coalesce(F.sum(F.when(is_end, F.col("c"))), F.lit(0)), F.coalesce(F.sum(F.when(~is_end, F.col("c"))), F.lit(0))).first()
-    train = counts.where((F.col("c") > 0) & ~is_end).select("word", "c")
+    is_word, c = F.col("word") != F.lit(END), F.col("c")
+    tokens, ends, kinds, once, twice = counts.agg(
+        *[F.coalesce(x, F.lit(0)) for x in (F.sum(c), F.sum(F.when(~is_word, c)), F.count_if(is_word & (c > 0)), F.count_if(is_word & (c == 1)), F.count_if(is_word & (c == 2)))]).first()
+    train = counts.where(is_word & (c > 0)).select("word")
     weights = dict(pieces)
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(weights)
@@ -183,30 +212,25 @@ def learn(counts: DataFrame, pieces: dict[bytes, float], rounds: int = ROUNDS, p
         def expected(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             lattice, uses = Lattice(shared.value), {}
             for batch in batches:
-                for word, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist()):
-                    lattice.expect(MARK + word, float(c), uses)
+                for word in batch.column("word").to_pylist():
+                    lattice.expect(MARK + word, 1.0, uses)
             yield pa.RecordBatch.from_arrays([pa.array(list(uses), pa.binary()), pa.array(list(uses.values()), pa.float64())], names=["piece", "uses"])
 
         sums = train.mapInArrow(expected, "piece binary, uses double").groupBy("piece").agg(F.sum("uses").alias("uses"))
         uses = {bytes(r["piece"]): r["uses"] for r in sums.collect()}  # at most one row a piece
         shared.unpersist()
-        used = math.fsum(uses.values())
-        total = used + prior
-        weights = {p: math.log((uses.get(p, 0.0) + prior * w) / total) for p, w in first.items()}
-    # of all symbols, pieces and ends, this share is the end; one is added so that it is never 0
-    end = (ends + 1) / (used + ends + 2)
-    weights = {p: w + math.log1p(-end) for p, w in weights.items()}
-    weights[END] = math.log(end)
-    return weights
+        used = math.fsum(uses.values()) + prior
+        weights = {p: math.log((uses.get(p, 0.0) + prior * w) / used) for p, w in first.items()}
+    discount = min(max(once / (once + 2 * twice), 0.05), 0.95) if once else 0.5
+    return Model(weights, discount, math.log((discount * kinds + 1) / (tokens + 2)), math.log((ends + 1) / (tokens + 2)), tokens + 2)
 
 
 def _scored_words(counts: DataFrame, shared) -> DataFrame:
     """word, n, c and the natural log probability of each distinct word (the end symbol: of itself)."""
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = shared.value[END]
-        lattice = Lattice({p: w for p, w in shared.value.items() if p})
+        log_p = shared.value.scorer()
         for batch in batches:
-            logs = [lattice.log_probability(MARK + w) if w else end for w in batch.column("word").to_pylist()]
+            logs = [log_p(w, c) for w, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist())]
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("word", "n", "c")), pa.array(logs, pa.float64())], names=["word", "n", "c", "log_p"])
     return common.materialise(counts.mapInArrow(scored, "word binary, n long, c long, log_p double"), "word-scores")
 

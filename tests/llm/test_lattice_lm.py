@@ -52,35 +52,49 @@ def rows():
     return out + [(200, None), (201, ""), (202, " \n"), (None, "the null id"), (None, None), (3, "unseen elsewhere zzzq"), (3, "unseen elsewhere zzzq"), (9, "house " * 3000)]
 
 
-def plain(docs, weights):
-    """The contract, word by word; the probability of a text in one recursion over all of it."""
+def plain(docs, model):
+    """The contract, word by word; the probability of a text in one recursion over all of its bytes."""
     parse = lambda t: [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))]
     held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
     c = Counter(w for i, t in docs if not held(i) for w in [*parse(t), b""])
     n, v = sum(c.values()), len(c)
-    lattice = L.Lattice({p: w for p, w in weights.items() if p})
+    once, twice = (sum(x == k for w, x in c.items() if w) for k in (1, 2))
+    d = once / (once + 2 * twice)
+    spelt, end = math.log((d * (v - 1) + 1) / (n + 2)), math.log((c[b""] + 1) / (n + 2))
+    assert model.end == pytest.approx(end) and model.spelt == pytest.approx(spelt)
+    edges = L.Lattice(model.pieces).edges
     for i, t in docs:
         found = [*parse(t), b""]
         whole = b"".join(L.MARK + w for w in found[:-1])
+        ways = edges(whole)
+        at = 0
+        for w in found[:-1]:
+            stop = at + len(L.MARK + w)
+            ways[at] = [(j, x + spelt) for j, x in ways[at]] + ([(stop, math.log((c[w] - d) / (n + 2)))] if c[w] else [])
+            at = stop
         yield (i, held(i), len(found), sum(c[w] > 0 for w in found), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in found),
-               (lattice.log_probability(whole) + weights[b""]) / math.log(10))
+               (L.Lattice(model.pieces).forward(ways)[-1] + end) / math.log(10))
 
 
 @pytest.mark.parametrize("frequent", [L.FREQUENT, 30, 1])
 def test_scores_equal_the_plain_version(spark, frequent):
     df = spark.createDataFrame([(i, t, 0.0, "x", 1, 2) for i, t in rows()], SCHEMA).repartition(4)
-    weights = L.learn(L.count_words(df), L.read_pieces(PATH))
-    assert sum(map(math.exp, weights.values())) == pytest.approx(1.0)
+    model = L.learn(L.count_words(df), L.read_pieces(PATH))
+    assert sum(map(math.exp, model.pieces.values())) == pytest.approx(1.0)
     key = lambda r: (r[0] is None, r[0] or 0, r[2], round(r[5], 6))
     got = sorted((tuple(r) for r in L.score(df, PATH, frequent=frequent).collect()), key=key)
-    want = sorted(plain(rows(), weights), key=key)
+    want = sorted(plain(rows(), model), key=key)
     for g, w in zip(got, want, strict=True):
         assert g[:5] == w[:5] and g[5:] == pytest.approx(w[5:], rel=1e-9)
 
 
 def test_learning_raises_the_training_likelihood(spark):
     df = spark.createDataFrame([(i, t, 0.0, "x", 1, 2) for i, t in rows()], SCHEMA)
-    total = lambda n: sum(r["score"] for r in L.score(df, PATH, rounds=n).collect() if not r["held_out"])
+    words = [bytes(r["word"]) for r in L.count_words(df).where("c > 0").collect() if r["word"]]
+
+    def total(n):
+        lattice = L.Lattice(L.learn(L.count_words(df), L.read_pieces(PATH), rounds=n, prior=1.0).pieces)
+        return sum(lattice.log_probability(L.MARK + w) for w in words)
     assert total(0) < total(1) < total(3)
 
 
