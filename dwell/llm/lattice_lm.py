@@ -35,6 +35,7 @@ import math
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from math import exp, log
 
 import numpy as np
 import pyarrow as pa
@@ -74,64 +75,71 @@ def read_pieces(path: str) -> dict[bytes, float]:
 
 
 class Lattice:
-    """All segmentations of a word under log weights of pieces."""
+    """All segmentations of words under log weights of pieces.
+
+    Words are entered one after the other.  What is known of a prefix that a word shares with the one
+    before is kept, so words in order cost little more than their new bytes.  For each prefix the forward
+    recursion gives the log of the summed probability of its segmentations, and the share of each
+    piece that may end there.  Once no later word can share a prefix, the expected number of
+    segmentations through it, which its longer prefixes have handed down, is dealt by these shares."""
 
     def __init__(self, weights: dict[bytes, float]):
-        self.weights = weights
-        # only lengths that some piece with this first byte has are tried
-        lengths: dict[int, set[int]] = {}
-        for piece in weights:
-            lengths.setdefault(piece[0], set()).add(len(piece))
-        self.lengths = {b: sorted(x) for b, x in lengths.items()}
-
-    def edges(self, word: bytes) -> list[list[tuple[int, float]]]:
-        """For each byte the (end, log weight) of the pieces that start there."""
-        n, get = len(word), self.weights.get
-        out = []
-        for i in range(n):
-            here = []
-            for size in self.lengths[word[i]]:
-                if i + size > n:
-                    break
-                w = get(word[i:i + size])
-                if w is not None:
-                    here.append((i + size, w))
-            out.append(here)
-        return out
-
-    @staticmethod
-    def _add(terms: list[float]) -> float:
-        if len(terms) == 1:
-            return terms[0]
+        import ahocorasick
+        self.pieces, self.uses = list(weights), [0.0] * len(weights)
+        found = ahocorasick.Automaton()
+        for i, (piece, w) in enumerate(weights.items()):
+            found.add_word(piece.decode("latin-1"), (len(piece), w, i))
+        found.make_automaton()
+        self._matches = found.iter
+        self._path, self._alpha, self._into, self._mass = "", [0.0], [([], [])], [0.0]
+
+    def _arrive(self, terms: list[float], pieces: list[tuple[int, int]]) -> None:
         top = max(terms)
-        return top + math.log(sum([math.exp(x - top) for x in terms])) if top > -math.inf else top
-
-    def forward(self, edges: list[list[tuple[int, float]]]) -> list[float]:
-        """Log of the summed probability of all segmentations of each prefix."""
-        into: list[list[float]] = [[] for _ in range(len(edges) + 1)]
-        into[0].append(0.0)
-        alpha = []
-        for i, here in enumerate(edges):
-            a = self._add(into[i])
-            alpha.append(a)
-            for j, w in here:
-                into[j].append(a + w)
-        return alpha + [self._add(into[-1])]
-
-    def log_probability(self, word: bytes) -> float:
-        return self.forward(self.edges(word))[-1]
-
-    def expect(self, word: bytes, count: float, uses: dict[bytes, float]) -> None:
-        """Add ``count`` times the expected uses of each piece in ``word``."""
-        edges = self.edges(word)
-        alpha = self.forward(edges)
-        beta = [0.0] * (len(edges) + 1)
-        for i in range(len(edges) - 1, -1, -1):
-            beta[i] = self._add([w + beta[j] for j, w in edges[i]])
-        for i, here in enumerate(edges):
-            for j, w in here:
-                piece = word[i:j]
-                uses[piece] = uses.get(piece, 0.0) + count * math.exp(alpha[i] + w + beta[j] - beta[0])
+        shares = [exp(x - top) for x in terms]
+        total = sum(shares)
+        self._alpha.append(top + log(total))
+        self._into.append(([x / total for x in shares], pieces))
+        self._mass.append(0.0)
+
+    def enter(self, word: bytes, count: float = 0.0) -> float:
+        """The log probability of ``word``; its segmentations are expected ``count`` times."""
+        text, shared = word.decode("latin-1"), 0
+        for x, y in zip(self._path, text):
+            if x != y:
+                break
+            shared += 1
+        self._leave(shared)
+        alpha, at, terms, pieces = self._alpha, shared + 1, [], []
+        for last, (size, w, i) in self._matches(text):
+            if last < shared:
+                continue
+            if last >= at:  # single bytes are pieces, so every place is met in turn
+                self._arrive(terms, pieces)
+                at, terms, pieces = at + 1, [], []
+            start = last + 1 - size
+            terms.append(alpha[start] + w)
+            pieces.append((start, i))
+        if terms:
+            self._arrive(terms, pieces)
+        self._mass[-1] += count
+        self._path = text
+        return alpha[-1]
+
+    def _leave(self, shared: int) -> None:
+        mass, uses = self._mass, self.uses
+        while len(mass) > shared + 1:
+            self._alpha.pop()
+            expected = mass.pop()
+            for share, (start, i) in zip(*self._into.pop()):
+                share *= expected
+                mass[start] += share
+                uses[i] += share
+
+    def expected(self) -> dict[bytes, float]:
+        """Expected uses of the pieces in all words entered."""
+        self._leave(0)
+        self._path = ""
+        return {p: x for p, x in zip(self.pieces, self.uses) if x}
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -169,9 +177,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """word, n (tokens in all documents), c (in training documents), written once."""
+    """word, n (tokens in all documents), c (in training documents), written once, in order within a task."""
     found = docs.select("text", held_out().alias("held_out")).mapInArrow(_counts, "word binary, n long, c long")
-    return common.materialise(found.groupBy("word").agg(F.sum("n").alias("n"), F.sum("c").alias("c")), "word-counts")
+    return common.materialise(found.groupBy("word").agg(F.sum("n").alias("n"), F.sum("c").alias("c")).sortWithinPartitions("word"), "word-counts")
 
 
 @dataclass(frozen=True)
@@ -192,8 +200,11 @@ class Model:
             """Of a word with its count in training documents, or of the end symbol."""
             if not word:
                 return self.end
-            spelling = self.spelt + lattice.log_probability(MARK + word)
-            return Lattice._add([spelling, math.log((c - self.discount) / self.total)]) if c else spelling
+            spelling = self.spelt + lattice.enter(MARK + word)
+            if not c:
+                return spelling
+            edge = log((c - self.discount) / self.total)
+            return max(edge, spelling) + math.log1p(exp(-abs(edge - spelling)))
         return log_probability
 
 
@@ -210,10 +221,11 @@ def learn(counts: DataFrame, pieces: dict[bytes, float], rounds: int = ROUNDS, p
         shared = spark.sparkContext.broadcast(weights)
 
         def expected(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            lattice, uses = Lattice(shared.value), {}
+            lattice = Lattice(shared.value)
             for batch in batches:
                 for word in batch.column("word").to_pylist():
-                    lattice.expect(MARK + word, 1.0, uses)
+                    lattice.enter(MARK + word, 1.0)
+            uses = lattice.expected()
             yield pa.RecordBatch.from_arrays([pa.array(list(uses), pa.binary()), pa.array(list(uses.values()), pa.float64())], names=["piece", "uses"])
 
         sums = train.mapInArrow(expected, "piece binary, uses double").groupBy("piece").agg(F.sum("uses").alias("uses"))
