@@ -38,6 +38,8 @@ from dwell.llm import common
 
 #: Most rows and most text bytes of a block; rows a range holds.
 BLOCK_ROWS, BLOCK_BYTES, RANGE_ROWS = 4096, 8 << 20, 200_000
+#: A smaller table is dealt out as well, in ranges of about as many rows at least.
+LEAST_ROWS = 10_000
 
 REROLE, DELETE, INSERT, TRUNCATED = 1, 2, 5, 5
 _SPACE = " \t\n\x0b\x0c\r"
@@ -246,7 +248,8 @@ def _sorted_rows(rows: DataFrame, range_rows: int) -> DataFrame:
     clean = clean.withColumns({"digest": F.unhex(F.sha2("text", 256)), "row": F.monotonically_increasing_id()})
     clean = common.materialise(clean, "conversation-rows")
     firsts = clean.groupBy("conv_id", "role", "digest").agg(F.min(F.struct("turn", "row"))["row"].alias("row")).select("row", F.lit(False).alias("again"))
-    n = max(1, -(-clean.count() // range_rows))
+    n = clean.count()
+    n = max(1, -(-n // range_rows), min(int(clean.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // LEAST_ROWS))
     order = ["conv_id", "turn", "role", "digest", "row"]
     marked = clean.join(firsts, "row", "left").withColumn("seen", F.coalesce("again", F.lit(True)))
     return (marked.select(*order[:3], "text", "digest", "row", "seen").repartitionByRange(n, *order).sortWithinPartitions(*order)

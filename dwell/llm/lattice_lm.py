@@ -49,7 +49,7 @@ ROUNDS = 2
 #: Pseudo-uses that the first weights add, in all.
 PRIOR = 1000.0
 #: Words of at least a share 1 / FREQUENT of the tokens are broadcast; there are at most FREQUENT.
-FREQUENT = 65_536
+FREQUENT = 1 << 19
 #: Distinct words a task holds before it hands on their counts.
 HELD_WORDS = 300_000
 #: Marks the start of a word in the vocabulary.
@@ -258,39 +258,41 @@ def score(docs: DataFrame, path: str, rounds: int = ROUNDS, prior: float = PRIOR
     shared = spark.sparkContext.broadcast(learn(counts, read_pieces(path), rounds, prior))
     table = _scored_words(counts, shared)
     common_words = F.col("n") * frequent >= F.lit(tokens)
-    known = spark.sparkContext.broadcast({bytes(r["word"]): (r["c"], r["log_p"]) for r in table.where(common_words).collect()})  # at most ``frequent``
+    often = table.where(common_words).select("word", "c", "log_p").collect()  # at most ``frequent``
+    values = np.array([(log(r["c"] + 1) - base, r["log_p"], r["c"] > 0) for r in often], dtype=np.float64).reshape(-1, 3)
+    known = spark.sparkContext.broadcast(([bytes(r["word"]) for r in often], values))
+    pair = pa.struct([("word", pa.binary()), ("k", pa.int64())])
 
     def known_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per document the sums over its frequent words; its other words with their counts."""
-        number, logs = {}, []
-        for i, (word, (c, log_p)) in enumerate(known.value.items()):
-            number[word] = i
-            logs.append((math.log(c + 1) - base, log_p, c > 0))
-        values = np.array(logs, dtype=np.float64).reshape(-1, 3)
+        held, values = known.value
+        number = {w: i for i, w in enumerate(held)}
         for batch in batches:
             for part in common.slices([batch]):
-                sums, sizes, rare = [], [], []
+                sums, sizes, rare, times, ends = [], [], [], [], [0]
                 for text in common.texts(part):
                     found = words(text)
                     found.append(END)
                     places = list(map(number.get, found))
                     if None in places:
-                        rare.append([{"word": w, "k": k} for w, k in Counter([w for w, x in zip(found, places) if x is None]).items()])
+                        others = Counter([w for w, x in zip(found, places) if x is None])
+                        rare.extend(others)
+                        times.extend(others.values())
                         places = [x for x in places if x is not None]
-                    else:
-                        rare.append(None)
+                    ends.append(len(rare))
                     sizes.append(len(found))
                     sums.append(values[places].sum(axis=0))
                 sums = np.array(sums).reshape(-1, 3)
+                rest = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], fields=list(pair)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("held_out"), pa.array(sizes, pa.int64()), pa.array(sums[:, 2].astype(np.int64)), pa.array(sums[:, 0]), pa.array(sums[:, 1]),
-                     pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())])))], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "log_p", "rare"])
+                    [part.column("doc_id"), part.column("held_out"), pa.array(sizes, pa.int64()), pa.array(sums[:, 2].astype(np.int64)), pa.array(sums[:, 0]), pa.array(sums[:, 1]), rest],
+                    names=["doc_id", "held_out", "n_tokens", "n_known", "base", "log_p", "rare"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     parts = docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(
         known_part, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, log_p double, rare array<struct<word:binary,k:long>>")
     parts = common.materialise(parts.withColumn("row", F.monotonically_increasing_id()), "known-words")
-    rare = parts.where("rare IS NOT NULL").select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.k")
+    rare = parts.where("size(rare) > 0").select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.k")
     # written before the join: a row of the table is a word, never one of the frequent
     met = rare.join(table.where(~common_words).select("word", "c", "log_p"), "word")
     more = met.groupBy("row").agg(F.sum(F.col("k") * (F.log(F.col("c") + 1.0) - F.lit(base))).alias("more_base"), F.sum(F.col("k") * F.col("log_p")).alias("more_log_p"),
