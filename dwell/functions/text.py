@@ -227,8 +227,10 @@ def reliability_message(group: str | Column, reliable: str | Column, lift: str |
                 "held usable; treat the score as a guess.", g, ap, base, lf, least)))
 
 
-def day_estimate_caveat(r2: float) -> Column:
-    """The sentence beside every day estimate, with the model's R2."""
+def day_estimate_caveat(r2: float | None) -> Column:
+    """The sentence beside every day estimate, with the model's R2 where it was measured."""
+    if r2 is None:
+        return F.lit("Indicative only: the day estimate has not been measured on held-out rows.")
     return F.lit(f"Indicative only: on these features the day estimate does no better than a constant (R2 = {r2:.3f})."
                  if r2 <= 0 else f"Indicative only: the day estimate explains a part of the variation (R2 = {r2:.3f}).")
 

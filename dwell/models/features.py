@@ -1,8 +1,8 @@
-"""Feature specification, level folding (M1) and encoding (M2) on MLlib.
+"""Feature specification, level folding (M1), imputation (M2) and the gate before a model.
 
 Categorical columns keep their ``cap`` most frequent training levels (ties by
 value); null becomes ``Missing`` and unseen levels ``Other``, so a column has at
-most ``cap + 2`` indices (trees need ``maxBins >= cap + 2``).  The level table is
+most ``cap + 2`` values, which is a byte at the default.  The level table is
 a bounded model parameter (``cap`` rows per column), like a StringIndexer's
 vocabulary.
 """
@@ -12,12 +12,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.gates import feature_matrix
+from ..operators.gates import check_columns
 
 MISSING, OTHER = "Missing", "Other"
 CAP = 254
@@ -68,27 +66,21 @@ def fit_levels(train: DataFrame, columns: Sequence[str], cap: int = CAP, min_row
     return FoldedLevels(out)
 
 
-def encoder(spec: FeatureSpec, features_col: str = "features") -> Pipeline:
-    """M2: median imputation with a missing indicator for numerics, indexed
-    folded levels for the rest, one vector."""
-    num_out = [f"{c}__imp" for c in spec.numeric]
-    stages = []
-    if spec.numeric:
-        stages.append(Imputer(strategy="median", inputCols=list(spec.numeric), outputCols=num_out))
-    idx_out = [f"{c}__idx" for c in spec.level_columns]
-    if spec.level_columns:
-        stages.append(StringIndexer(inputCols=[f"{c}__lv" for c in spec.level_columns], outputCols=idx_out,
-                                    handleInvalid="keep", stringOrderType="alphabetAsc"))
-    miss = [f"{c}__na" for c in spec.numeric]
-    stages.append(VectorAssembler(inputCols=num_out + miss + idx_out, outputCol=features_col,
-                                  handleInvalid="keep"))
-    return Pipeline(stages=stages)
-
-
-def prepare(df: DataFrame, spec: FeatureSpec, levels: FoldedLevels, passthrough: Sequence[str] = ()) -> DataFrame:
-    """Gate (P7) -> typed numerics with missing indicators -> folded levels."""
-    feature_matrix(df.select(*spec.allowed), spec.allowed, spec.forbidden)  # schema-only gate
-    x = df.select(*passthrough, *[c for c in spec.allowed if c not in passthrough])
-    x = x.withColumns({**{c: F.col(c).cast("double") for c in spec.numeric},
-                       **{f"{c}__na": F.col(c).isNull().cast("double") for c in spec.numeric}})
-    return levels.transform(x)
+def impute(df: DataFrame, train: DataFrame, spec: FeatureSpec, levels: FoldedLevels) -> DataFrame:
+    """M2: numbers by the exact training median beside a ``<column>__na`` indicator, levels by the
+    constant ``Missing`` (infrequent ones fold by M1's table) as ``<column>__lv``, booleans by the most
+    frequent training value.  The fill values are one row of statistics."""
+    from .train import fit_reference_row
+    fill = fit_reference_row(train, FeatureSpec(spec.numeric, (), spec.boolean))
+    cols = {f"{c}__na": F.col(c).isNull() for c in spec.numeric}
+    cols |= {c: F.coalesce(F.col(c).cast("double"), F.lit(fill[c])) for c in spec.numeric}
+    cols |= {c: F.coalesce(F.col(c), F.lit(fill[c])) for c in spec.boolean}
+    return levels.transform(df.withColumns(cols))
+
+
+def features_of(df: DataFrame, spec: FeatureSpec, passthrough: Sequence[str] = ()) -> DataFrame:
+    """P7 on the incoming frame, before any projection: a forbidden column stops the run unless it is
+    passed through by name, then a column that is neither a feature nor passed through, then a missing feature."""
+    carried = [c for c in passthrough if c not in spec.allowed]
+    check_columns([c for c in df.columns if c not in carried], spec.allowed, spec.forbidden, required=spec.allowed)
+    return df.select(*carried, *spec.allowed)

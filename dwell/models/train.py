@@ -1,44 +1,29 @@
-"""Model operators on MLlib.
+"""Model operators (M3-M9, A8-A10): baselines, boosted duration and risk models, back-transforms.
 
 * baselines: global median, cell median with global fallback, positive rate;
-* duration regressors: ``GBTRegressor`` with squared loss on ``log1p(y)`` (M4)
-  or absolute loss on raw days (M5);
-* quantiles (M6): MLlib has no quantile loss, so a regression tree's leaves
-  (``leafCol``) carry exact per-leaf training percentiles of y - quantiles are
-  ordered by construction;
-* classifier (M7): ``GBTClassifier`` on ``y >= threshold``;
-* isotonic calibration (M8) on validation scores.
-
-Scores of tree models will not equal another library's numbers; tests check
-properties (ranges, ordering, lift), never equality.
+* duration: boosted trees with squared loss on ``log1p(y)`` (M4) or absolute loss on raw days (M5);
+* quantiles (M6): boosted trees with the pinball loss on ``log1p(y)``, one head each;
+* classifier (M7): boosted trees with the log loss on ``y >= threshold``;
+* isotonic calibration (M8): see :mod:`.isotonic`.
+
+All models of a bundle are heads of one fit (:func:`.boosting.fit_heads`) and answer in one pass.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import age_band, clip_days
 from ..operators import lookup, ranking
-from ..operators.breakdown import unpivot_levels
-from .features import CAP, FeatureSpec, FoldedLevels, encoder, fit_levels, prepare
-
-SEED = 20260816
+from ..operators.breakdown import _attach, unpivot_levels
+from .boosting import Binner, Boosted, Head, TreeParams, fit_heads, predict
+from .features import CAP, FeatureSpec, features_of, fit_levels
 
-
-@dataclass
-class TreeParams:
-    max_iter: int = 300
-    step_size: float = 0.06
-    max_depth: int = 5
-    min_instances: int = 40
-    seed: int = SEED
+QUANTILES = {"p10_days": 0.1, "p50_days": 0.5, "p90_days": 0.9}
 
 
 # ---------------------------------------------------------------------------
@@ -59,7 +44,6 @@ def predict_group_median(df: DataFrame, train: DataFrame, keys: list[str], y: st
     """M3 / A7 + J4: cell median of ``keys`` on train, unseen cell -> global median, clipped."""
     cells = lookup.group_median_table(train, keys, y)
     glob = ranking.group_quantiles(train, y, [0.5], ["_g"])
-    from ..operators.breakdown import _attach
     return lookup.lookup_with_fallback(_attach(df, glob), cells, keys, "cell_median", F.col("_g"), out).drop("_g")
 
 
@@ -73,72 +57,51 @@ def with_age_band(df: DataFrame, age_col: str, out: str = "age_band") -> DataFra
 
 @dataclass
 class Bundle:
+    """Fitted models by name, all over the features of ``spec``; ``r2`` is that of the day estimate on the
+    rows it was last evaluated on."""
+
     spec: FeatureSpec
-    levels: FoldedLevels
-    encoder: PipelineModel
-    models: dict[str, PipelineModel] = field(default_factory=dict)
-    leaf_quantiles: DataFrame | None = None
-    isotonic: PipelineModel | None = None
+    models: dict[str, Boosted] = field(default_factory=dict)
     reference_row: dict | None = None
+    r2: float | None = None
 
-    def features(self, df: DataFrame, passthrough: list[str]) -> DataFrame:
-        return self.encoder.transform(prepare(df, self.spec, self.levels, passthrough))
+    @property
+    def binner(self) -> Binner:
+        return next(iter(self.models.values())).binner
 
 
-def fit_encoder(train: DataFrame, spec: FeatureSpec) -> tuple[FoldedLevels, PipelineModel]:
-    levels = fit_levels(train, spec.level_columns, spec.cap)
-    enc = encoder(spec).fit(prepare(train, spec, levels))
-    return levels, enc
+def classifier_head(label: str, name: str = "classifier", where: Column | None = None, features: Sequence[str] | None = None) -> Head:
+    """M7 on the rows of ``where``."""
+    target = F.col(label)
+    return Head(name, target if where is None else F.when(where, target), "log_loss", features=features)
 
 
-def _max_bins(spec: FeatureSpec) -> int:
-    return max(32, spec.cap + 3)  # cap levels, Other, Missing, and the encoder's bin for unseen ones
-
-
-def fit_regressor(train_x: DataFrame, y: str, loss: str, params: TreeParams, spec: FeatureSpec) -> PipelineModel:
+def days_head(y: str, loss: str, name: str = "days") -> Head:
     """M4 (``loss='log1p'``: squared error on log1p(y)) or M5 (``'absolute'`` on raw y)."""
-    label = F.log1p(F.col(y)) if loss == "log1p" else F.col(y)
-    gbt = GBTRegressor(featuresCol="features", labelCol="_label", predictionCol="_raw_pred",
-                       lossType="squared" if loss == "log1p" else "absolute", maxIter=params.max_iter,
-                       stepSize=params.step_size, maxDepth=params.max_depth,
-                       minInstancesPerNode=params.min_instances, maxBins=_max_bins(spec), seed=params.seed)
-    return Pipeline(stages=[gbt]).fit(train_x.withColumn("_label", label.cast("double")))
-
-
-def fit_classifier(train_x: DataFrame, label: str, params: TreeParams, spec: FeatureSpec) -> PipelineModel:
-    """M7."""
-    gbt = GBTClassifier(featuresCol="features", labelCol="_label", maxIter=params.max_iter,
-                        stepSize=params.step_size, maxDepth=params.max_depth,
-                        minInstancesPerNode=params.min_instances, maxBins=_max_bins(spec), seed=params.seed)
-    return Pipeline(stages=[gbt]).fit(train_x.withColumn("_label", F.col(label).cast("double")))
-
+    return Head(name, F.log1p(F.col(y)), "squared") if loss == "log1p" else Head(name, F.col(y), "absolute")
 
-def fit_leaf_quantiles(train_x: DataFrame, y: str, spec: FeatureSpec, depth: int = 6, min_leaf: int = 40,
-                       quantiles=(0.1, 0.5, 0.9), seed: int = SEED) -> tuple[PipelineModel, DataFrame]:
-    """M6: one regression tree on log1p(y); per leaf the exact training
-    percentiles of y (table size <= 2^depth, broadcast)."""
-    tree = DecisionTreeRegressor(featuresCol="features", labelCol="_label", leafCol="_leaf",
-                                 predictionCol="_tree_pred", maxDepth=depth, minInstancesPerNode=min_leaf,
-                                 maxBins=_max_bins(spec), seed=seed)
-    model = Pipeline(stages=[tree]).fit(train_x.withColumn("_label", F.log1p(F.col(y))))
-    names = [f"_q{i}" for i in range(len(quantiles))]
-    table = ranking.group_quantiles(model.transform(train_x), y, list(quantiles), names, ["_leaf"])
-    table = table.select("_leaf", F.array(*names).alias("_q"))
-    # a fitted model parameter of <= 2^depth rows: keep it as a literal table so
-    # it also joins with streaming frames
-    return model, train_x.sparkSession.createDataFrame(table.collect(), table.schema)
 
+def quantile_heads(y: str) -> list[Head]:
+    """M6: quantiles survive the log transform, so they are fitted on log1p(y) like the mean."""
+    return [Head(name, F.log1p(F.col(y)), "quantile", q) for name, q in QUANTILES.items()]
 
-def predict_quantiles(x: DataFrame, model: PipelineModel, table: DataFrame,
-                      names=("p10_days", "p50_days", "p90_days")) -> DataFrame:
-    out = model.transform(x).join(F.broadcast(table), "_leaf", "left")  # <= 2^depth rows
-    return out.withColumns({n: clip_days(F.col("_q")[i]) for i, n in enumerate(names)}).drop(
-        "_q", "_leaf", "_tree_pred")
 
+def fit_bundle(train: DataFrame, y: str, label: str, spec: FeatureSpec, params: TreeParams = TreeParams(),
+               which: Sequence[str] = ("classifier", "days", "quantiles"), more: Sequence[Head] = ()) -> Bundle:
+    """The named models (and ``more`` heads) in one fit, and the reference row."""
+    heads = list(more)
+    if "classifier" in which:
+        heads.append(classifier_head(label))
+    if "days" in which:
+        heads.append(days_head(y, "absolute"))
+    if "quantiles" in which:
+        heads += quantile_heads(y)
+    return Bundle(spec, fit_heads(train, spec, heads, params), fit_reference_row(train, spec))
 
-def probability(col: str = "probability") -> Column:
-    return vector_to_array(F.col(col))[1]
 
+# ---------------------------------------------------------------------------
+# answers (M9)
+# ---------------------------------------------------------------------------
 
 def back_transform(f: Column, loss: str, smearing: float | None = None) -> Column:
     """days from a model's raw value; a log model's mean is corrected by its smearing factor."""
@@ -147,60 +110,51 @@ def back_transform(f: Column, loss: str, smearing: float | None = None) -> Colum
     return F.exp(f) * F.lit(smearing) - 1 if smearing else F.expm1(f)
 
 
-def predict_days(x: DataFrame, model: PipelineModel, loss: str, out: str, smearing: float | None = None) -> DataFrame:
-    """Back-transform (expm1, or exp(f)*S - 1 with smearing) and clip."""
-    return model.transform(x).withColumn(out, clip_days(back_transform(F.col("_raw_pred"), loss, smearing))).drop("_raw_pred")
+def predict_raw(df: DataFrame, bundle: Bundle, outputs: dict[str, str], passthrough: Sequence[str] = ()) -> DataFrame:
+    """Behind the gate (P7), a column ``outputs[name]`` for each model ``name``, in one pass."""
+    x = features_of(df, bundle.spec, passthrough)
+    return predict(x, {out: bundle.models[name] for name, out in outputs.items()})
+
 
+def predict_probability(df: DataFrame, bundle: Bundle, passthrough: Sequence[str] = (), model: str = "classifier", out: str = "probability") -> DataFrame:
+    return predict_raw(df, bundle, {model: out}, passthrough)
 
-def predict_probability(x: DataFrame, model: PipelineModel, out: str = "probability") -> DataFrame:
-    p = model.transform(x).withColumn("_pv", probability())
-    return p.drop("probability", "rawPrediction", "prediction").withColumnRenamed("_pv", out)
 
+def predict_days(df: DataFrame, bundle: Bundle, passthrough: Sequence[str] = (), model: str = "days", loss: str = "absolute",
+                 out: str = "estimated_days", smearing: float | None = None) -> DataFrame:
+    """Back-transformed and clipped to the range of durations."""
+    x = predict_raw(df, bundle, {model: out}, passthrough)
+    return x.withColumn(out, clip_days(back_transform(F.col(out), loss, smearing)))
 
-def fit_isotonic(valid_scored: DataFrame, score: str, label: str) -> PipelineModel:
-    """M8: monotone map from raw score to observed rate, fitted on validation.  MLlib pools the
-    points in the driver, so equal scores are first one weighted point."""
-    from pyspark.ml.feature import VectorAssembler
-    iso = IsotonicRegression(featuresCol="_s", labelCol="_y", predictionCol="_cal", weightCol="_w", isotonic=True)
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=[score], outputCol="_s"), iso])
-    points = valid_scored.groupBy(score).agg(F.avg(F.col(label).cast("double")).alias("_y"), F.count(F.lit(1)).cast("double").alias("_w"))
-    return pipe.fit(points)
 
+def in_days(x: DataFrame, ordered: bool = True) -> DataFrame:
+    """The quantile columns of ``x`` in days.  Separate fits may cross; ``ordered`` puts each row's
+    three answers in order."""
+    names = list(QUANTILES)
+    if ordered:
+        x = x.withColumn("_q", F.array_sort(F.array(*names))).withColumns({n: F.col("_q")[i] for i, n in enumerate(names)}).drop("_q")
+    return x.withColumns({n: clip_days(F.expm1(F.col(n))) for n in names})
 
-def calibrate(df: DataFrame, iso: PipelineModel, out: str = "calibrated") -> DataFrame:
-    return iso.transform(df).withColumnRenamed("_cal", out).drop("_s")
+
+def predict_quantiles(df: DataFrame, bundle: Bundle, passthrough: Sequence[str] = (), ordered: bool = True) -> DataFrame:
+    return in_days(predict_raw(df, bundle, {n: n for n in QUANTILES}, passthrough), ordered)
 
 
 def fit_reference_row(train: DataFrame, spec: FeatureSpec) -> dict:
     """A10: numeric -> median; other -> most frequent non-null value (smallest on
-    ties).  Values are counted first, so no task holds a column's value map."""
+    ties).  Values are counted first, so no task holds a column's value map; the
+    medians of all numeric columns share one sort of counts."""
     row = {}
     if spec.level_columns:
         counts = unpivot_levels(train, spec.level_columns, []).where(F.col("value").isNotNull()).groupBy("column", "value").count()
         best = counts.agg(*[F.min(F.when(F.col("column") == c, F.struct(
             (-F.col("count")).alias("c"), F.col("value").cast(train.schema[c].dataType).alias("v"))))["v"].alias(c) for c in spec.level_columns])
         row = best.first().asDict()
-    for c in spec.numeric:
-        med = ranking.group_quantiles(train, c, [0.5], ["m"]).first()
-        row[c] = med[0] if med else None
+    if spec.numeric:
+        long = train.select(*[F.col(c).cast("double").alias(c) for c in spec.numeric]).unpivot([], list(spec.numeric), "column", "value")
+        medians = {r["column"]: r["m"] for r in ranking.group_quantiles(long, "value", [0.5], ["m"], ["column"]).collect()}  # one row a column
+        row |= {c: medians.get(c) for c in spec.numeric}
     return row
 
 
-def fit_bundle(train: DataFrame, y: str, label: str, spec: FeatureSpec, params: TreeParams,
-               passthrough: list[str], which=("classifier", "days", "quantile_tree")) -> Bundle:
-    """Encoder + the requested models (classifier, absolute-loss regressor, leaf
-    quantiles) + reference row."""
-    levels, enc = fit_encoder(train, spec)
-    b = Bundle(spec, levels, enc)
-    x = b.features(train, [*passthrough, y, label])  # tree training caches its own input
-    if "classifier" in which:
-        b.models["classifier"] = fit_classifier(x, label, params, spec)
-    if "days" in which:
-        b.models["days"] = fit_regressor(x, y, "absolute", params, spec)
-    if "quantile_tree" in which:
-        b.models["quantile_tree"], b.leaf_quantiles = fit_leaf_quantiles(x, y, spec, seed=params.seed)
-    b.reference_row = fit_reference_row(train, spec)
-    return b
-
-
 __all__ = ["Bundle", "TreeParams", "FeatureSpec", "fit_bundle", "CAP", "fit_levels"]

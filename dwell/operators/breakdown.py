@@ -111,6 +111,29 @@ def feature_contrast(df: DataFrame, columns: Sequence[str], y: str = "duration_d
             .join(spreads.drop("spread"), "column").drop("_base"))
 
 
+def contrast_by_group(df: DataFrame, group: str, columns: Sequence[str], y: str = "duration_days", min_n: int = 100,
+                      threshold: float = 90.0, k: int = 3, top: int = 5) -> DataFrame:
+    """A18 inside every group at once: per group the ``top`` columns by spread of their levels' long rates
+    (``contrast``: column, spread, the ``k`` highest and the ``k`` lowest levels with n, rate and lift).
+    Boolean columns count as levels.  One aggregate over (group, column, value)."""
+    part = df.where(F.col(group).isNotNull()).withColumn("_y", _long(y, threshold))
+    base = part.groupBy(F.col(group).alias("group")).agg(F.avg(F.col("_y").cast("double")).alias("_base"))
+    long = unpivot_levels(part.withColumn("_group", F.col(group)), columns, ["_group", "_y"])
+    lv = (long.groupBy(F.col("_group").alias("group"), "column", "value")
+          .agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("_y").cast("double")).alias("rate"))
+          .where(F.col("value").isNotNull() & (F.col("n") >= min_n)).join(base, "group"))
+    lv = lv.withColumn("lift", F.when(F.col("_base") > 0, F.col("rate") / F.col("_base")))
+    order = lambda sign: F.struct((sign * F.col("rate")).alias("r"), F.col("value"), F.col("n"), F.col("rate"), F.col("lift"))
+    cut = lambda c: F.transform(F.slice(c, 1, k), lambda s: F.struct(s["value"].alias("value"), s["n"].alias("n"), s["rate"].alias("rate"), s["lift"].alias("lift")))
+    # a (group, column) has at most as many levels as pass min_n
+    per = lv.groupBy("group", "column").agg((F.max("rate") - F.min("rate")).alias("spread"), F.sort_array(F.collect_list(order(-1.0))).alias("high"),
+                                            F.sort_array(F.collect_list(order(1.0))).alias("low"))
+    item = F.struct((-F.col("spread")).alias("s"), "column", "spread", cut("high").alias("highest"), cut("low").alias("lowest"))
+    listed = per.groupBy("group").agg(F.slice(F.sort_array(F.collect_list(item)), 1, top).alias("l"))  # an item a column
+    return listed.select("group", F.transform("l", lambda s: F.struct(s["column"].alias("column"), s["spread"].alias("spread"),
+                                                                      s["highest"].alias("highest"), s["lowest"].alias("lowest"))).alias("contrast"))
+
+
 def numeric_contrast(df: DataFrame, columns: Sequence[str], y: str = "duration_days",
                      where: Mapping[str, object] | None = None, threshold: float = 90.0) -> DataFrame:
     """A18 for numeric columns: mean and median among the long and among the short rows of the

@@ -4,7 +4,7 @@
 * landed feed pages: many JSON documents unioned by column name;
 * the stays table: Parquet partitioned by start year (period filters prune files);
 * report blocks: one JSON directory per block;
-* model bundles: MLlib persistence plus Parquet for the small tables.
+* model bundles: trees, cut values and levels as small tables.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ import json
 import os
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,37 +78,27 @@ def write_report_json(blocks: Mapping[str, DataFrame], root: str) -> None:
 
 
 def save_bundle(bundle, root: str) -> None:
-    """MLlib models and encoder via their writers; levels, reference row and
-    leaf quantiles as small Parquet / JSON files."""
+    """Each model as a row of (name, trees), cut values and levels, spec and reference row as one row."""
     spark = SparkSession.getActiveSession()
-    bundle.encoder.write().overwrite().save(os.path.join(root, "encoder"))
-    for name, model in bundle.models.items():
-        model.write().overwrite().save(os.path.join(root, "models", name))
-    meta = {"spec": {"numeric": list(bundle.spec.numeric), "categorical": list(bundle.spec.categorical),
-                     "boolean": list(bundle.spec.boolean), "forbidden": list(bundle.spec.forbidden),
-                     "cap": bundle.spec.cap},
-            "levels": bundle.levels.levels, "models": list(bundle.models),
-            "reference_row": {k: (v if not hasattr(v, "isoformat") else v.isoformat())
-                              for k, v in (bundle.reference_row or {}).items()}}
-    spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(
-        os.path.join(root, "meta"))
-    if bundle.leaf_quantiles is not None:
-        bundle.leaf_quantiles.write.mode("overwrite").parquet(os.path.join(root, "leaf_quantiles"))
+    spec, binner = bundle.spec, bundle.binner
+    meta = {"spec": {"numeric": list(spec.numeric), "categorical": list(spec.categorical), "boolean": list(spec.boolean), "forbidden": list(spec.forbidden), "cap": spec.cap},
+            "edges": binner.edges, "levels": binner.levels, "r2": bundle.r2,
+            "reference_row": {k: (v if not hasattr(v, "isoformat") else v.isoformat()) for k, v in (bundle.reference_row or {}).items()}}
+    spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(os.path.join(root, "meta"))
+    rows = [(name, model.to_json()) for name, model in bundle.models.items()]
+    spark.createDataFrame(rows, "name string, model string").write.mode("overwrite").parquet(os.path.join(root, "models"))
 
 
 def load_bundle(spark: SparkSession, root: str):
     """Fails clearly when the bundle is absent."""
-    from ..models.features import FeatureSpec, FoldedLevels
+    from ..models.boosting import Binner, Boosted
+    from ..models.features import FeatureSpec
     from ..models.train import Bundle
     try:
         meta = json.loads(spark.read.text(os.path.join(root, "meta")).first()[0])
     except Exception as exc:
         raise SourceError(f"no model bundle at {root}; train first") from exc
     spec = FeatureSpec(**meta["spec"])
-    b = Bundle(spec, FoldedLevels(meta["levels"]), PipelineModel.load(os.path.join(root, "encoder")))
-    for name in meta["models"]:
-        b.models[name] = PipelineModel.load(os.path.join(root, "models", name))
-    if "quantile_tree" in b.models:
-        b.leaf_quantiles = spark.read.parquet(os.path.join(root, "leaf_quantiles"))
-    b.reference_row = meta["reference_row"]
-    return b
+    binner = Binner(spec, meta["edges"], meta["levels"])
+    models = {r["name"]: Boosted.from_json(r["model"], binner) for r in spark.read.parquet(os.path.join(root, "models")).collect()}  # one row a model
+    return Bundle(spec, models, meta["reference_row"], meta["r2"])

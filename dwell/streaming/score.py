@@ -2,8 +2,8 @@
 
 The row-wise part - enrichment, the whitelist gate, probability, risk band, day
 estimate and band, group reliability - is stateless, so the same function runs
-on a streaming DataFrame in append mode.  Ranking (T2) and drivers (M11) need a
-whole batch: they run in :func:`score_batch`, and on a stream through
+on a streaming DataFrame in append mode.  Ranking (T2) needs a whole batch: it runs,
+with the drivers (M11), in :func:`score_batch`, and on a stream through
 ``foreachBatch`` (:func:`start_scoring`).
 """
 
@@ -14,9 +14,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import enrich, reliability_message, risk_band, wall_clock
-from ..models.explain import drivers as driver_table
-from ..models.train import Bundle, predict_days, predict_probability, predict_quantiles
+from ..functions.text import clip_days, day_estimate_caveat, enrich, reliability_message, risk_band, wall_clock
+from ..models.explain import drivers
+from ..models.train import QUANTILES, Bundle, in_days, predict_raw
 from ..operators.lookup import attach_reliability
 
 
@@ -34,36 +34,34 @@ def enrich_records(raw: DataFrame, ts_text: str | None = None, name: str | None
 
 def score_rows(df: DataFrame, bundle: Bundle, id_col: str, passthrough: Sequence[str] = (),
                group_col: str | None = None, reliability: DataFrame | None = None) -> DataFrame:
-    """R2 core: per-row columns only (stateless)."""
+    """R2 core: per-row columns only (stateless).  The incoming frame passes the gate (P7): every column is
+    the id, a feature, the group or named in ``passthrough``.  Beside each day estimate stands its caveat."""
     keep = [id_col, *passthrough, *([group_col] if group_col and group_col not in passthrough else [])]
-    x = bundle.features(df, keep)
-    x = predict_probability(x, bundle.models["classifier"], "probability")
+    names = {"classifier": "probability"} | ({"days": "estimated_days"} if "days" in bundle.models else {})
+    quantiles = all(q in bundle.models for q in QUANTILES)
+    x = predict_raw(df, bundle, names | ({q: q for q in QUANTILES} if quantiles else {}), keep)
     if "days" in bundle.models:
-        x = predict_days(x, bundle.models["days"], "absolute", "estimated_days")
-    if "quantile_tree" in bundle.models and bundle.leaf_quantiles is not None:
-        x = predict_quantiles(x, bundle.models["quantile_tree"], bundle.leaf_quantiles)
+        x = x.withColumns({"estimated_days": clip_days("estimated_days"), "estimate_caveat": day_estimate_caveat(bundle.r2)})
+    if quantiles:
+        x = in_days(x)
     x = x.withColumn("risk_band", risk_band("probability"))
     if group_col and reliability is not None:
         x = attach_reliability(x, group_col, reliability)
         x = x.withColumn("reliability_note", reliability_message(
             group_col, "reliable", "lift", "pr_auc", "base_rate", "min_lift"))
-    out_cols = [c for c in x.columns if not c.startswith("_") and "__" not in c and c != "features"]
-    return x.select(*out_cols)
+    return x
 
 
 def score_batch(df: DataFrame, bundle: Bundle, id_col: str, passthrough: Sequence[str] = (),
                 group_col: str | None = None, reliability: DataFrame | None = None,
-                with_drivers: bool = True, top: int | None = None, with_input: bool = False) -> DataFrame:
-    """Row-wise scores, per-row drivers, whole batch ranked by risk (T2;
-    a global sort is range partitioned; ``top`` keeps a top-k report).  With
-    ``with_input`` each result carries its input features as a struct (J9)."""
-    if with_input:  # the input record rides along on its own row - no join
-        df = df.withColumn("input", F.struct(*bundle.spec.allowed))
-        passthrough = [*passthrough, "input"]
+                with_drivers: bool = True, top: int | None = None) -> DataFrame:
+    """Row-wise scores, per-row drivers, whole batch ranked by risk (T2; a global sort is range
+    partitioned; ``top`` keeps a top-k report).  A raw record that rides along in ``passthrough`` (J9)
+    stays on its row."""
     rows = score_rows(df, bundle, id_col, passthrough, group_col, reliability)
     if with_drivers:
-        rows = rows.join(driver_table(df, bundle, id_col), id_col, "left")
-    ranked = rows.orderBy(F.col("probability").desc(), F.col(id_col))
+        rows = drivers(rows, bundle.models["classifier"], bundle.spec.allowed, bundle.reference_row or {})
+    ranked = rows.drop(*[c for c in bundle.spec.allowed if c not in passthrough and c != group_col]).orderBy(F.col("probability").desc(), F.col(id_col))
     return ranked.limit(top) if top else ranked
 
 

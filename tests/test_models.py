@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 
 from dwell.models import explain
 from dwell.models.features import FeatureSpec, fit_levels
-from dwell.models.train import (TreeParams, calibrate, fit_bundle, fit_isotonic, predict_probability,
-                                predict_quantiles)
+from dwell.models.boosting import TreeParams, fit_heads
+from dwell.models.isotonic import fit_isotonic
+from dwell.models.train import days_head, fit_bundle, predict_days, predict_probability, predict_quantiles
+from dwell.operators.gates import LeakageError
 from dwell.operators import metrics as M
 from dwell.sources.files import SourceError, load_bundle, save_bundle
 from dwell.streaming.score import score_batch, score_rows
 
 SPEC = FeatureSpec(numeric=["age_days"], categorical=["animal_type", "intake_type"], boolean=["is_mix"],
                    forbidden=["outcome_type"])
-PARAMS = TreeParams(max_iter=8, max_depth=3, min_instances=5)
+PARAMS = TreeParams(max_iter=8, step_size=0.1, max_leaves=8, min_instances=5)
+PASS = ["id", "is_long", "duration_days"]
 
 
 def _frame(spark, n=1200, seed=0):
@@ -39,7 +42,7 @@ def _frame(spark, n=1200, seed=0):
 @pytest.fixture(scope="module")
 def fitted(spark):
     df = _frame(spark)
-    b = fit_bundle(df, "duration_days", "is_long", SPEC, PARAMS, ["id"])
+    b = fit_bundle(df, "duration_days", "is_long", SPEC, PARAMS)
     return df, b
 
 
@@ -52,7 +55,7 @@ def test_level_cap(spark):
 
 def test_classifier_finds_signal(spark, fitted):
     df, b = fitted
-    scored = predict_probability(b.features(df, ["id", "is_long"]), b.models["classifier"])
+    scored = predict_probability(df, b, PASS)
     r = M.classifier_metrics(scored, "probability", "is_long").first()
     assert r.pr_auc_lift > 2.0
     p = [x.probability for x in scored.collect()]
@@ -61,13 +64,13 @@ def test_classifier_finds_signal(spark, fitted):
 
 def test_quantiles_ordered(spark, fitted):
     df, b = fitted
-    q = predict_quantiles(b.features(df, ["id"]), b.models["quantile_tree"], b.leaf_quantiles).collect()
+    q = predict_quantiles(df, b, PASS).collect()
     assert all(0 <= r.p10_days <= r.p50_days <= r.p90_days <= 365 for r in q)
 
 
 def test_score_batch_ranked_with_drivers(spark, fitted):
     df, b = fitted
-    out = score_batch(df.limit(60), b, "id", group_col="animal_type").collect()
+    out = score_batch(df.limit(60), b, "id", PASS[1:], group_col="animal_type").collect()
     probs = [r.probability for r in out]
     assert probs == sorted(probs, reverse=True)
     for r in out:
@@ -81,18 +84,53 @@ def test_score_batch_ranked_with_drivers(spark, fitted):
 
 def test_isotonic_monotone(spark, fitted):
     df, b = fitted
-    scored = predict_probability(b.features(df, ["id", "is_long"]), b.models["classifier"])
+    scored = predict_probability(df, b, PASS)
     iso = fit_isotonic(scored, "probability", "is_long")
-    cal = sorted((r.probability, r.calibrated) for r in calibrate(scored, iso).collect())
+    cal = sorted((r.probability, r.calibrated) for r in iso.calibrate(scored, "probability").collect())
     assert all(a[1] <= b_[1] + 1e-12 for a, b_ in zip(cal, cal[1:]))
 
 
 def test_permutation_importance(spark, fitted):
     df, b = fitted
-    imp = {r.feature: r for r in explain.permutation_importance(df, b, "days", "id", "duration_days",
+    imp = {r.feature: r for r in explain.permutation_importance(df, b.models["days"], SPEC.allowed, "id", "duration_days",
                                                                   repeats=2, seed=1).collect()}
     assert set(imp) == set(SPEC.allowed)
     assert all(r.repeats == 2 for r in imp.values())
+    ap = {r.feature: r.importance_mean for r in explain.permutation_importance(df, b.models["classifier"], SPEC.allowed, "id", "is_long", "ap", 2).collect()}
+    assert ap["animal_type"] > 0.1 and ap["age_days"] > 0.1 and abs(ap["intake_type"]) < 0.05
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 1000])
+def test_donor_map_is_one_to_one(n):
+    for k in range(4):
+        a, b = explain.donor_map(n, k, 5)
+        assert sorted((a * r + b) % n for r in range(n)) == list(range(n))
+
+
+def test_changed_answers_of_a_model(spark, fitted):
+    """One pass over the trees gives what a prediction on changed rows gives."""
+    df, b = fitted
+    ref = {"age_days": 3000.0, "animal_type": "Cat", "intake_type": None, "is_mix": True}
+    model = b.models["classifier"]
+    got = {r.id: r for r in explain.drivers(df.limit(50), model, SPEC.allowed, ref, k=9, min_pp=0.0).collect()}
+    base = {r.id: r.probability for r in predict_probability(df, b, PASS).collect()}
+    for f in SPEC.allowed:
+        changed = predict_probability(df.withColumn(f, F.lit(ref[f]).cast(df.schema[f].dataType)), b, PASS)
+        for r in changed.where(F.col("id").isin(list(got))).collect():
+            effect = {d.feature: d.effect_pp for d in got[r.id].drivers}[f]
+            assert effect == pytest.approx((base[r.id] - r.probability) * 100, abs=0.0051)
+
+
+def test_the_gate_sees_the_incoming_frame(spark, fitted):
+    df, b = fitted
+    for bad in ("outcome_type", "note"):
+        with pytest.raises(LeakageError):
+            predict_probability(df.withColumn(bad, F.lit("x")), b, PASS)
+        with pytest.raises(LeakageError):
+            score_rows(df.withColumn(bad, F.lit("x")), b, "id", PASS[1:])
+    with pytest.raises(LeakageError):
+        predict_probability(df.drop("age_days"), b, PASS)
+    assert "note" in predict_probability(df.withColumn("note", F.lit("x")), b, [*PASS, "note"]).columns
 
 
 def test_bundle_roundtrip(spark, fitted):
@@ -100,8 +138,8 @@ def test_bundle_roundtrip(spark, fitted):
     root = tempfile.mkdtemp(prefix="dwell-bundle-")
     save_bundle(b, root)
     b2 = load_bundle(spark, root)
-    p1 = [r.probability for r in predict_probability(b.features(df, ["id"]), b.models["classifier"]).orderBy("id").collect()]
-    p2 = [r.probability for r in predict_probability(b2.features(df, ["id"]), b2.models["classifier"]).orderBy("id").collect()]
+    p1 = [r.probability for r in predict_probability(df, b, PASS).orderBy("id").collect()]
+    p2 = [r.probability for r in predict_probability(df, b2, PASS).orderBy("id").collect()]
     assert p1 == pytest.approx(p2)
     with pytest.raises(SourceError):
         load_bundle(spark, os.path.join(root, "nope"))
@@ -112,7 +150,7 @@ def test_stream_scoring(spark, fitted):
     src = tempfile.mkdtemp(prefix="dwell-stream-src-")
     df.limit(40).write.mode("overwrite").parquet(os.path.join(src, "part1"))
     stream = spark.readStream.schema(df.schema).parquet(os.path.join(src, "part1"))
-    q = (score_rows(stream, b, "id").writeStream.format("memory").queryName("scored_stream")
+    q = (score_rows(stream, b, "id", PASS[1:]).writeStream.format("memory").queryName("scored_stream")
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination(120)
     got = spark.sql("SELECT * FROM scored_stream")
@@ -127,28 +165,31 @@ def test_foreach_batch_scoring_with_drivers(spark, fitted):
     out = os.path.join(tempfile.mkdtemp(prefix="dwell-fb-out-"), "scored")
     ck = os.path.join(tempfile.mkdtemp(prefix="dwell-fb-ck-"), "ck")
     stream = spark.readStream.schema(df.schema).parquet(os.path.join(src, "in"))
-    q = start_scoring(stream, b, "id", out, ck)
+    q = start_scoring(stream, b, "id", out, ck, PASS[1:])
     q.awaitTermination(180)
     got = spark.read.parquet(out)
     assert got.count() == 30 and {"drivers", "batch_id"} <= set(got.columns)
-    write_batch(score_batch(df.limit(30), b, "id"), out, 0)  # the same batch once more
+    write_batch(score_batch(df.limit(30), b, "id", PASS[1:]), out, 0)  # the same batch once more
     assert spark.read.parquet(out).count() == 30
 
 
 def test_report_blocks_and_diagnosis(spark, fitted):
     df, b = fitted
     from dwell.models.report import build_report, classifier_report
-    scored = predict_probability(b.features(df, ["id", "is_long", "duration_days", "animal_type"]),
-                                 b.models["classifier"])
+    scored = predict_probability(df, b, PASS)
     blocks = classifier_report(scored, scored, "probability", "is_long", "id", group="animal_type")
     assert {"classifier", "operating_points", "reliability", "ece", "by_group"} <= set(blocks)
     assert blocks["operating_points"].count() >= 1
     rep = build_report(scored.withColumn("pred", F.col("probability") * 100), "duration_days", "pred", "id",
                        ["animal_type"])
     assert rep["core"].first().n == df.count() and rep["worst"].count() == 50
-    diag = explain.diagnose_group(df, df, scored, "animal_type", "Cat", SPEC, "is_long", "id", PARAMS,
-                                  min_train=100, min_pos=5).first()
-    assert diag.group == "Cat" and diag.general_pr_auc is not None
+    diag = {r.group: r for r in explain.diagnose_groups(df, df, "animal_type", b, SPEC, "is_long", "duration_days", "id", PARAMS, min_train=100,
+                                                        min_pos=60, repeats=2, min_n=10).collect()}
+    assert set(diag) == {"Cat", "Dog"} and all(r.general_pr_auc is not None for r in diag.values())
+    assert diag["Dog"].group_model_pr_auc is None and diag["Dog"].importance is None and not diag["Dog"].group_model_helps
+    assert diag["Cat"].importance[0].feature == "age_days" and len(diag["Cat"].importance) == 4
+    spread = [c.spread for c in diag["Cat"].contrast]
+    assert spread == sorted(spread, reverse=True) and {c.column for c in diag["Cat"].contrast} == {"animal_type", "intake_type", "is_mix"}
 
 
 def test_enrich_records_defaults_time(spark):
@@ -179,14 +220,49 @@ def test_reference_row_and_weighted_isotonic(spark):
     df = spark.createDataFrame([(1.0, 10, True), (2.0, 9, None), (9.0, 9, False), (None, 10, False)], "x double, m int, f boolean")
     assert fit_reference_row(df, spec) == {"m": 9, "f": False, "x": 2.0}
     scored = spark.createDataFrame([(0.1, 0), (0.1, 1), (0.1, 0), (0.5, 1), (0.4, 1), (0.9, 0)], "s double, y int")
-    got = {r.s: r.calibrated for r in calibrate(scored, fit_isotonic(scored, "s", "y")).collect()}
+    got = {r.s: r.calibrated for r in fit_isotonic(scored, "s", "y").calibrate(scored, "s").collect()}
     assert got[0.1] == pytest.approx(1 / 3) and got[0.9] == got[0.4] == got[0.5] == pytest.approx(2 / 3)
 
 
 def test_importance_of_a_log_model_in_days(spark, fitted):
-    from dwell.models.train import fit_regressor
     df, b = fitted
-    b.models["log"] = fit_regressor(b.features(df, ["duration_days"]), "duration_days", "log1p", PARAMS, SPEC)
+    log = fit_heads(df, SPEC, [days_head("duration_days", "log1p", "log")], PARAMS)["log"]
     imp = {r.feature: r.importance_mean for r in explain.permutation_importance(
-        df, b, "log", "id", "duration_days", repeats=2, loss="log1p").collect()}
-    assert imp["age_days"] > 1.0  # days, not logarithms
+        df, log, SPEC.allowed, "id", "duration_days", repeats=2, answer=F.expm1).collect()}
+    assert imp["age_days"] > 0.5  # days, not logarithms
+
+
+def test_ablation(spark, fitted):
+    df, _ = fitted
+    got = {r.variant: r for r in explain.ablation(df, df.select("id", "is_long", *SPEC.allowed), SPEC, ["age_days"], "is_long", "id", PARAMS).collect()}
+    assert got["b"].pr_auc < got["a"].pr_auc and got["b"].relative_ap_change < 0
+
+
+def plain_pava(points):
+    stack = []
+    for x, t, w in sorted(points):
+        stack.append([x, x, t, w])
+        while len(stack) > 1 and stack[-2][2] * stack[-1][3] >= stack[-1][2] * stack[-2][3]:
+            _, high, t2, w2 = stack.pop()
+            stack[-1][1], stack[-1][2], stack[-1][3] = high, stack[-1][2] + t2, stack[-1][3] + w2
+    return [(a, b, t / w) for a, b, t, w in stack]
+
+
+@pytest.mark.parametrize("shape,size", [("rising", 5000), ("rising", 100_000), ("falling", 5000), ("wave", 5000)])
+def test_isotonic_over_ranges_equals_one_stack(spark, shape, size):
+    n = 100_000 if size == 100_000 else 20_000
+    rnd = np.random.default_rng(4)
+    x = np.arange(n) / n
+    rate = {"rising": x, "falling": 1 - x, "wave": 0.5 + 0.4 * np.sin(9 * x)}[shape]
+    y = (rnd.random(n) < rate).astype(float)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "s double, y double").repartition(7)
+    got = sorted(tuple(r) for r in fit_isotonic(df, "s", "y", range_pools=size // 4).pools.collect())
+    assert got == [pytest.approx(r) for r in plain_pava([(float(a), float(b), 1.0) for a, b in zip(x, y)])]
+
+
+def test_imputation(spark):
+    from dwell.models.features import impute
+    df = spark.createDataFrame([(1.0, "a", True), (2.0, None, True), (9.0, "b", False), (None, "a", None)], "x double, m string, f boolean")
+    spec = FeatureSpec(numeric=["x"], categorical=["m"], boolean=["f"])
+    out = impute(df, df, spec, fit_levels(df, ["m"], min_rows=2)).collect()
+    assert [(r.x, r.x__na, r.m__lv, r.f) for r in out] == [(1.0, False, "a", True), (2.0, False, "Missing", True), (9.0, False, "Other", False), (2.0, True, "a", True)]
