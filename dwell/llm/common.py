@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -19,6 +20,12 @@ SEPARATORS = r"[\x20\x09-\x0D]+"
 #: Most rows and most text bytes that a Python task holds at once.
 SLICE_ROWS, SLICE_BYTES = 2000, 8 << 20
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # glibc alone has it
+except (OSError, AttributeError):
+    _LIBC = None
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _SHIFT = np.uint64(32)
@@ -66,6 +73,15 @@ def slices(batches: Iterator[pa.RecordBatch], text_col: str = "text") -> Iterato
             held += n
         if len(sizes) > start:
             yield batch.slice(start)
+    release()
+
+
+def release() -> None:
+    """Hand what a task's slices have freed back to the system: a worker lives on for later stages, and
+    the allocators would keep it."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
 def texts(batch: pa.RecordBatch, text_col: str = "text") -> list[str]:

@@ -32,7 +32,7 @@ def make():
     passage = text(70)
     rows += [(70 + i, text(20) + " " + passage + " " + text(25)) for i in range(5)]
     rows += [(80, None), (81, ""), (82, "  \n\t "), (83, "one two"), (84, "One TWO"), (85, text(9000)), (85, "other text of the same id"),
-             (50, base), (None, base), (None, None), (86, "tab\tand\x0bvertical\x0c form  feed " * 30), (87, "日本語 テキスト 😀 " * 40)]
+             (50, base), (None, base), (None, None), (86, "tab\tand\x0bvertical\x0c form  feed " * 30), (87, "日本語 テキスト 😀 " * 40), (88, "a <|endoftext|> b<|endoftext|>"), (89, "<|startoftext|> x  "), (90, " y <|ENDOFTEXT|>. \n z")]
     rnd.shuffle(rows)
     return [(i, t, rnd.choice(["a", "b", None]), 1.0, 7, 3, "x") for i, t in rows]
 
@@ -85,7 +85,6 @@ def test_planes_round_trip(planes):
 def test_files_round_trip(spark, docs, empty):
     from tokenizers import Tokenizer
     library = Tokenizer.from_file(BYTE)
-    library.encode_special_tokens = True
     folder = common.scratch(spark, "files")
     got = binary_ids.read(binary_ids.write(docs, BYTE, folder, planes="bit")).collect()
     start, want = 0, []
@@ -206,7 +205,6 @@ def test_plan_places_every_piece_once():
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
     library = Tokenizer.from_file(WORD)
-    library.encode_special_tokens = True
     got = packing.pack(docs, WORD, 256).collect()
     want = []
     for i, t, *_ in ROWS:

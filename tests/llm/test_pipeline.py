@@ -17,7 +17,7 @@ def test_stage_order_and_registration():
     import __spark_entry__ as E
     assert [f.__name__ for _, f in P.STAGES] == ["quality", "near_duplicates", "repeated_passages", "personal_data", "pack"]
     names = set(E.queries())
-    assert "pipeline" in names and {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in queries.queries()}
+    assert "pipeline" in names and {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in queries.queries()}
 
 
 @pytest.fixture(scope="module")
@@ -67,7 +67,6 @@ def test_stages(spark, stages):
     # packing: all tokens of the documents, once
     from tokenizers import Tokenizer
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    library.encode_special_tokens = True
     want = []
     for i, t in after.items():
         ids = np.array(library.encode(t, add_special_tokens=False).ids + [0], "<u4")
