@@ -59,14 +59,14 @@ def changed_answers(score: Score | Boosted, features: Sequence[str], now: dict[s
     return answers(*cast(now), *cast(now | other))
 
 
-def drivers(df: DataFrame, score: Score | Boosted, features: Sequence[str], reference: dict, k: int = 6, min_pp: float = 0.05, out: str = "drivers") -> DataFrame:
+def drivers(df: DataFrame, score: Score | Boosted, features: Sequence[str], reference: dict, k: int = 6, min_pp: float = 0.05, out: str = "drivers", digits: int = 2) -> DataFrame:
     """``df`` with, per row, the answer minus that with one feature at the reference row's value, in
-    percentage points; |effect| < ``min_pp`` dropped, rounded to 2, the ``k`` largest by |effect|.  No
+    percentage points; |effect| < ``min_pp`` dropped, rounded to ``digits``, the ``k`` largest by |effect|.  No
     exchange and no copy of a row."""
     now = {c: F.col(c) for c in (score.binner.spec.allowed if isinstance(score, Boosted) else features)}
     other = {c: F.lit(reference.get(c)).cast(df.schema[c].dataType) for c in features}
     x = df.withColumn("_a", changed_answers(score, features, now, other))
-    effects = F.array(*[F.struct(F.lit(f).alias("feature"), F.round((F.col("_a")[0] - F.col("_a")[i + 1]) * 100, 2).alias("effect_pp")) for i, f in enumerate(features)])
+    effects = F.array(*[F.struct(F.lit(f).alias("feature"), F.round((F.col("_a")[0] - F.col("_a")[i + 1]) * 100, digits).alias("effect_pp")) for i, f in enumerate(features)])
     kept = F.filter(effects, lambda s: F.abs(s["effect_pp"]) >= F.lit(min_pp))
     ordered = F.array_sort(kept, lambda a, b: F.when(F.abs(a["effect_pp"]) > F.abs(b["effect_pp"]), -1)
                            .when(F.abs(a["effect_pp"]) < F.abs(b["effect_pp"]), 1)

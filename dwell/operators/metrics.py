@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import reliable_checkpoint
 from . import ranking
 from .stats import grouped_with_quantiles
 
@@ -88,13 +89,10 @@ def compare_variants(df: DataFrame, y: str, variants: Sequence[str], tie: str, q
                      accuracy: int | None = None) -> DataFrame:
     """A11 plus the largest absolute decile bias for each prediction column.
 
-    The variants are unpivoted to (variant, y_pred) and ranked within variant by
-    one global rank over (variant, y_pred, tie) minus the variant's start."""
+    The variants are unpivoted to (variant, y_pred) and binned within variant by
+    their cut values; the rows are not sorted."""
     long = df.select(y, tie, *variants).unpivot([y, tie], list(variants), "variant", "_yhat")
-    ranked = ranking.global_row_number(long, ["variant", "_yhat", tie], "_r", total=None)
-    firsts = ranked.groupBy("variant").agg(F.min("_r").alias("_first"), F.count(F.lit(1)).alias("_vn"))
-    ranked = ranked.join(firsts, "variant").withColumn(
-        "decile", ranking.bin_of_rank(F.col("_r") - F.col("_first") + 1, F.col("_vn"), q) + 1)
+    ranked = ranking.rank_bins(long, "_yhat", tie, q, "_bin", by=["variant"]).withColumn("decile", F.col("_bin") + 1)
     per_decile = ranked.groupBy("variant", "decile").agg(F.avg(_err(y, "_yhat")).alias("_bias"))
     worst = per_decile.groupBy("variant").agg(F.max(F.abs("_bias")).alias("max_abs_decile_bias_days"))
     core = _core(ranked, y, "_yhat", ["variant"], accuracy)
@@ -264,6 +262,14 @@ def clipping_counts(df: DataFrame, before: str, after: str, lo: float = 0.0, hi:
                           + F.col("clipped_at_floor_after") - F.col("clipped_at_floor_before"))
 
 
+def deciles_identical(df: DataFrame, before: str, after: str, tie: str) -> DataFrame:
+    """N, and whether every row has the same decile by both columns.  The second decile is put
+    beside the first on its row, so rows are neither joined nor sorted."""
+    first = reliable_checkpoint(with_deciles(df.select(tie, before, after), before, tie, out="_d1"))
+    return with_deciles(first, after, tie, out="_d2").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_and(F.col("_d1") == F.col("_d2")).alias("decile_assignment_identical"))
+
+
 def smearing_comparison(df: DataFrame, y: str, before: str, after: str, tie: str) -> DataFrame:
     """One row with the errors before and after a correction, whether it keeps the order and
     the decile of every row, the rank correlation, and the rows at the floor and the ceiling."""
@@ -271,9 +277,7 @@ def smearing_comparison(df: DataFrame, y: str, before: str, after: str, tie: str
     cols = [before, after]
     wide = compare_variants(df, y, cols, tie).groupBy().pivot("variant", cols).agg(
         F.first("mae_days").alias("mae"), F.first("mean_bias_days").alias("bias"), F.first("r2").alias("r2"))
-    d1 = with_deciles(df.select(tie, before), before, tie, out="_d1").select(tie, "_d1")
-    d2 = with_deciles(df.select(tie, after), after, tie, out="_d2").select(tie, "_d2")
-    same = d1.join(d2, tie).agg(F.bool_and(F.col("_d1") == F.col("_d2")).alias("decile_assignment_identical"))
+    same = deciles_identical(df, before, after, tie).drop("n")
     return _one_row(wide, ranking.rank_preserving(df, before, after),
                     ranking.spearman(df, before, after, "spearman_correlation"), same, clipping_counts(df, before, after))
 

@@ -128,13 +128,55 @@ def bin_of_rank(rank: Column, n: Column, q: int) -> Column:
 
 
 def rank_bins(df: DataFrame, value: str, tie: str, q: int = 10, out: str = "bin",
-              partitions: int | None = None) -> DataFrame:
+              partitions: int | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Rank rows by (value, tie) and cut the ranks 1..n into ``q`` equal-count bins
-    (0-based ``out``).  Ties in ``value`` are broken by ``tie`` (the stand-in for
-    the reference's first-appearance order)."""
-    ranked = global_row_number(df, [value, tie], "_rank", partitions, total="_total")
-    return (ranked.withColumn(out, bin_of_rank(F.col("_rank"), F.col("_total"), q))
-            .drop("_rank", "_total"))
+    (0-based ``out``), within each group of ``by`` if given.  Ties in ``value`` are broken by ``tie`` (the
+    stand-in for the reference's first-appearance order).
+
+    The rows are not sorted.  Counts of distinct values, summed along the values, tell which value holds
+    the first rank of each bin: at most q - 1 cut values a group.  A row beside them gets its bin by
+    comparison; only rows that tie with a cut value are ordered, by their tie-break."""
+    value_of = df.withColumn("_rb_v", F.col(value))
+    keys = list(by)
+    counts = value_of.groupBy(*keys, "_rb_v").agg(F.count(F.lit(1)).alias("_rb_c"))
+    summed = prefix_aggregate(counts, [*keys, "_rb_v"], {"_rb_end": ("sum", "_rb_c")}, True, partitions)
+    summed = summed.withColumn("_rb_from", F.col("_rb_end") - F.col("_rb_c"))
+    sizes = summed.groupBy(*keys).agg(F.min("_rb_from").alias("_rb_0"), F.sum("_rb_c").alias("_rb_n"))
+    placed = _with_group(summed, sizes, keys)
+    # the first rank of bin b is floor(b (n - 1) / q) + 2
+    first = lambda b: F.floor(b * (F.col("_rb_n") - 1) / F.lit(q)).cast("long") + 2
+    bins = F.filter(F.sequence(F.lit(1), F.lit(max(q - 1, 1))), lambda b: (b < q) & (first(b) > F.col("_rb_from") - F.col("_rb_0")) & (first(b) <= F.col("_rb_end") - F.col("_rb_0")))
+    held = placed.select(*keys, F.explode(F.transform(bins, lambda b: F.struct(
+        F.col("_rb_v").alias("v"), (F.col("_rb_from") - F.col("_rb_0")).alias("start"), first(b).alias("first")))).alias("_rb_cut"))
+    cuts = held.groupBy(*keys).agg(F.collect_list("_rb_cut").alias("_rb_cuts"))  # at most q - 1 a group
+    cut = F.coalesce(F.col("_rb_cuts"), F.array().cast(cuts.schema["_rb_cuts"].dataType))
+    above = lambda c: F.coalesce(F.col("_rb_v") > c["v"], c["v"].isNull() & F.col("_rb_v").isNotNull())  # noqa: E731  (null first)
+    known = _with_group(value_of, cuts, keys).withColumn("_rb_tied", F.filter(cut, lambda c: F.col("_rb_v").eqNullSafe(c["v"])))
+    free = known.where(F.size("_rb_tied") == 0).withColumn(out, F.size(F.filter(cut, above)).cast("int"))
+    tied = known.where(F.size("_rb_tied") > 0)
+    ranked = global_row_number(tied, [*keys, "_rb_v", tie], "_rb_r", partitions)
+    starts = ranked.groupBy(*[F.col(k).alias(f"_rb_k{i}") for i, k in enumerate(keys)], F.col("_rb_v").alias("_rb_w")).agg(F.min("_rb_r").alias("_rb_s"))
+    same = F.col("_rb_v").eqNullSafe(F.col("_rb_w"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_rb_k{i}"))
+    ranked = ranked.join(starts, same)
+    rank = F.col("_rb_tied")[0]["start"] + F.col("_rb_r") - F.col("_rb_s") + 1
+    bound = ranked.withColumn("_rb_rank", rank).withColumn(out, F.size(F.filter(cut, lambda c: c["first"] <= F.col("_rb_rank"))).cast("int"))
+    names = [*[c for c in df.columns if c != out], out]
+    return free.select(*names).unionByName(bound.select(*names))
+
+
+def _with_group(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` with the columns of ``table``, which has a row a group; without keys, one row."""
+    if not keys:
+        row = table.select(F.struct(*table.columns).alias("_s")).scalar()
+        return df.withColumns({c: row.getField(c) for c in table.columns})
+    renamed = table.withColumnsRenamed({k: f"_g_{k}" for k in keys})
+    same = None
+    for k in keys:
+        one = F.col(k).eqNullSafe(F.col(f"_g_{k}"))
+        same = one if same is None else same & one
+    return df.join(renamed, same, "left").drop(*[f"_g_{k}" for k in keys])
 
 
 # ---------------------------------------------------------------------------
@@ -179,12 +221,25 @@ def average_ranks(df: DataFrame, value: str, out: str = "avg_rank",
 
 def spearman(df: DataFrame, a: str, b: str, out: str = "spearman",
              partitions: int | None = None) -> DataFrame:
-    """Pearson correlation of the average ranks of ``a`` and ``b``."""
-    # the two columns are read three times: materialise them once
-    pair = reliable_checkpoint(df.select(a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull()))
-    ra = average_ranks(pair, a, "_ra", partitions)
-    rb = average_ranks(pair, b, "_rb", partitions)
-    return pair.join(ra, a).join(rb, b).agg(F.corr("_ra", "_rb").alias(out))
+    """Pearson correlation of the average ranks of ``a`` and ``b``.
+
+    The rows are counted once by (a, b); both columns' ranks follow from sums of these counts, and the
+    correlation is that of the counted pairs with their counts as weights.  Rows are neither joined nor sorted."""
+    known = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    pair = reliable_checkpoint(known.groupBy(F.col(a).alias("_a"), F.col(b).alias("_b")).agg(F.count(F.lit(1)).alias("_c")))
+
+    def ranks(col: str, rank: str) -> DataFrame:
+        counts = pair.groupBy(col).agg(F.sum("_c").alias("_n"))
+        pre = prefix_aggregate(counts, [col], {"_before": ("sum", "_n")}, False, partitions)
+        return pre.select(col, (F.col("_before") + (F.col("_n") + 1) / 2.0).alias(rank))
+
+    w, x, y = F.col("_c"), F.col("_ra"), F.col("_rb")
+    # ranks of n rows average (n + 1) / 2, so centred sums need no first pass
+    mid = (F.col("_all") + 1) / 2.0
+    weighted = pair.join(ranks("_a", "_ra"), "_a").join(ranks("_b", "_rb"), "_b")
+    weighted = _with_group(weighted, pair.agg(F.sum("_c").alias("_all")), ())
+    sums = weighted.agg(F.sum(w * (x - mid) * (y - mid)).alias("xy"), F.sum(w * (x - mid) * (x - mid)).alias("xx"), F.sum(w * (y - mid) * (y - mid)).alias("yy"))
+    return sums.select(F.try_divide(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy"))).alias(out))
 
 
 # ---------------------------------------------------------------------------

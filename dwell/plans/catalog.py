@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -995,11 +995,33 @@ r AS (SELECT seq, row_number() OVER (ORDER BY y_pred, seq) AS r1, row_number() O
 SELECT count(*) AS n, bool_and(({sql_bin('r1', 'nn')}) = ({sql_bin('r2', 'nn')})) AS decile_assignment_identical FROM r""")
 def q_deciles_identical(spark, root):
     """A strictly monotone correction leaves every decile assignment unchanged."""
-    s = MS.stays(spark, root).withColumn("y_corr", F.col("y_pred") * 1.1 + 2)
-    a = M.with_deciles(s, "y_pred", "seq", out="d1").select("seq", "d1")
-    b = M.with_deciles(s, "y_corr", "seq", out="d2").select("seq", "d2")
-    return a.join(b, "seq").agg(F.count(F.lit(1)).alias("n"),
-                                F.bool_and(F.col("d1") == F.col("d2")).alias("decile_assignment_identical"))
+    s = MS.stays(spark, root).select("seq", "y_pred").withColumn("y_corr", F.col("y_pred") * 1.1 + 2)
+    return M.deciles_identical(s, "y_pred", "y_corr", "seq")
+
+
+@register("smearing_comparison", f"""{W_STAYS},
+c AS (SELECT seq, duration_days AS y, y_pred AS b, least(365.0, greatest(0.0, y_pred * 1.6 - 20)) AS a FROM stays),
+long AS (SELECT 'y_pred' AS v, y, b AS p FROM c UNION ALL SELECT 'y_corr', y, a FROM c),
+core AS (SELECT v, avg(abs(p - y)) AS mae, avg(p - y) AS bias, 1 - sum((y - p) * (y - p)) / nullif(var_pop(y) * count(*), 0) AS r2 FROM long GROUP BY 1),
+r AS (SELECT *, row_number() OVER (ORDER BY b, seq) AS r1, row_number() OVER (ORDER BY a, seq) AS r2, count(*) OVER () AS nn,
+             rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra FROM c),
+blocks AS (SELECT b, min(a) AS lo, max(a) AS hi FROM c GROUP BY b),
+steps AS (SELECT lo, max(hi) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM blocks)
+SELECT (SELECT round(mae, 6) FROM core WHERE v = 'y_pred') AS y_pred_mae, (SELECT round(bias, 6) FROM core WHERE v = 'y_pred') AS y_pred_bias,
+       (SELECT round(r2, 6) FROM core WHERE v = 'y_pred') AS y_pred_r2, (SELECT round(mae, 6) FROM core WHERE v = 'y_corr') AS y_corr_mae,
+       (SELECT round(bias, 6) FROM core WHERE v = 'y_corr') AS y_corr_bias, (SELECT round(r2, 6) FROM core WHERE v = 'y_corr') AS y_corr_r2,
+       (SELECT bool_and(before IS NULL OR lo - before >= -1e-9 * 365) FROM steps) AS no_inversions,
+       (SELECT round(corr(rb, ra), 6) FROM r) AS spearman_correlation,
+       (SELECT bool_and(({sql_bin('r1', 'nn')}) = ({sql_bin('r2', 'nn')})) FROM r) AS decile_assignment_identical,
+       count(*) FILTER (WHERE b >= 365) AS clipped_at_ceiling_before, count(*) FILTER (WHERE a >= 365) AS clipped_at_ceiling_after,
+       count(*) FILTER (WHERE b <= 0) AS clipped_at_floor_before, count(*) FILTER (WHERE a <= 0) AS clipped_at_floor_after,
+       count(*) FILTER (WHERE a >= 365) - count(*) FILTER (WHERE b >= 365) + count(*) FILTER (WHERE a <= 0) - count(*) FILTER (WHERE b <= 0) AS ties_introduced_by_clipping
+FROM c""")
+def q_smearing_comparison(spark, root):
+    """A30 on fixed columns: a correction that spreads predictions and clips some of them at the floor."""
+    s = MS.stays(spark, root).select("seq", "duration_days", "y_pred")
+    s = s.withColumn("y_corr", X.clip_days(F.col("y_pred") * 1.6 - 20))
+    return M.smearing_comparison(s, "duration_days", "y_pred", "y_corr", "seq")
 
 
 @register("sample_orders", """SELECT * REPLACE (round(o_totalprice, 6) AS o_totalprice) FROM orders
@@ -1103,6 +1125,47 @@ def q_counterfactual_effects(spark, root):
     return changed.join(st.select("seq", score.alias("now")), "seq").select("seq", "feature", ((F.col("now") - F.col("typical")) * 100).alias("effect_pp"))
 
 
+def fixed_score(c: dict) -> Column:
+    """A score that needs no fitted model: of the price and the flag."""
+    return c["o_totalprice"] / F.lit(S.SCORE_DIVISOR) + F.when(c["flag_f"], F.lit(0.1)).otherwise(F.lit(0.0))
+
+
+@register("fixed_score_drivers", f"""{W_STAYS},
+base AS (SELECT seq, o_totalprice AS p, flag_f AS f FROM stays),
+ref AS (SELECT quantile_cont(o_totalprice, 0.5) AS rp, mode(flag_f) AS rf FROM stays),
+cf AS (SELECT seq, 'o_totalprice' AS feature, p / 600000.0 + CASE WHEN f THEN 0.1 ELSE 0.0 END AS now, rp / 600000.0 + CASE WHEN f THEN 0.1 ELSE 0.0 END AS typical FROM base, ref
+       UNION ALL SELECT seq, 'flag_f', p / 600000.0 + CASE WHEN f THEN 0.1 ELSE 0.0 END, p / 600000.0 + CASE WHEN rf THEN 0.1 ELSE 0.0 END FROM base, ref),
+e AS (SELECT seq, feature, round((now - typical) * 100, 6) AS effect_pp FROM cf)
+SELECT seq, feature, effect_pp, CAST(row_number() OVER (PARTITION BY seq ORDER BY abs(effect_pp) DESC, feature) - 1 AS INTEGER) AS place FROM e WHERE abs(effect_pp) >= 0.05""")
+def q_fixed_score_drivers(spark, root):
+    """M11 + T4 on a fixed score: per row, the features ordered by what they add against the typical order."""
+    from ..models import explain
+    from ..models.features import FeatureSpec
+    from ..models.train import fit_reference_row
+    st = MS.stays(spark, root).select("seq", "o_totalprice", "flag_f")
+    reference = fit_reference_row(st, FeatureSpec(numeric=["o_totalprice"], categorical=[], boolean=["flag_f"]))
+    out = explain.drivers(st, fixed_score, ["o_totalprice", "flag_f"], reference, digits=6)
+    return out.select("seq", F.posexplode("drivers").alias("place", "d")).select("seq", "place", "d.feature", "d.effect_pp")
+
+
+@register("fixed_score_importance", f"""{W_STAYS},
+base AS (SELECT row_number() OVER (ORDER BY md5(CAST(seq AS VARCHAR)), seq) - 1 AS r, count(*) OVER () AS n, o_totalprice AS p, flag_f AS f, duration_days AS y FROM stays),
+reps AS (SELECT k, n, greatest(1, CAST(((k + 1) * 618033988749 % 1000000000000) * n // 1000000000000 AS BIGINT)) AS a0, (k + 1) * 7919 % n AS b
+         FROM (SELECT unnest(range(3)) AS k) x, (SELECT DISTINCT n FROM base) y),
+maps AS (SELECT k, n, b, a0 + (SELECT min(i) FROM range(1000) t(i) WHERE gcd(a0 + i, n) = 1) AS a FROM reps),
+j AS (SELECT m.k, t.y, t.p AS tp, t.f AS tf, d.p AS dp, d.f AS df FROM base t, maps m JOIN base d ON d.r = (m.a * t.r + m.b) % m.n),
+s AS (SELECT k, avg(abs(100 * (tp / 600000.0 + CASE WHEN tf THEN 0.1 ELSE 0.0 END) - y)) AS base_mae,
+             avg(abs(100 * (dp / 600000.0 + CASE WHEN tf THEN 0.1 ELSE 0.0 END) - y)) AS price_mae,
+             avg(abs(100 * (tp / 600000.0 + CASE WHEN df THEN 0.1 ELSE 0.0 END) - y)) AS flag_mae FROM j GROUP BY k),
+u AS (SELECT 'o_totalprice' AS feature, price_mae - base_mae AS imp FROM s UNION ALL SELECT 'flag_f', flag_mae - base_mae FROM s)
+SELECT feature, round(avg(imp), 6) AS importance_mean, round(stddev_pop(imp), 6) AS importance_std, count(*) AS repeats FROM u GROUP BY 1""")
+def q_fixed_score_importance(spark, root):
+    """M10 on a fixed score in days: rise of the mean absolute error over three seeded permutations."""
+    from ..models import explain
+    st = MS.stays(spark, root).select("seq", "o_totalprice", "flag_f", "duration_days")
+    return explain.permutation_importance(st, fixed_score, ["o_totalprice", "flag_f"], "seq", "duration_days", repeats=3, answer=lambda x: x * 100)
+
+
 @register("split_union", f"""{W_STAYS}
 SELECT CAST(year(start_ts) AS INTEGER) AS start_year, count(*) AS rows FROM stays GROUP BY 1""")
 def q_split_union(spark, root):
@@ -1191,9 +1254,7 @@ def q_stays_table(spark, root):
     from ..sources import files
     path = _scratch(spark, "stays")
     files.write_stays(S.stays(spark, root).select("key", "seq", "start_ts", "end_ts", "duration_days"), path)
-    t = files.read_stays(spark, path)
-    return (t.where((F.col("start_year") >= 2001) & (F.col("start_ts") >= F.lit("2001-01-01").cast("timestamp_ntz")))
-            .withColumn("start_year", F.col("start_year").cast("int")))
+    return files.read_stays(spark, path, since="2001-01-01").withColumn("start_year", F.col("start_year").cast("int"))
 
 
 @register("raw_text_starts", f"""WITH {D.ORDER_TEXT_SQL},

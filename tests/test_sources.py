@@ -43,6 +43,11 @@ def test_stays_roundtrip_partitioned(spark):
     back = files.read_stays(spark, root)
     assert sorted(os.listdir(root))[:2] == ["_SUCCESS", "start_year=2020"] or "start_year=2020" in os.listdir(root)
     assert back.where("start_year = 2021").count() == 1
+    since = files.read_stays(spark, root, since="2021-01-01", until="2021-05-01 00:00:01")
+    assert [r.key for r in since.collect()] == ["A2"]
+    plan = since._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(start_year" in plan and "(start_year#" in plan.split("PartitionFilters")[1]
+    assert files.read_stays(spark, root, until="2021-05-01").count() == 1
     with pytest.raises(files.SourceError):
         files.read_stays(spark, root + "_missing")
 
