@@ -161,13 +161,13 @@ def load_share(df: DataFrame, y: str = "duration_days", quick: float = 7.0, long
     d = F.col(y)
     total = F.sum(d)
     return df.agg(
-        F.count(F.lit(1)).alias("n_animals"), total.alias("total_animal_days"),
+        F.count(F.lit(1)).alias("n_entities"), total.alias("total_entity_days"),
         F.lit(quick).alias("quick_exit_days_threshold"),
-        F.avg((d <= quick).cast("double")).alias("quick_exit_share_of_animals"),
-        (F.sum(F.when(d <= quick, d).otherwise(0.0)) / total).alias("quick_exit_share_of_animal_days"),
+        F.avg((d <= quick).cast("double")).alias("quick_exit_share_of_entities"),
+        (F.sum(F.when(d <= quick, d).otherwise(0.0)) / total).alias("quick_exit_share_of_entity_days"),
         F.lit(long).alias("long_stay_days_threshold"),
-        F.avg((d >= long).cast("double")).alias("long_stay_share_of_animals"),
-        (F.sum(F.when(d >= long, d).otherwise(0.0)) / total).alias("long_stay_share_of_animal_days"),
+        F.avg((d >= long).cast("double")).alias("long_stay_share_of_entities"),
+        (F.sum(F.when(d >= long, d).otherwise(0.0)) / total).alias("long_stay_share_of_entity_days"),
         F.coalesce(F.avg(F.when(d >= long, d)), F.lit(0.0)).alias("long_stay_mean_days"))
 
 
@@ -203,7 +203,7 @@ def controlled_effect(df: DataFrame, flag_col: str, controls: Sequence[str], y:
         (est * 100).alias("controlled_difference_pp"),
         ((est - 1.96 * se) * 100).alias("ci95_low_pp"), ((est + 1.96 * se) * 100).alias("ci95_high_pp"),
         (se * 100).alias("standard_error_pp"), F.count_if(ok).alias("strata_used"),
-        F.coalesce(F.sum(F.when(ok, n)), F.lit(0)).alias("animals_retained"),
+        F.coalesce(F.sum(F.when(ok, n)), F.lit(0)).alias("rows_retained"),
         (F.coalesce(F.sum(F.when(ok, n)), F.lit(0)) / F.sum(n)).alias("coverage"),
         F.coalesce(F.abs(est) > 1.96 * se, F.lit(False)).alias("significant"))
     return out.withColumn("reason", F.when(~F.col("usable"), F.lit("no stratum contained both groups")))

@@ -601,14 +601,14 @@ def q_clipping_counts(spark, root):
 # ---------------------------------------------------------------------------
 
 @register("load_share", f"""{W_STAYS}
-SELECT n_animals, {R('total_animal_days', 'quick_exit_days_threshold', 'quick_exit_share_of_animals',
-  'quick_exit_share_of_animal_days', 'long_stay_days_threshold', 'long_stay_share_of_animals',
-  'long_stay_share_of_animal_days', 'long_stay_mean_days')} FROM (
-  SELECT count(*) AS n_animals, sum(duration_days) AS total_animal_days, 7.0::DOUBLE AS quick_exit_days_threshold,
-    avg(CAST(duration_days <= 7 AS DOUBLE)) AS quick_exit_share_of_animals,
-    sum(CASE WHEN duration_days <= 7 THEN duration_days ELSE 0 END) / sum(duration_days) AS quick_exit_share_of_animal_days,
-    90.0::DOUBLE AS long_stay_days_threshold, avg(CAST(duration_days >= 90 AS DOUBLE)) AS long_stay_share_of_animals,
-    sum(CASE WHEN duration_days >= 90 THEN duration_days ELSE 0 END) / sum(duration_days) AS long_stay_share_of_animal_days,
+SELECT n_entities, {R('total_entity_days', 'quick_exit_days_threshold', 'quick_exit_share_of_entities',
+  'quick_exit_share_of_entity_days', 'long_stay_days_threshold', 'long_stay_share_of_entities',
+  'long_stay_share_of_entity_days', 'long_stay_mean_days')} FROM (
+  SELECT count(*) AS n_entities, sum(duration_days) AS total_entity_days, 7.0::DOUBLE AS quick_exit_days_threshold,
+    avg(CAST(duration_days <= 7 AS DOUBLE)) AS quick_exit_share_of_entities,
+    sum(CASE WHEN duration_days <= 7 THEN duration_days ELSE 0 END) / sum(duration_days) AS quick_exit_share_of_entity_days,
+    90.0::DOUBLE AS long_stay_days_threshold, avg(CAST(duration_days >= 90 AS DOUBLE)) AS long_stay_share_of_entities,
+    sum(CASE WHEN duration_days >= 90 THEN duration_days ELSE 0 END) / sum(duration_days) AS long_stay_share_of_entity_days,
     coalesce(avg(duration_days) FILTER (WHERE duration_days >= 90), 0.0) AS long_stay_mean_days FROM stays)""")
 def q_load_share(spark, root):
     """A19."""
@@ -634,7 +634,7 @@ agg AS (SELECT count(*) FILTER (WHERE ok) > 0 AS usable, sum(y1) / sum(n1) AS rf
 SELECT usable, round(rf, 6) AS raw_rate_flagged, round(ru, 6) AS raw_rate_unflagged,
        round((rf - ru) * 100, 6) AS raw_difference_pp, round(est * 100, 6) AS controlled_difference_pp,
        round((est - 1.96 * se) * 100, 6) AS ci95_low_pp, round((est + 1.96 * se) * 100, 6) AS ci95_high_pp,
-       round(se * 100, 6) AS standard_error_pp, strata_used, CAST(retained AS BIGINT) AS animals_retained,
+       round(se * 100, 6) AS standard_error_pp, strata_used, CAST(retained AS BIGINT) AS rows_retained,
        round(retained / total, 6) AS coverage, coalesce(abs(est) > 1.96 * se, false) AS significant,
        CASE WHEN NOT usable THEN 'no stratum contained both groups' END AS reason FROM agg""")
 def q_controlled_effect(spark, root):
@@ -1051,12 +1051,13 @@ lv AS (SELECT finding, level, count(*) AS n, quantile_cont(duration_days, 0.5) A
 one AS (SELECT * FROM ls, r, ap, agg),
 rows AS (
   SELECT finding, CAST(NULL AS VARCHAR) AS level, unnest(stats).s AS stat, unnest(stats).v AS value FROM (
-    SELECT 'load_share' AS finding, [{{'s': 'quick_exit_share_of_animals', 'v': qa}}, {{'s': 'quick_exit_share_of_animal_days', 'v': qd}},
-      {{'s': 'long_stay_share_of_animals', 'v': la}}, {{'s': 'long_stay_share_of_animal_days', 'v': ld}}, {{'s': 'long_stay_mean_days', 'v': lm}}] AS stats FROM one
+    SELECT 'load_share' AS finding, [{{'s': 'quick_exit_share_of_entities', 'v': qa}}, {{'s': 'quick_exit_share_of_entity_days', 'v': qd}},
+      {{'s': 'long_stay_share_of_entities', 'v': la}}, {{'s': 'long_stay_share_of_entity_days', 'v': ld}}, {{'s': 'long_stay_mean_days', 'v': lm}}] AS stats FROM one
     UNION ALL SELECT 'flag_effect', [{{'s': 'raw_difference_pp', 'v': (rf - ru) * 100}}, {{'s': 'controlled_difference_pp', 'v': est * 100}},
       {{'s': 'ci95_low_pp', 'v': (est - 1.96 * se) * 100}}, {{'s': 'ci95_high_pp', 'v': (est + 1.96 * se) * 100}}] FROM one
     UNION ALL SELECT 'flag_timing', [{{'s': 'flag_rate_among_long', 'v': fl}}, {{'s': 'flag_rate_among_rest', 'v': fr}}] FROM one
-    UNION ALL SELECT 'duration', [{{'s': 'mae_days', 'v': mae}}, {{'s': 'r2', 'v': r2}}, {{'s': 'pr_auc', 'v': ap}}, {{'s': 'pr_auc_lift', 'v': ap / la}}] FROM one)
+    UNION ALL SELECT 'duration', [{{'s': 'mae_days', 'v': mae}}, {{'s': 'r2', 'v': r2}}] FROM one
+    UNION ALL SELECT 'risk', [{{'s': 'pr_auc', 'v': ap}}, {{'s': 'pr_auc_lift', 'v': ap / la}}] FROM one)
   UNION ALL SELECT finding, level, unnest(['n', 'median_days', 'long_stay_rate']), unnest([CAST(n AS DOUBLE), m, rate]) FROM lv)
 SELECT finding, level, stat, round(value, 6) AS value FROM rows""")
 def q_findings(spark, root):
@@ -1266,12 +1267,12 @@ def q_raw_text_starts(spark, root):
     inference, keys trimmed, text timestamps parsed to wall clock, unusable rows dropped."""
     from ..sources import files
     path = _scratch(spark, "raw")
-    D.order_text(spark, root).select(F.col("o_custkey").cast("string").alias("animal_id"), "ts_text",
+    D.order_text(spark, root).select(F.col("o_custkey").cast("string").alias("entity_id"), "ts_text",
                                      F.col("o_orderkey").cast("string").alias("seq")).write.option(
         "header", True).csv(path)
     # asked for in another order than the file has, and with a column that it lacks
-    raw = files.read_raw_csv(spark, path, ["seq", "name", "ts_text", "animal_id"])
-    return pairing.prepare_starts(raw, "animal_id", "ts_text", "start_ts", keep=["seq"], key_out="key")
+    raw = files.read_raw_csv(spark, path, ["seq", "name", "ts_text", "entity_id"])
+    return pairing.prepare_starts(raw, "entity_id", "ts_text", "start_ts", keep=["seq"], key_out="key")
 
 
 @register("pair_payload", f"""{W_STAYS},
@@ -1348,22 +1349,87 @@ def q_display_values(spark, root):
                     X.display("f", "boolean").alias("flag_text"), X.display("pr").alias("priority_text"))
 
 
-@register("report_blocks")
-def q_report_blocks(spark, root):
-    """M14 + M15 + S6: the evaluation report (regression, classifier with
-    thresholds picked on validation, breakdowns, load share, controlled effect)
-    written as one JSON directory per block; returns (block, rows)."""
+def _report(spark, root, only: tuple[str, ...] = ()) -> tuple[str, list[str]]:
+    """The evaluation report written as one JSON folder per block (``only`` these); its path and the blocks' names."""
     from ..models.report import build_report, classifier_report
     from ..sources.files import write_report_json
     lab = split.temporal_split(MD.stays_with_customer(spark, root), "start_ts", *TRAIN)
-    blocks = build_report(lab.where(F.col("split") == "test"), "duration_days", "y_pred", "seq",
-                          ["o_orderpriority", "c_mktsegment"], "flag_f", ["o_orderpriority", "start_month"])
-    blocks.update(classifier_report(lab.where(F.col("split") == "validation"), lab.where(F.col("split") == "test"),
-                                    "score", "is_long", "seq", group="o_orderpriority"))
+    lab = lab.withColumns({"y_low": F.col("y_pred") * 0.5, "y_high": F.col("y_pred") * 2, "y_corr": X.clip_days(F.col("y_pred") * 1.6 - 20)})
+    parts = {p: lab.where(F.col("split") == p) for p in ("train", "validation", "test")}
+    blocks = build_report(parts["test"], "duration_days", "y_pred", "seq", ["o_orderpriority", "c_mktsegment"], "flag_f", ["o_orderpriority", "start_month"],
+                          parts["train"], ["c_mktsegment", "start_month"], ("y_low", "y_pred", "y_high"), "y_corr")
+    blocks.update(classifier_report(parts["validation"], parts["test"], "score", "is_long", "seq", group="o_orderpriority", train=parts["train"]))
+    blocks["split"] = split.split_summary(lab, "start_ts", *TRAIN)
     path = _scratch(spark, "report")
+    blocks = {name: df for name, df in blocks.items() if not only or name in only}
     write_report_json(blocks, path)
-    counts = [(name, spark.read.json(f"{path}/{name}").count()) for name in sorted(blocks)]
-    return spark.createDataFrame(counts, "block string, rows long")
+    return path, sorted(blocks)
+
+
+@register("report_blocks")
+def q_report_blocks(spark, root):
+    """M14 + M15 + S6: the evaluation report as JSON, a folder a block; returns (block, rows)."""
+    path, blocks = _report(spark, root)
+    return spark.createDataFrame([(name, spark.read.json(f"{path}/{name}").count()) for name in blocks], "block string, rows long")
+
+
+@register("report_operating_points", f"""{W_STAYS},
+lab AS (SELECT *, {sql_split('start_ts')} AS split FROM stays),
+v AS (SELECT score AS threshold, sum(is_long) AS tp_at, sum(1 - is_long) AS fp_at FROM lab WHERE split = 'validation' GROUP BY 1),
+curve AS (SELECT threshold, sum(tp_at) OVER (ORDER BY threshold DESC) AS tp, sum(fp_at) OVER (ORDER BY threshold DESC) AS fp, sum(tp_at) OVER () AS positives FROM v),
+t AS (SELECT 'operating' AS point, 0.1::DOUBLE AS t UNION ALL SELECT 'at_recall', (SELECT max(threshold) FROM curve WHERE tp / positives >= 0.5)
+      UNION ALL SELECT 'at_precision', (SELECT min(threshold) FROM curve WHERE tp / (tp + fp) >= 0.97)),
+c AS (SELECT point, t, count(*) AS nn, count(*) FILTER (WHERE score >= t AND is_long = 1) AS tp, count(*) FILTER (WHERE score >= t AND is_long = 0) AS fp,
+             count(*) FILTER (WHERE score < t AND is_long = 1) AS fn, count(*) FILTER (WHERE score < t AND is_long = 0) AS tn
+      FROM t, lab WHERE split = 'test' GROUP BY point, t),
+p AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall FROM c)
+SELECT point, t IS NOT NULL AS attainable, round(t, 6) AS threshold, CASE WHEN t IS NOT NULL THEN round(precision, 6) END AS precision,
+       CASE WHEN t IS NOT NULL THEN round(recall, 6) END AS recall,
+       CASE WHEN t IS NOT NULL THEN round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END, 6) END AS f1,
+       CASE WHEN t IS NOT NULL THEN tp + fp END AS flagged, CASE WHEN t IS NOT NULL THEN round((tp + fp) / nn, 6) END AS flagged_rate,
+       CASE WHEN t IS NOT NULL THEN tn END AS true_negative, CASE WHEN t IS NOT NULL THEN fp END AS false_positive,
+       CASE WHEN t IS NOT NULL THEN fn END AS false_negative, CASE WHEN t IS NOT NULL THEN tp END AS true_positive FROM p""")
+def q_report_operating_points(spark, root):
+    """The operating points of a fixed score, chosen on validation, unattainable ones included."""
+    from ..models.report import operating_report
+    lab = split.temporal_split(MS.stays(spark, root), "start_ts", *TRAIN).select("split", "score", "is_long")
+    return operating_report(lab.where("split = 'validation'"), lab.where("split = 'test'"), "score", "is_long", precision=0.97)
+
+
+@register("report_baselines", f"""{W_STAYS_C},
+lab AS (SELECT *, {sql_split('start_ts')} AS split FROM stays_c),
+cells AS (SELECT c_mktsegment, start_month, quantile_cont(duration_days, 0.5) AS m FROM lab WHERE split = 'train' AND start_month <> 3 GROUP BY 1, 2),
+g AS (SELECT quantile_cont(duration_days, 0.5) AS m FROM lab WHERE split = 'train' AND start_month <> 3),
+x AS (SELECT l.seq, l.duration_days AS y, l.y_pred, coalesce(c.m, g.m) AS cell, g.m AS overall, c.m IS NULL AS unseen
+      FROM lab l CROSS JOIN g LEFT JOIN cells c ON l.c_mktsegment = c.c_mktsegment AND l.start_month = c.start_month WHERE l.split = 'test'),
+u AS (SELECT 'y_pred' AS variant, y, y_pred AS p FROM x UNION ALL SELECT 'cell_median_days', y, cell FROM x UNION ALL SELECT 'global_median_days', y, overall FROM x)
+SELECT variant, count(*) AS n, round(avg(abs(p - y)), 6) AS mae_days, round(avg(p - y), 6) AS mean_bias_days, round(avg(p), 6) AS mean_predicted_days,
+       (SELECT round(avg(CAST(unseen AS DOUBLE)), 6) FROM x) AS unseen_cell_rate FROM u GROUP BY 1""")
+def q_report_baselines(spark, root):
+    """M15 + M3: a prediction against both medians; March is left out of training, so its cells are unseen."""
+    from ..models.report import baselines_report
+    lab = split.temporal_split(MD.stays_with_customer(spark, root), "start_ts", *TRAIN)
+    out = baselines_report(lab.where("split = 'train' AND start_month <> 3"), lab.where("split = 'test'"), "duration_days", "y_pred", "seq", ["c_mktsegment", "start_month"])
+    return out.select("variant", "n", "mae_days", "mean_bias_days", "mean_predicted_days", "unseen_cell_rate")
+
+
+@register("report_read_back", f"""{W_STAYS},
+lab AS (SELECT *, {sql_split('start_ts')} AS split FROM stays), t AS (SELECT * FROM lab WHERE split = 'test')
+SELECT 'interval' AS block, 'empirical_coverage' AS stat, round(avg(CAST(duration_days BETWEEN y_pred * 0.5 AND y_pred * 2 AS DOUBLE)), 6) AS value FROM t
+UNION ALL SELECT 'core', 'mae_days', round(avg(abs(y_pred - duration_days)), 6) FROM t
+UNION ALL SELECT 'baseline', 'brier_score', round(avg(power(r - is_long, 2)), 6) FROM t, (SELECT avg(is_long) AS r FROM lab WHERE split = 'train')
+UNION ALL SELECT 'calibration', 'brier_raw', round(avg(power(score - is_long, 2)), 6) FROM t
+UNION ALL SELECT 'failures', 'under', CAST(count(*) FILTER (WHERE y_pred < duration_days) AS DOUBLE) FROM (SELECT * FROM t ORDER BY abs(y_pred - duration_days) DESC, seq LIMIT 50)
+UNION ALL SELECT 'load_share', 'n_entities', CAST(count(*) AS DOUBLE) FROM t""")
+def q_report_read_back(spark, root):
+    """A figure of each of six blocks, read back from the JSON that the report was written to."""
+    stats_of = {"interval": "empirical_coverage", "core": "mae_days", "baseline": "brier_score", "calibration": "brier_raw", "failures": "under", "load_share": "n_entities"}
+    path, _ = _report(spark, root, tuple(stats_of))
+    out = None
+    for block, stat in stats_of.items():
+        one = spark.read.json(f"{path}/{block}").select(F.lit(block).alias("block"), F.lit(stat).alias("stat"), F.col(stat).cast("double").alias("value"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @register("event_duration_stats", f"""WITH v AS (SELECT user_id AS key, ts AS start_ts, event_id AS seq FROM events WHERE event_type = 'view'),
@@ -1386,7 +1452,7 @@ def q_event_duration_stats(spark, root):
 # ---------------------------------------------------------------------------
 
 @register("feed_pages", """SELECT CAST(o_orderkey AS VARCHAR) AS id,
-  CASE WHEN o_orderkey // 4000 % 2 = 0 THEN CAST(o_custkey AS VARCHAR) END AS animal_id, o_orderpriority AS kind FROM orders""")
+  CASE WHEN o_orderkey // 4000 % 2 = 0 THEN CAST(o_custkey AS VARCHAR) END AS entity_id, o_orderpriority AS kind FROM orders""")
 def q_feed_pages(spark, root):
     """Orders landed as pages of a JSON feed, one array a file with the orders of 4000 keys;
     every other page lacks a column."""
@@ -1394,10 +1460,10 @@ def q_feed_pages(spark, root):
     path = _scratch(spark, "feed")
     page = F.floor(F.col("o_orderkey") / 4000)
     record = F.struct(F.col("o_orderkey").cast("string").alias("id"),
-                      F.when(page % 2 == 0, F.col("o_custkey").cast("string")).alias("animal_id"), F.col("o_orderpriority").alias("kind"))
+                      F.when(page % 2 == 0, F.col("o_custkey").cast("string")).alias("entity_id"), F.col("o_orderpriority").alias("kind"))
     pages = table(spark, root, "orders").groupBy(page.alias("page")).agg(F.to_json(F.collect_list(record)).alias("text"))
     pages.select("text").write.option("maxRecordsPerFile", 1).text(path)
-    return files.read_feed_pages(spark, path, ["id", "animal_id", "kind"])
+    return files.read_feed_pages(spark, path, ["id", "entity_id", "kind"])
 
 
 @register("worst_csv", f"""{W_STAYS}

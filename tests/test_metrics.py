@@ -121,8 +121,8 @@ def test_reliability_and_ece(spark):
 def test_load_share(spark):
     df = spark.createDataFrame([(d,) for d in [1.0, 1.0, 1.0, 1.0, 100.0]], "duration_days double")
     r = B.load_share(df).first()
-    assert r.quick_exit_share_of_animals == pytest.approx(0.8)
-    assert r.quick_exit_share_of_animal_days == pytest.approx(4 / 104)
+    assert r.quick_exit_share_of_entities == pytest.approx(0.8)
+    assert r.quick_exit_share_of_entity_days == pytest.approx(4 / 104)
     assert r.long_stay_mean_days == pytest.approx(100.0)
 
 

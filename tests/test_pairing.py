@@ -11,17 +11,17 @@ D = dt.datetime
 
 def _frames(spark, starts, ends):
     s = spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(starts)],
-                              "animal_id string, intake_datetime timestamp_ntz, seq long")
-    e = spark.createDataFrame(ends, "animal_id string, outcome_datetime timestamp_ntz")
+                              "entity_id string, intake_datetime timestamp_ntz, seq long")
+    e = spark.createDataFrame(ends, "entity_id string, outcome_datetime timestamp_ntz")
     return s, e
 
 
 def _pair(spark, starts, ends, rows_per_task):
     s, e = _frames(spark, starts, ends)
-    out = pairing.pair_next(s, e, "animal_id", "intake_datetime", "outcome_datetime", seq="seq",
+    out = pairing.pair_next(s, e, "entity_id", "intake_datetime", "outcome_datetime", seq="seq",
                             rows_per_task=rows_per_task)
     out = pairing.with_duration(out, "intake_datetime", "outcome_datetime")
-    return sorted((r.animal_id, r.intake_datetime, r.duration_days) for r in out.collect())
+    return sorted((r.entity_id, r.intake_datetime, r.duration_days) for r in out.collect())
 
 
 # rows_per_task=1 forces every key with more than one event through the hot-key split
@@ -66,7 +66,7 @@ def test_two_starts_one_end_later_wins(spark, rpt):
     ends = [("A1", D(2020, 2, 10))]
     assert _pair(spark, starts, ends, rpt) == [("A1", D(2020, 2, 1), 9.0)]
     s, e = _frames(spark, starts, ends)
-    st = pairing.pair_status(s, e, "animal_id", "intake_datetime", "outcome_datetime", seq="seq",
+    st = pairing.pair_status(s, e, "entity_id", "intake_datetime", "outcome_datetime", seq="seq",
                              rows_per_task=rpt)
     counts = dict(st.groupBy("pair_status").count().collect())
     assert counts == {"paired": 1, "already claimed": 1}
@@ -78,10 +78,10 @@ def test_no_end_is_unmatched(spark, rpt):
     ends = [("A1", D(2020, 1, 4))]
     assert [g[0] for g in _pair(spark, starts, ends, rpt)] == ["A1"]
     s, e = _frames(spark, starts, ends)
-    st = pairing.with_duration(pairing.pair_status(s, e, "animal_id", "intake_datetime", "outcome_datetime",
+    st = pairing.with_duration(pairing.pair_status(s, e, "entity_id", "intake_datetime", "outcome_datetime",
                                                    seq="seq", rows_per_task=rpt),
                                "intake_datetime", "outcome_datetime")
-    led = {r.step: r.dropped for r in ledger(s, e, st, "animal_id", "intake_datetime", "outcome_datetime").collect()}
+    led = {r.step: r.dropped for r in ledger(s, e, st, "entity_id", "intake_datetime", "outcome_datetime").collect()}
     assert led["no matching end"] == 1 and led["end already claimed"] == 0
     assert led["start unusable"] == 0 and led["end unusable"] == 0
 
@@ -157,11 +157,11 @@ def test_hot_key_split_matches_plain(spark):
 def test_prepare_sides_parse_text(spark):
     raw = spark.createDataFrame([(" A1 ", "2020-01-01T07:51:00.000", "Rex"), (None, "2020-01-01T00:00:00", "x"),
                                  ("A2", "not a date", None), ("A3", "2013-12-02T00:00:00-05:00", None)],
-                                "animal_id string, datetime string, name string")
-    s = pairing.prepare_starts(raw, "animal_id", "datetime", "intake_datetime", optional=["name", "breed"])
+                                "entity_id string, datetime string, name string")
+    s = pairing.prepare_starts(raw, "entity_id", "datetime", "intake_datetime", optional=["name", "breed"])
     rows = sorted(s.collect())
-    assert [r.animal_id for r in rows] == ["A1", "A3"]
+    assert [r.entity_id for r in rows] == ["A1", "A3"]
     assert rows[1].intake_datetime == D(2013, 12, 2)
     assert rows[0].breed is None
-    e = pairing.prepare_ends(raw, "animal_id", "datetime", "outcome_datetime")
-    assert e.columns == ["animal_id", "outcome_datetime"]
+    e = pairing.prepare_ends(raw, "entity_id", "datetime", "outcome_datetime")
+    assert e.columns == ["entity_id", "outcome_datetime"]

@@ -11,9 +11,9 @@ def test_raw_csv_keeps_na_text(spark):
     d = tempfile.mkdtemp(prefix="dwell-csv-")
     p = os.path.join(d, "in.csv")
     with open(p, "w") as fh:
-        fh.write('animal_id,name,datetime\nA1,NA,2020-01-01T00:00:00\nA2,,2020-01-02T00:00:00\nA3,"Rex, Jr",\n')
-    df = files.read_raw_csv(spark, p, ["animal_id", "name", "datetime"])
-    rows = {r.animal_id: r for r in df.collect()}
+        fh.write('entity_id,name,datetime\nA1,NA,2020-01-01T00:00:00\nA2,,2020-01-02T00:00:00\nA3,"Rex, Jr",\n')
+    df = files.read_raw_csv(spark, p, ["entity_id", "name", "datetime"])
+    rows = {r.entity_id: r for r in df.collect()}
     assert rows["A1"].name == "NA" and rows["A2"].name is None and rows["A3"].name == "Rex, Jr"
     assert rows["A3"].datetime is None
     assert all(f.dataType.simpleString() == "string" for f in df.schema.fields)
@@ -22,16 +22,16 @@ def test_raw_csv_keeps_na_text(spark):
 def test_feed_pages_union_and_empty(spark):
     d = tempfile.mkdtemp(prefix="dwell-feed-")
     with open(os.path.join(d, "p1.json"), "w") as fh:
-        json.dump([{"animal_id": "A1", "datetime": "2020-01-01T00:00:00"}], fh)
+        json.dump([{"entity_id": "A1", "datetime": "2020-01-01T00:00:00"}], fh)
     with open(os.path.join(d, "p2.json"), "w") as fh:
-        json.dump([{"animal_id": "A2", "datetime": "2020-01-02T00:00:00", "name": "Rex"}], fh)
-    df = files.read_feed_pages(spark, d, ["animal_id", "datetime", "name"])
-    assert sorted((r.animal_id, r.name) for r in df.collect()) == [("A1", None), ("A2", "Rex")]
+        json.dump([{"entity_id": "A2", "datetime": "2020-01-02T00:00:00", "name": "Rex"}], fh)
+    df = files.read_feed_pages(spark, d, ["entity_id", "datetime", "name"])
+    assert sorted((r.entity_id, r.name) for r in df.collect()) == [("A1", None), ("A2", "Rex")]
     empty = tempfile.mkdtemp(prefix="dwell-feed-empty-")
     with open(os.path.join(empty, "p.json"), "w") as fh:
         fh.write("[]")
     with pytest.raises(files.SourceError):
-        files.read_feed_pages(spark, empty, ["animal_id"])
+        files.read_feed_pages(spark, empty, ["entity_id"])
 
 
 def test_stays_roundtrip_partitioned(spark):
