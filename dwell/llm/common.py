@@ -55,6 +55,12 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(SLICE_BYTES))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` has not, whatever its columns are called."""
+    taken = {c.lower() for c in df.columns}
+    return next(x for x in (f"_{name}{'_' * k}" for k in range(len(taken) + 1)) if x.lower() not in taken)
+
+
 def row_key(id_col: str, text_col: str) -> Column:
     """Tells rows apart that share an id: the id and the text together."""
     return F.xxhash64(F.col(id_col), F.col(text_col))

@@ -13,7 +13,7 @@ the join that marks them is a plain equi-join, which adaptive execution splits w
 Defined results: a null or empty text has no words and fails the base rules; a null host is a host
 of its own; a document id that occurs in several rows counts once per line, and rows of equal id,
 text and host get equal results; blank lines are never boilerplate; an empty table gives no rows;
-other columns are not read.
+other columns are not read by ``judge`` and ``clean`` and pass through ``remove_lines``, whatever their names.
 """
 
 from __future__ import annotations
@@ -107,16 +107,18 @@ def boilerplate_places(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: flo
 def remove_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
     """``docs`` with ``clean_text``: the text without its boilerplate lines, all other lines as they
     are and in order.  A text without such a line is unchanged, a null one stays null."""
-    places = boilerplate_places(docs, min_docs, max_share)
-    rows = docs.withColumn("host", _host()).withColumn("row", common.row_key("doc_id", "text"))
+    host, row, lines, ends = (common.fresh(docs, x) for x in ("host", "row", "lines", "ends"))
+    places = common.fresh(docs, "places")
+    found = boilerplate_places(docs, min_docs, max_share).toDF(host, row, places)
+    rows = docs.withColumn(host, _host()).withColumn(row, common.row_key("doc_id", "text"))
     # the runs of lines between two removed places, so that the work grows with the lines alone
-    out = rows.join(places, ["host", "row"], "left").withColumn("_lines", F.when(F.col("places").isNotNull(), _lines(F.col("text"))))
-    ends = F.concat(F.array(F.lit(-1)), F.col("places"), F.array(F.size("_lines")))
-    out = out.withColumn("_ends", F.when(F.col("places").isNotNull(), ends))
-    before = lambda k: F.get("_ends", k - 1)
-    runs = F.transform("_ends", lambda x, k: F.when(k > 0, F.slice("_lines", before(k) + 2, x - before(k) - 1)).otherwise(F.array().cast("array<string>")))
-    return (out.withColumn("clean_text", F.when(F.col("places").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(runs), "\n")))
-            .drop("host", "row", "places", "_lines", "_ends"))
+    out = rows.join(found, [host, row], "left").withColumn(lines, F.when(F.col(places).isNotNull(), _lines(F.col("text"))))
+    bounds = F.concat(F.array(F.lit(-1)), F.col(places), F.array(F.size(lines)))
+    out = out.withColumn(ends, F.when(F.col(places).isNotNull(), bounds))
+    before = lambda k: F.get(ends, k - 1)
+    runs = F.transform(ends, lambda x, k: F.when(k > 0, F.slice(lines, before(k) + 2, x - before(k) - 1)).otherwise(F.array().cast("array<string>")))
+    return (out.withColumn("clean_text", F.when(F.col(places).isNull(), F.col("text")).otherwise(F.array_join(F.flatten(runs), "\n")))
+            .drop(host, row, places, lines, ends))
 
 
 def _judged(docs: DataFrame, min_docs: int, max_share: float, min_kept_percent: int) -> DataFrame:

@@ -16,20 +16,32 @@ Kinds, and what stays as it was:
              account part is permuted, the check digits are computed anew
   date       yyyy-mm-dd, a real day of 1900 to 2099: a permutation of the days of these years
   key        32 and more hex digits, or AKIA and 16 letters or digits: permuted by class
-  secret     the value, with a letter in it, after password=, token=, secret= or api_key=
+  secret     8 and more letters and digits after password=, token=, secret= or api_key=; after a colon
+             in place of the equals sign, only values with a digit, which tells them from prose.  A
+             value that is of another kind keeps that kind's pseudonym, so it stays linked
 
 A permutation may map a value to itself; the last digit then tells nothing either, as for any
-pseudonym.  Numbers that fail their check are left alone.
+pseudonym.  Numbers that fail their check are left alone.  Mail names, hex values and secrets may be of any length;
+their patterns take a run of characters whole, so a text is read in linear time.
 
 Defined results: a null text stays null; an empty text stays empty; a text may be of any length;
-rows that repeat get equal results; all other columns pass through as they are.
+rows that repeat get equal results; all other columns pass through as they are, whatever their names, but
+for columns named as the two results, which the results replace; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dwell.llm import common
+
+#: The session's setting that holds the key.
+KEY_SETTING = "spark.dwell.pseudonym.key"
+_OWN_KEY: list[str] = []
+
 #: Rounds of the network.
 ROUNDS = 4
 #: Days of 1900 to 2099 are 4297 times 17, so a day is a pair (a, b) and no cycle-walking is needed.
@@ -38,15 +50,15 @@ _DAYS_A, _DAYS_B = 4297, 17
 #: One pattern per kind, in order of precedence: what stands before, the value, what follows.
 #: Java regular expressions.
 PATTERNS = {
-    "email": ("", r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}", ""),
-    "key": (r"(?<![A-Za-z0-9])", r"[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[A-Z0-9]{16}", r"(?![A-Za-z0-9])"),
+    "secret": ("", r"(?:password|token|secret|api_key)(?:=|: ?(?=[A-Za-z]*+[0-9]))[A-Za-z0-9]{8,}+", r"(?![A-Za-z0-9._%+\-]*+@)"),
+    "email": (r"(?<![A-Za-z0-9._%+\-])", r"[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}", ""),
+    "key": (r"(?<![A-Za-z0-9])", r"[0-9a-f]{32,}+|[0-9A-F]{32,}+|AKIA[A-Z0-9]{16}", r"(?![A-Za-z0-9])"),
     "iban": (r"(?<![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", r"(?![A-Za-z0-9])"),
     "ip": (r"(?<![0-9.])", r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}", r"(?![0-9]|\.[0-9])"),
     "phone": (r"(?<![0-9+])", r"(?:\+[0-9]{1,3}[ \-])?(?:\([0-9]{3}\) ?|[0-9]{3}[\-. ])[0-9]{3}[\-. ][0-9]{4}", r"(?![0-9])"),
     "ssn": (r"(?<![0-9\-])", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"(?![0-9\-])"),
     "date": (r"(?<![0-9\-])", r"(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}", r"(?![0-9\-])"),
     "card": (r"(?<![0-9\-])", r"[0-9](?:[ \-]?[0-9]){12,18}", r"(?![0-9\-])"),
-    "secret": (r"(?<=(?:password|token|secret|api_key)=)", r"(?=[0-9]*[A-Za-z])[A-Za-z0-9]{8,128}", ""),
 }
 PATTERN = "|".join(f"{before}(?:{value}){after}" for before, value, after in PATTERNS.values())
 
@@ -210,8 +222,10 @@ def _ssn(value: Column, key: str) -> Column:
 
 
 def _email(value: Column, key: str) -> Column:
-    parts = F.split(value, "@")
-    return F.concat(_feistel_text(F.get(parts, F.lit(0)), key, "email"), F.lit("@"), F.get(parts, F.lit(1)))
+    """Marks before the first letter or digit are no part of the name."""
+    lead = F.regexp_extract(value, r"^[._%+\-]*+", 0)
+    parts = F.split(F.substr(value, F.length(lead) + 1), "@")
+    return F.concat(lead, _feistel_text(F.get(parts, F.lit(0)), key, "email"), F.lit("@"), F.get(parts, F.lit(1)))
 
 
 def _key(value: Column, key: str) -> Column:
@@ -221,26 +235,48 @@ def _key(value: Column, key: str) -> Column:
             .otherwise(_feistel_text(value, key, "key")))
 
 
-_KINDS = {"email": _email, "key": _key, "iban": _iban, "ip": _ip, "phone": _phone, "ssn": _ssn, "date": _date,
-          "card": _card, "secret": _key}
+def _secret(value: Column, key: str) -> Column:
+    """The value behind the name; where it is of another kind, and valid, that kind's pseudonym."""
+    name = F.regexp_extract(value, "^[a-z_]+(?:=|: ?)", 0)
+    rest = F.substr(value, F.length(name) + 1)
+    return F.concat(name, _let(rest, lambda v: _let(_by_kind(v, key), lambda p: F.when(p != v, p).otherwise(_key(v, key)))))
 
 
-def pseudonym(value: Column, key: str) -> Column:
-    """The pseudonym of one found value.  Its kind is that of the first pattern it matches whole."""
+_KINDS = {"email": _email, "key": _key, "iban": _iban, "ip": _ip, "phone": _phone, "ssn": _ssn, "date": _date, "card": _card}
+
+
+def _by_kind(value: Column, key: str) -> Column:
     out = F.when(F.lit(False), value)
     for kind, change in _KINDS.items():
         out = out.when(value.rlike(f"^(?:{PATTERNS[kind][1]})$"), change(value, key))
     return out.otherwise(value)
 
 
-def pseudonymise(docs: DataFrame, key: str = "corpus", text_col: str = "text") -> DataFrame:
-    """``docs`` with pseudonyms in ``text_col``, and ``n_found`` and ``n_changed`` (long) besides."""
+def pseudonym(value: Column, key: str) -> Column:
+    """The pseudonym of one found value.  Its kind is that of the first pattern it matches whole."""
+    return F.when(value.rlike(f"^(?:{PATTERNS['secret'][1]})$"), _secret(value, key)).otherwise(_by_kind(value, key))
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key that the session's setting names.  Where it is unset, a random one that lives as long as
+    this driver: equal values are linked within its runs, and nobody can invert them later."""
+    if not _OWN_KEY:
+        _OWN_KEY.append(secrets.token_hex(32))
+    return spark.conf.get(KEY_SETTING, _OWN_KEY[0])
+
+
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with pseudonyms in ``text_col``, and ``n_found`` and ``n_changed`` (long) besides.
+    ``key`` is the secret that decides them and must not be empty."""
+    if not key:
+        raise ValueError("a key is needed: without a secret anybody could invert the pseudonyms")
+    found, new, between = (common.fresh(docs, x) for x in ("found", "new", "between"))
     text = F.col(text_col)
-    out = (docs.withColumn("_found", F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PATTERN), F.lit(0)))
-           .withColumn("_new", F.transform("_found", lambda v: pseudonym(v, key)))
-           .withColumn("_between", F.when(F.size("_found") > 0, F.split(text, PATTERN, -1))))
-    joined = F.array_join(F.zip_with("_between", F.concat("_new", F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    changed = F.size(F.filter(F.zip_with("_found", "_new", lambda a, b: a != b), lambda x: x))
-    return (out.withColumn(text_col, F.when(F.size("_found") > 0, joined).otherwise(text))
-            .withColumn("n_found", F.size("_found").cast("long")).withColumn("n_changed", changed.cast("long"))
-            .drop("_found", "_new", "_between"))
+    out = (docs.withColumn(found, F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PATTERN), F.lit(0)))
+           .withColumn(new, F.transform(found, lambda v: pseudonym(v, key)))
+           .withColumn(between, F.when(F.size(found) > 0, F.split(text, PATTERN, -1))))
+    joined = F.array_join(F.zip_with(between, F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    changed = F.size(F.filter(F.zip_with(found, new, lambda a, b: a != b), lambda x: x))
+    return (out.withColumn(text_col, F.when(F.size(found) > 0, joined).otherwise(text))
+            .withColumn("n_found", F.size(found).cast("long")).withColumn("n_changed", changed.cast("long"))
+            .drop(found, new, between))

@@ -6,8 +6,8 @@ small dense layer turns the answers into a logit.  The logits of all chunks are
 passed through the logistic function: one probability per text.
 
 The network is fitted on a bounded, documented sample: of the labelled rows that may be learned
-from, the SAMPLE_PER_LABEL of each label that come first by a hash of the id, and of each of these
-texts up to SAMPLE_CHUNKS chunks spread evenly over it.  Scoring reads every byte of every text.
+from, the SAMPLE_PER_LABEL of each label that come first by a hash of the id, each of these texts
+whole.  Scoring reads every byte of every text.  Both hold BLOCK chunks' windows at a time.
 
 Defined results: a null or empty text is one chunk of padding and gets a score as any other; with
 no usable label the score is 0.5, with one kind of label only it is that label; a document labelled
@@ -27,14 +27,16 @@ from pyspark.sql import types as T
 
 from dwell.llm import common
 
-#: Parameters of the fit's sample.
-SAMPLE_PER_LABEL, SAMPLE_CHUNKS = 1500, 6
+#: Most rows of a label that the fit reads.
+SAMPLE_PER_LABEL = 1500
 #: Bytes in a chunk, and by how many the next chunk starts later.
 CHUNK, STEP = 512, 448
 #: Size of a byte's embedding, width and stride of a filter, filters, hidden units.
 EMBED, WIDTH, STRIDE, FILTERS, HIDDEN = 8, 8, 2, 32, 16
 EPOCHS, BATCH, RATE, SEED = 8, 48, 0.004, 11
 THRESHOLD = 0.3
+#: Chunks whose windows are held at once.
+BLOCK = 128
 #: Folds by checksum of the id; fold 0 is held out.
 FOLDS = 5
 
@@ -76,7 +78,7 @@ class Network:
         return at, pooled, hidden, hidden @ w["out"] + w["out_bias"][0]
 
     def logits(self, chunks: np.ndarray) -> np.ndarray:
-        return np.concatenate([self._forward(chunks[i:i + 128])[3] for i in range(0, len(chunks), 128)])
+        return np.concatenate([self._forward(chunks[i:i + BLOCK])[3] for i in range(0, len(chunks), BLOCK)])
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         if self.constant is not None:
@@ -84,10 +86,10 @@ class Network:
         parts = [cut(t) for t in texts]
         counts = np.array([len(p) for p in parts])
         logits, held, size = [], [], 0
-        for p in parts:  # long texts are not joined whole: 128 chunks and more at a time
+        for p in parts:  # long texts are not joined whole: BLOCK chunks and more at a time
             held.append(p)
             size += len(p)
-            if size >= 128:
+            if size >= BLOCK:
                 logits.append(self.logits(np.concatenate(held)))
                 held, size = [], 0
         if held:
@@ -95,8 +97,34 @@ class Network:
         sums = np.add.reduceat(np.concatenate(logits).astype(np.float64), np.concatenate([[0], np.cumsum(counts)[:-1]]))
         return 1 / (1 + np.exp(-np.clip(sums / counts, -30, 30)))
 
+    def gradient(self, chunks: np.ndarray, counts: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """The gradient of the weighted mean log loss of whole texts, whose chunks lie one after the other;
+        it goes through the pooled places only."""
+        w, owner = self.w, np.repeat(np.arange(len(counts)), counts)
+        blocks = [slice(i, i + BLOCK) for i in range(0, len(chunks), BLOCK)]
+        at, pooled, hidden, logit = (np.concatenate(x) for x in zip(*[self._forward(chunks[b]) for b in blocks], strict=True))
+        mean = np.bincount(owner, logit, len(counts)) / counts
+        d_mean = (1 / (1 + np.exp(-np.clip(mean, -30, 30))) - labels) * weight / len(counts)
+        d = (d_mean / counts)[owner].astype(np.float32)
+        grad = {"out": hidden.T @ d, "out_bias": np.array([d.sum()], np.float32)}
+        d_hidden = d[:, None] * w["out"] * (hidden > 0)
+        grad["dense"], grad["dense_bias"] = pooled.T @ d_hidden, d_hidden.sum(axis=0)
+        d_pool = (d_hidden @ w["dense"].T) * (pooled > 0)
+        grad["filter_bias"] = d_pool.sum(axis=0)
+        grad["filters"], grad["embed"] = np.zeros_like(w["filters"]), np.zeros_like(w["embed"])
+        for b in blocks:
+            # bytes under the place where each filter answered most: (chunks, filters, WIDTH)
+            part = chunks[b]
+            under = part[np.arange(len(part))[:, None, None], (at[b] * STRIDE)[:, :, None] + np.arange(WIDTH)]
+            seen = w["embed"][under].reshape(len(part), FILTERS, -1)
+            grad["filters"] += np.einsum("cf,cfx->xf", d_pool[b], seen)
+            d_seen = (d_pool[b][:, :, None] * w["filters"].T[None]).reshape(-1, EMBED)
+            flat = under.reshape(-1)
+            grad["embed"] += np.stack([np.bincount(flat, d_seen[:, k], 256) for k in range(EMBED)], axis=1).astype(np.float32)
+        return grad
+
     def fit(self, parts: list[np.ndarray], labels: np.ndarray) -> Network:
-        """Adam on the log loss of whole texts; gradients go through the pooled places only."""
+        """Adam on the log loss of whole texts; ``parts`` holds all chunks of each."""
         w, rng = self.w, np.random.default_rng(SEED)
         first = {k: np.zeros_like(v) for k, v in w.items()}
         second = {k: np.zeros_like(v) for k, v in w.items()}
@@ -106,25 +134,7 @@ class Network:
             order = rng.permutation(len(parts))
             for start in range(0, len(order), BATCH):
                 take = order[start:start + BATCH]
-                chunks = np.concatenate([parts[i] for i in take])
-                counts = np.array([len(parts[i]) for i in take])
-                owner = np.repeat(np.arange(len(take)), counts)
-                at, pooled, hidden, logit = self._forward(chunks)
-                mean = np.bincount(owner, logit, len(take)) / counts
-                d_mean = (1 / (1 + np.exp(-np.clip(mean, -30, 30))) - labels[take]) * weight[take] / len(take)
-                d = (d_mean / counts)[owner].astype(np.float32)
-                grad = {"out": hidden.T @ d, "out_bias": np.array([d.sum()], np.float32)}
-                d_hidden = d[:, None] * w["out"] * (hidden > 0)
-                grad["dense"], grad["dense_bias"] = pooled.T @ d_hidden, d_hidden.sum(axis=0)
-                d_pool = (d_hidden @ w["dense"].T) * (pooled > 0)
-                grad["filter_bias"] = d_pool.sum(axis=0)
-                # bytes under the place where each filter answered most: (chunks, filters, WIDTH)
-                under = chunks[np.arange(len(chunks))[:, None, None], (at * STRIDE)[:, :, None] + np.arange(WIDTH)]
-                seen = w["embed"][under].reshape(len(chunks), FILTERS, -1)
-                grad["filters"] = np.einsum("cf,cfx->xf", d_pool, seen)
-                d_seen = (d_pool[:, :, None] * w["filters"].T[None]).reshape(-1, EMBED)
-                flat = under.reshape(-1)
-                grad["embed"] = np.stack([np.bincount(flat, d_seen[:, k], 256) for k in range(EMBED)], axis=1).astype(np.float32)
+                grad = self.gradient(np.concatenate([parts[i] for i in take]), np.array([len(parts[i]) for i in take]), labels[take], weight[take])
                 step += 1
                 for k in w:
                     first[k] = 0.9 * first[k] + 0.1 * grad[k]
@@ -140,24 +150,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network:
     parts = [known.where(F.col("quality") == y).orderBy("order", "doc_id").limit(SAMPLE_PER_LABEL) for y in (0, 1)]
     sample = parts[0].unionByName(parts[1]).select("doc_id", "quality")
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in common.slices(batches):
-            chosen = []
-            for text in common.texts(part):
-                chunks = cut(text.encode("utf-8"))
-                places = np.unique(np.linspace(0, len(chunks) - 1, min(SAMPLE_CHUNKS, len(chunks))).astype(int))
-                chosen.append(chunks[places].tobytes())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.array(chosen, pa.binary())], ["doc_id", "quality", "chunks"])
-
-    # the sample is at most twice SAMPLE_PER_LABEL rows, which bounds the broadcast and the collect
+    # at most twice SAMPLE_PER_LABEL labelled ids, which bounds the broadcast and the rows collected
     rows = (docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(sample.select(F.col("doc_id").cast("long"), "quality")), "doc_id")
-            .mapInArrow(pick, "doc_id long, quality int, chunks binary").collect())
-    rows = sorted(rows, key=lambda r: (r["doc_id"], bytes(r["chunks"])))
+            .select("doc_id", "quality", F.coalesce("text", F.lit("")).alias("text")).distinct().collect())
+    rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"]))
     y = np.array([r["quality"] for r in rows], dtype=np.float64)
     if len(rows) == 0 or y.min() == y.max():
         return Network(constant=float(y[0]) if len(rows) else 0.5)
-    chunks = [np.frombuffer(r["chunks"], np.uint8).reshape(-1, CHUNK) for r in rows]
-    return Network().fit(chunks, y)
+    return Network().fit([cut(r["text"].encode("utf-8")) for r in rows], y)
 
 
 def score(docs: DataFrame, network: Network) -> DataFrame:

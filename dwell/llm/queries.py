@@ -56,7 +56,7 @@ def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(common.documents(spark, sf_dir)).select("doc_id", "text", "n_found", "n_changed")
+    return pii.pseudonymise(common.documents(spark, sf_dir), pii.session_key(spark)).select("doc_id", "text", "n_found", "n_changed")
 
 
 def op11_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:

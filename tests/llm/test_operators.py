@@ -364,7 +364,7 @@ def test_pseudonyms(spark, empty):
     text = ["mail Jo.Smith+x99@mail8.example.com now", "ip 10.200.3.4, 999.1.1.1", "+1 (312) 555-2485 or 312-555-2485", "4111 1111 1111 1111 and 4111111111111112",
             "GB82WEST12345698765432", "123-45-6789 000-12-1234", "1999-02-28 1999-02-30", "password=b7db7aa4a5fcc78305 x", "", None, "nothing here", "x" * 100_000 + " 4111111111111111"]
     table = spark.createDataFrame(list(enumerate(text)), "doc_id long, text string").withColumn("n_found", F.lit("clash")).withColumn("keep", F.lit(1))
-    got = {r["doc_id"]: r for r in pii.pseudonymise(table).collect()}
+    got = {r["doc_id"]: r for r in pii.pseudonymise(table, "k").collect()}
     new = {i: r["text"] for i, r in got.items()}
     assert re.fullmatch(r"mail [A-Z][a-z]\.[A-Z][a-z]{4}\+[a-z]\d\d@mail8\.example\.com now", new[0]) and new[0] != text[0]
     assert new[1].endswith(", 999.1.1.1") and all(int(x) < 256 for x in new[1].split(",")[0][3:].split("."))
@@ -376,7 +376,7 @@ def test_pseudonyms(spark, empty):
     assert int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
     assert new[5].endswith(" 000-12-1234") and new[6].endswith(" 1999-02-30") and new[6][:10] != "1999-02-28"
     assert (new[8], new[9], new[10]) == ("", None, "nothing here") and got[0]["keep"] == 1
-    assert pii.pseudonymise(empty).count() == 0
+    assert pii.pseudonymise(empty, "k").count() == 0
 
 
 def test_feistel_is_a_permutation(spark):

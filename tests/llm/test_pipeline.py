@@ -5,9 +5,10 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from dwell.llm import common, queries
+from dwell.llm import common, quality_cnn, queries
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SF = "/root/testdata/sf0.001"
@@ -86,3 +87,40 @@ def test_near_duplicates_choose_rows(spark):
     assert got == sorted(want, key=repr)
     again = spark.createDataFrame([(1, a, "t"), (1, a, "s"), (1, a, "s")], table.schema)
     assert [tuple(r) for r in P.near_duplicates(spark, again, "").collect()] == [(1, a, "s")]
+
+
+NAMES = ["_row", "_copy", "score", "held_out", "predicted", "n_found", "n_changed", "n_words", "n_removed", "kept_text", "_found", "component_id", "a.b"]
+
+
+def test_columns_that_clash_pass_every_stage(spark):
+    docs = common.documents(spark, SF).withColumns({n: F.lit(f"own {n}") for n in NAMES})
+    for name, stage in P.STAGES[:-1]:
+        new = stage(spark, docs, SF)
+        assert new.columns == docs.columns
+        rows = new.collect()
+        assert rows and all(r[n] == f"own {n}" for r in rows for n in NAMES), name
+        assert all(r["n_chars"] == len(r["text"]) for r in rows)
+
+
+def test_columns_of_the_id_and_text_alone(spark):
+    docs = common.documents(spark, SF).select("doc_id", "text")
+    for _, stage in P.STAGES[:-1]:
+        new = stage(spark, docs, SF)
+        assert new.columns == ["doc_id", "text"] and new.count() > 0
+
+
+def test_no_rows_give_none(spark):
+    docs = common.documents(spark, SF).limit(0)
+    for _, stage in P.STAGES:
+        assert stage(spark, docs, SF).count() == 0
+
+
+def test_the_quality_stage_keeps_what_the_network_accepts(spark, stages):
+    """Held against the network itself, text by text, outside Spark."""
+    before, after = stages[0]
+    network = quality_cnn.fit(before, spark.read.parquet(f"{SF}/labels.parquet"))
+    rows = before.collect()
+    scores = [network.score([(r["text"] or "").encode()])[0] for r in rows]
+    near = {r["doc_id"] for r, s in zip(rows, scores, strict=True) if abs(s - quality_cnn.THRESHOLD) < 1e-5}
+    want = {r["doc_id"] for r, s in zip(rows, scores, strict=True) if s >= quality_cnn.THRESHOLD}
+    assert {r["doc_id"] for r in after.collect()} - near == want - near
