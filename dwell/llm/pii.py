@@ -235,13 +235,6 @@ def _key(value: Column, key: str) -> Column:
             .otherwise(_feistel_text(value, key, "key")))
 
 
-def _secret(value: Column, key: str) -> Column:
-    """The value behind the name; where it is of another kind, and valid, that kind's pseudonym."""
-    name = F.regexp_extract(value, "^[a-z_]+(?:=|: ?)", 0)
-    rest = F.substr(value, F.length(name) + 1)
-    return F.concat(name, _let(rest, lambda v: _let(_by_kind(v, key), lambda p: F.when(p != v, p).otherwise(_key(v, key)))))
-
-
 _KINDS = {"email": _email, "key": _key, "iban": _iban, "ip": _ip, "phone": _phone, "ssn": _ssn, "date": _date, "card": _card}
 
 
@@ -253,8 +246,12 @@ def _by_kind(value: Column, key: str) -> Column:
 
 
 def pseudonym(value: Column, key: str) -> Column:
-    """The pseudonym of one found value.  Its kind is that of the first pattern it matches whole."""
-    return F.when(value.rlike(f"^(?:{PATTERNS['secret'][1]})$"), _secret(value, key)).otherwise(_by_kind(value, key))
+    """The pseudonym of one found value, by the first kind it matches whole.  A secret is the value behind
+    its name; where that is of no other valid kind, it is permuted by class."""
+    name = F.when(value.rlike(f"^(?:{PATTERNS['secret'][1]})$"), F.regexp_extract(value, "^[a-z_]+(?:=|: ?)", 0)).otherwise("")
+    def change(n: Column, v: Column) -> Column:
+        return _let(_by_kind(v, key), lambda p: F.concat(n, F.when((n != "") & (p == v), _key(v, key)).otherwise(p)))
+    return _let(name, lambda n: _let(F.substr(value, F.length(n) + 1), lambda v: change(n, v)))
 
 
 def session_key(spark: SparkSession) -> str:
