@@ -123,6 +123,34 @@ def test_exact_quantiles_with_ties(monkeypatch):
         assert got[0, 0] == pytest.approx(float(np.quantile(y, q)), abs=1e-12)
 
 
+def test_kept_places_change_no_model(spark):
+    """What a task keeps between passes, and features counted together, give the sums of a plain count."""
+    rnd = np.random.default_rng(5)
+    widths = [B.CODES, 7, 5, 9, B.CODES]
+    assert B._groups(widths) == [[0, 1], [2, 3], [4]]
+    codes = np.stack([rnd.integers(0, w, 3000) for w in widths]).astype(np.uint8)
+    y = np.where(rnd.random((1, 3000)) < 0.1, np.nan, rnd.integers(0, 2, (1, 3000)))
+    tree = B.Tree()
+    a, b = tree.split(0, 1, np.arange(B.CODES) < 3)
+    c, d = tree.split(b, 0, np.arange(B.CODES) < 90)
+    held = B.Held((codes, y, np.zeros(y.shape)))
+    for values in ([0.0] * 5, [0.0, 0.5, 0.0, -0.25, 1.0]):
+        tree.value = values
+        held.advance({0: tree.freeze()})
+        leaf = np.where(codes[1] < 3, a, np.where(codes[0] < 90, c, d))
+        raw = held.part[2][0]
+        for wanted in ([d], [a, c, d]):
+            found = B._histograms(held.part, [("log_loss", 0.5)], widths, {0: (tree.freeze(), wanted)})[0][0]
+            sums = B._unfold(found, widths)
+            for i, w in enumerate(wanted):
+                here = np.flatnonzero((leaf == w) & ~np.isnan(y[0]))
+                p = 1 / (1 + np.exp(-raw[here]))
+                for j in range(len(widths)):
+                    for at, x in enumerate((p - y[0, here], p * (1 - p), np.ones(len(here)))):
+                        assert sums[i, j, :, at] == pytest.approx(np.bincount(codes[j, here], x, B.CODES), abs=1e-9)
+    assert set(held.part[3].roots[0].cuts) == {(1, (np.arange(B.CODES) < 3).tobytes())}
+
+
 def test_defined_results(spark):
     df = spark.createDataFrame(rows(40), SCHEMA)
     heads = [B.Head("none", F.lit(None), "squared"), B.Head("one", F.lit(1), "log_loss"), B.Head("few", F.col("y"), "squared", features=["x"])]
