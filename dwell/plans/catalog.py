@@ -29,8 +29,10 @@ class _Stays:
     would multiply the work."""
 
     @staticmethod
-    def stays(spark, root):
-        return reliable_checkpoint(S.stays(spark, root))
+    def stays(spark, root, *columns):
+        """All columns, or only those that the query reads: the others are then never written."""
+        s = S.stays(spark, root)
+        return reliable_checkpoint(s.select(*columns) if columns else s)
 
     def __getattr__(self, name):
         return getattr(S, name)
@@ -312,7 +314,7 @@ FROM (SELECT decile, count(*) AS n, avg(y_pred) AS mean_predicted_days, avg(dura
       FROM dec GROUP BY decile)""")
 def q_metrics_by_decile(spark, root):
     """W1 + A13 (calibration table)."""
-    return M.metrics_by_decile(MS.stays(spark, root), "duration_days", "y_pred", "seq")
+    return M.metrics_by_decile(MS.stays(spark, root, "seq", "duration_days", "y_pred"), "duration_days", "y_pred", "seq")
 
 
 @register("decile_bias", f"""{W_STAYS},
@@ -322,7 +324,7 @@ FROM (SELECT decile, count(*) AS n, avg(y_pred) AS mean_predicted_days, avg(dura
              avg(y_pred - duration_days) AS mean_bias_days FROM dec GROUP BY decile)""")
 def q_decile_bias(spark, root):
     """A14."""
-    return M.bias_by_decile(S.stays(spark, root), "duration_days", "y_pred", "seq")
+    return M.bias_by_decile(MS.stays(spark, root, "seq", "duration_days", "y_pred"), "duration_days", "y_pred", "seq")
 
 
 @register("compare_variants", f"""{W_STAYS},
@@ -337,7 +339,7 @@ core AS (SELECT variant, {_CORE_SQL.replace('y_pred', 'yh')} FROM v GROUP BY var
 SELECT variant, n, {R(*_CORE_COLS, 'max_abs_decile_bias_days')} FROM core JOIN worst USING (variant)""")
 def q_compare_variants(spark, root):
     """A15 over two prediction columns."""
-    s = MS.stays(spark, root).withColumn("y_pred_b", F.col("o_totalprice") / F.lit(4000.0))
+    s = MS.stays(spark, root, "seq", "duration_days", "y_pred", "o_totalprice").withColumn("y_pred_b", F.col("o_totalprice") / F.lit(4000.0))
     return M.compare_variants(s, "duration_days", ["y_pred", "y_pred_b"], "seq")
 
 
@@ -505,7 +507,7 @@ SELECT bin, n, {R('mean_predicted_probability', 'actual_positive_rate', 'standar
   SELECT *, sqrt(actual_positive_rate * (1 - actual_positive_rate) / n) AS standard_error FROM rel)""")
 def q_reliability_table(spark, root):
     """A27."""
-    return M.reliability_table(S.stays(spark, root), "score", "is_long", "seq")
+    return M.reliability_table(MS.stays(spark, root, "seq", "score", "is_long"), "score", "is_long", "seq")
 
 
 @register("ece", f"""{W_STAYS},
@@ -513,7 +515,7 @@ def q_reliability_table(spark, root):
 SELECT round(sum(n * abs(mean_predicted_probability - actual_positive_rate)) / sum(n), 6) AS ece FROM rel""")
 def q_ece(spark, root):
     """A28."""
-    return M.expected_calibration_error(M.reliability_table(S.stays(spark, root), "score", "is_long", "seq"))
+    return M.expected_calibration_error(M.reliability_table(MS.stays(spark, root, "seq", "score", "is_long"), "score", "is_long", "seq"))
 
 
 @register("classifier_by_group", f"""{W_STAYS},
@@ -1019,7 +1021,7 @@ SELECT (SELECT round(mae, 6) FROM core WHERE v = 'y_pred') AS y_pred_mae, (SELEC
 FROM c""")
 def q_smearing_comparison(spark, root):
     """A30 on fixed columns: a correction that spreads predictions and clips some of them at the floor."""
-    s = MS.stays(spark, root).select("seq", "duration_days", "y_pred")
+    s = MS.stays(spark, root, "seq", "duration_days", "y_pred")
     s = s.withColumn("y_corr", X.clip_days(F.col("y_pred") * 1.6 - 20))
     return M.smearing_comparison(s, "duration_days", "y_pred", "y_corr", "seq")
 

@@ -191,3 +191,22 @@ def test_breakdown_min_n_and_shares(spark):
     s = B.breakdown_summary(df, "g", min_n=5).first()
     assert (s.n, s.levels_dropped_below_min_n, s.rows_dropped_below_min_n) == (15, 1, 3)
     assert B.breakdown_summary(df, "g", where={"g": "zzz"}).first().n == 0
+
+
+def test_decile_queries_pair_the_events_once(spark, tmp_path, monkeypatch):
+    """The rows of a decile query are read several times, so they are written once, with the columns it reads."""
+    from datetime import datetime
+
+    from dwell.plans import catalog
+    when = lambda d: datetime(2001, 1, 1 + d)
+    orders = [(i, i % 4, "F", 1000.0 * i, when(i), "1-URGENT") for i in range(12)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    lines = [(i, when(i + 2)) for i in range(12)]
+    spark.createDataFrame(lines, "l_orderkey long, l_shipdate timestamp").write.parquet(str(tmp_path / "lineitem.parquet"))
+    written = []
+    keep = catalog.reliable_checkpoint
+    monkeypatch.setattr(catalog, "reliable_checkpoint", lambda df: written.append(df.columns) or keep(df))
+    for query in (catalog.q_decile_bias, catalog.q_reliability_table, catalog.q_ece, catalog.q_compare_variants, catalog.q_metrics_by_decile):
+        written.clear()
+        assert query(spark, str(tmp_path)).count() > 0
+        assert len(written) == 1 and "seq" in written[0] and "o_orderpriority" not in written[0]
