@@ -123,6 +123,46 @@ def test_exact_quantiles_with_ties(monkeypatch):
         assert got[0, 0] == pytest.approx(float(np.quantile(y, q)), abs=1e-12)
 
 
+def test_held_rows_give_quantiles_in_one_pass(monkeypatch):
+    """All values of a leaf are at hand: no bracket is narrowed, whatever the leaf's size."""
+    monkeypatch.setattr(B, "BRACKET", 5)
+    passes = []
+
+    class Counted(B.Held):
+        def total(self, work, merge):
+            passes.append(1)
+            return super().total(work, merge)
+
+    rnd = np.random.default_rng(2)
+    y = rnd.normal(size=(1, 5000))
+    tree = B.Tree()
+    leaves = tree.split(0, 0, np.arange(B.CODES) < 100)
+    codes = rnd.integers(0, 200, (1, 5000)).astype(np.uint8)
+    asked = {(0, w): (tree.freeze(), int(((codes[0] < 100) == (w == leaves[0])).sum()), 0.9) for w in leaves}
+    got = B.exact_quantiles(Counted((codes, y, np.zeros((1, 5000)))), asked, {0: (float(y.min()), float(y.max()))})
+    for w in leaves:
+        assert got[0, w] == pytest.approx(float(np.quantile(y[0, (codes[0] < 100) == (w == leaves[0])], 0.9)), abs=1e-12)
+    assert len(passes) == 1
+
+
+def test_all_leaves_at_once_are_counted_as_one_by_one():
+    """Sums of all leaves in one count are those of each leaf alone, bit for bit; rows without a target count nowhere."""
+    rnd = np.random.default_rng(4)
+    widths = [B.CODES, 6]
+    codes = np.stack([rnd.integers(0, w, 4000) for w in widths]).astype(np.uint8)
+    y = np.where(rnd.random((1, 4000)) < 0.2, np.nan, rnd.random((1, 4000)))
+    tree = B.Tree()
+    a, b = tree.split(0, 1, np.arange(B.CODES) < 3)
+    wanted = [a, *tree.split(b, 0, np.arange(B.CODES) < 90)]
+    part = B.Held((codes, y, np.zeros(y.shape))).part
+    together = B._histograms(part, [("squared", 0.5)], widths, {0: (tree.freeze(), wanted)})[0][0]
+    for i, w in enumerate(wanted):
+        leaf = B.reach(tree.freeze(), [w], codes, B.Spot(np.flatnonzero(~np.isnan(y[0]))))[w].rows
+        alone = np.concatenate([np.bincount(codes[j, leaf], -y[0, leaf], n) for j, n in enumerate(widths)])
+        assert together[i, 0].tobytes() == alone.tobytes()
+        assert together[i, 1].sum() == 2 * len(leaf)
+
+
 def test_kept_places_change_no_model(spark):
     """What a task keeps between passes gives the sums of a plain count."""
     rnd = np.random.default_rng(5)
