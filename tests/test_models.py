@@ -121,6 +121,31 @@ def test_changed_answers_of_a_model(spark, fitted):
             assert effect == pytest.approx((base[r.id] - r.probability) * 100, abs=0.0051)
 
 
+def test_only_moved_rows_are_followed_to_a_new_leaf(spark, fitted):
+    """Answers with one feature changed are those of a walk with the whole changed line; a row whose codes cut alike keeps its answer."""
+    model = fitted[1].models["classifier"]
+    rnd = np.random.default_rng(3)
+    sizes = [len(model.binner.levels[c]) if c in model.binner.levels else 256 for c in SPEC.allowed]
+    codes, others = (np.stack([rnd.integers(0, n, 500) for n in sizes]).astype(np.uint8) for _ in range(2))
+    others[:, ::3] = codes[:, ::3]
+    raw, *got = explain.changed_raws(model, codes, others, range(len(sizes)))
+    assert raw == pytest.approx(model.raw(codes.T), abs=1e-12)
+    for j, new in enumerate(got):
+        changed = codes.copy()
+        changed[j] = others[j]
+        assert new == pytest.approx(model.raw(changed.T), abs=1e-12)
+        assert new[::3].tobytes() == raw[::3].tobytes()
+    assert [len(x) for x in explain.changed_raws(model, codes[:, :0], others[:, :0], [1])] == [0, 0]
+
+
+def test_rows_of_the_importance_are_dealt_to_all_cores(spark, fitted, monkeypatch):
+    """Few bytes are much work: the rows that a model answers for are dealt by their number, not by their size."""
+    df, b = fitted
+    monkeypatch.setattr(explain, "ANSWER_ROWS", 100)
+    got = explain.permuted_answers(df, b.models["classifier"], SPEC.allowed, "id", "is_long", repeats=3)
+    assert got.rdd.getNumPartitions() == max(spark.sparkContext.defaultParallelism, -(-3 * df.count() // 100))
+
+
 def test_the_gate_sees_the_incoming_frame(spark, fitted):
     df, b = fitted
     for bad in ("outcome_type", "note"):
