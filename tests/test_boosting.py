@@ -203,3 +203,33 @@ def test_defined_results(spark):
     again = B.Boosted.from_json(fit["few"].to_json(), fit["few"].binner)
     codes = np.random.default_rng(0).integers(0, 200, (50, 4)).astype(np.uint8)
     assert list(again.raw(codes)) == list(fit["few"].raw(codes))
+
+
+def test_splits_of_several_nodes_are_those_of_each_alone():
+    """Side by side or alone: the same gains and flags bit for bit; small nodes, missing numbers and unused levels among them."""
+    rnd = np.random.default_rng(6)
+    p = B.TreeParams(min_instances=5)
+    hists = np.zeros((12, 3, B.CODES, 3))
+    for node, n in enumerate([400, 9, 300, 12, 50, 700, 0, 30, 200, 11, 90, 60]):
+        g, h = rnd.normal(size=n), rnd.random(n)
+        for j, width in enumerate((40, 4, 9)):
+            code = rnd.integers(0, width, n)
+            if j == 0 and node % 3:
+                code[rnd.random(n) < 0.2] = B.GONE
+            if j == 2:
+                code[code > node] = 0
+            for c, x in enumerate((g, h, np.ones(n))):
+                hists[node, j, :, c] = np.bincount(code, x, B.CODES)
+    for allowed in ([0, 1, 2], [0], [1, 2], [2]):
+        got = B.best_splits(hists, [False, True, True], allowed, p)
+        for one, hist in zip(got, hists):
+            want = B.best_split(hist, [False, True, True], allowed, p)
+            assert (one is None) == (want is None)
+            if one is not None:
+                assert one[:2] == want[:2] and one[2].tobytes() == want[2].tobytes()
+                here = hist[one[1]]
+                left, total = here[one[2]].sum(axis=0), here.sum(axis=0)
+                right = total - left
+                score = lambda s: s[0] ** 2 / (s[1] + p.l2)
+                assert one[0] == pytest.approx(score(left) + score(right) - score(total)) and min(left[2], right[2]) >= 5
+        assert got[1] is None and got[6] is None and got[5] is not None
