@@ -17,7 +17,10 @@ two small tables are broadcast on a *structural* bound rather than a count:
   ``sum 2 * (n_k / rows_per_task + 1) <= 4 * rows / rows_per_task``.
 
 With the default 4M rows per task that is <= 1M summary rows per 10^12 input
-rows.  The planner chooses these joins from sizes; ``broadcast=True`` forces the hint.
+rows.  Broadcast, they are known before the rows move: where no key is hot the joins fall away
+and the rows are shuffled once, and a hot key's rows go to the tasks of their buckets.  With
+``broadcast=False`` the planner chooses the joins from sizes, which it overrates: it then shuffles
+the rows for every join, a hot key to one task.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ def _maybe_broadcast(df: DataFrame, broadcast: bool) -> DataFrame:
 
 
 def split_hot_keys(df: DataFrame, key: str, micros: Column, rows_per_task: int | None = ROWS_PER_TASK,
-                   broadcast: bool = False, grid: int = GRID) -> DataFrame:
+                   broadcast: bool = True, grid: int = GRID) -> DataFrame:
     """Input plus ``_b`` (bucket) and ``_hot`` (key is split).
 
     A hot key with ``n`` rows gets ``nb = ceil(n / rows_per_task)`` buckets that
@@ -74,7 +77,7 @@ def split_hot_keys(df: DataFrame, key: str, micros: Column, rows_per_task: int |
 
 def keyed_lag(df: DataFrame, key: str, order: Sequence[str], cols: Sequence[str], micros: Column,
               prefix: str = "prev_", rows_per_task: int | None = ROWS_PER_TASK,
-              broadcast: bool = False) -> DataFrame:
+              broadcast: bool = True) -> DataFrame:
     """``lag(col, 1)`` over ``partitionBy(key).orderBy(order)`` for each of ``cols``
     (``order`` must start with the time that ``micros`` measures and end in a
     unique tie-break), computed over (key, bucket) windows; the first row of a

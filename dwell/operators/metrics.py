@@ -119,7 +119,7 @@ def tail_analysis(df: DataFrame, y: str, yhat: str, tie: str, threshold: float =
                   hi: str | None = None, q: int = 10, accuracy: int | None = None) -> DataFrame:
     """How the long rows (y >= threshold) fare; n = 0 when there are none."""
     # the highest bin is always populated: q when n > 1, else the single bin 1
-    d = ranking.global_row_number(df, [yhat, tie], "_r", total="_n")
+    d = ranking.global_row_number(df.select(*dict.fromkeys([y, yhat, tie, *([hi] if hi else [])])), [yhat, tie], "_r", total="_n")
     d = d.withColumns({"decile": ranking.bin_of_rank(F.col("_r"), F.col("_n"), q) + 1,
                        "_maxdec": F.when(F.col("_n") > 1, F.lit(q)).otherwise(F.lit(1))})
     long = F.col(y) >= F.lit(threshold)

@@ -21,6 +21,8 @@ distribution (see :mod:`dwell.operators.keyed`), so the window groups stay
 bounded.  The first event (and first end) of the *following* buckets of a hot
 key comes from a summary with one row per (hot key, bucket): at most
 ``4 * rows / rows_per_task`` rows, the proven bound that lets it be broadcast.
+So are the hot keys: they are found first, and the events are then shuffled once,
+with their buckets, instead of once for each step that reads them.
 """
 
 from __future__ import annotations
@@ -121,7 +123,7 @@ def filter_duration(df: DataFrame, col: str = "duration_days", lo: float = 0.0,
 def pair_status(starts: DataFrame, ends: DataFrame, key: str, start_ts: str, end_ts: str,
                 seq: str | None = None, end_seq: str | None = None,
                 end_payload: Sequence[str] = (), rows_per_task: int | None = ROWS_PER_TASK,
-                broadcast: bool = False) -> DataFrame:
+                broadcast: bool = True) -> DataFrame:
     """Every usable start with its pairing outcome.
 
     Returns the start columns plus ``end_ts`` (the paired end, null unless

@@ -165,3 +165,18 @@ def test_prepare_sides_parse_text(spark):
     assert rows[0].breed is None
     e = pairing.prepare_ends(raw, "entity_id", "datetime", "outcome_datetime")
     assert e.columns == ["entity_id", "outcome_datetime"]
+
+
+@pytest.mark.parametrize("rpt", [1, 4_000_000])
+def test_events_are_shuffled_once_however_the_planner_sizes_them(spark, rpt):
+    """Hot keys are known before the events move: no join shuffles the events again, and a hot key's go to their buckets."""
+    s, e = _frames(spark, [("A1", D(2020, m, 1)) for m in range(1, 13)] + [("B", D(2020, 1, 1))], [("A1", D(2020, m, 5)) for m in range(1, 13)])
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = pairing.pair_next(s, e, "entity_id", "intake_datetime", "outcome_datetime", seq="seq", rows_per_task=rpt)
+        assert len(out.collect()) == 12
+        plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
