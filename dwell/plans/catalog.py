@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ..functions import text as X
 from ..operators import (audit, breakdown as B, gates, ledger as L, lookup, metrics as M, pairing,
                          ranking, split, stats)
-from ..session import reliable_checkpoint
+from ..session import reliable_checkpoint, written
 from ..sources.tables import table
 from . import derived as D
 from . import stays as S
@@ -1351,11 +1351,18 @@ def q_display_values(spark, root):
                     X.display("f", "boolean").alias("flag_text"), X.display("pr").alias("priority_text"))
 
 
+def _split_stays(spark, root, *columns: str) -> DataFrame:
+    """The stays of every period with their customers' columns (only ``columns``), written by period: a block
+    reads its period and its columns alone."""
+    lab = split.temporal_split(D.stays_with_customer(spark, root), "start_ts", *TRAIN)
+    return written(lab.select(*columns, "split") if columns else lab, "split")
+
+
 def _report(spark, root, only: tuple[str, ...] = ()) -> tuple[str, list[str]]:
     """The evaluation report written as one JSON folder per block (``only`` these); its path and the blocks' names."""
     from ..models.report import build_report, classifier_report
     from ..sources.files import write_report_json
-    lab = split.temporal_split(MD.stays_with_customer(spark, root), "start_ts", *TRAIN)
+    lab = _split_stays(spark, root)
     lab = lab.withColumns({"y_low": F.col("y_pred") * 0.5, "y_high": F.col("y_pred") * 2, "y_corr": X.clip_days(F.col("y_pred") * 1.6 - 20)})
     parts = {p: lab.where(F.col("split") == p) for p in ("train", "validation", "test")}
     blocks = build_report(parts["test"], "duration_days", "y_pred", "seq", ["o_orderpriority", "c_mktsegment"], "flag_f", ["o_orderpriority", "start_month"],
@@ -1410,7 +1417,7 @@ SELECT variant, count(*) AS n, round(avg(abs(p - y)), 6) AS mae_days, round(avg(
 def q_report_baselines(spark, root):
     """M15 + M3: a prediction against both medians; March is left out of training, so its cells are unseen."""
     from ..models.report import baselines_report
-    lab = split.temporal_split(MD.stays_with_customer(spark, root), "start_ts", *TRAIN)
+    lab = _split_stays(spark, root, "seq", "duration_days", "y_pred", "c_mktsegment", "start_month")
     out = baselines_report(lab.where("split = 'train' AND start_month <> 3"), lab.where("split = 'test'"), "duration_days", "y_pred", "seq", ["c_mktsegment", "start_month"])
     return out.select("variant", "n", "mae_days", "mean_bias_days", "mean_predicted_days", "unseen_cell_rate")
 

@@ -1,3 +1,4 @@
+import datetime as dt
 import os
 import random
 import tempfile
@@ -291,3 +292,15 @@ def test_imputation(spark):
     spec = FeatureSpec(numeric=["x"], categorical=["m"], boolean=["f"])
     out = impute(df, df, spec, fit_levels(df, ["m"], min_rows=2)).collect()
     assert [(r.x, r.x__na, r.m__lv, r.f) for r in out] == [(1.0, False, "a", True), (2.0, False, "Missing", True), (9.0, False, "Other", False), (2.0, True, "a", True)]
+
+
+def test_baselines_read_only_their_period(spark, monkeypatch, tmp_path):
+    """The report's stays lie by period: a filter on one leaves the files of the others unread."""
+    from dwell.plans import catalog
+    stays = spark.createDataFrame([(1, dt.datetime(1998, 1, 1), 3.0), (2, dt.datetime(2000, 5, 1), 4.0), (3, dt.datetime(2002, 1, 1), 5.0)],
+                                  "seq long, start_ts timestamp_ntz, duration_days double")
+    monkeypatch.setattr(catalog.D, "stays_with_customer", lambda spark, root: stays)
+    lab = catalog._split_stays(spark, "nowhere", "seq")
+    assert sorted((r.seq, r.split) for r in lab.collect()) == [(1, "train"), (2, "validation"), (3, "test")]
+    plan = lab.where("split = 'test'").select("seq")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(split" in plan and "ReadSchema: struct<seq:bigint>" in plan
