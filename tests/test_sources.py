@@ -56,3 +56,30 @@ def test_report_json(spark):
     root = tempfile.mkdtemp(prefix="dwell-report-")
     files.write_report_json({"a": spark.createDataFrame([(1, "x")], "n int, s string")}, root)
     assert spark.read.json(os.path.join(root, "a")).first().s == "x"
+
+
+def test_report_blocks_do_not_wait_for_each_other(spark):
+    """Two blocks that need each other's presence: prepared or written one after the other they would time out."""
+    import threading
+
+    from dwell.models.report import _side_by_side
+    meet = threading.Barrier(2, timeout=30)
+    assert _side_by_side({"a": lambda: (meet.wait(), 1)[1], "b": lambda: (meet.wait(), 2)[1]}) == {"a": 1, "b": 2}
+    with pytest.raises(ZeroDivisionError):
+        _side_by_side({"a": lambda: 1, "b": lambda: 1 // 0})
+
+    class Block:
+        write = property(lambda self: self)
+        mode = lambda self, m: self
+        json = lambda self, path: meet.wait()
+    files.write_report_json({"a": Block(), "b": Block()}, "/nowhere")
+
+
+def test_written_reads_its_columns_and_partitions_alone(spark):
+    from dwell.session import written
+    df = spark.createDataFrame([(1, 0.5, "x", "train"), (2, None, "y", "test"), (3, 1.5, None, None)], "id long, v double, t string, split string")
+    back = written(df, "split")
+    assert back.columns == df.columns and sorted(back.collect()) == sorted(df.collect())
+    plan = back.where("split = 'test'").select("v")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<v:double>" in plan and "PartitionFilters: [isnotnull(split" in plan
+    assert written(df.where("id > 9"), "split").count() == 0
