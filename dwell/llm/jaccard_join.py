@@ -16,9 +16,11 @@ The boundary is the size with the least cost: subsets to write for the light set
 to write, and lists of the mean length found in the corpus to scan, for the others.
 
 An element that only one node holds is shared with nobody: it is never written, and a node with
-less than 3/4 shared elements is done.  Which elements are shared or frequent comes from a sketch of
-all documents, merged from all slices.  It only overestimates, so no link is lost; its size is
-bounded by MAX_BITS, and a corpus beyond that only writes more candidates.
+less than 3/4 shared elements is done.  Which elements are shared or frequent is counted over all
+documents, in groups by hash (see shared.py), and kept as tables of bits, one per cell of the
+hashes.  Only shared elements set bits, so a table fills with these alone, and it only overestimates,
+so no link is lost; its size is bounded by MAX_BITS, and a corpus with many more shared elements than
+that only writes more candidates.
 
 Candidates are verified in steps, so that a group of m near copies costs about m checks instead of
 m^2.  First each node is checked against one hub, the most complete node that it shares most lists
@@ -48,17 +50,18 @@ from pyspark.sql import functions as F
 
 from dwell.llm import common
 from dwell.llm.components import connected
+from dwell.llm.shared import FINGERPRINTS, bit_table, fingerprints, group_bits, held_twice
 
 SHINGLE = 5
 #: Jaccard of 3/4 as whole numbers.
 NUM, DEN = 75, 100
-#: Cells of the sketch as a power of two at most and at least, and the count from which an element is frequent.
+#: Cells of the tables as a power of two at most and at least, and the count from which an element is frequent.
 MAX_BITS, LEAST_BITS, FREQUENT = 29, 20, 32
-BLOCK = 1 << 16
 #: Sizes tried for the boundary between light and heavy sets.
 LARGEST_LIGHT = 48
 #: Cells that share one bit of the table of frequent elements.
 COARSE = 8
+_TRUE = np.array([True])
 
 
 def least_overlap(n: int) -> int:
@@ -76,13 +79,15 @@ class Sets:
         self.sets = []
         for start, end, n in zip((ends - counts).tolist(), ends.tolist(), counts.tolist(), strict=True):
             if n >= size:
-                self.sets.append(np.unique(runs[start:end - size + 1]))
+                own = runs[start:end - size + 1]
+                own.sort()  # no other text reads these runs
+                self.sets.append(own[np.concatenate([_TRUE, own[1:] != own[:-1]])])
             elif n:
                 whole = common.window_hashes(words[start:end], n)
                 self.sets.append(common.mix(whole + np.uint64(n)))  # a short sequence equals no shingle
             else:
                 self.sets.append(np.empty(0, np.uint64))
-        self.digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in self.sets]
+        self.digests = [xxhash.xxh3_128_digest(s) if len(s) else None for s in self.sets]
 
     def first_of_each(self) -> list[int]:
         seen: dict[bytes, int] = {}
@@ -103,45 +108,37 @@ def members(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, node binary")
 
 
-def sketch(docs: DataFrame, bits: int, size: int = SHINGLE) -> tuple[bytes, bytes, float]:
-    """One bit per cell: held twice or more; one per COARSE cells: a frequent element; and the mean
-    number of holders of the cells held twice or more."""
-    shift, blocks = np.uint64(64 - bits), (1 << bits) // BLOCK
+def sketch(docs: DataFrame, bits: int, groups: int, size: int = SHINGLE) -> tuple[bytearray, bytearray, float]:
+    """One bit per cell: holds an element held twice or more; one per COARSE cells: a frequent element;
+    and the mean number of holders of the elements held twice or more.  2^bits cells, 2^groups tasks."""
+    own_bits = bits - groups  # a group has the cells of its range
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.slices(batches):
             own = Sets(common.texts(part), size)
             chosen = own.first_of_each()
             if not chosen:
                 continue
-            cells, counts = np.unique(np.concatenate([own.sets[i] for i in chosen]) >> shift, return_counts=True)
-            block = cells // np.uint64(BLOCK)
-            edges = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(cells)]])
-            yield pa.RecordBatch.from_arrays([pa.array(block[edges[:-1]].astype(np.int32)), common.binary_runs((cells % np.uint64(BLOCK)).astype(np.uint16), edges),
-                                              common.binary_runs(np.minimum(counts, 255).astype(np.uint8), edges)], ["block", "cells", "counts"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for r in batch.to_pylist():
-                counts = np.bincount(np.frombuffer(r["cells"], np.uint16), np.frombuffer(r["counts"], np.uint8), BLOCK)
-                held[r["block"]] = np.minimum(counts + held.get(r["block"], 0), 255).astype(np.uint8)
-        for block, counts in held.items():
-            shared = counts >= 2
-            often = (counts >= FREQUENT).reshape(-1, COARSE).any(axis=1)
-            yield pa.RecordBatch.from_pylist([{"block": block, "shared": np.packbits(shared, bitorder="little").tobytes(), "often": np.packbits(often, bitorder="little").tobytes(),
-                                               "n": int(shared.sum()), "held": int(counts[shared].sum())}], schema=pa.schema([
-                                                   ("block", pa.int32()), ("shared", pa.binary()), ("often", pa.binary()), ("n", pa.int64()), ("held", pa.int64())]))
-
-    merged = (docs.select("text").mapInArrow(count, "block int, cells binary, counts binary").repartition(F.col("block"))
-              .mapInArrow(merge, "block int, shared binary, often binary, n long, held long"))
-    width = BLOCK // 8
-    shared, often, n, held = bytearray(blocks * width), bytearray(blocks * width // COARSE), 0, 0
-    for r in merged.toLocalIterator(prefetchPartitions=True):  # 2^bits bits and an eighth of that at most
-        shared[r["block"] * width:(r["block"] + 1) * width] = r["shared"]
-        often[r["block"] * width // COARSE:(r["block"] + 1) * width // COARSE] = r["often"]
+            elements = np.sort(np.concatenate([own.sets[i] for i in chosen]))
+            keep = np.ones(len(elements), dtype=bool)
+            keep[FREQUENT:] = elements[FREQUENT:] != elements[:-FREQUENT]  # beyond FREQUENT a slice need not tell how often
+            yield fingerprints(elements[keep], groups)
+
+    def table(part: int, elements: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        cells = ((elements >> np.uint64(64 - bits)) & np.uint64((1 << own_bits) - 1)).astype(np.int64)
+        coarse = bit_table(cells[counts >= FREQUENT] // COARSE, own_bits - COARSE.bit_length() + 1)
+        return pa.RecordBatch.from_pylist([{"part": part, "shared": bit_table(cells, own_bits), "often": coarse, "n": len(cells),
+                                            "held": int(np.minimum(counts, 255).sum())}], schema=pa.schema([
+                                                ("part", pa.int32()), ("shared", pa.binary()), ("often", pa.binary()), ("n", pa.int64()), ("held", pa.int64())]))
+
+    merged = held_twice(docs.select("text").mapInArrow(send, FINGERPRINTS), groups, table, "part int, shared binary, often binary, n long, held long")
+    width = (1 << own_bits) // 8
+    twice, often, n, held = bytearray(width << groups), bytearray((width << groups) // COARSE), 0, 0
+    for r in merged.toLocalIterator():  # 2^bits bits and an eighth of that at most
+        twice[r["part"] * width:(r["part"] + 1) * width] = r["shared"]
+        often[r["part"] * width // COARSE:(r["part"] + 1) * width // COARSE] = r["often"]
         n, held = n + r["n"], held + r["held"]
-    return bytes(shared), bytes(often), held / max(1, n)
+    return twice, often, held / max(1, n)
 
 
 def boundary(histogram: dict[int, int], list_length: float) -> int:
@@ -178,27 +175,29 @@ def signatures(ordered: np.ndarray, shared: np.ndarray, light: int) -> np.ndarra
 def entries(docs: DataFrame, tables: Broadcast, bits: int, light: int, size: int = SHINGLE) -> DataFrame:
     """One row per node with a signature: ``node``, ``n`` (set size), ``r`` (elements that others may
     hold), ``signatures`` and ``elements`` (binary, those r elements).  ``tables``: the two bit tables
-    of the sketch, broadcast."""
+    of ``sketch``, broadcast."""
+
+    def marked(table: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        return (table[cells >> np.uint64(3)] >> (cells & np.uint64(7)).astype(np.uint8)) & 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared_bits, often_bits = (np.frombuffer(x, np.uint8) for x in tables.value)
         for part in common.slices(batches):
             own, rows = Sets(common.texts(part), size), []
-            for i in own.first_of_each():
-                s = own.sets[i]
-                if len(s) < 3:  # such a set links with an equal one only, and that is the same node
-                    continue
-                cells = s >> np.uint64(64 - bits)
-                many = (shared_bits[cells >> np.uint64(3)] >> (cells & np.uint64(7)).astype(np.uint8)) & 1
-                r = int(many.sum())
-                if DEN * r < NUM * len(s):
-                    continue
-                coarse = cells // np.uint64(COARSE)
-                frequent = (often_bits[coarse >> np.uint64(3)] >> (coarse & np.uint64(7)).astype(np.uint8)) & 1
+            # a set of fewer than three links with an equal one only, and that is the same node
+            chosen = [i for i in own.first_of_each() if len(own.sets[i]) >= 3]
+            if not chosen:
+                continue
+            flat, sizes = np.concatenate([own.sets[i] for i in chosen]), np.array([len(own.sets[i]) for i in chosen])
+            flat_many, ends = marked(shared_bits, flat >> np.uint64(64 - bits)), np.cumsum(sizes)
+            held = np.add.reduceat(flat_many, ends - sizes, dtype=np.int64)
+            for k in np.flatnonzero(DEN * held >= NUM * sizes).tolist():
+                s, r, many = own.sets[chosen[k]], int(held[k]), flat_many[ends[k] - sizes[k]:ends[k]]
+                frequent = marked(often_bits, (s >> np.uint64(64 - bits)) // np.uint64(COARSE))
                 order = np.argsort(many * 2 + (many & frequent), kind="stable")  # s is sorted by hash
                 sigs = signatures(s[order], many[order].astype(bool), light)
                 if len(sigs):
-                    rows.append((own.digests[i], len(s), r, sigs.view(np.int64), s[many.astype(bool)].tobytes()))
+                    rows.append((own.digests[chosen[k]], len(s), r, sigs.view(np.int64), s[many.astype(bool)].tobytes()))
             if rows:
                 node, n, r, sigs, elements = zip(*rows, strict=True)
                 lists = common.list_array(np.concatenate(sigs), np.array([len(x) for x in sigs]), pa.int64())
@@ -274,11 +273,11 @@ def links(docs: DataFrame, known: DataFrame, size: int = SHINGLE) -> DataFrame:
     """Links (a, b) between nodes, named by their least doc_id, that join all that any link joins."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = int(min(MAX_BITS, max(LEAST_BITS, np.ceil(np.log2(max(1, total))))))
-    shared, often, list_length = sketch(docs, bits, size)
+    twice, often, list_length = sketch(docs, bits, group_bits(total), size)
     reps = known.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n_shingles"))
     counts = reps.where(F.col("n_shingles") <= LARGEST_LIGHT * 4 // 3 + 1).groupBy("n_shingles").count().collect()  # one row per small size
     light = boundary({r["n_shingles"]: r["count"] for r in counts}, list_length)
-    tables = docs.sparkSession.sparkContext.broadcast((shared, often))  # bounded by MAX_BITS
+    tables = docs.sparkSession.sparkContext.broadcast((twice, often))  # bounded by MAX_BITS
     written = entries(docs.where("doc_id IS NOT NULL"), tables, bits, light, size)
     nodes = written.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "r", "signatures", "elements")])
     nodes = common.materialise(nodes.join(reps.select("node", "id"), "node").drop("node"), "nodes")
