@@ -73,10 +73,14 @@ class Sets:
     """The distinct shingle sets of a slice: sorted 64-bit hashes and a 128-bit digest of each."""
 
     def __init__(self, texts: list[str], size: int):
-        words, counts = common.word_hashes([t.encode("utf-8").lower() for t in texts])  # bytes.lower changes A-Z only
+        self.sets = []
+        for block in common.blocks([t.encode("utf-8").lower() for t in texts]):  # bytes.lower changes A-Z only
+            self._add(*common.word_hashes(block), size)
+        self.digests = [xxhash.xxh3_128_digest(s) if len(s) else None for s in self.sets]
+
+    def _add(self, words: np.ndarray, counts: np.ndarray, size: int) -> None:
         runs = common.window_hashes(words, size)
         ends = np.cumsum(counts)
-        self.sets = []
         for start, end, n in zip((ends - counts).tolist(), ends.tolist(), counts.tolist(), strict=True):
             if n >= size:
                 own = runs[start:end - size + 1]
@@ -87,7 +91,6 @@ class Sets:
                 self.sets.append(common.mix(whole + np.uint64(n)))  # a short sequence equals no shingle
             else:
                 self.sets.append(np.empty(0, np.uint64))
-        self.digests = [xxhash.xxh3_128_digest(s) if len(s) else None for s in self.sets]
 
     def first_of_each(self) -> list[int]:
         seen: dict[bytes, int] = {}
@@ -272,7 +275,7 @@ def _pair() -> list:
 def links(docs: DataFrame, known: DataFrame, size: int = SHINGLE) -> DataFrame:
     """Links (a, b) between nodes, named by their least doc_id, that join all that any link joins."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = int(min(MAX_BITS, max(LEAST_BITS, np.ceil(np.log2(max(1, total))))))
+    bits = int(min(MAX_BITS, max(LEAST_BITS, np.ceil(np.log2(max(1, total / 4))))))  # a cell for each word or more
     twice, often, list_length = sketch(docs, bits, group_bits(total), size)
     reps = known.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n_shingles"))
     counts = reps.where(F.col("n_shingles") <= LARGEST_LIGHT * 4 // 3 + 1).groupBy("n_shingles").count().collect()  # one row per small size

@@ -1,10 +1,11 @@
 """Hashes counted in groups: tables of bits that hold what occurs twice and nothing else."""
 import numpy as np
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
-from dwell.llm import common, jaccard_join, shared
+from dwell.llm import common, jaccard_join, pii, shared, substring
 
 
 def numbered(spark, n, words=600):
@@ -35,6 +36,14 @@ def test_elements_held_once_set_no_bit(spark, many, groups):
     assert ((np.frombuffer(twice, np.uint8)[cells >> 3] >> (cells & 7)) & 1).all()
 
 
+@pytest.mark.parametrize("groups", [4, 7])
+def test_windows_held_once_set_no_bit(spark, many, groups):
+    rows = np.frombuffer(substring.sketch(many, 23, groups=groups), np.uint8).reshape(substring.DEPTH, -1)
+    assert all(545 <= ones(r) <= 600 for r in rows)  # a few share a fingerprint by chance
+    own = substring.Slice([many.where("doc_id = 7").first()["text"]], 50)
+    assert len(own.hashes) == 551 and substring._estimated_twice(own.hashes, 23, rows).all()
+
+
 def test_full_tables_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "MAX_BITS", 16)
     monkeypatch.setattr(jaccard_join, "LEAST_BITS", 16)
@@ -78,3 +87,21 @@ def test_sets_are_those_of_each_text():
     assert [len(s) for s in own.sets] == [6, 2, 1, 0, 1, 1] and all((np.diff(s.astype(object)) > 0).all() for s in own.sets)
     assert set(own.sets[1].tolist()) < set(own.sets[0].tolist()) and set(own.sets[4].tolist()) < set(own.sets[1].tolist())
     assert own.digests[0] == xxhash.xxh3_128_digest(own.sets[0].tobytes()) and own.digests[3] is None
+
+
+PARTS = ["password=", "token: ", "secret: ", "api_key=", "abcdef12", "a" * 32, "ABCDEF" * 6, "AKIA", "BCDEFGHIJKLMNOPQ", "Jo.S", "@", "mail8", ".example", ".com", "GB82", "WEST12345698765432", "10.200.3.4", "1.2.3", "+1 ", "(312) ", "312-",
+         "555-2485", "123-45-6789", "1999-02-28", "4111 1111 1111 1111", "4111111111111111", " ", " ", "-", "+", ".", "%", "é", "x", "7"]
+
+
+def test_kinds_are_found_as_by_their_patterns_side_by_side(spark):
+    """What is asked once before several kinds changes no match, and no text with a match is passed by."""
+    side_by_side = "|".join(f"{before}(?:{value}){after}" for before, value, after in pii.PATTERNS.values())
+    rnd = np.random.default_rng(3)
+    texts = ["".join(rnd.choice(PARTS, n)) for n in rnd.integers(1, 9, 6000)]
+    want = [[m[0] for m in regex.finditer(side_by_side, t)] for t in texts]
+    assert [[m[0] for m in regex.finditer(pii.PATTERN, t)] for t in texts] == want
+    table = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    rows = table.select("i", F.regexp_extract_all("t", F.lit(side_by_side), F.lit(0)).alias("was"), F.regexp_extract_all("t", F.lit(pii.PATTERN), F.lit(0)).alias("now"),
+                        pii._may_hold(F.col("t")).alias("may")).collect()
+    assert all(r["was"] == r["now"] and (r["may"] or not r["was"]) for r in rows) and 1000 < sum(bool(r["was"]) for r in rows)
+    assert any(r["was"] and not regex.search("[0-9]", texts[r["i"]]) for r in rows) and not all(r["may"] for r in rows)
